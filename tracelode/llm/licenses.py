@@ -111,7 +111,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
                     mandatory = mandatory & stands(key.split(), at)
                 score = F.when(mandatory, F.when(weight >= t.share, weight))
             out = F.when(c["k"] == k, score).otherwise(out)
-        return F.struct(c["k"].alias("k"), c["start"].alias("start"), F.least(out, F.lit(1.0)).alias("score"))
+        return F.struct(c["k"].alias("k"), c["start"].alias("start"), F.when(out > 1, 1.0).otherwise(out).alias("score"))
 
     matches = F.filter(F.transform(F.array_distinct(F.col("_starts")), verified), lambda m: m["score"].isNotNull())
     label = F.array(*(F.lit(t.label) for t in templates))
