@@ -10,9 +10,12 @@ from __future__ import annotations
 import re
 from array import array
 
-KEPT = 400_000
+KEPT = 600_000
 SLICE = 1 << 20
 MARKS = b".,;:!?"
+#: Byte-level vocabularies write each byte as a character: printable Latin-1 as itself, the others from U+0100 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _SAFE = re.compile(rb"[0-9A-Za-z](?= [0-9A-Za-z])")
 _LONE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 
@@ -72,25 +75,49 @@ class Encoder:
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _piece(self, chunk: bytes) -> str | None:
+        """The chunk in the model's byte characters if it is letters alone, which are one piece; else None.
+
+        Where the vocabulary is of lower case and composed characters, only letters below
+        U+0250 are taken, whose composed form is themselves and whose case doesn't depend on others.
+        """
+        if chunk.isalpha():
+            return chunk.lower().decode("ascii") if self.words else chunk.decode("ascii")
+        text = chunk.decode("utf-8")
+        if not text.isalpha():
+            return None
+        if self.words:
+            if max(text) >= "\u0250" or "\u0130" in text:
+                return None
+            chunk = text.lower().encode("utf-8")
+        return chunk.decode("latin-1").translate(BYTE_CHARACTERS)
+
     def _learn(self, chunks: set[bytes], lead: str, into: Known) -> None:
         """Adds the chunks' ids after lead; None for a chunk that can't be cut off where it was."""
-        new = into.missing(chunks)
-        if not new:
-            return
-        split = {}
-        for c in new:
+        start = lead.translate(BYTE_CHARACTERS)
+        merge = self.tokenizer.model.tokenize
+        others, marked = [], []
+        for c in into.missing(chunks):
             core = c.rstrip(MARKS)
-            split[c] = (core, c[len(core) :]) if core and core != c and core[-1:].isalnum() else (c, b"")
-        cores = into.missing({core for core, _ in split.values()})
-        text = [c.decode("utf-8") for c in cores]
+            if len(core) != len(c) and core[-1:].isalnum():
+                marked.append((c, core))
+                if core in into:
+                    continue
+            else:
+                core = c
+            piece = self._piece(core)
+            if piece is None:
+                others.append(core)
+            else:
+                into[core] = array("I", [t.id for t in merge(start + piece)]).tobytes()
+        text = [c.decode("utf-8") for c in others]
         if not self.words:
             plain = [bool(t) and not t[0].isspace() and not t[-1].isspace() for t in text]
-            into.update((c, None) for c, p in zip(cores, plain, strict=True) if not p)
-            cores, text = [c for c, p in zip(cores, plain, strict=True) if p], [t for t, p in zip(text, plain, strict=True) if p]
-        into.update(zip(cores, self._encode([lead + t for t in text] if lead else text), strict=True))
-        for c, (core, marks) in split.items():
-            if marks:
-                into[c] = None if into[core] is None else into[core] + self._marks(marks)
+            into.update((c, None) for c, p in zip(others, plain, strict=True) if not p)
+            others, text = [c for c, p in zip(others, plain, strict=True) if p], [t for t, p in zip(text, plain, strict=True) if p]
+        into.update(zip(others, self._encode([lead + t for t in text] if lead else text), strict=True))
+        for c, core in marked:
+            into[c] = None if into[core] is None else into[core] + self._marks(c[len(core) :])
 
     def _marks(self, marks: bytes) -> bytes:
         if marks not in self.first:

@@ -53,14 +53,16 @@ def fill(lengths: list[int], limits: tuple[int, int, int] = (TOKENS, SEGMENTS, L
     needs, limit = demand(kinds), np.array(limits, float)
     if not len(kinds):
         return out
-    weight = (needs * have[:, None]).sum(0) / have.sum() / limit
+    weight = (needs * have[:, None]).sum(0) / have.sum() / limit**2
     left = int(have.sum())
     while left:
         room, placed = limit.copy(), []
         while left:
-            able = (have > 0) & (needs <= room).all(1)
-            if able.any():
-                k = int(np.argmax(np.where(able, (needs / limit * weight * (room / limit)).sum(1), -1)))
+            # No resource shrinks with the length, so the pieces that fit are those up to some length.
+            able = min(int(np.searchsorted(needs[:, r], room[r], "right")) for r in range(3))
+            value = np.where(have[:able] > 0, needs[:able] @ (weight * room / limit), -1)
+            k = int(np.argmax(value)) if able else -1
+            if k >= 0 and value[k] >= 0:
                 item, start = rests[kinds[k]].pop()
                 placed.append((item, start, int(kinds[k])))
                 have[k] -= 1
