@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import gam, mixing, neardup, packing
-from tracelode.llm.common import stored
+from tracelode.llm.common import fresh, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id. Rows without id stay; repeats of a row don't."""
     groups = neardup.near_duplicates(docs)
-    kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
@@ -30,10 +30,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Whole documents only: a source's last one is in if more than half of it fits the budget.
     """
+    key, copies = fresh(docs, "key"), fresh(docs, "copies")
     plan = stored(mixing.mix(docs), "mix")
-    copies = plan.select(F.col("doc_id").alias("_id"), (F.col("epochs") + F.col("drawn").cast("int")).cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = plan.select(F.col("doc_id").alias(key), (F.col("epochs") + F.col("drawn").cast("int")).cast("int").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(key)))
+    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

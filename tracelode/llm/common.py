@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it differ from all columns of df in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession

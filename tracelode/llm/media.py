@@ -24,6 +24,8 @@ PEAKS = 3
 FAN = 4
 REACH = 6
 BLOCK = 4096
+#: A peak has at least this part of its frame's greatest magnitude; below is what rounding leaves of a constant.
+LEAST = 1e-4
 
 ANALYSIS = T.StructType([
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
@@ -63,7 +65,7 @@ def peaks(payload: bytes) -> np.ndarray:
         inner = power[:, 1:-1]
         inner = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]), inner, 0)
         best = np.argpartition(-inner, PEAKS, axis=1)[:, :PEAKS]
-        strong = np.take_along_axis(inner, best, 1) > 1e-3
+        strong = np.take_along_axis(inner, best, 1) > LEAST * power.max(axis=1, keepdims=True)
         found.append(np.sort(np.where(strong, best + 1, -1), axis=1))
     return np.concatenate(found)
 

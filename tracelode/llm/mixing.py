@@ -52,7 +52,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     rest = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     rows = rows.withColumn("level", left / rest)
     # The first source that doesn't fill up sets the level for itself and all after it.
-    level = F.min(F.when(F.col("level") < F.col("fills"), F.struct("fills", "level"))).over(every)["level"]
+    rows = rows.withColumn("place", F.row_number().over(upto))
+    level = F.min(F.when(F.col("level") < F.col("fills"), F.struct("place", "level"))).over(every)["level"]
     return rows.withColumn("target", F.coalesce(F.least(F.col("cap"), level * F.col("w")), F.col("cap"))).select("source", "source_size", "target")
 
 
