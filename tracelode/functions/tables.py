@@ -35,8 +35,8 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def running_sum(df: DataFrame, keys: list[str], index: str, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Adds the sum of value over a key's rows up to this one by index, without one task for a large key.
+def running_sum(df: DataFrame, keys: list[str], index: str, value: Column, name: str, chunk: int = CHUNK, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the sum of value over a key's rows up to this one by index, then ties, without one task for a large key.
 
     The index is cut into ranges; sums of ranges are prefix-summed by key, and rows only
     within their range.
@@ -45,7 +45,7 @@ def running_sum(df: DataFrame, keys: list[str], index: str, value: Column, name:
     sums = rows.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(index, *ties).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(sums, [*keys, "_chunk"])
     return joined.withColumn(name, (F.col("_before") + F.sum("_value").over(inside)).cast("long")).drop("_value", "_chunk", "_before")
 

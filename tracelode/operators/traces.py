@@ -3,7 +3,8 @@
 A trace event has provider, session_id, event_index, block (order inside one raw event), event_id,
 kind (message, tool_call, tool_result, metadata), role, text, tool_name, call_id, command,
 exit_code, tool_status, is_command_result, observed_outcome, file_changes and event_sha256;
-operators ask for those that they name only.
+operators ask for those that they name only. Events of one raw event are in the order of
+their blocks; without that column each raw event is one event.
 """
 
 from __future__ import annotations
@@ -21,6 +22,15 @@ EVIDENCE = 128
 TITLE_BYTES = 256
 
 
+#: Facts of one block are numbered below this.
+BLOCK_FACTS = 10_000
+
+
+def placed(events: DataFrame) -> DataFrame:
+    """Events with a block, 0 where the column is missing."""
+    return events if "block" in events.columns else events.withColumn("block", F.lit(0))
+
+
 def paired_calls(events: DataFrame) -> DataFrame:
     """Each tool call with the first result of its call id after it.
 
@@ -28,12 +38,13 @@ def paired_calls(events: DataFrame) -> DataFrame:
     A result before its call pairs with nothing. Calls without a result have null result columns.
     Gives session_id, call_id, call_index, duplicates, result_index, result_outcome.
     """
-    keyed = events.where("call_id is not null")
-    calls = keyed.where("kind = 'tool_call'").groupBy("session_id", "call_id").agg(F.min("event_index").alias("call_index"), (F.count("*") - 1).alias("duplicates"))
-    results = keyed.where("kind = 'tool_result'").select("session_id", "call_id", F.col("event_index").alias("i"), event_outcome().alias("o"))
-    first = results.join(calls, ["session_id", "call_id"]).where("i > call_index").groupBy("session_id", "call_id").agg(F.min(F.struct("i", "o")).alias("r"))
+    keyed = placed(events).where("call_id is not null")
+    at = F.struct("event_index", "block")
+    calls = keyed.where("kind = 'tool_call'").groupBy("session_id", "call_id").agg(F.min(at).alias("call"), (F.count("*") - 1).alias("duplicates"))
+    results = keyed.where("kind = 'tool_result'").select("session_id", "call_id", at.alias("at"), event_outcome().alias("o"))
+    first = results.join(calls, ["session_id", "call_id"]).where("at > call").groupBy("session_id", "call_id").agg(F.min(F.struct("at", "o")).alias("r"))
     out = calls.join(first, ["session_id", "call_id"], "left")
-    return out.select("session_id", "call_id", "call_index", "duplicates", F.col("r.i").alias("result_index"), F.col("r.o").alias("result_outcome"))
+    return out.select("session_id", "call_id", F.col("call.event_index").alias("call_index"), "duplicates", F.col("r.at.event_index").alias("result_index"), F.col("r.o").alias("result_outcome"))
 
 
 def event_outcome() -> Column:
@@ -57,7 +68,7 @@ def is_signal() -> Column:
 
 def with_episode(events: DataFrame) -> DataFrame:
     """Adds episode: the number of user messages in the session up to the event; 0 stands before the first."""
-    return running_sum(events, ["session_id"], "event_index", F.when(is_user(), 1).otherwise(0), "episode")
+    return running_sum(placed(events), ["session_id"], "event_index", F.when(is_user(), 1).otherwise(0), "episode", ties=("block",))
 
 
 def episodes(events: DataFrame, final_boundary: str | None = "manual_finalize") -> DataFrame:
@@ -117,18 +128,19 @@ def facts(events: DataFrame, repo_key: Column | None = None) -> DataFrame:
     """Immutable source facts of each event inside an episode, in order, with ids of their content and place.
 
     A result's facts refer to the latest call before it with its call id in the same episode; a
-    result that has none leaves a tool message if it has text. One event gives at most five facts.
+    result that has none leaves a tool message if it has text. fact_ordinal numbers the facts of
+    a raw event in the order of its blocks.
     """
     marked = with_episode(events).where("episode > 0")
-    near = Window.partitionBy("session_id", "episode", "call_id").orderBy("event_index").rowsBetween(Window.unboundedPreceding, -1)
+    near = Window.partitionBy("session_id", "episode", "call_id").orderBy("event_index", "block").rowsBetween(Window.unboundedPreceding, -1)
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     called = (F.col("kind") == "tool_call") & has("tool_name") & has("call_id")
     keyed = marked.withColumn("_call", F.when(called, F.col("event_index"))).withColumn("_run", F.when(called & has("command"), F.col("event_index")))
     with_id, without = keyed.where("call_id is not null"), keyed.where("call_id is null")
     linked = with_id.withColumn("_call", F.last("_call", True).over(near)).withColumn("_run", F.last("_run", True).over(near))
     rows = linked.unionByName(without.withColumn("_call", F.lit(None).cast("long")).withColumn("_run", F.lit(None).cast("long")))
-    return rows.select("session_id", "episode", "event_index", F.posexplode(fact_specifications()).alias("fact_ordinal", "f")).select(
-        "session_id", "episode", "event_index", "fact_ordinal", "f.*",
+    return rows.select("session_id", "episode", "event_index", "block", F.posexplode(fact_specifications()).alias("_pos", "f")).select(
+        "session_id", "episode", "event_index", (F.col("block") * BLOCK_FACTS + F.col("_pos")).alias("fact_ordinal"), "f.*",
     ).withColumn("fact_id", C.typed_id(
         "fact", repo_key=F.lit(None).cast("string") if repo_key is None else repo_key, session_id=F.col("session_id").cast("string"),
         event_index=F.col("event_index"), fact_ordinal=F.col("fact_ordinal"), fact_kind=F.col("fact_kind"), role=F.col("role"), value=F.col("value"),

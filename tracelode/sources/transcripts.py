@@ -33,7 +33,7 @@ def raw_lines(sessions: DataFrame, most_bytes: int = SESSION_BYTES, most_events:
     """One row for each non-blank line: source_path, event_index, line, event_sha256, record (variant), violation.
 
     Bytes are decoded as Latin-1 to split and to hash exactly what stands there, then each line
-    as UTF-8. A trailing carriage return is no part of a line. A file beyond the limits gives one
+    as UTF-8, where bytes that aren't become the replacement character. A trailing carriage return is no part of a line. A file beyond the limits gives one
     row with a violation; so does each line that is no JSON object.
     """
     latin = F.decode("content", "ISO-8859-1")
@@ -43,7 +43,7 @@ def raw_lines(sessions: DataFrame, most_bytes: int = SESSION_BYTES, most_events:
     rows = rows.select("source_path", "large", (F.size("lines") > most_events).alias("many"), F.posexplode("lines").alias("event_index", "latin"))
     raw = F.encode("latin", "ISO-8859-1")
     rows = rows.where("not many or event_index = 0").select(
-        "source_path", F.col("event_index").cast("long").alias("event_index"), F.decode(raw, "UTF-8").alias("line"), F.sha2(raw, 256).alias("event_sha256"), "large", "many")
+        "source_path", F.col("event_index").cast("long").alias("event_index"), F.make_valid_utf8(raw.cast("string")).alias("line"), F.sha2(raw, 256).alias("event_sha256"), "large", "many")
     record = F.try_parse_json("line")
     rows = rows.withColumn("record", record)
     broken = F.col("record").isNull() | ~F.coalesce(F.schema_of_variant("record"), F.lit("")).startswith("OBJECT")
