@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelode.functions import columns as C
-from tracelode.functions.tables import small, top_per_group
+from tracelode.functions.tables import small, stored, top_per_group
 
 RRF_K = 60
 K1, B = 1.2, 0.75
@@ -57,6 +57,8 @@ def lexical(documents: DataFrame, queries: DataFrame, k: int, partition: list[st
     # A word array is split once in each row; words that no query has are dropped before any shuffle.
     tokens = documents.select("document_id", *part, C.words(F.col("content")).alias("w")).select("document_id", *part, F.size("w").alias("length"), F.explode("w").alias("term"))
     tf = tokens.join(vocabulary, "term", "left_semi").groupBy("document_id", *part, "length", "term").agg(F.count("*").alias("tf"))
+    # Read for the document frequencies and again for the scores: texts are split once.
+    tf = stored(tf, "postings")
     totals = documents.agg(F.count("*").alias("n"), F.avg(F.size(C.words(F.col("content")))).alias("mean"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
