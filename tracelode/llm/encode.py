@@ -170,6 +170,14 @@ def encoder(path: str, words: bool) -> Encoder:
     return _encoders[path, words]
 
 
+def release() -> None:
+    """Gives up what this worker's encoders keep: for steps that need the memory and no ids."""
+    for e in _encoders.values():
+        for known in (e.inner, e.first):
+            known.clear()
+            known.old = {}
+
+
 def tokenizer_path(name: str, path: str | None = None) -> str:
     """Where a vocabulary file is: as given, or that of the installed public tokenizers."""
     if path:

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm import texthash
+from tracelode.llm import encode, texthash
 from tracelode.llm.common import stored
 
 WORDS = 5
@@ -37,6 +37,7 @@ def signatures(docs: DataFrame, keys: int = KEYS, rows: int = ROWS, words: int =
     join = texthash.constants(rows, 5)
 
     def sign(batches):
+        encode.release()
         for batch in batches:
             data, at = texthash.raw(batch.column(2))
             sets = [shingle_set(data[at[i] : at[i + 1]], words) for i in range(batch.num_rows)]
@@ -68,10 +69,19 @@ def signatures(docs: DataFrame, keys: int = KEYS, rows: int = ROWS, words: int =
 
 
 def tables(classes: DataFrame, keys: int) -> DataFrame:
-    """One row (key, rep) for each pair of a key of the first and one of the second collection."""
-    first, second = F.slice("keys", 1, keys), F.slice("keys", keys + 1, keys)
-    every = F.flatten(F.transform(first, lambda a, i: F.transform(second, lambda b, j: F.xxhash64(i, j, a, b))))
-    return classes.select("rep", "n", F.explode(every).alias("key"))
+    """One row (key, rep, n) for each pair of a key of the first and one of the second collection that may collide.
+
+    A pair collides only where both of its keys do, so keys that one class alone has are left
+    out first: 2 * ``keys`` rows of a class are shuffled, and few of ``keys`` squared are made.
+    """
+    single = classes.select("rep", "n", F.posexplode("keys").alias("place", "part"))
+    shared = single.groupBy("place", "part").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("place", "part")
+    parts = single.join(shared, ["place", "part"], "left_semi").groupBy("rep", "n").agg(F.collect_list(F.struct("place", "part")).alias("parts"))
+    # A class has 2 * keys parts at most.
+    parts = stored(parts, "parts")
+    first, second = F.filter("parts", lambda p: p["place"] < keys), F.filter("parts", lambda p: p["place"] >= keys)
+    every = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["place"], b["place"], a["part"], b["part"]))))
+    return parts.select("rep", "n", F.explode(every).alias("key"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -129,6 +139,36 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(found.withColumn("same", F.xxhash64("text")).dropDuplicates(["uid", "same"]).drop("same"), "texts")
 
 
+def private_counts(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(uid, own): how many of an id's shingles no other id has; 0 for an id that has several texts."""
+    def each(batches):
+        for batch in batches:
+            data, at = texthash.raw(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            step = 0
+            while step < batch.num_rows:
+                end = step + max(1, int(np.searchsorted(at[step:], at[step] + (1 << 22))) - 1)
+                sets = [shingle_set(data[at[i] : at[i + 1]], words) for i in range(step, end)]
+                hashes = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[step:end], [len(x) for x in sets])), pa.array(hashes)], names=["uid", "shingle"])
+                step = end
+
+    seen = texts.select("uid", "text").mapInArrow(each, "uid long, shingle long")
+    alone = seen.groupBy("shingle").agg(F.count("*").alias("times"), F.min("uid").alias("uid")).where("times = 1")
+    own = alone.groupBy("uid").agg(F.count("*").alias("own"))
+    several = texts.groupBy("uid").agg((F.count("*") > 1).alias("several"))
+    return several.join(own, "uid", "left").select("uid", F.when(~F.col("several"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sets of sizes n with own elements that no other set has can reach the threshold.
+
+    The intersection holds no own element of either, which bounds it from above, and with it the similarity.
+    """
+    most = F.least(F.col(f"{a}_n") - F.col(f"{a}_own"), F.col(f"{b}_n") - F.col(f"{b}_own"))
+    return 100 * most >= percent * (F.col(f"{a}_n") + F.col(f"{b}_n") - most)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
     """For each document: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
@@ -140,11 +180,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, r
     where the group has no id; it is kept only then. An empty table gives no rows.
 
     1. Equal sets form classes. One row for each class goes on.
-    2. In each table's bucket every class is compared with the bucket's smallest; confirmed
-       links give components. No bucket emits its pairs.
-    3. Buckets that still hold several components emit the pairs between different ones whose
-       sizes permit a link, and the components are taken again. So each candidate pair of each
-       table is either compared or known to be in one component.
+    2. Each class is compared with one leader: of the leaders of its tables' buckets that with
+       fewest shingles of its own. Copies of one text that were changed each for itself are
+       nearest to the least changed one, so what links at all mostly links here.
+    3. Each class is compared with its other buckets' leaders, where the components differ.
+    4. In buckets that still hold several components, members that aren't in the leader's are
+       compared with those of other components. So each pair of each table is compared, or
+       known to be in one component, or known not to link as their own shingles are too many.
     A pair at the threshold shares no table with a chance of 2 * (1 - 0.85**rows)**keys, 0.015 %.
     """
     # A null id's place is taken by a number made of the text, above all ids.
@@ -154,32 +196,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, r
     classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = stored(classes, "classes")
     banded = tables(classes, keys)
-    leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
-    buckets = stored(banded.join(leaders, "key").where("rep != leader"), "buckets")
-    pairs = stored(buckets.select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
+    buckets = stored(banded.join(shared, "key", "left_semi"), "buckets")
     sources = known.select("uid", "text")
-    texts = _texts_of(sources, pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct())
-    checked = stored(confirmed(pairs, texts, percent, words), "checked")
-    links = checked.where("linked").select("a", "b")
-    first = components(links)
-    # Members of buckets, the leader too, with their component so far.
-    label = first.select(F.col("node").alias("rep"), "component")
-    failed = checked.where("not linked").select(F.col("a").alias("rep"), F.col("b").alias("leader"))
-    open_keys = buckets.join(failed, ["rep", "leader"], "left_semi").select("key").distinct()
-    members = buckets.join(open_keys, "key", "left_semi").select("key", "rep", "n")
-    heads = leaders_of(buckets, open_keys).join(classes.select(F.col("rep").alias("leader"), "n"), "leader").select("key", F.col("leader").alias("rep"), "n")
-    members = members.union(heads).join(label, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    members = stored(members.join(mixed, "key", "left_semi"), "open")
-    other = members.select("key", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-    smaller, larger = F.least("n", "b_n"), F.greatest("n", "b_n")
-    late = members.withColumnRenamed("rep", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("b_component")) & (100 * smaller >= percent * larger))
-    late = late.select("a", "b").distinct().join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = stored(late, "late")
+    texts = _texts_of(sources, buckets.select(F.col("rep").alias("uid")).distinct())
+    own = stored(private_counts(texts, words), "own")
+    buckets = buckets.join(own.withColumnRenamed("uid", "rep"), "rep")
+    leaders = buckets.groupBy("key").agg(F.min(F.struct("own", F.col("rep").alias("id"), "n")).alias("lead"))
+    buckets = stored(buckets.join(leaders, "key"), "led")
+    first = buckets.groupBy("rep", "n", "own").agg(F.min("lead").alias("lead"))
+    checked = _compare(_to_leader(first, percent), texts, percent, words)
+    component = components(checked.where("linked"))
+    second = _between(_to_leader(buckets, percent), component)
+    more = _compare(second.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, percent, words)
+    checked = checked.union(more)
+    component = components(checked.where("linked"))
+    late = stored(_late(buckets, component, percent).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "late")
     if not late.isEmpty():
-        texts = _texts_of(sources, late.select(F.col("a").alias("uid")).union(late.select(F.col("b").alias("uid"))).distinct())
-        more = confirmed(late, texts, percent, words).where("linked").select("a", "b")
-        first = components(links.union(more))
+        checked = checked.union(_compare(late, texts, percent, words))
+        component = components(checked.where("linked"))
+    first = component
     reps = classes.select("d1", "d2", "rep").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reps = reps.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "rep").alias("component"))
     rows = signed.join(reps, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") > 0), "left")
@@ -188,6 +224,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, r
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def leaders_of(buckets: DataFrame, keys: DataFrame) -> DataFrame:
-    """The smallest member of each of the keys' buckets, which buckets doesn't hold."""
-    return buckets.join(keys, "key", "left_semi").select("key", "leader").distinct()
+def _compare(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    return stored(confirmed(stored(pairs.select("a", "b").distinct(), "pairs"), texts, percent, words), "checked")
+
+
+def _to_leader(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a row's rep and its leader that may link."""
+    pairs = rows.select(
+        F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("own").alias("a_own"), F.col("lead.id").alias("b"), F.col("lead.n").alias("b_n"), F.col("lead.own").alias("b_own"))
+    return pairs.where((F.col("a") != F.col("b")) & may_link("a", "b", percent)).select("a", "b").distinct()
+
+
+def _between(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """Those of the pairs whose sides are in different components."""
+    of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+    rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return rows.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+
+
+def _late(buckets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a smaller, of bucket members in different components that may link, one of them outside the leader's component."""
+    of = lambda name, column: component.select(F.col("node").alias(name), F.col("component").alias(column))
+    rows = buckets.select("key", "rep", "n", "own", F.col("lead.id").alias("lead")).join(of("rep", "in"), "rep", "left").join(of("lead", "lead_in"), "lead", "left")
+    rows = stored(rows.select("key", "rep", "n", "own", F.coalesce("in", "rep").alias("component"), F.coalesce("lead_in", "lead").alias("lead")), "members")
+    outside = rows.where("component <> lead")
+    # The size that a partner may have at most, given a's own shingles, is checked against the bucket's smallest first.
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    free = F.col("n") - F.col("own")
+    outside = outside.join(least, "key").where(100 * free >= percent * (F.col("n") + F.col("least") - free))
+    a = outside.select("key", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("own").alias("a_own"), F.col("component").alias("a_component"))
+    b = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("own").alias("b_own"), F.col("component").alias("b_component"))
+    pairs = a.join(b, "key").where((F.col("a_component") != F.col("b_component")) & may_link("a", "b", percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
