@@ -90,12 +90,6 @@ def unit(df: DataFrame, counts: str) -> DataFrame:
     return df.withColumn("_norm", norm(F.col(counts))).withColumn(counts, F.transform(counts, lambda e: F.struct(e["bucket"].alias("bucket"), F.try_divide(e["n"], F.col("_norm")).alias("n")))).drop("_norm")
 
 
-def dense(df: DataFrame, counts: str, dimension: int = DIMENSION) -> DataFrame:
-    """The embedding as an array of all buckets."""
-    rows = df.withColumn("_at", F.map_from_entries(counts))
-    return rows.withColumn(counts, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("_at", i), F.lit(0.0)))).drop("_at")
-
-
 def query_blocks(queries: DataFrame, id_: str, vector: str, block: int = QUERY_BLOCK) -> tuple[DataFrame, int]:
     """Queries packed as rows (block, queries), and the number of blocks."""
     n = max(1, -(-queries.count() // block))
@@ -118,9 +112,18 @@ def vector_top(documents: DataFrame, queries: DataFrame, k: int, score, partitio
     return top_per_group(found, ["query_id", *part], [F.desc("score"), F.col("document_id")], k)
 
 
-def hashed_score(document: Column, query: Column) -> Column:
-    """Cosine of a sparse unit document and a dense unit query; null for a document without terms."""
-    return F.when(F.size(document) > 0, F.aggregate(document, F.lit(0.0), lambda s, e: s + e["n"] * F.element_at(query, e["bucket"] + 1)))
+def hashed_top(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The first k documents of each query by the cosine of their hashing embeddings: query_id, document_id, score, rank.
+
+    documents: document_id, vector; queries: query_id, vector; both at unit length. Only the few
+    buckets that a query has are multiplied, by a join on the bucket; a task sums up its
+    documents' scores before the shuffle. A pair without a common bucket is no candidate.
+    """
+    # Stored, as filters on an array that is taken apart would compute it once more in each of its steps.
+    entries = stored(documents.select("document_id", "vector"), "vectors").select("document_id", F.inline("vector"))
+    asked = small(stored(queries.select("query_id", "vector"), "asked").select("query_id", F.inline("vector").alias("bucket", "m")))
+    scored = entries.join(asked, "bucket").groupBy("query_id", "document_id").agg(F.round(F.sum(F.col("n") * F.col("m")), DIGITS).alias("score"))
+    return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("document_id")], k)
 
 
 def fuse(candidates: DataFrame) -> DataFrame:
@@ -243,8 +246,8 @@ def hybrid(memories: DataFrame, queries: DataFrame, limit: int, threshold: float
     documents = active.select(F.col("memory_id").alias("document_id"), F.concat_ws("\n", "title", "content").alias("content"))
     words = lexical(documents, queries, k).withColumn("source", F.lit("lexical"))
     vectors = unit(hashed(documents, F.col("content"), "vector", dimension), "vector").select("document_id", "vector")
-    asked = dense(unit(hashed(queries, F.col("query"), "vector", dimension), "vector"), "vector", dimension).select("query_id", "vector")
-    near = vector_top(vectors, asked, k, hashed_score).withColumn("source", F.lit("vector"))
+    asked = unit(hashed(queries, F.col("query"), "vector", dimension), "vector").select("query_id", "vector")
+    near = hashed_top(vectors, asked, k).withColumn("source", F.lit("vector"))
     both = words.unionByName(near).withColumnRenamed("document_id", "memory_id")
     fused = fuse(both)
     rows = fused.join(active.select("memory_id", "memory_type", "created_at_ms"), "memory_id").withColumn("is_pinned", F.lit(False))
