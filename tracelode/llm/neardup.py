@@ -252,7 +252,10 @@ def _late(buckets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
     free = F.col("n") - F.col("own")
     outside = outside.join(least, "key").where(100 * free >= percent * (F.col("n") + F.col("least") - free))
-    a = outside.select("key", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("own").alias("a_own"), F.col("component").alias("a_component"))
-    b = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("own").alias("b_own"), F.col("component").alias("b_component"))
-    pairs = a.join(b, "key").where((F.col("a_component") != F.col("b_component")) & may_link("a", "b", percent))
+    # A pair that shares several tables is made in the first of them alone; a class has keys squared tables at most.
+    every = rows.groupBy("rep").agg(F.collect_set("key").alias("tables"))
+    a = outside.join(every, "rep").select("key", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("own").alias("a_own"), F.col("component").alias("a_component"), F.col("tables").alias("a_tables"))
+    b = rows.join(every, "rep").select("key", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("own").alias("b_own"), F.col("component").alias("b_component"), F.col("tables").alias("b_tables"))
+    once = F.array_min(F.array_intersect("a_tables", "b_tables")) == F.col("key")
+    pairs = a.join(b, "key").where((F.col("a_component") != F.col("b_component")) & may_link("a", "b", percent) & once)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
