@@ -1,7 +1,10 @@
+import random
+
 import corpus_pipeline
 from tracelode.llm import gam, neardup
 
 from .helpers import edge_documents, empty_documents
+from .test_neardup import shingles
 
 
 def test_stages_in_order():
@@ -53,3 +56,26 @@ def test_edges(spark, sf):
             docs = out
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty_documents(spark), sf).collect() == [], name
+
+
+def test_near_stage_against_brute_force_at_80(spark, sf):
+    """Pairs of texts from 0.70 to 1; a good part lies from 0.80 to below 0.85."""
+    r = random.Random(8)
+    rows, n, between = [], 0, 0
+    for _ in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(104)]
+        other = list(base)
+        # Words at the text's ends are in few shingles, so similarities come close to each other.
+        k = r.randrange(0, 20)
+        other[:k] = [f"x{r.randrange(10**6)}" for _ in range(k)]
+        rows += [(n, " ".join(base)), (n + 1, " ".join(other))]
+        n += 2
+    keep = set()
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = shingles(a), shingles(b)
+        near = 100 * len(x & y) >= 80 * len(x | y)
+        between += near and 100 * len(x & y) < 85 * len(x | y)
+        keep |= {i} if near else {i, j}
+    assert between > 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in corpus_pipeline.keep_one_of_each(spark, docs, sf, percent=80, keys=13).collect()} == keep
