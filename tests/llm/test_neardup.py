@@ -89,3 +89,30 @@ def test_chain_of_links_and_hot_group(spark):
 
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_chains_in_no_order(spark):
+    """Paths of some hundred nodes with shuffled ids, beside a star and a ring."""
+    r = random.Random(11)
+    ids = r.sample(range(10_000), 1_000)
+    paths = [ids[:400], ids[400:700], [*ids[700:800], ids[700]]]
+    links = [(x, y) for path in paths for x, y in zip(path, path[1:])] + [(ids[800], x) for x in ids[801:]] + [(5_000_000, 5_000_000)]
+    r.shuffle(links)
+    expected = {x: min(group) for group in (*paths, ids[800:]) for x in group}
+    found = neardup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len(ids) and {x.node: x.component for x in found} == expected
+
+
+def test_shuffled_chain_of_texts(spark):
+    """Versions that drift by a word each, their ids in no order, are one component."""
+    r = random.Random(12)
+    words = [f"t{i}" for i in range(300)]
+    rows = []
+    for i in r.sample(range(300), 300):
+        rows.append((i, " ".join(words)))
+        for k in range(2):
+            words[r.randrange(300)] = f"c{i}_{k}"
+    expected = brute(rows)
+    assert len({c for _, c in expected.values()}) == 1
+    found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == expected

@@ -110,26 +110,29 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words:
     return rows.mapInArrow(compare, "a long, b long, linked boolean")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of the links: the smallest node that it reaches.
 
-    Each round takes the least label among neighbours, then the label of that label, until none changes;
-    labels are stored every round, so the plan stays short.
+    Each round a node takes the least label among neighbours, the node that was its label (its
+    root) takes it too, and then each takes the label of its label, until none changes. As roots
+    are hooked, rounds grow with about the logarithm of the longest chain. Labels only get
+    smaller, so this ends; they are stored every round, so the plan stays short.
     """
     edges = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
     edges = stored(edges.union(edges.select("y", "x")).where("x != y").distinct(), "edges")
     labels = stored(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        moved = stored(moved.join(jump, "next", "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
-        labels = moved.select("node", F.col("next").alias("label"))
-        if moved.where("label != next").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels.select("node", F.col("label").alias("component"))
+        # Each node has a neighbour, and each label is a node; a root's offers are combined before the shuffle.
+        least = F.least("label", "near").alias("next")
+        offers = F.array(F.struct("node", "label", least), F.struct(F.col("label").alias("node"), F.lit(None).cast("long").alias("label"), least))
+        offered = labels.join(near, "node").select(F.inline(offers))
+        hooked = stored(offered.groupBy("node").agg(F.max("label").alias("label"), F.min("next").alias("next")), "labels")
+        # Where no label changed, neighbours have equal ones.
+        if hooked.where("label != next").isEmpty():
+            return hooked.select("node", F.col("next").alias("component"))
+        jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        labels = hooked.join(jump, "next").select("node", F.least("next", "far").alias("label"))
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
