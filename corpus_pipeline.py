@@ -17,27 +17,47 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(gam.score_column(model)(F.col("text")) >= gam.THRESHOLD)
 
 
+#: Numbers made for rows are from here to neardup.UNNAMED; ids are expected below.
+MADE = 1 << 61
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = neardup.PERCENT, keys: int = neardup.KEYS) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id. Rows without id stay; repeats of a row don't.
+    """One document of each group of near duplicates: that of the smallest id. Rows without id stay only where no row of their group has one and none was kept before; repeats of a row don't.
 
-    With percent = 80, keys = 13 miss a pair at the threshold as rarely as the defaults do at 85: 2 * (1 - 0.8**3)**13, 0.018 %.
+    Decisions are joined on a number of each row: its id, or one made of all its columns where
+    it has no id or where its id has several texts and this isn't the first by hash. So those
+    texts are documents of their own, after all ids. With percent = 80, keys = 13 miss a pair
+    at the threshold as rarely as the defaults do at 85: 2 * (1 - 0.8**3)**13, 0.018 %.
     """
-    groups = neardup.near_duplicates(docs, percent=percent, keys=keys)
-    kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    number, mark, digest, first = (fresh(docs, x) for x in ("number", "mark", "digest", "first"))
+    rows = docs.withColumn(mark, F.xxhash64(*docs.columns)).withColumn(digest, F.xxhash64("text"))
+    texts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias(first), F.max(digest).alias("last")).where(F.col(first) != F.col("last"))
+    several = texts.select(F.col("doc_id").alias(number), first)
+    made = F.col(mark).bitwiseAND(F.lit(MADE - 1)).bitwiseOR(F.lit(MADE))
+    own = F.when(F.col("doc_id").isNull() | F.coalesce(F.col(digest) != F.col(first), F.lit(False)), made).otherwise(F.col("doc_id").cast("long"))
+    rows = rows.join(several, F.col("doc_id") == F.col(number), "left").withColumn(number, own)
+    groups = neardup.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), percent=percent, keys=keys)
+    kept = stored(groups.where("kept").select(F.col("doc_id").alias(number)).distinct(), "kept")
+    # Rows of one number have one text; of those that differ elsewhere the one of the least hash stays, in each run the same.
+    one = rows.join(kept, number, "left_semi").groupBy(number).agg(F.min_by(F.struct(*docs.columns), mark).alias(first))
+    return one.select(f"{first}.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents, a row for each time that it takes one.
 
     Whole documents only: a source's last one is in if more than half of it fits the budget.
+    Rows are told apart by a hash of all their columns; equal ones are taken as often as the mix
+    takes all of them. Rows without id are drawn by that hash, others by their id.
     """
-    key, copies = fresh(docs, "key"), fresh(docs, "copies")
-    plan = stored(mixing.mix(docs), "mix")
-    plan = plan.select(F.col("doc_id").alias(key), (F.col("epochs") + F.col("drawn").cast("int")).cast("int").alias(copies)).where(F.col(copies) > 0)
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col(key)))
-    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    mark, own, copies = (fresh(docs, x) for x in ("mark", "own", "copies"))
+    rows = docs.withColumn(mark, F.xxhash64(*docs.columns))
+    key = F.when(F.col("doc_id").isNull(), mixing.uniform(mark)).otherwise(mixing.uniform("doc_id"))
+    known = rows.select(F.col(mark).alias("doc_id"), "text", "source", key.alias("key"))
+    plan = stored(mixing.mix(known, key=F.col("key")), "mix")
+    plan = plan.groupBy(F.col("doc_id").alias(own)).agg(F.sum(F.col("epochs") + F.col("drawn").cast("int")).cast("int").alias(copies)).where(F.col(copies) > 0)
+    taken = rows.dropDuplicates([mark]).join(plan, F.col(mark) == F.col(own))
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tracelode.llm import gam, neardup
+from tracelode.llm import gam, mixing, neardup
 
 from .helpers import edge_documents, empty_documents
 from .test_neardup import shingles
@@ -79,3 +79,30 @@ def test_near_stage_against_brute_force_at_80(spark, sf):
     assert between > 3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id for x in corpus_pipeline.keep_one_of_each(spark, docs, sf, percent=80, keys=13).collect()} == keep
+
+
+def test_rows_with_null_or_repeated_ids(spark, sf):
+    """No row is multiplied or lost for lack of an id of its own."""
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    same, other = text(), text()
+    rows = [(None, same, "a")] * 5 + [(None, same, "b"), (3, other, "b"), (None, other, "b"), (9, text(), "a"), (9, text(), "a"), (9, text(), "b")]
+    rows += [(None, text(), "a") for _ in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    one = corpus_pipeline.keep_one_of_each(spark, docs, sf).collect()
+    assert sorted(x.text for x in one) == sorted({x[1] for x in rows})
+    assert [x.doc_id for x in one if x.text == other] == [3] and sum(x.doc_id == 9 for x in one) == 3
+
+    # Each text has 30 words; the targets are exact, and a last document is in by more than half or out.
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf).collect()
+    n, times = {}, {}
+    for x in rows:
+        n[x[2]], times[x] = n.get(x[2], 0) + 1, times.get(x, 0) + 1
+    targets = {x.source_size: x.target for x in mixing.mix(docs).collect()}
+    taken = {}
+    for x in mixed:
+        taken[tuple(x)] = taken.get(tuple(x), 0) + 1
+    assert all(c <= 2 * times[x] for x, c in taken.items())
+    assert len(mixed) <= 2 * len(rows)
+    for source in n:
+        assert abs(30 * sum(c for x, c in taken.items() if x[2] == source) - targets[30 * n[source]]) <= 30
