@@ -230,3 +230,16 @@ def test_pages_table_has_no_boilerplate(spark, sf):
 @pytest.mark.parametrize("html, text", [("<p>a</p>b<p>c", "a b c"), ("a<script>x</script>b", "ab"), ("<!-- <p>no</p> -->yes", "yes"), ("<p>a&nbsp;b</p>", "a b"), ("<p hidden>no</p><p>yes</p>", "yes")])
 def test_main_text(html, text):
     assert html_text.main_text(html, None) == text
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<div class="content has-sidebar"><p>Text here</p><div class="sidebar">no</div></div>', "Text here"),
+    ('<div id="page-with-comments"><article><p>Text</p></article><div class="comments">' + "much said " * 20 + "</div></div>", "Text"),
+    ('<article><h2 class="section-header">Head</h2><p>Price <span class="share-price">12</span> now</p><section class="discussion"><p>We saw it</p></section><div class="share"><a href="/">Share</a></div></article>', "Head Price 12 now We saw it"),
+    ('<p>a<svg class="icon"/> b</p><p>c</p>', "a b c"),
+    ('<p>a<svg class="icon"> b</p><p>c</p>', "a b c"),
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <math/> then</p>", "if x=1 and then"),
+    ('<p>a</p><svg><text>no</text></svg><script>var b', "a"),
+])
+def test_noise_by_names_and_raw_elements(html, text):
+    assert html_text.main_text(html, None) == text

@@ -26,8 +26,12 @@ SUPPORT = 0.5
 SLOT_SHARE = 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea template noscript svg math iframe object canvas select title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea template noscript svg annotation annotation-xml iframe object canvas select title".split())
+#: Their text runs to the page's end where the closing tag lacks; of other raw elements the opening tag alone is passed over then.
+ENDLESS = frozenset("script style textarea noscript iframe title".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("nav header footer aside form button head menu dialog".split()) | RAW
 #: Parts of class and id names of what is no article.
 NOISE = frozenset(
@@ -35,6 +39,8 @@ NOISE = frozenset(
     "header masthead footer sidebar aside cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended widget toolbar pagination pager".split()
 )
+#: Those that also name parts of articles: inside an article or main element they mark noise only where half of the text is links.
+WEAK = frozenset("header share related discussion notice alert overlay reply replies respond promo promotion menu ad ads".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu menubar alert".split())
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|$)", re.I)
@@ -47,32 +53,82 @@ def attributes(rest: str) -> dict[str, str]:
 
 
 def noisy(name: str, attrs: dict[str, str]) -> bool:
+    """Whether the element is no part of an article, whatever is in it."""
     if name in DROPPED:
         return True
-    if name in ("body", "html", "article", "main"):
+    if not attrs or name in ("body", "html", "article", "main"):
         return False
-    if not attrs:
-        return False
-    words = set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    return bool(words & NOISE) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-
-
-def events(page: str):
+    return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def noise_words(name: str, attrs: dict[str, str]) -> set[str]:
+    """The words of the element's class and id that may mark noise; headings have none."""
+    if not attrs or name in HEADINGS or name in ("body", "html", "article", "main"):
+        return set()
+    return set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) & NOISE
+
+
+def wrappers(page: str) -> frozenset[int]:
+    """Where elements open that names call noise though they hold an article or main element, most of the
+    text of a page without one, or are parts of an article (see WEAK)."""
+    enclosing: dict[int, int] = {}
+    weak: set[int] = set()
+    size, links, total = Counter(), Counter(), 0
+    holds: set[int] = set()
+    semantic = False
+    for kind, _, name, noise, text, (own, words, inside, link) in walk(page, None):
+        if kind in ("open", "named"):
+            if words:
+                enclosing[own[-1]] = own[0]
+                if inside and words <= WEAK:
+                    weak.add(own[-1])
+            if name in ("article", "main") and not noise:
+                semantic = True
+                holds.add(own[0])
+        elif kind == "text" and not noise:
+            n = len(text.strip())
+            total += n
+            size[own[0]] += n
+            links[own[0]] += n if link else 0
+    for at in reversed(list(enclosing)):
+        up = enclosing[at]
+        size[up] += size[at]
+        links[up] += links[at]
+        if at in holds:
+            holds.add(up)
+    return frozenset(at for at in enclosing if at in holds or (not semantic and 2 * size[at] > total) or (at in weak and 2 * links[at] < size[at]))
+
+
+def events(page: str, names: bool = True):
     """(kind, path, name, noise, text): 'open', 'close' or 'text' in page order; text runs are undecoded.
 
     path names the open elements, each with its class and id; noise says whether any of them,
     or the element itself, is no part of an article. Raw elements are passed over whole.
+    Without names, class and id names mark no noise.
     """
-    stack: list[tuple[str, str, bool]] = []
+    spared = wrappers(page) if names else None
+    for event in walk(page, spared):
+        if event[0] != "named":
+            yield event[:5]
+
+
+#: Of an open element: its path, noise, where the nearest element with noise words opens, and whether it is inside an article and inside a link.
+ROOT = ("", False, -1, False, False)
+NOTHING = ((-1,), (), False, False)
+
+
+def walk(page: str, spared: frozenset[int] | None):
+    """The events, each with what wrappers needs; noise words count but for the spared places, or not at all without any."""
+    stack: list[tuple] = []
     at, n = 0, len(page)
-    state = ("", False)
+    state = ROOT
     while at < n:
         m = PIECE.search(page, at)
         if m is None:
-            yield "text", state[0], "", state[1], page[at:]
+            yield "text", state[0], "", state[1], page[at:], ((state[2],), (), state[3], state[4])
             break
         if m.start() > at:
-            yield "text", state[0], "", state[1], page[at : m.start()]
+            yield "text", state[0], "", state[1], page[at : m.start()], ((state[2],), (), state[3], state[4])
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
@@ -80,39 +136,42 @@ def events(page: str):
         if m["close"] or m["close2"]:
             if any(x[0] == name for x in stack):
                 while True:
-                    top, path, noise = stack.pop()
-                    yield "close", path, top, noise, ""
+                    top, path, noise, *_ = stack.pop()
+                    yield "close", path, top, noise, "", NOTHING
                     if top == name:
                         break
-                state = stack[-1][1:] if stack else ("", False)
+                state = stack[-1][1:] if stack else ROOT
             elif name == "p":
-                yield "close", state[0], "p", state[1], ""
+                yield "close", state[0], "p", state[1], "", NOTHING
             continue
         rest = m["rest"] or m["rest2"] or ""
+        if rest.endswith("/") and (name == "svg" or name in MATH):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = end.end() if end else n if name in ENDLESS else at
             continue
         if name in VOID:
-            yield "open", state[0], name, state[1], ""
+            yield "open", state[0], name, state[1], "", NOTHING
             continue
         attrs = attributes(rest)
         if name in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1][0] == name:
-            top, path, noise = stack.pop()
-            yield "close", path, top, noise, ""
-            state = stack[-1][1:] if stack else ("", False)
+            top, path, noise, *_ = stack.pop()
+            yield "close", path, top, noise, "", NOTHING
+            state = stack[-1][1:] if stack else ROOT
         if name in INLINE:
             key = state[0]
         else:
             key = f"{state[0]}/{name}" + "".join(f".{x}" for x in sorted(attrs.get("class", "").lower().split())) + (f"#{attrs['id']}" if attrs.get("id") and not re.search(r"\d", attrs["id"]) else "")
-        noise = state[1] or noisy(name, attrs)
-        if name not in INLINE:
-            yield "open", key, name, noise, ""
-        state = (key, noise)
-        stack.append((name, key, noise))
+        words = noise_words(name, attrs)
+        noise = state[1] or noisy(name, attrs) or (spared is not None and bool(words) and m.start() not in spared)
+        if words or name not in INLINE:
+            yield "open" if name not in INLINE else "named", key, name, noise, "", ((state[2], m.start()), words, state[3], state[4])
+        state = (key, noise, m.start() if words else state[2], state[3] or name in ("article", "main"), state[4] or name == "a")
+        stack.append((name, *state))
     while stack:
-        name, path, noise = stack.pop()
-        yield "close", path, name, noise, ""
+        name, path, noise, *_ = stack.pop()
+        yield "close", path, name, noise, "", NOTHING
 
 
 def page_tokens(page: str) -> tuple[Counter, dict[str, int], Counter, dict[str, str]]:
@@ -185,7 +244,7 @@ def templates(pages: DataFrame, support: float = SUPPORT, slot_share: float = SL
     return valid.groupBy("host").agg(best.alias("slot"))
 
 
-def blocks(page: str, slot: str | None) -> list[str]:
+def blocks(page: str, slot: str | None, marks: bool = True) -> list[str]:
     """The text blocks inside the slot's element, or inside the page's article, main or densest element without it."""
     out: list[str] = []
     run: list[str] = []
@@ -198,7 +257,7 @@ def blocks(page: str, slot: str | None) -> list[str]:
             out.append(words)
         run.clear()
 
-    for kind, path, name, noise, text in events(page):
+    for kind, path, name, noise, text in events(page, marks):
         if slot is not None and kind == "open" and path == slot and name not in VOID and not noise:
             inside, found = inside + 1, True
             flush()
@@ -223,13 +282,16 @@ def main_text(page: str, slot: str | None) -> str:
     """The article's text: blocks in page order joined by one space.
 
     Where the page lacks the host's slot, or the host has none: the page's article or main
-    element with most text, else all of the page that isn't marked as something else.
+    element with most text, else all of the page that isn't marked as something else, or marked by names alone.
     """
     found = blocks(page, slot) if slot else []
     if not found:
         _, _, chars, names = page_tokens(page)
         own = [path for path, name in names.items() if name in ("article", "main") and chars[path]]
         found = blocks(page, max(own, key=lambda p: (chars[p], p)) if own else None)
+    if not found:
+        # Names alone never empty a page.
+        found = blocks(page, None, marks=False)
     return " ".join(found)
 
 
