@@ -1,12 +1,15 @@
 """Packing documents into training sequences by vector bin packing.
 
-A piece takes up three resources of a sequence: tokens, one segment, and loss-bearing tokens.
-A sequence is filled with the piece whose demand has the greatest dot product with what the
-sequence has left (each resource weighed by its mean demand), until none fits.
+A document is an example: its prompt, up to the first blank line or role mark (or its first
+sentence), and the response after it, whose tokens bear loss. A piece takes up three resources
+of a sequence: tokens, one segment, and loss-bearing tokens. A sequence is filled with the piece
+whose demand has the greatest dot product with what the sequence has left (each resource weighed
+by its mean demand), until none fits.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,8 +22,9 @@ from tracelode.llm.encode import encoder, tokenizer_path
 from tracelode.llm.texthash import raw
 
 TOKENS = 2048
-SEGMENTS = 64
-LOSS = 2047
+SEGMENTS = 1024
+#: A sequence full of responses alone would exceed this; it leaves less room than is worth a cut.
+LOSS = 2016
 END = 1
 #: Room of at least so many tokens that no piece fits into is filled by cutting one.
 CUT = 32
@@ -29,62 +33,77 @@ GROUP_TOKENS = 1 << 21
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def demand(length: np.ndarray) -> np.ndarray:
-    """Tokens, segments and loss-bearing tokens of pieces: the first id of a piece has nothing to be predicted from."""
-    return np.stack([length, np.ones_like(length), np.maximum(length - 1, 0)], axis=1).astype(float)
+#: The prompt ends after the first blank line or role mark, else after the first sentence or line.
+_RESPONSE = re.compile(rb"\n[ \t\r]*\n|^[ \t#*]*(?:assistant|response|answer|output)[ \t*]*:(?=\s|\Z)", re.I | re.M)
+_SENTENCE = re.compile(rb"[.!?]\s|\n")
 
 
-def fill(lengths: list[int], limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), cut: int = CUT) -> list[list[tuple[int, int, int]]]:
+def prompt(text: bytes) -> bytes:
+    """The start of a text that bears no loss; it ends at white space, so its ids are the text's first ids."""
+    m = _RESPONSE.search(text) or _SENTENCE.search(text)
+    return text[: m.end()] if m else b""
+
+
+def fill(lengths: list[int], limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), cut: int = CUT, prompts: list[int] | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (item, start, length): every item's tokens, each once, inside the limits.
 
-    Items longer than a sequence are cut into whole sequences and a rest. Items of one length
-    are alike, so only distinct lengths are weighed.
+    prompts: how many first tokens of each item bear no loss; a piece's first token never does.
+    Items beyond a limit are cut into the longest pieces inside it and a rest. Pieces of one
+    length and loss are alike, so only distinct pairs are weighed.
     """
-    most = min(limits[0], limits[2] + 1)
-    out, rests = [], [[] for _ in range(most + 1)]
+    limit = np.array(limits, float)
+    kinds: dict[tuple[int, int], int] = {}
+    pieces: list[list[tuple[int, int, int]]] = []  # of each kind: item, start, tokens without loss
+    needs, have = np.zeros((64, 3)), np.zeros(64, np.int64)
+
+    def add(item: int, start: int, length: int, lead: int) -> None:
+        nonlocal needs, have
+        loss = max(0, length - lead)
+        k = kinds.setdefault((length, loss), len(pieces))
+        if k == len(pieces):
+            pieces.append([])
+            if k == len(have):
+                needs, have = np.concatenate((needs, np.zeros_like(needs))), np.concatenate((have, np.zeros_like(have)))
+            needs[k] = length, 1, loss
+        pieces[k].append((item, start, lead))
+        have[k] += 1
+
     for item, length in enumerate(lengths):
-        start = 0
-        while length - start > most:
-            out.append([(item, start, most)])
-            start += most
-        rests[length - start].append((item, start))
-    kinds = np.array([n for n in range(1, most + 1) if rests[n]], int)
-    have = np.array([len(rests[n]) for n in kinds], float)
-    needs, limit = demand(kinds), np.array(limits, float)
-    if not len(kinds):
-        return out
-    weight = (needs * have[:, None]).sum(0) / have.sum() / limit**2
+        start, lead = 0, max(prompts[item] if prompts else 0, 1)
+        while length - start > (part := min(limits[0], lead + limits[2])):
+            add(item, start, part, lead)
+            start, lead = start + part, max(lead - part, 1)
+        add(item, start, length - start, lead)
     left = int(have.sum())
+    weight = (needs * have[:, None]).sum(0) / max(left, 1) / limit**2
+    out = []
     while left:
         room, placed = limit.copy(), []
         while left:
-            # No resource shrinks with the length, so the pieces that fit are those up to some length.
-            able = min(int(np.searchsorted(needs[:, r], room[r], "right")) for r in range(3))
-            value = np.where(have[:able] > 0, needs[:able] @ (weight * room / limit), -1)
-            k = int(np.argmax(value)) if able else -1
-            if k >= 0 and value[k] >= 0:
-                item, start = rests[kinds[k]].pop()
-                placed.append((item, start, int(kinds[k])))
+            n = len(pieces)
+            need = needs[:n]
+            able = (have[:n] > 0) & (need[:, 0] <= room[0]) & (need[:, 1] <= room[1]) & (need[:, 2] <= room[2])
+            k = int(np.argmax(np.where(able, need @ (weight * room / limit), -1.0)))
+            if able[k]:
+                item, start, _ = pieces[k].pop()
+                part = int(need[k, 0])
                 have[k] -= 1
                 left -= 1
-                room -= needs[k]
-                continue
-            part = int(min(room[0], room[2] + 1))
-            if room[1] < 1 or part < cut:
-                break
-            # All pieces left are longer than the room: the longest is cut.
-            k = int(np.flatnonzero(have)[-1])
-            item, start = rests[kinds[k]].pop()
-            have[k] -= 1
-            placed.append((item, start, part))
-            room -= demand(np.array([part]))[0]
-            rest = int(kinds[k]) - part
-            rests[rest].append((item, start + part))
-            if (at := int(np.searchsorted(kinds, rest))) < len(kinds) and kinds[at] == rest:
-                have[at] += 1
+                room -= need[k]
             else:
-                kinds, have = np.insert(kinds, at, rest), np.insert(have, at, 1)
-                needs = demand(kinds)
+                # Nothing fits as a whole: the piece with the longest start that fits is cut; of several the longest, then that of most loss.
+                free = np.where(need[:, 2] > 0, need[:, 0] - need[:, 2], need[:, 0])
+                starts = np.where(have[:n] > 0, np.minimum(np.minimum(room[0], free + room[2]), need[:, 0]), -1)
+                k = int(np.lexsort((need[:, 2], need[:, 0], starts))[-1])
+                part = int(starts[k])
+                if room[1] < 1 or part < cut or part >= need[k, 0]:
+                    break
+                length = int(need[k, 0])
+                item, start, lead = pieces[k].pop()
+                have[k] -= 1
+                room -= (part, 1, max(0, part - lead))
+                add(item, start + part, length - part, max(lead - part, 1))
+            placed.append((item, start, part))
         out.append(placed)
     return out
 
@@ -93,7 +112,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, and its ids on demand.
 
     Takes columns doc_id and text; others are ignored, whatever their names. Null and empty texts
-    are the end id alone. Repeated rows and null ids are documents each. Each task packs the
+    are the end id alone. loss_tokens counts a piece's ids after its document's prompt and after
+    the piece's own first. A text without blank line, role mark, line end or sentence end is all response. Repeated rows and null ids are documents each. Each task packs the
     documents that it reads, some GROUP_TOKENS at a time, and hands the last sequence's
     pieces on to the next group, so no row is shuffled and memory is bounded; a task leaves
     one sequence that may be short. Ids of sequences are unique over tasks. An empty table gives no rows.
@@ -107,24 +127,24 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END
         sequence = TaskContext.get().partitionId() << 32
         encode = encoder(path, words=True)
         tail = np.array([end], "<u4").tobytes()
-        held: list[tuple[int | None, int, int, bytes]] = []  # id, ids before, ids of the document, ids
+        held: list[tuple[int | None, int, int, bytes, int]] = []  # id, ids before, ids of the document, ids, those of them in the prompt
         size = 0
 
         def flush(last: bool) -> pa.RecordBatch | None:
             nonlocal held, size, sequence
-            sequences = fill([len(x[3]) // 4 for x in held], limits)
+            sequences = fill([len(x[3]) // 4 for x in held], limits, prompts=[x[4] for x in held])
             keep = [] if last or not sequences else sequences.pop()
             rows = []
             for placed in sequences:
                 offset = 0
                 for item, start, length in placed:
-                    doc, before, total, ids = held[item]
+                    doc, before, total, ids, lead = held[item]
                     piece = ids[4 * start : 4 * (start + length)]
-                    row = (doc, before + start, length, zlib.crc32(piece), total, sequence, offset, max(length - 1, 0))
+                    row = (doc, before + start, length, zlib.crc32(piece), total, sequence, offset, max(0, start + length - max(lead, start + 1)))
                     rows.append((*row, np.frombuffer(piece, "<u4").astype(np.int32)) if with_ids else row)
                     offset += length
                 sequence += 1
-            held = [(held[i][0], held[i][1] + start, held[i][2], held[i][3][4 * start : 4 * (start + length)]) for i, start, length in keep]
+            held = [(held[i][0], held[i][1] + start, held[i][2], held[i][3][4 * start : 4 * (start + length)], max(held[i][4] - start, 0)) for i, start, length in keep]
             size = sum(len(x[3]) // 4 for x in held)
             if not rows:
                 return None
@@ -137,9 +157,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END
             for i in range(0, batch.num_rows, 64):
                 until = min(i + 64, batch.num_rows)
                 texts = [data[at[j] : at[j + 1]].tobytes() for j in range(i, until)]
-                for doc, ids in zip(batch.column(0)[i:until].to_pylist(), encode.ids(texts), strict=True):
+                leads = encode.ids([prompt(t) for t in texts])
+                for doc, ids, lead in zip(batch.column(0)[i:until].to_pylist(), encode.ids(texts), leads, strict=True):
                     ids += tail
-                    held.append((doc, 0, len(ids) // 4, ids))
+                    held.append((doc, 0, len(ids) // 4, ids, len(lead) // 4))
                     size += len(ids) // 4
                 if size >= GROUP_TOKENS and (out := flush(False)):
                     yield out
