@@ -12,11 +12,13 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine's only where none is configured."""
+    """The folder that driver and executors share; where none is configured, one of this machine's in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelode-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -30,20 +32,56 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Paths of the tables that were stored and not deleted, in order.
+_kept: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_last(df: DataFrame, name: str, since: int) -> DataFrame:
+    """Stores df and deletes the tables that were stored from the place ``since`` on to compute it (see ``stored_so_far``)."""
+    spark, result = df.sparkSession, stored(df, name)
+    for path in _kept[since:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _kept[since:-1]
+    return result
+
+
+def stored_so_far() -> int:
+    return len(_kept)
+
+
 def spread(df: DataFrame, *columns: str | Column) -> DataFrame:
     """Ordered by range over as many partitions as shuffles use, sorted inside each."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
 
 
+def sums_before(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds to each row, by name, the sums of the given columns over all rows before it in the order, with DataFrame functions only.
+
+    The rows are sorted by range and stored with their partition; a row's sum is that of the
+    partitions before it and of the rows before it in its own. Rows that tie come in any order.
+    """
+    part = fresh(df, "_part")
+    rows = stored(spread(df, *order).withColumn(part, F.spark_partition_id()), "sorted")
+    firsts = rows.groupBy(part).agg(*(F.sum(c).alias(f"_first_{x}") for x, c in sums.items()))
+    # One row for each partition of the sort.
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.select(part, *(F.coalesce(F.sum(f"_first_{x}").over(before), F.lit(0)).alias(f"_first_{x}") for x in sums))
+    own = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(F.broadcast(firsts), part)
+    return joined.select(*df.columns, *((F.col(f"_first_{x}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(x) for x, c in sums.items()))
+
+
 def numbered(df: DataFrame, *columns: str | Column, rank: str = "rank") -> DataFrame:
     """Adds a gapless rank from 0 in the order of the columns, without a window over all rows.
 

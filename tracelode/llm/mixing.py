@@ -3,8 +3,9 @@
 Each document gets the exponential key -ln(u) / w, u a hash of its id and w its quality weight;
 in the order of these keys documents are drawn without replacement with chances in proportion
 to w. A source's budget buys complete epochs first, then the documents whose prefix sum of
-sizes stays inside the rest. The prefix sums come from sums over ranges of keys, so only the
-one range of each source in which the budget ends is sorted.
+sizes stays inside the rest. Texts are read once: what is needed of each document is stored as a
+narrow row. The prefix sums come from sums over ranges of keys, so only the one range of each
+source in which the budget ends is sorted.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracelode.llm.common import stored, sums_before
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
@@ -30,9 +33,9 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.25), 1 / (1 + F.abs(mean - 7) / 4)), F.lit(1.0))
 
 
-def uniform(*columns: str, seed: int = 1) -> Column:
+def uniform(*columns: str | Column, seed: int = 1) -> Column:
     """A number inside (0, 1) that depends on the columns' values alone."""
-    digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)))
+    digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00")) for c in columns)))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 48))
 
 
@@ -41,20 +44,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
     sizes: one row (source, source_size) for each source. The excess of capped sources is dealt
     to the others by weight, and again until none is above: sources fill up in the order of
-    cap / weight, so the level is found in one pass over the sources, of which there are few.
+    cap / weight, so the level is found in one pass over the sources. Sources are ranked and
+    summed by ranges, as there may be one for each host.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    rows = sizes.withColumn("w", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
-    rows = rows.withColumn("cap", F.lit(float(cap)) * F.col("source_size")).withColumn("fills", F.col("cap") / F.col("w"))
-    every, upto = Window.partitionBy(), Window.orderBy("fills", F.col("source").asc_nulls_last())
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    rest = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    rows = rows.withColumn("level", left / rest)
+    name = F.col("source").asc_nulls_last()
+    rows = sums_before(sizes.select("source", "source_size"), [name], place=F.lit(1))
+    rows = rows.withColumn("w", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int")))
+    rows = rows.withColumn("cap", F.lit(float(cap)) * F.col("source_size")).withColumn("fills", F.col("cap") / F.col("w")).drop("place")
+    rows = sums_before(rows, [F.col("fills"), name], full=F.col("cap"), heavy=F.col("w"), place=F.lit(1))
+    # One row of totals, and one of the level.
+    total, heavy = rows.agg(F.sum("source_size"), F.sum("w")).first()
+    left, rest = F.lit(float(share)) * F.lit(total) - F.col("full"), F.lit(heavy) - F.col("heavy")
     # The first source that doesn't fill up sets the level for itself and all after it.
-    rows = rows.withColumn("place", F.row_number().over(upto))
-    level = F.min(F.when(F.col("level") < F.col("fills"), F.struct("place", "level"))).over(every)["level"]
-    return rows.withColumn("target", F.coalesce(F.least(F.col("cap"), level * F.col("w")), F.col("cap"))).select("source", "source_size", "target")
+    rows = rows.withColumn("level", left / rest)
+    level = rows.where("level < fills").agg(F.min_by("level", "place")).first()[0]
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(level) * F.col("w"))
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def mix(docs: DataFrame, key: Column | None = None, weight: Column | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -66,16 +71,17 @@ def mix(docs: DataFrame, key: Column | None = None, weight: Column | None = None
     where the budget ends; drawn says whether that epoch takes more than half of the document,
     for callers that want whole ones. A null source is a source of its own, after all others;
     null and empty texts have size 0 and taken 0; a source without words has target 0. Rows
-    with one id (repeats) share a key and come next to each other; null ids share a key too,
-    and their texts' hashes order them. An empty table gives no rows.
+    with one id (repeats) share a key and come next to each other; rows without id are drawn by
+    their texts. An empty table gives no rows.
     """
-    size = word_count(F.col("text"))
-    u = uniform("doc_id") if key is None else key
-    w = quality_weight(F.col("text"), size) if weight is None else weight
+    unnamed = F.concat(F.lit("\x00"), F.xxhash64("text").cast("string"))
+    u = uniform(F.coalesce(F.col("doc_id").cast("string"), unnamed)) if key is None else key
+    counted = docs.select("doc_id", "source", "text", u.alias("u"), (F.lit(None).cast("double") if weight is None else weight).alias("w"), word_count(F.col("text")).alias("size"))
+    w = quality_weight(F.col("text"), F.col("size")) if weight is None else F.col("w")
     # -ln(u) / w grows as 1 - u ** (1 / w), which lies in (0, 1) and so can be cut into ranges.
-    rows = docs.select("doc_id", "source", size.alias("size"), (1 - F.pow(u, 1 / w)).alias("key"), F.xxhash64("text").alias("tie"))
+    rows = stored(counted.select("doc_id", "source", "size", (1 - F.pow("u", 1 / w)).alias("key"), F.xxhash64("text").alias("tie")), "sizes")
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranges = max(int(n), -(-docs.count() // ROWS_A_RANGE))
+    ranges = max(int(n), -(-rows.count() // ROWS_A_RANGE))
     rows = rows.withColumn("range", F.floor(F.col("key") * ranges).cast("long"))
     summed = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     sources = targets(summed.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
