@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import numbered
+from tracelode.llm.common import numbered, stored, sums_before
 
 SHARDS = 40
 BITS = 4
@@ -45,42 +45,52 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def text_number(c: Column) -> Column:
-    """The first six bytes of a string as a number, which keeps code-point order as far as they go; null is -1."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+def boundaries(df: DataFrame, name: str, cells: int) -> list[tuple]:
+    """(first value, cell) for each of a column's quantile cells: a value's cell is cells times the share of rows before it.
+
+    Rows are counted by value, and the counts summed in order over ranges of values, so this
+    is exact and doesn't depend on how rows are dealt. Nulls come first; one row a cell comes here.
+    """
+    n = df.count()
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+    known = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = sums_before(counts, [F.col("value")], before=F.col("n"))
+    place = F.floor((F.col("before") + F.lit(n - known)) * F.lit(cells) / F.lit(n)).cast("int")
+    return sorted((x.value, x.cell) for x in counts.groupBy(place.alias("cell")).agg(F.min("value").alias("value")).collect())
 
 
-def quantise(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> DataFrame:
-    """Adds each dimension's cell by quantiles over all rows: an array column cells."""
-    cuts = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*(F.percentile_approx(c, cuts, 1000).alias(name) for name, c in dimensions.items())).first()
-    cell = lambda c, bounds: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < c)) if bounds else F.lit(0)
-    return df.withColumn("cells", F.array(*(cell(c, sorted(set(row[name] or ()))) for name, c in dimensions.items())))
+def quantise(df: DataFrame, dimensions: tuple[str, ...], bits: int = BITS) -> DataFrame:
+    """Adds each dimension's cell by quantiles over all rows, below 2**bits: an array column cells. Nulls are in cell 0."""
+    def cell(name: str) -> Column:
+        out = F.lit(0)
+        for value, place in boundaries(df, name, 1 << bits):
+            out = F.when(F.col(name) >= F.lit(value), place).otherwise(out)
+        return out
+
+    return df.withColumn("cells", F.array(*(cell(name) for name in dimensions)))
 
 
 def shard_by_hilbert(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Deals documents into shards of equally many rows (at most one apart) along the curve.
 
     Takes columns doc_id, text, lang and source; others are ignored, whatever their names. The
-    curve runs over source, lang, size and doc_id, each in 2**bits quantile cells, so files of
-    a run span few values of each. Inside a cell equal texts stand together, then ids in order. Null sources, langs and
-    ids come first in their dimension; null texts have size 16 and crc 0. Repeated rows each get a slot. With fewer
+    curve runs over source, lang and size, each in 2**bits quantile cells of whole values, so files of
+    a run span few values of each. Inside a cell rows are in the order of their texts' hashes, so equal texts
+    of one source and lang stand together, then ids in order. Null sources and langs
+    come first in their dimension; null texts have size 16 and crc 0. Repeated rows each get a slot. With fewer
     rows than shards the last shards are empty; an empty table gives no rows.
     """
     @F.pandas_udf("long")
     def curve(cells: pd.Series) -> pd.Series:
         return pd.Series(hilbert(np.stack(cells.to_numpy()), bits) if len(cells) else np.zeros(0, np.int64))
 
-    rows = docs.select(
+    rows = stored(docs.select(
         "doc_id", "source", "lang",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).alias("text_crc32"),
         F.xxhash64("text").alias("same"),
-    )
-    rows = quantise(rows, {
-        "source": text_number(F.col("source")), "lang": text_number(F.col("lang")),
-        "size": F.col("size").cast("double"), "id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)),
-    }, bits)
+    ), "metadata")
+    rows = quantise(rows, ("source", "lang", "size"), bits)
     rows = rows.select("doc_id", "size", "text_crc32", "same", curve("cells").alias("place"))
     ranked = numbered(rows, "place", "same", "doc_id")
     n = F.lit(ranked.count()).cast("long")
