@@ -181,14 +181,15 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits on at most sample_rows labelled rows that aren't held out, those of the smallest id hashes.
 
-    Ids whose labels differ take their smallest; null labels and null ids take no part.
+    Ids whose labels differ take their smallest, ids with several texts the text of the
+    smallest hash; null labels and null ids take no part.
     """
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = marked.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_rows).drop("h")
     # The sample has sample_rows rows of 16 bytes at most, which bounds what is broadcast and brought here.
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
-    rows = rows.select("doc_id", feature_column("text").alias("x"), F.xxhash64("text").alias("t"), "quality").dropDuplicates(["doc_id"]).toPandas()
-    rows = rows.sort_values("doc_id")
+    rows = rows.select("doc_id", feature_column("text").alias("x"), F.xxhash64("text").alias("t"), "quality")
+    rows = rows.groupBy("doc_id").agg(F.min_by("x", "t").alias("x"), F.first("quality").alias("quality")).toPandas().sort_values("doc_id")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x.astype(float), rows["quality"].to_numpy(float))
 
