@@ -14,16 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm import encode, texthash
-from tracelode.llm.common import stored
+from tracelode.llm.common import stored, stored_last, stored_so_far
 
 WORDS = 5
 KEYS = 10
 ROWS = 3
 PERCENT = 85
-#: Ids are below this; rows without one get a number above.
-UNNAMED = 1 << 62
-#: Ids up to this many are broadcast (16 MB); beyond, the texts are fetched by a shuffled join.
-BROADCAST_ROWS = 1_000_000
+#: Classes up to this many are broadcast to fetch their texts (about 40 MB); beyond, they are fetched by a shuffled join.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_set(data: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -32,7 +30,7 @@ def shingle_set(data: np.ndarray, words: int = WORDS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, keys: int = KEYS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """For each row (doc_id, uid, text): set size, two digests of the set, and the keys of both collections."""
+    """For each row (doc_id, digest, text): set size, two digests of the set, and the keys of both collections."""
     multipliers = texthash.constants(2 * keys * rows, 2024)
     join = texthash.constants(rows, 5)
 
@@ -62,10 +60,10 @@ def signatures(docs: DataFrame, keys: int = KEYS, rows: int = ROWS, words: int =
                     signed[some, j] = texthash.mixed(key)
                 step = end
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * 2 * keys, 2 * keys, dtype=np.int32)), pa.array(signed.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), lists], names=["doc_id", "uid", "n", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), lists], names=["doc_id", "digest", "n", "d1", "d2", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "uid", "text").mapInArrow(sign, f"doc_id {kind}, uid long, n long, d1 long, d2 long, keys array<long>")
+    return docs.select("doc_id", "digest", "text").mapInArrow(sign, f"doc_id {kind}, digest long, n long, d1 long, d2 long, keys array<long>")
 
 
 def tables(classes: DataFrame, keys: int) -> DataFrame:
@@ -135,15 +133,26 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = hooked.join(jump, "next").select("node", F.least("next", "far").alias("label"))
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(uid, text) of the ids: the ids are broadcast while they are few, else joined by a shuffle."""
-    few = ids.count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(ids) if few else ids, "uid", "left_semi")
-    return stored(found.withColumn("same", F.xxhash64("text")).dropDuplicates(["uid", "same"]).drop("same"), "texts")
+def _texts_of(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """(uid, text) of classes from where they are found, (uid, spot: id and digest of a text): broadcast while they are few, else joined by a shuffle."""
+    spots = spots.select("uid", F.col("spot.doc_id").alias("of_id"), F.col("spot.digest").alias("of_digest"))
+    few = spots.count() <= BROADCAST_ROWS
+    found = docs.join(F.broadcast(spots) if few else spots, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")))
+    return stored(found.select("uid", "text").dropDuplicates(["uid"]), "texts")
+
+
+def _same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of each id that has several texts; mostly there are none."""
+    seen = signed.where("n > 0 and doc_id is not null").select("doc_id", "d1", "d2")
+    sides = seen.groupBy("doc_id").agg(F.min("d1").alias("l1"), F.max("d1").alias("h1"), F.min("d2").alias("l2"), F.max("d2").alias("h2"))
+    several = stored(sides.where("l1 <> h1 or l2 <> h2").select("doc_id"), "several")
+    rows = seen.join(several, "doc_id", "left_semi").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+    first = rows.groupBy("doc_id").agg(F.min("rep").alias("first"))
+    return rows.join(first, "doc_id").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def private_counts(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(uid, own): how many of an id's shingles no other id has; 0 for an id that has several texts."""
+    """(uid, own): how many of a text's shingles no other of the texts has."""
     def each(batches):
         for batch in batches:
             data, at = texthash.raw(batch.column(1))
@@ -159,8 +168,7 @@ def private_counts(texts: DataFrame, words: int = WORDS) -> DataFrame:
     seen = texts.select("uid", "text").mapInArrow(each, "uid long, shingle long")
     alone = seen.groupBy("shingle").agg(F.count("*").alias("times"), F.min("uid").alias("uid")).where("times = 1")
     own = alone.groupBy("uid").agg(F.count("*").alias("own"))
-    several = texts.groupBy("uid").agg((F.count("*") > 1).alias("several"))
-    return several.join(own, "uid", "left").select("uid", F.when(~F.col("several"), F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
+    return texts.select("uid").join(own, "uid", "left").select("uid", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -175,7 +183,8 @@ def may_link(a: str, b: str, percent: int) -> Column:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
     """For each document: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
-    Takes columns doc_id and text; others are ignored, whatever their names. Words are runs of
+    Takes columns doc_id and text; others are ignored, whatever their names. Ids may be of any
+    type that has an order. Words are runs of
     other than ASCII white space with A-Z lower-cased; a text of fewer than ``words`` words is
     one shingle. Null, empty and blank texts have no shingle and link with nothing. Rows that
     repeat an id are one document if the text is the same, and else a document each, whose groups join. A null
@@ -192,39 +201,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, r
        known to be in one component, or known not to link as their own shingles are too many.
     A pair at the threshold shares no table with a chance of 2 * (1 - 0.85**rows)**keys, 0.015 %.
     """
-    # A null id's place is taken by a number made of the text, above all ids.
-    unnamed = F.xxhash64("text").bitwiseAND(F.lit(UNNAMED - 1)).bitwiseOR(F.lit(UNNAMED))
-    known = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("uid"))
+    since = stored_so_far()
+    known = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
     signed = stored(signatures(known, keys, rows, words), "signatures")
-    classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = stored(classes, "classes")
+    # Of a class: the least id, and where one of its texts is found.
+    spot = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.min(spot).alias("spot"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    # Numbers of classes are stored with them, so they don't change.
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     banded = tables(classes, keys)
     shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
     buckets = stored(banded.join(shared, "key", "left_semi"), "buckets")
-    sources = known.select("uid", "text")
-    texts = _texts_of(sources, buckets.select(F.col("rep").alias("uid")).distinct())
+    texts = _texts_of(known, classes.select(F.col("rep").alias("uid"), "spot").join(buckets.select(F.col("rep").alias("uid")).distinct(), "uid", "left_semi"))
     own = stored(private_counts(texts, words), "own")
     buckets = buckets.join(own.withColumnRenamed("uid", "rep"), "rep")
     leaders = buckets.groupBy("key").agg(F.min(F.struct("own", F.col("rep").alias("id"), "n")).alias("lead"))
     buckets = stored(buckets.join(leaders, "key"), "led")
     first = buckets.groupBy("rep", "n", "own").agg(F.min("lead").alias("lead"))
+    same = stored(_same_ids(signed, classes), "same")
     checked = _compare(_to_leader(first, percent), texts, percent, words)
-    component = components(checked.where("linked"))
+    component = components(checked.where("linked").select("a", "b").union(same))
     second = _between(_to_leader(buckets, percent), component)
     more = _compare(second.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, percent, words)
     checked = checked.union(more)
-    component = components(checked.where("linked"))
+    component = components(checked.where("linked").select("a", "b").union(same))
     late = stored(_late(buckets, component, percent).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "late")
     if not late.isEmpty():
         checked = checked.union(_compare(late, texts, percent, words))
-        component = components(checked.where("linked"))
-    first = component
-    reps = classes.select("d1", "d2", "rep").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    reps = reps.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "rep").alias("component"))
-    rows = signed.join(reps, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") > 0), "left")
-    smallest = F.coalesce(F.when(F.col("component") < UNNAMED, F.col("component")), F.when(F.col("component").isNull(), F.col("doc_id")))
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+        component = components(checked.where("linked").select("a", "b").union(same))
+    # The least id of each component of several classes; a class alone has its own.
+    linked = component.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "least"), "rep")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
+    linked = linked.join(smallest, "component").select("rep", "smallest")
+    reps = classes.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep", "least").join(linked, "rep", "left").select("e1", "e2", F.coalesce("smallest", "least").alias("smallest"))
+    found = signed.select("doc_id", "n", "d1", "d2").join(reps, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") > 0), "left")
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return stored_last(found, "groups", since)
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
