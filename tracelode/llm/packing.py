@@ -9,6 +9,7 @@ by its mean demand), until none fits.
 
 from __future__ import annotations
 
+import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 #: The prompt ends after the first blank line or role mark, else after the first sentence or line.
-_RESPONSE = re.compile(rb"\n[ \t\r]*\n|^[ \t#*]*(?:assistant|response|answer|output)[ \t*]*:(?=\s|\Z)", re.I | re.M)
+_RESPONSE = re.compile(rb"\n(?:[ \t\r]*\n|[ \t#*]*(?:assistant|response|answer|output)[ \t*]*:(?=\s|\Z))", re.I)
 _SENTENCE = re.compile(rb"[.!?]\s|\n")
 
 
@@ -51,59 +52,70 @@ def fill(lengths: list[int], limits: tuple[int, int, int] = (TOKENS, SEGMENTS, L
     Items beyond a limit are cut into the longest pieces inside it and a rest. Pieces of one
     length and loss are alike, so only distinct pairs are weighed.
     """
-    limit = np.array(limits, float)
-    kinds: dict[tuple[int, int], int] = {}
-    pieces: list[list[tuple[int, int, int]]] = []  # of each kind: item, start, tokens without loss
-    needs, have = np.zeros((64, 3)), np.zeros(64, np.int64)
-
-    def add(item: int, start: int, length: int, lead: int) -> None:
-        nonlocal needs, have
-        loss = max(0, length - lead)
-        k = kinds.setdefault((length, loss), len(pieces))
-        if k == len(pieces):
-            pieces.append([])
-            if k == len(have):
-                needs, have = np.concatenate((needs, np.zeros_like(needs))), np.concatenate((have, np.zeros_like(have)))
-            needs[k] = length, 1, loss
-        pieces[k].append((item, start, lead))
-        have[k] += 1
-
+    # Kinds in the order of length, then loss, so the pieces that fit by length are the first ones.
+    pieces: dict[tuple[int, int], list[tuple[int, int, int]]] = {}  # item, start, tokens without loss
     for item, length in enumerate(lengths):
         start, lead = 0, max(prompts[item] if prompts else 0, 1)
         while length - start > (part := min(limits[0], lead + limits[2])):
-            add(item, start, part, lead)
+            pieces.setdefault((part, max(0, part - lead)), []).append((item, start, lead))
             start, lead = start + part, max(lead - part, 1)
-        add(item, start, length - start, lead)
+        pieces.setdefault((length - start, max(0, length - start - lead)), []).append((item, start, lead))
+    kinds = sorted(pieces)
+    long, loss = (np.array([x[i] for x in kinds], float) for i in range(2))
+    have = np.array([len(pieces[x]) for x in kinds], float)
     left = int(have.sum())
-    weight = (needs * have[:, None]).sum(0) / max(left, 1) / limit**2
+    # Weights of a token, a segment and a loss-bearing token.
+    per = [float(x @ have) / max(left, 1) / limits[r] ** 2 for r, x in enumerate((long, np.ones_like(long), loss))]
+    gone = np.zeros(len(kinds))
+    spent = 0
     out = []
+
+    def take(k: int) -> tuple[int, int, int]:
+        nonlocal spent
+        own = pieces[kinds[k]]
+        if len(own) == 1:
+            gone[k] = -np.inf
+            spent += 1
+        return own.pop()
+
     while left:
-        room, placed = limit.copy(), []
-        while left:
-            n = len(pieces)
-            need = needs[:n]
-            able = (have[:n] > 0) & (need[:, 0] <= room[0]) & (need[:, 1] <= room[1]) & (need[:, 2] <= room[2])
-            k = int(np.argmax(np.where(able, need @ (weight * room / limit), -1.0)))
-            if able[k]:
-                item, start, _ = pieces[k].pop()
-                part = int(need[k, 0])
-                have[k] -= 1
+        if 2 * spent > len(kinds):
+            stay = np.flatnonzero(gone == 0)
+            kinds, long, loss, gone, spent = [kinds[k] for k in stay], long[stay], loss[stay], np.zeros(len(stay)), 0
+        room, segments, bear, placed = limits[0], limits[1], limits[2], []
+        while left and segments:
+            n = int(np.searchsorted(long, room, "right"))
+            if n:
+                value = long[:n] * (per[0] * room / limits[0]) + loss[:n] * (per[2] * bear / limits[2] if limits[2] else 0.0) + gone[:n]
+                value[loss[:n] > bear] = -np.inf
+                k = int(value.argmax())
+            if n and value[k] >= 0:
+                part, lost = kinds[k]
+                item, start, _ = take(k)
                 left -= 1
-                room -= need[k]
             else:
                 # Nothing fits as a whole: the piece with the longest start that fits is cut; of several the longest, then that of most loss.
-                free = np.where(need[:, 2] > 0, need[:, 0] - need[:, 2], need[:, 0])
-                starts = np.where(have[:n] > 0, np.minimum(np.minimum(room[0], free + room[2]), need[:, 0]), -1)
-                k = int(np.lexsort((need[:, 2], need[:, 0], starts))[-1])
-                part = int(starts[k])
-                if room[1] < 1 or part < cut or part >= need[k, 0]:
+                starts = np.minimum(room, np.where(loss > 0, long - loss, long) + bear) + gone
+                k = int(np.flatnonzero(starts == starts.max())[-1])
+                part = int(starts[k]) if np.isfinite(starts[k]) else 0
+                if part < cut or part >= long[k]:
                     break
-                length = int(need[k, 0])
-                item, start, lead = pieces[k].pop()
-                have[k] -= 1
-                room -= (part, 1, max(0, part - lead))
-                add(item, start + part, length - part, max(lead - part, 1))
+                length = kinds[k][0]
+                item, start, lead = take(k)
+                lost = max(0, part - lead)
+                lead = max(lead - part, 1)
+                rest = (length - part, max(0, length - part - lead))
+                own = pieces.setdefault(rest, [])
+                own.append((item, start + part, lead))
+                at = bisect.bisect_left(kinds, rest)
+                if at == len(kinds) or kinds[at] != rest:
+                    kinds.insert(at, rest)
+                    long, loss, gone = np.insert(long, at, rest[0]), np.insert(loss, at, rest[1]), np.insert(gone, at, 0.0)
+                elif len(own) == 1:
+                    gone[at] = 0.0
+                    spent -= 1
             placed.append((item, start, part))
+            room, segments, bear = room - part, segments - 1, bear - lost
         out.append(placed)
     return out
 
