@@ -94,6 +94,32 @@ def test_mix_draws_in_key_order(spark):
         assert dict(map(tuple, part))[True] > dict(map(tuple, part))[False]
 
 
+def test_mix_spreads_rows_without_id(spark):
+    """Rows without id are drawn by their texts, not all at one place of the order."""
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    found, taken = check_mix(docs)
+    assert all(t == pytest.approx(target, abs=1) for (_, target), t in taken.items())
+    keys = docs.select(mixing.uniform(F.concat(F.lit("\x00"), F.xxhash64("text").cast("string"))).alias("u")).distinct().count()
+    assert keys == 400
+
+
+def test_targets_of_many_sources(spark):
+    """A source for each host: ranks and sums over ranges agree with a plain pass."""
+    r = random.Random(6)
+    rows = [(f"h{i:04}", r.choice([0, 1, 5, 90, 2000])) for i in range(900)] + [(None, 40)]
+    found = {x.source: x.target for x in mixing.targets(spark.createDataFrame(rows, "source string, source_size long").repartition(7)).collect()}
+    order = sorted(rows[:-1]) + rows[-1:]
+    w = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(order)}
+    left, rest, level = 1.5 * sum(n for _, n in rows), sum(w.values()), None
+    for s, n in sorted(rows, key=lambda x: 2 * x[1] / w[x[0]]):
+        if left / rest < 2 * n / w[s]:
+            level = left / rest
+            break
+        left, rest = left - 2 * n, rest - w[s]
+    for s, n in rows:
+        assert found[s] == pytest.approx(2 * n if level is None else min(2 * n, level * w[s]))
+
+
 def test_mix_is_native(spark, sf):
     plan = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
@@ -146,8 +172,57 @@ def test_shards(spark, sf):
     assert sum(map(len, by.values())) / 40 < len(set(source.values())) / 2  # runs span few sources
 
 
+def plain_cells(values, bits=sharding.BITS):
+    """Each value's cell: how many rows are before it, in so many parts of all rows; nulls first."""
+    order = sorted(values, key=lambda x: (x is not None, x if x is not None else 0))
+    first = {}
+    for i, x in enumerate(order):
+        first.setdefault(x, i)
+    return [0 if x is None else first[x] * (1 << bits) // len(values) for x in values]
+
+
+def check_order(docs):
+    """Shards and slots against a plain sort of all rows along the curve."""
+    rows = docs.select("doc_id", "text", "source", "lang", F.xxhash64("text").alias("same")).collect()
+    sizes = [len((x.text or "").encode()) + 16 for x in rows]
+    cells = np.array([plain_cells([x.source for x in rows]), plain_cells([x.lang for x in rows]), plain_cells(sizes)]).T
+    place = sharding.hilbert(cells, sharding.BITS)
+    order = sorted(range(len(rows)), key=lambda i: (place[i], rows[i].same, rows[i].doc_id is not None, rows[i].doc_id or 0))
+    found = sorted((x.shard, x.slot, x.hilbert, x.doc_id) for x in sharding.shard_by_hilbert(docs).collect())
+    assert [(x[2], x[3]) for x in found] == [(place[i], rows[i].doc_id) for i in order]
+    return rows, cells, found
+
+
+def test_shards_brute_force(spark, sf):
+    check_order(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def test_shards_of_sources_with_a_common_start(spark):
+    """Sources that differ after many equal bytes are told apart, and files can be pruned by source and by lang."""
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.randrange(1, 60)), r.choice("defr"), f"https://common.example/crawl-{r.randrange(8)}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    check_order(docs)
+    of = {x[0]: x for x in rows}
+    for column, most in ((2, 0.7), (3, 0.5)):
+        files = {}
+        for x in sharding.shard_by_hilbert(docs).collect():
+            files.setdefault(x.shard, set()).add(of[x.doc_id][column])
+        kinds = {x[column] for x in rows}
+        assert sum(map(len, files.values())) < most * 40 * len(kinds)  # files that one value needs, of all
+
+
+def test_equal_texts_share_a_shard(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of the group "), (F.col("id") % 1000 + 1000).cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    shards = {}
+    for x in sharding.shard_by_hilbert(docs).collect():
+        shards.setdefault(x.doc_id % 1000, set()).add(x.shard)
+    assert sum(len(s) > 1 for s in shards.values()) <= 39  # a cut of a shard splits one group at most
+
+
 def test_shards_edges(spark):
     assert len(check_shards(edge_documents(spark))) == 11
+    check_order(edge_documents(spark))
     assert sharding.shard_by_hilbert(empty_documents(spark)).collect() == []
 
 
@@ -287,6 +362,84 @@ def test_fill_keeps_all_limits():
             assert sum(n for _, n in parts) == lengths[i] and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False))
 
 
+def plain_fill(lengths, prompts, limits, cut):
+    """The dot-product heuristic over all pieces one by one; or the longest that fits, where by_length."""
+    def loss(length, lead):
+        return max(0, length - max(lead, 1))
+
+    open_pieces = []
+    for i, (length, lead) in enumerate(zip(lengths, prompts, strict=True)):
+        start = 0
+        while length - start > min(limits[0], max(lead - start, 1) + limits[2]):
+            part = min(limits[0], max(lead - start, 1) + limits[2])
+            open_pieces.append((i, start, part, lead - start))
+            start += part
+        open_pieces.append((i, start, length - start, lead - start))
+    needs = [(n, 1, loss(n, lead)) for _, _, n, lead in open_pieces]
+    weight = [sum(x[r] for x in needs) / len(needs) / limits[r] ** 2 for r in range(3)]
+    out = []
+    while open_pieces:
+        room, placed = list(limits), []
+        while open_pieces:
+            fit = [p for p in open_pieces if p[2] <= room[0] and 1 <= room[1] and loss(p[2], p[3]) <= room[2]]
+            if fit:
+                p = max(fit, key=lambda p: sum(x * w * a / b for x, w, a, b in zip((p[2], 1, loss(p[2], p[3])), weight, room, limits, strict=True)))
+                part = p[2]
+                open_pieces.remove(p)
+            else:
+                starts = lambda p: min(room[0], max(p[3], 1) + room[2], p[2])
+                p = max(open_pieces, key=lambda p: (starts(p), p[2], loss(p[2], p[3])))
+                part = starts(p)
+                if room[1] < 1 or part < cut or part >= p[2]:
+                    break
+                open_pieces.remove(p)
+                open_pieces.append((p[0], p[1] + part, p[2] - part, p[3] - part))
+            placed.append((part, loss(part, p[3])))
+            room = [room[0] - part, room[1] - 1, room[2] - loss(part, p[3])]
+        out.append(placed)
+    return out
+
+
+def test_fill_against_a_plain_version():
+    """The same demands in each sequence as the heuristic over single pieces; pieces of equal demand are interchangeable."""
+    r = random.Random(15)
+    for _ in range(40):
+        lengths = [r.choice([1, 2, 9, 30, 47, 61, 250]) for _ in range(r.randrange(1, 40))]
+        prompts = [r.randrange(n + 1) for n in lengths]
+        limits = (100, 6, 60)
+        found = [[(n, max(0, n - max(prompts[i] - start, 1))) for i, start, n in placed] for placed in packing.fill(lengths, limits, 8, prompts)]
+        assert found == plain_fill(lengths, prompts, limits, 8)
+        assert all(sum(n for n, _ in s) <= 100 and len(s) <= 6 and sum(x for _, x in s) <= 60 for s in found)
+
+
+def test_loss_limit_binds():
+    """Prompts go with responses: where loss is scarce, the longest piece that fits isn't taken first."""
+    lengths, prompts = [60] * 10 + [40] * 10, [0] * 10 + [40] * 10
+    sequences = packing.fill(lengths, (100, 8, 62), 8, prompts)
+    assert [sorted(i // 10 for i, _, _ in s) for s in sequences] == [[0, 1]] * 10
+    r = random.Random(3)
+    differs = 0
+    for _ in range(40):
+        lengths = [r.randrange(5, 60) for _ in range(30)]
+        prompts = [r.choice([0, n // 2, n]) for n in lengths]
+        longest = packing.fill(lengths, (100, 8, 99), 100, None)
+        bound = packing.fill(lengths, (100, 8, 62), 100, prompts)
+        assert all(sum(max(0, n - max(prompts[i], 1)) for i, _, n in s) <= 62 for s in bound)
+        differs += sorted(sorted(i for i, _, _ in s) for s in bound) != sorted(sorted(i for i, _, _ in s) for s in longest)
+    assert differs > 30
+
+
+def test_prompts():
+    assert packing.prompt(b"Do it.\nNow\n\nDone. Yes") == b"Do it.\nNow\n\n"
+    assert packing.prompt(b"Question: why?\nAnswer: so. Yes") == b"Question: why?\nAnswer:"
+    assert packing.prompt(b"One. Two. Three") == b"One. " and packing.prompt(b"no end") == b""
+
+
+def test_empty_documents_share_a_sequence(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).coalesce(1)
+    assert packing.pack_documents(docs).select("sequence_id").distinct().count() == 1
+
+
 def test_sql(spark, sf):
     from tracelode.llm.queries import ORACLE_SQL, QUERIES
 

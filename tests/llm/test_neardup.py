@@ -116,3 +116,25 @@ def test_shuffled_chain_of_texts(spark):
     assert len({c for _, c in expected.values()}) == 1
     found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in found} == expected
+
+
+def test_ids_of_any_size_and_kind(spark):
+    """Hashed ids over the whole range of longs, negative ones, and strings."""
+    r = random.Random(13)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    one, other = text(), text()
+    ids = [(1 << 62) + 5, (1 << 62) + 9, (1 << 63) - 1, -(1 << 63), -7, 0]
+    rows = [(ids[0], one), (ids[1], one), (ids[2], other), (ids[3], other + " more"), (ids[4], text()), (ids[5], "")]
+    found = {x.doc_id: (x.component_id, x.kept) for x in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {ids[0]: (ids[0], True), ids[1]: (ids[0], False), ids[2]: (ids[3], False), ids[3]: (ids[3], True), ids[4]: (ids[4], True), ids[5]: (ids[5], True)}
+    named = [(f"id{i:03}", t) for i, (_, t) in enumerate(rows)]
+    found = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(named, "doc_id string, text string")).collect()}
+    assert [found[f"id{i:03}"] for i in range(6)] == ["id000", "id000", "id002", "id002", "id004", "id005"]
+
+
+def test_texts_of_one_id_join_their_groups(spark):
+    r = random.Random(14)
+    a, b = (" ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(2))
+    rows = [(5, a), (5, b), (9, a), (3, b + " more"), (None, a), (7, None), (7, "")]
+    found = sorted((x.doc_id is None, x.doc_id or 0, x.component_id, x.kept) for x in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert found == [(False, 3, 3, True), (False, 5, 3, False), (False, 5, 3, False), (False, 7, 7, True), (False, 7, 7, True), (False, 9, 3, False), (True, 0, 3, False)]

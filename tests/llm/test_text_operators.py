@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import re
 import zlib
 
@@ -116,6 +117,40 @@ def test_licenses_planted(spark):
     assert expected[3][5] == expected[4][5] == "mit" and expected[5][5] == "" and expected[7][1] == expected[8][1] == 0
 
 
+def test_anchors_lose_no_match():
+    """Any words of a template may be lacking outside its key phrases as long as the share stands: enough anchors and the leading one do then."""
+    r = random.Random(2)
+    for _ in range(300):
+        t = r.choice(licenses.TEMPLATES)
+        sequence = t.words.split()
+        idf = {w: r.choice([0.5, 1.0, 3.0, 9.0]) for w in sequence}
+        places, needed = licenses.anchored(t, idf, r.choice([2, 3, 6]))
+        assert 1 <= needed <= len(places)
+        must, total = licenses.mandatory_places(t), sum(idf[w] for w in sequence)
+        for _ in range(20):
+            lacking, spare = set(), (1 - t.share) * total
+            for i in r.sample(range(len(sequence)), len(sequence)):
+                if i not in must and t.keys and idf[sequence[i]] <= spare:
+                    lacking.add(i)
+                    spare -= idf[sequence[i]]
+            stand = [i for i in places if i not in lacking]
+            assert len(stand) >= needed and places[0] in stand
+
+
+def test_anchors_rule_out_starts():
+    """A single rare word doesn't make a start worth verifying: several anchors have to agree."""
+    idf = {w: 5.0 for t in licenses.TEMPLATES for w in t.words.split()}
+    for t in licenses.TEMPLATES:
+        assert licenses.anchored(t, idf)[1] >= 2, t
+
+
+def test_licenses_of_very_long_texts(spark):
+    """Linear in the hits: a text that repeats a notice many times."""
+    text = f"{licenses.TEMPLATES[9].words} and {licenses.TEMPLATES[0].words}. " * 2_000
+    x = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert x.n_base == 2_000 and x.labels == "mit" and x.score == 1
+
+
 def test_licenses_edges(spark):
     found = licenses.scan_licenses(edge_documents(spark)).collect()
     assert len(found) == 11
@@ -167,6 +202,19 @@ def test_quality_held_out_law(spark):
         assert 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3)
 
 
+def test_quality_takes_the_same_text_of_repeated_ids(spark):
+    """Several texts of one id: the one of the smallest hash is learnt from, however rows are dealt."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, text) for i in range(60) for text in ("Plain words stand here, one after another. " * (i % 7 + 1), "a ## !! " * (i % 5 + 1))]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    models = [gam.learn(docs.repartition(n, *by), labels) for n, by in ((1, ()), (6, ()), (4, (F.col("text"),)))]
+    one = [x.text for x in docs.withColumn("h", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by("text", "h").alias("text")).orderBy("doc_id").collect()]
+    models.append(gam.learn(spark.createDataFrame(list(enumerate(one)), "doc_id long, text string"), labels))
+    for m in models[1:]:
+        assert m.bias == models[0].bias and all((a == b).all() for a, b in zip(m.tables, models[0].tables, strict=True))
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (7, 1), (8, 0)], "doc_id long, quality int")
     found = gam.classify_quality(edge_documents(spark), labels).collect()
