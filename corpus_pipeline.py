@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import gam, mixing, neardup, packing
-from tracelode.llm.common import fresh, stored
+from tracelode.llm.common import fresh, stored, stored_last, stored_so_far
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,24 +17,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(gam.score_column(model)(F.col("text")) >= gam.THRESHOLD)
 
 
-#: Numbers made for rows are from here to neardup.UNNAMED; ids are expected below.
-MADE = 1 << 61
-
-
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = neardup.PERCENT, keys: int = neardup.KEYS) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id. Rows without id stay only where no row of their group has one and none was kept before; repeats of a row don't.
 
-    Decisions are joined on a number of each row: its id, or one made of all its columns where
-    it has no id or where its id has several texts and this isn't the first by hash. So those
-    texts are documents of their own, after all ids. With percent = 80, keys = 13 miss a pair
+    Decisions are joined on a number of each row: its id, or, after all ids, a hash of all its columns
+    where it has no id or where its id has several texts and this isn't the first by hash. So those
+    texts are documents of their own. With percent = 80, keys = 13 miss a pair
     at the threshold as rarely as the defaults do at 85: 2 * (1 - 0.8**3)**13, 0.018 %.
     """
     number, mark, digest, first = (fresh(docs, x) for x in ("number", "mark", "digest", "first"))
     rows = docs.withColumn(mark, F.xxhash64(*docs.columns)).withColumn(digest, F.xxhash64("text"))
     texts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias(first), F.max(digest).alias("last")).where(F.col(first) != F.col("last"))
     several = texts.select(F.col("doc_id").alias(number), first)
-    made = F.col(mark).bitwiseAND(F.lit(MADE - 1)).bitwiseOR(F.lit(MADE))
-    own = F.when(F.col("doc_id").isNull() | F.coalesce(F.col(digest) != F.col(first), F.lit(False)), made).otherwise(F.col("doc_id").cast("long"))
+    unnamed = F.col("doc_id").isNull() | F.coalesce(F.col(digest) != F.col(first), F.lit(False))
+    # Structs are ordered by their first field, so a row with an id goes before any without.
+    own = F.struct(unnamed.alias("made"), F.when(~unnamed, F.col("doc_id")).alias("id"), F.when(unnamed, F.col(mark)).alias("mark"))
     rows = rows.join(several, F.col("doc_id") == F.col(number), "left").withColumn(number, own)
     groups = neardup.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), percent=percent, keys=keys)
     kept = stored(groups.where("kept").select(F.col("doc_id").alias(number)).distinct(), "kept")
@@ -77,8 +74,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents; each result is written to the shared folder and read again."""
+    """All stages in turn over documents; each result is written to the shared folder and read again, and what a stage stored beside it is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        since = stored_so_far()
+        docs = stored_last(stage(spark, docs, sf_dir), name, since)
     return STAGES[-1][1](spark, docs, sf_dir)
