@@ -33,6 +33,23 @@ def test_top_k_brute_force(spark):
     assert sorted(map(tuple, found.collect())) == brute_top(exact, [x for x in exact if x[0] % 100 == 0])
 
 
+def test_top_k_of_many_shards(spark):
+    """Deep trees of merges, several shards a task, and components of each width of integer."""
+    r = random.Random(7)
+    rows = [(i, [r.choice([1.0, 0.5, 40.0, 3e6]) * r.random() for _ in range(3 + i % 2)]) for i in range(900)]
+    exact = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    found = topk.exact_top_k(table, F.col("vec_id") % 100 == 0, k=4, tile=8, query_block=2, fan_in=3, task_shards=5)
+    assert sorted(map(tuple, found.collect())) == brute_top(exact, [x for x in exact if x[0] % 100 == 0], 4)
+
+
+@pytest.mark.parametrize("most", [1 << 14, 1 << 15, 1 << 31, 1 << 62])
+def test_packed_matrices(most):
+    vectors = [[most, -most], [1], []]
+    data, size, width = topk.packed(vectors)
+    assert topk.unpacked(data, size, width, 3).tolist() == [[most, -most], [1, 0], [0, 0]]
+
+
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 2.0], 1), (100, [1.0, None], 1), (200, None, 1), (None, [1.0, 1.0], 1), (1, [float("nan"), 1.0], 1), (2, [float("inf"), 1.0], 1), (3, [1.0, 1.0], 1), (3, [2.0, 0.0], 1), (4, [], 1), (5, [1e30, 1.0], 1)]
     found = sorted(map(tuple, topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long"), F.col("vec_id") % 100 == 0).collect()))

@@ -1,7 +1,14 @@
-"""Exact top-k inner products by tiled matrix products and a tree of merges."""
+"""Exact top-k inner products by tiled matrix products and a tree of merges.
+
+Rows are packed into shards, and queries into blocks, of whole matrices in the smallest integer
+type that holds them. Each shard meets each block once; a task multiplies tile by tile and keeps
+k rows of a query for each shard, and a tree of merges, as deep as the shards ask for, keeps k.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,8 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tracelode.llm.common import stored
+
 TILE = 2048
-QUERY_BLOCK = 512
+#: Queries of a matrix product: TILE * QUERY_TILE scores of 8 bytes are in memory at a time.
+QUERY_TILE = 512
+#: A block of queries takes so many bytes at most, as 64-bit integers.
+BLOCK_BYTES = 64 << 20
+#: A task takes so many shards at most.
+TASK_SHARDS = 32
 FAN_IN = 16
 SCALE = 1024
 LONG = (1 << 63) - 1
@@ -22,31 +36,44 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))))
 
 
-def _tiles(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Packs rows (id, vector) into blocks of size: block id, ids and vectors as arrays; a task's rest is a block too."""
-    schema = f"{name} long, ids array<long>, vectors array<array<long>>"
+def packed(vectors) -> tuple[bytes, int, int]:
+    """Vectors, shorter ones padded with zeros, as one matrix: its bytes, the bytes of a component, and its width."""
+    matrix = np.zeros((len(vectors), max(map(len, vectors), default=0)), np.int64)
+    for i, v in enumerate(vectors):
+        matrix[i, : len(v)] = v
+    most = max(int(matrix.max(initial=0)), -int(matrix.min(initial=0)) - 1)
+    size = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+    return matrix.astype(f"<i{size}").tobytes(), size, matrix.shape[1]
+
+
+def unpacked(data: bytes, size: int, width: int, rows: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{size}").reshape(rows, width)
+
+
+PACKED = "ids binary, vectors binary, size int, width int"
 
+
+def _packed_row(ids, vectors) -> dict:
+    data, size, width = packed(list(vectors))
+    return {"ids": [np.asarray(ids, "<i8").tobytes()], "vectors": [data], "size": [size], "width": [width]}
+
+
+def _tiles(rows: DataFrame, size: int) -> DataFrame:
+    """Packs rows (id, vector) into shards of size; a task's rest is a shard too."""
     def pack(batches):
         from pyspark import TaskContext
 
-        block, held = TaskContext.get().partitionId() << 32, None
+        shard, held = TaskContext.get().partitionId() << 32, None
         for pdf in batches:
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             while len(held) >= size:
                 part, held = held.iloc[:size], held.iloc[size:]
-                yield pd.DataFrame({name: [block], "ids": [part["id"].to_numpy()], "vectors": [list(part["vector"])]})
-                block += 1
+                yield pd.DataFrame({"shard": [shard], **_packed_row(part["id"], part["vector"])})
+                shard += 1
         if held is not None and len(held):
-            yield pd.DataFrame({name: [block], "ids": [held["id"].to_numpy()], "vectors": [list(held["vector"])]})
+            yield pd.DataFrame({"shard": [shard], **_packed_row(held["id"], held["vector"])})
 
-    return rows.mapInPandas(pack, schema)
-
-
-def _matrix(rows, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.int64)
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
-    return out
+    return rows.mapInPandas(pack, f"shard long, {PACKED}")
 
 
 def scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
@@ -58,11 +85,12 @@ def scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     return np.clip(exact, -LONG - 1, LONG).astype(np.int64)
 
 
-def tile_best(query_ids, queries, ids, shard, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tile_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's k best of one shard: (query, id, score). Ties to the smaller id; a query's own id takes no part."""
-    width = max([len(x) for x in queries] + [len(x) for x in shard])
+    width = max(queries.shape[1], shard.shape[1])
+    queries, shard = (np.pad(x.astype(np.int64), ((0, 0), (0, width - x.shape[1]))) for x in (queries, shard))
     order = np.argsort(ids, kind="stable")
-    ids, product = np.asarray(ids)[order], scores(_matrix(queries, width), _matrix(shard, width)[order])
+    ids, product = ids[order], scores(queries, shard[order])
     out = []
     for q, row in zip(query_ids, product, strict=True):
         others = np.flatnonzero(ids != q)
@@ -72,7 +100,8 @@ def tile_best(query_ids, queries, ids, shard, k: int) -> tuple[np.ndarray, np.nd
             keep = np.flatnonzero(values >= least)
         else:
             keep = np.arange(len(values))
-        best = keep[np.lexsort((ids[others[keep]], -values[keep].astype(float) if abs(values[keep]).max(initial=0) < 2**53 else np.array([-int(v) for v in values[keep]], object)))[:k]]
+        # Ids ascend, so a stable sort by score leaves ties in their order; ~ turns the order of integers without overflow.
+        best = keep[np.argsort(~values[keep], kind="stable")[:k]]
         out.append((np.full(len(best), q), ids[others[best]], values[best]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
@@ -83,7 +112,7 @@ def _merged(lists: DataFrame, k: int, *group: str) -> DataFrame:
     return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile: int = TILE, query_block: int = QUERY_BLOCK, fan_in: int = FAN_IN) -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile: int = TILE, query_block: int | None = None, fan_in: int = FAN_IN, task_shards: int = TASK_SHARDS) -> DataFrame:
     """For each query row its k greatest inner products among all other rows, ties to smaller ids.
 
     Takes columns vec_id and embedding; is_query is a condition on vec_id. Other columns are
@@ -93,32 +122,51 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile: int = T
     rows that repeat an id each count, and a query that repeats takes its smallest vector. A query with fewer than k
     candidates returns all; an empty table none.
 
-    Each block of queries meets each shard once, as one matrix product whose best k are
-    selected at once; the lists of FAN_IN shards merge at a time, so no task gets more than
-    FAN_IN * k rows of a query however many shards there are.
+    A block holds as many queries as fit into BLOCK_BYTES (or query_block), so shards are copied
+    once for each so many queries; blocks are copied once for each task of at most TASK_SHARDS
+    shards. Lists of FAN_IN shards merge at a time, on as many levels as there are shards for, so
+    no task gets more than about FAN_IN * k rows of a query.
     """
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = "id is not null and vector is not null"
     rows = vectors.select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("vector")).where(known)
     queries = vectors.where(is_query).select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).alias("vector")).where(known)
-    queries = queries.groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = max(1, -(-queries.count() // query_block))
-    salts = max(1, -(-n // blocks))
-    packed = queries.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list("id").alias("q_ids"), F.collect_list("vector").alias("q_vectors"))
-    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    shards = _tiles(rows, tile, "shard").withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(salts)))
-    # Each shard goes once to each block of queries: rows of the join are shards times blocks.
-    grid = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, ["block", "salt"])
+    queries = stored(queries.groupBy("id").agg(F.min("vector").alias("vector")), "queries")
+    counted = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("width")).first()
+    block = query_block or max(QUERY_TILE, BLOCK_BYTES // (8 * max(1, counted["width"])))
+    blocks = max(1, -(-counted["n"] // block))
+    shards = stored(_tiles(rows, tile), "shards")
+    n_shards = shards.count()
+    salts = max(1, min(n_shards, n), -(-n_shards // task_shards))
+    salt = lambda: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+
+    def pack(key, pdf):
+        return pd.DataFrame({"block": [key[0]], **_packed_row(pdf["id"], pdf["vector"])})
+
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInPandas(pack, f"block long, {PACKED}")
+    asked = stored(asked, "blocks").withColumn("salt", salt())
+    dealt = shards.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(salts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     schema = T.StructType([T.StructField(x, T.LongType()) for x in ("query_id", "shard", "vec_id", "score")])
 
-    def products(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                q, i, s = tile_best(r.q_ids, r.q_vectors, r.ids, r.vectors, k)
-                yield pd.DataFrame({"query_id": q, "shard": np.full(len(q), r.shard), "vec_id": i, "score": s})
-
-    lists = grid.mapInPandas(products, schema)
-    group = F.pmod(F.xxhash64("shard"), F.lit(fan_in * fan_in))
-    lists = _merged(lists.withColumn("g", group), k, "g").withColumn("g", F.pmod("g", F.lit(fan_in)))
-    lists = _merged(lists.drop("rank"), k, "g")
-    return _merged(lists.drop("rank", "g"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def matrix(r) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(r.ids, "<i8")
+        return ids, unpacked(r.vectors, r.size, r.width, len(ids))
+
+    def products(own: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for q in own.itertuples():
+            q_ids, q_vectors = matrix(q)
+            for r in tiles.itertuples():
+                ids, shard = matrix(r)
+                for at in range(0, len(q_ids), QUERY_TILE):
+                    found = tile_best(q_ids[at : at + QUERY_TILE], q_vectors[at : at + QUERY_TILE], ids, shard, k)
+                    out.append((found[0], np.full(len(found[0]), r.shard), *found[1:]))
+        return pd.DataFrame(dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {x: np.zeros(0, np.int64) for x in schema.names})
+
+    lists = asked.groupBy("block", "salt").cogroup(dealt.groupBy("block", "salt")).applyInPandas(products, schema)
+    # A number for each shard, its digits to the base fan_in being its way through the tree.
+    levels = max(1, math.ceil(math.log(max(2, n_shards), fan_in)))
+    lists = lists.withColumn("g", F.pmod(F.xxhash64("shard"), F.lit(fan_in**levels))).drop("shard")
+    for level in range(levels - 1, 0, -1):
+        lists = _merged(lists.withColumn("g", F.pmod("g", F.lit(fan_in**level))), k, "g").drop("rank")
+    return _merged(lists.drop("g"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
