@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracelode.llm import gam, html_text, licenses, media
 
@@ -187,8 +188,6 @@ def test_quality_on_held_out_labels(spark):
 
 def test_quality_never_learns_from_held_out(spark, sf):
     """Other labels of held-out rows change nothing."""
-    from pyspark.sql import functions as F
-
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     turned = labels.withColumn("quality", F.when(gam.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = ({x.doc_id: x.score for x in gam.classify_quality(docs, y).collect()} for y in (labels, turned))
@@ -204,8 +203,6 @@ def test_quality_held_out_law(spark):
 
 def test_quality_takes_the_same_text_of_repeated_ids(spark):
     """Several texts of one id: the one of the smallest hash is learnt from, however rows are dealt."""
-    from pyspark.sql import functions as F
-
     rows = [(i, text) for i in range(60) for text in ("Plain words stand here, one after another. " * (i % 7 + 1), "a ## !! " * (i % 5 + 1))]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     models = [gam.learn(docs.repartition(n, *by), labels) for n, by in ((1, ()), (6, ()), (4, (F.col("text"),)))]
@@ -259,6 +256,75 @@ def test_pages_template_finds_the_slot(spark):
     assert slot.endswith("/div.content")
 
 
+def of_host(spark, pages, url="http://h.example/"):
+    rows = [(i, url, page) for i, page in enumerate(pages)]
+    found = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    return [x.text for x in sorted(found.collect(), key=lambda x: x.page_id)]
+
+
+def test_template_text_in_the_slot_is_taken_out(spark):
+    """A notice and a list of links of neutral names, inside the slot: the same on the host's pages, or links that change."""
+    page = '<body><div class="q1"><div class="x7">We use cookies</div><div class="k9"><a href="/">go {n}</a> <a href="/">on {n}</a></div><h2>Head {n}</h2><p>Body text {n} here, of some more words than what is around it</p><p class="end">Read us daily</p></div></body>'
+    assert of_host(spark, [page.format(n=i) for i in range(6)]) == [f"Head {i} Body text {i} here, of some more words than what is around it" for i in range(6)]
+
+
+def test_all_slots_are_returned(spark):
+    """A lead beside the body, neither inside an article element, and a part that some pages lack."""
+    page = '<body><div class="intro">Lead {n} of the page.</div><div class="c"><p>Body {n} text.</p></div>{more}</body>'
+    pages = [page.format(n=i, more=f"<div class='last'><p>Coda {i}</p><p>The end</p></div>" if i % 3 else "") for i in range(9)]
+    assert of_host(spark, pages) == [f"Lead {i} of the page. Body {i} text." + (f" Coda {i}" if i % 3 else "") for i in range(9)]
+
+
+def test_classes_out_of_order_are_no_template(spark):
+    """Two runs that every page has, but not in one order, are text of the pages."""
+    parts = ["<p class='a'>First say</p>", "<p class='b'>Then say</p>"]
+    pages = [f"<body><div>{''.join(parts if i % 2 else parts[::-1])}<p class='c'>Own text of page {i} which is longer</p></div></body>" for i in range(6)]
+    own = [f"Own text of page {i} which is longer" for i in range(6)]
+    assert of_host(spark, pages) == [("First say Then say " if i % 2 else "Then say First say ") + own[i] for i in range(6)]
+    # In one order they are the template's.
+    assert of_host(spark, [x.replace("".join(parts[::-1]), "".join(parts)) for x in pages]) == own
+
+
+def test_copies_of_one_article_keep_their_text(spark):
+    pages = ["<body><div><p>The very same article</p><p>in every page</p></div></body>"] * 5
+    assert of_host(spark, pages) == ["The very same article in every page"] * 5
+
+
+def brute_classes(pages):
+    """Occurrence vectors as they are: classes of two tokens or more that stand once in each of at least half of the pages."""
+    counts = [{html_text.number(t): x[2] for t, x in html_text.page_tokens(p).items()} for p in pages]
+    vectors = {}
+    for token in set().union(*counts):
+        vector = tuple(c.get(token, 0) for c in counts)
+        if max(vector) == 1 and 2 * sum(vector) >= len(pages):
+            vectors.setdefault(vector, set()).add(token)
+    return {frozenset(x) for x in vectors.values() if len(x) > 1}
+
+
+def test_classes_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(html_text.host_of(F.col("url")).alias("host"), "page_id", "html").collect()
+    hosts = {}
+    for x in pages:
+        hosts.setdefault(x.host, []).append(x)
+    name, own = max(hosts.items(), key=lambda x: len(x[1]))
+    assert len(own) >= html_text.RUN_PAGES
+    marked = spark.createDataFrame([(name, x.page_id, x.html) for x in own], "host string, mark long, html string")
+    found = {}
+    for x in html_text.classes(marked).collect():
+        found.setdefault(x["class"], set()).add(x.token)
+    assert {frozenset(x) for x in found.values()} == brute_classes([x.html for x in own])
+
+
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+
+    page = "<div>" * 30_000 + "deep" + "</span>" * 30_000
+    tracemalloc.start()
+    assert html_text.main_text(page, None) == "deep"
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_pages_edges(spark):
     schema = "page_id long, url string, html string, host string, slot string, text string, mark long"
     rows = [(1, None, None), (2, "nonsense", ""), (None, "http://a.example/", "<p>open <i>never closed"), (3, "http://a.example/", "plain text &amp; no tags"), (4, "http://a.example/", "<<>><p attr='x>y</p>"), (4, "http://a.example/", "<p>same</p>"), (5, "http://b.example/", "<div>" * 3000 + "deep")]

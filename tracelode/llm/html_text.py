@@ -2,14 +2,18 @@
 
 A page is a sequence of tokens: tags, told apart by their name, class and id and by the tags
 around them, and text runs, told apart by their place and words. Over the pages of a host,
-tokens with the same occurrence vector (how often each page has them) form a class; a class that
-most pages have, in one order and well nested, belongs to the host's template. The template's
-elements that stand once in a page enclose its slots, and the slot that holds the article is
-cut out of each page.
+tokens with the same occurrence vector (how often each page has them) form a class. A class
+that most pages have is valid if its tags open and close, and its runs stand, in one order and
+nesting on every page that has it. The valid class that all pages have is the template's root;
+a class that some pages lack is nested into it where its tokens always lie in the same gaps of
+the root. The template's tokens are taken out of each page: its text runs, and its elements that
+hold links for the most part; what remains in the article's element, or on the page where no
+element of the template is one, is the main text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from collections import Counter
@@ -21,9 +25,11 @@ from pyspark.sql.window import Window
 
 from tracelode.llm.common import stored
 
-#: A class's tokens stand in at least this share of a host's pages; the article's element holds this share of free text.
+#: A class's tokens stand in at least this share of a host's pages; an article or main element is the slot if it holds this share of free text.
 SUPPORT = 0.5
 SLOT_SHARE = 0.6
+#: Text runs are the template's on hosts of so many pages at least; on fewer, they may be copies of one article.
+RUN_PAGES = 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea template noscript svg annotation annotation-xml iframe object canvas select title".split())
@@ -68,7 +74,7 @@ def noise_words(name: str, attrs: dict[str, str]) -> set[str]:
     return set(re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())) & NOISE
 
 
-def wrappers(page: str) -> frozenset[int]:
+def wrappers(parsed: list[tuple]) -> frozenset[int]:
     """Where elements open that names call noise though they hold an article or main element, most of the
     text of a page without one, or are parts of an article (see WEAK)."""
     enclosing: dict[int, int] = {}
@@ -76,7 +82,7 @@ def wrappers(page: str) -> frozenset[int]:
     size, links, total = Counter(), Counter(), 0
     holds: set[int] = set()
     semantic = False
-    for kind, _, name, noise, text, (own, words, inside, link) in walk(page, None):
+    for kind, _, name, noise, text, (own, words, inside, link) in parsed:
         if kind in ("open", "named"):
             if words:
                 enclosing[own[-1]] = own[0]
@@ -100,26 +106,44 @@ def wrappers(page: str) -> frozenset[int]:
 
 
 def events(page: str, names: bool = True):
-    """(kind, path, name, noise, text): 'open', 'close' or 'text' in page order; text runs are undecoded.
+    """(kind, path, name, noise, text, link): 'open', 'close' or 'text' in page order; text runs are undecoded.
 
-    path names the open elements, each with its class and id; noise says whether any of them,
-    or the element itself, is no part of an article. Raw elements are passed over whole.
-    Without names, class and id names mark no noise.
+    path stands for the open elements, each with its class and id; noise says whether any of them,
+    or the element itself, is no part of an article; link whether a text is in a link. Raw elements
+    are passed over whole. Without names, class and id names mark no noise.
     """
-    spared = wrappers(page) if names else None
-    for event in walk(page, spared):
-        if event[0] != "named":
-            yield event[:5]
+    parsed = list(walk(page))
+    marked = {-1: False}
+    if names and any(words for *_, (_, words, _, _) in parsed):
+        spared = wrappers(parsed)
+        for *_, (own, words, _, _) in parsed:
+            if words:
+                marked[own[-1]] = marked[own[0]] or own[-1] not in spared
+    for kind, path, name, noise, text, (own, _, _, link) in parsed:
+        if kind != "named":
+            yield kind, path, name, noise or marked.get(own[-1], False), text, link
+
+
+def short_hash(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
 
+def number(token: str) -> int:
+    """A token as a 64-bit number."""
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-#: Of an open element: its path, noise, where the nearest element with noise words opens, and whether it is inside an article and inside a link.
-ROOT = ("", False, -1, False, False)
+
+#: Of an open element: its path, noise, where the nearest element with noise words opens, whether it is inside an article and inside a link, and its depth.
+ROOT = ("", False, -1, False, False, 0)
 NOTHING = ((-1,), (), False, False)
+ENDS = frozenset("p li td th tr option dt dd".split())
 
 
-def walk(page: str, spared: frozenset[int] | None):
-    """The events, each with what wrappers needs; noise words count but for the spared places, or not at all without any."""
+def walk(page: str):
+    """The events, each with what wrappers needs. A path is the hash of the path around it, and its own step, so it is short at any depth."""
     stack: list[tuple] = []
+    open_names: Counter[str] = Counter()
+    paths: dict[tuple[str, str], str] = {}
     at, n = 0, len(page)
     state = ROOT
     while at < n:
@@ -134,15 +158,16 @@ def walk(page: str, spared: frozenset[int] | None):
         if not name:
             continue
         if m["close"] or m["close2"]:
-            if any(x[0] == name for x in stack):
+            if open_names[name]:
                 while True:
                     top, path, noise, *_ = stack.pop()
+                    open_names[top] -= 1
                     yield "close", path, top, noise, "", NOTHING
                     if top == name:
                         break
                 state = stack[-1][1:] if stack else ROOT
             elif name == "p":
-                yield "close", state[0], "p", state[1], "", NOTHING
+                yield "close", "", "p", state[1], "", NOTHING
             continue
         rest = m["rest"] or m["rest2"] or ""
         if rest.endswith("/") and (name == "svg" or name in MATH):
@@ -152,104 +177,179 @@ def walk(page: str, spared: frozenset[int] | None):
             at = end.end() if end else n if name in ENDLESS else at
             continue
         if name in VOID:
-            yield "open", state[0], name, state[1], "", NOTHING
+            yield "open", state[0], name, state[1], "", ((state[2],), (), state[3], state[4])
             continue
         attrs = attributes(rest)
-        if name in ("p", "li", "td", "th", "tr", "option", "dt", "dd") and stack and stack[-1][0] == name:
+        if name in ENDS and stack and stack[-1][0] == name:
             top, path, noise, *_ = stack.pop()
+            open_names[top] -= 1
             yield "close", path, top, noise, "", NOTHING
             state = stack[-1][1:] if stack else ROOT
         if name in INLINE:
             key = state[0]
         else:
-            key = f"{state[0]}/{name}" + "".join(f".{x}" for x in sorted(attrs.get("class", "").lower().split())) + (f"#{attrs['id']}" if attrs.get("id") and not re.search(r"\d", attrs["id"]) else "")
+            step = name + "".join(f".{x}" for x in sorted(attrs.get("class", "").lower().split())) + (f"#{attrs['id']}" if attrs.get("id") and not re.search(r"\d", attrs["id"]) else "")
+            key = paths.get((state[0], step))
+            if key is None:
+                key = paths[state[0], step] = f"{short_hash(state[0])}/{step}"
         words = noise_words(name, attrs)
-        noise = state[1] or noisy(name, attrs) or (spared is not None and bool(words) and m.start() not in spared)
+        noise = state[1] or noisy(name, attrs)
         if words or name not in INLINE:
-            yield "open" if name not in INLINE else "named", key, name, noise, "", ((state[2], m.start()), words, state[3], state[4])
-        state = (key, noise, m.start() if words else state[2], state[3] or name in ("article", "main"), state[4] or name == "a")
+            own = (state[2], m.start()) if words else (state[2],)
+            yield "open" if name not in INLINE else "named", key, name, noise, "", (own, words, state[3], state[4])
+        state = (key, noise, m.start() if words else state[2], state[3] or name in ("article", "main"), state[4] or name == "a", state[5] + (name not in INLINE))
         stack.append((name, *state))
+        open_names[name] += 1
     while stack:
         name, path, noise, *_ = stack.pop()
         yield "close", path, name, noise, "", NOTHING
 
 
-def page_tokens(page: str) -> tuple[Counter, dict[str, int], Counter, dict[str, str]]:
-    """Of one page: how often each token stands, the order of first places, free text under each element, and names."""
-    count, first, chars, names = Counter(), {}, Counter(), {}
-    for i, (kind, path, name, noise, text) in enumerate(events(page)):
-        if kind == "open" and name not in VOID and name not in INLINE:
-            count[path] += 1
-            first.setdefault(path, i)
-            names[path] = name
-        elif kind == "text" and not text.isspace():
-            if not noise:
-                step = path
-                while step:
-                    chars[step] += len(text)
-                    step = step.rpartition("/")[0]
-            words = " ".join(text.split())
-            count[f"{path}\x00{words}"] += 1
-            first.setdefault(f"{path}\x00{words}", i)
-    return count, first, chars, names
+def is_element(name: str) -> bool:
+    return name not in VOID and name not in INLINE
+
+
+def run_token(path: str, text: str) -> str:
+    return f"{path}\x00{short_hash(' '.join(text.split()))}"
 
 
-TOKENS = "host string, token string, name string, times int, place int, chars long, page long"
+TOKENS = "host string, token long, path string, name string, times int, place int, depth int, chars long, links long, page long"
+
+
+def page_tokens(page: str) -> dict[str, list]:
+    """Of one page's tokens: path (of elements), name, times, first place, depth, and the free text and link text under each element."""
+    out: dict[str, list] = {}
+    under: list[list] = []  # of open elements: path, free text, link text
+    for i, (kind, path, name, noise, text, link) in enumerate(events(page)):
+        if kind == "open" and is_element(name):
+            token = out.setdefault(path, [path, name, 0, i, len(under), 0, 0])
+            token[2] += 1
+            under.append([path, 0, 0])
+        elif kind == "close" and path and is_element(name):
+            _, chars, links = under.pop()
+            out[path][5] += chars
+            out[path][6] += links
+            if under:
+                under[-1][1] += chars
+                under[-1][2] += links
+        elif kind == "text" and not text.isspace():
+            if not noise and under:
+                under[-1][1] += len(text)
+                under[-1][2] += len(text) if link else 0
+            out.setdefault(run_token(path, text), ["", "", 0, i, len(under), 0, 0])[2] += 1
+    return out
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """One row for each page and distinct token (of text runs a digest) from rows (host, mark, html)."""
+    """One row for each page and distinct token from rows (host, mark, html)."""
     def read(batches):
-        import hashlib
-
         for pdf in batches:
             out = []
             for host, mark, page in zip(pdf["host"], pdf["mark"], pdf["html"], strict=True):
-                count, first, chars, names = page_tokens(page)
-                for token, n in count.items():
-                    path, run, words = token.partition("\x00")
-                    key = hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if run else ""
-                    out.append((host, f"{path}\x00{key}" if run else path, "" if run else names[path], n, first[token], chars[path] if not run else 0, mark))
+                out += [(host, number(token), *x, mark) for token, x in page_tokens(page).items()]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in TOKENS.split(", ")])
 
     return pages.mapInPandas(read, TOKENS)
 
 
-def templates(pages: DataFrame, support: float = SUPPORT, slot_share: float = SLOT_SHARE) -> DataFrame:
-    """(host, slot): the element that encloses the article in each host's template, where there is one.
+def classes(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """The frequent classes of each host that may be of its template: a row for each token, with its class and whether that is the root.
 
     Occurrence vectors are compared by a sum of hashes of (page, times) over the pages, with
     their number and the sum of times. Tokens are summed up by host in each task first, so a
-    host with many pages costs no more than its distinct tokens. The class of the host's root
-    elements is that of tokens standing once in each page; its elements, in the order of
-    their mean place, nest by their paths, and the innermost that holds slot_share of the
-    free text is the slot; an article or main element goes before others.
+    host with many pages costs no more than its distinct tokens. Of a host there are no more
+    frequent tokens than 1 / support times those of a page.
     """
     seen = tokens(pages).where("host is not null")
     one = F.xxhash64("page", "times").cast("decimal(38,0)")
     grouped = seen.groupBy("host", "token").agg(
-        F.first("name").alias("name"), F.sum(one).alias("vector"), F.count("*").alias("pages"), F.sum("times").alias("times"),
-        F.avg("place").alias("place"), F.sum("chars").alias("chars"),
+        F.first("path").alias("path"), F.first("name").alias("name"), F.sum(one).alias("vector"), F.count("*").alias("pages"), F.sum("times").alias("times"),
+        F.avg("place").alias("place"), F.first("depth").alias("depth"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
     )
     counted = pages.where("host is not null").groupBy("host").agg(F.count("*").alias("all_pages"))
     grouped = grouped.where("pages > 1 or name <> ''").join(counted, "host")
-    classes = Window.partitionBy("host", "vector", "pages", "times")
-    grouped = grouped.where(F.col("pages") >= support * F.col("all_pages")).withColumn("members", F.count("*").over(classes))
-    # A class of one token says nothing about the template; each frequent class has a few tokens of a page at most.
-    valid = grouped.where("members > 1 and name <> '' and times = pages and chars > 0")
-    host = Window.partitionBy("host")
-    valid = valid.withColumn("most", F.max("chars").over(host)).where(F.col("chars") >= slot_share * F.col("most"))
+    grouped = grouped.where((F.col("pages") >= support * F.col("all_pages")) & (F.col("times") == F.col("pages")))
+    # Runs are template text only on hosts of several pages.
+    grouped = grouped.where((F.col("name") != "") | (F.col("all_pages") >= RUN_PAGES))
+    grouped = grouped.withColumn("class", F.xxhash64("vector", "pages")).withColumn("root", F.col("pages") == F.col("all_pages"))
+    # A class of one token says nothing about the template.
+    return grouped.withColumn("members", F.count("*").over(Window.partitionBy("host", "class"))).where("members > 1").drop("vector", "members", "times")
+
+
+def class_orders(page: str, of: dict[int, tuple[int, bool]]) -> dict[int, int]:
+    """For each class on the page a hash of how its tokens follow each other and open and close; of other classes than the root also of the root's gaps that they lie in.
+
+    of: for each token its class and whether that is the root.
+    """
+    order: dict[int, list[str]] = {}
+    gap = 0
+    numbers: dict[str, int] = {}
+    for kind, path, name, _, text, _ in events(page):
+        if kind == "text":
+            token = "" if text.isspace() else run_token(path, text)
+        else:
+            token = path if is_element(name) else ""
+        if not token:
+            continue
+        known = numbers.get(token)
+        if known is None:
+            known = numbers[token] = number(token)
+        if known in of:
+            own, root = of[known]
+            gap += root
+            order.setdefault(own, []).append(f"{kind[0]}{known}" if root else f"{kind[0]}{known}@{gap}")
+    return {own: number(" ".join(steps)) for own, steps in order.items()}
+
+
+def templates(pages: DataFrame, support: float = SUPPORT, slot_share: float = SLOT_SHARE) -> DataFrame:
+    """(host, slot, runs, menus) of each host's template: the element that encloses the article, its text runs, and its elements of links.
+
+    A class is part of the template if all pages that have it agree on its order. The slot is an
+    article or main element that holds slot_share of the free text, else the innermost element
+    that holds all of it; menus are elements whose free text is in links for the most part.
+    """
+    marked = pages.where("host is not null")
+    found = stored(classes(marked, support), "classes")
+    listed = found.groupBy("host").agg(F.collect_list(F.struct("token", "class", "root")).alias("of"))
+
+    def orders(batches):
+        last, of = None, {}
+        for pdf in batches:
+            out = []
+            for host, page, rows in zip(pdf["host"], pdf["html"], pdf["of"], strict=True):
+                if host != last:
+                    last, of = host, {x["token"]: (x["class"], bool(x["root"])) for x in rows}
+                out += [(host, own, order) for own, order in class_orders(page, of).items()]
+            yield pd.DataFrame(out, columns=["host", "class", "order"])
+
+    agreed = marked.join(listed, "host").select("host", "html", "of").mapInPandas(orders, "host string, class long, order long")
+    valid = agreed.groupBy("host", "class").agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low = high").select("host", "class")
+    kept = found.join(valid, ["host", "class"], "left_semi")
+    most = kept.groupBy("host").agg(F.max("chars").alias("most"))
+    kept = kept.join(most, "host")
     semantic = F.col("name").isin("article", "main")
-    best = F.max_by("token", F.struct(semantic, F.length(F.regexp_replace("token", "[^/]", "")), F.col("place"), "token"))
-    return valid.groupBy("host").agg(best.alias("slot"))
+    slot = (F.col("name") != "") & F.col("root") & (F.col("chars") > 0) & (F.col("chars") >= F.when(semantic, slot_share).otherwise(1.0) * F.col("most"))
+    menu = (F.col("name") != "") & (F.col("chars") > 0) & (2 * F.col("links") > F.col("chars"))
+    return kept.groupBy("host").agg(
+        F.max_by(F.when(slot, F.col("path")), F.when(slot, F.struct(semantic, "depth", "place", "path"))).alias("slot"),
+        F.collect_list(F.when(F.col("name") == "", F.col("token"))).alias("runs"), F.collect_list(F.when(menu, F.col("token"))).alias("menus"))
+
 
+NONE: frozenset[int] = frozenset()
 
-def blocks(page: str, slot: str | None, marks: bool = True) -> list[str]:
-    """The text blocks inside the slot's element, or inside the page's article, main or densest element without it."""
+
+def blocks(page: str, slot: str | None, marks: bool = True, runs: frozenset[int] = NONE, menus: frozenset[int] = NONE) -> tuple[list[str], int]:
+    """The text blocks inside the slot's element, or of the whole page without one, and how much text of them the template's runs and menus took."""
     out: list[str] = []
     run: list[str] = []
-    inside = 0
+    inside = skipped = taken = 0
     found = False
+    numbers: dict[str, bool] = {}
+
+    def is_menu(path: str) -> bool:
+        if path not in numbers:
+            numbers[path] = path != slot and number(path) in menus
+        return numbers[path]
 
     def flush() -> None:
         words = " ".join(html_lib.unescape("".join(run)).split())
@@ -257,17 +357,23 @@ def blocks(page: str, slot: str | None, marks: bool = True) -> list[str]:
             out.append(words)
         run.clear()
 
-    for kind, path, name, noise, text in events(page, marks):
-        if slot is not None and kind == "open" and path == slot and name not in VOID and not noise:
+    for kind, path, name, noise, text, _ in events(page, marks):
+        element = kind != "text" and bool(path) and is_element(name)
+        if element and menus and is_menu(path):
+            skipped += 1 if kind == "open" else -1
+        if slot is not None and kind == "open" and path == slot and element and not noise:
             inside, found = inside + 1, True
             flush()
-        elif slot is not None and kind == "close" and path == slot and name not in INLINE and inside and path.rpartition("/")[2].split(".")[0].split("#")[0] == name:
+        elif slot is not None and kind == "close" and path == slot and element and inside:
             flush()
             inside -= 1
         elif inside or slot is None:
             if kind == "text":
                 if not noise:
-                    run.append(text)
+                    if skipped or (runs and not text.isspace() and number(run_token(path, text)) in runs):
+                        taken += len(text)
+                    else:
+                        run.append(text)
             elif name not in INLINE:
                 if name in VOID:
                     if name in ("br", "hr"):
@@ -275,23 +381,28 @@ def blocks(page: str, slot: str | None, marks: bool = True) -> list[str]:
                 else:
                     flush()
     flush()
-    return out if found or slot is None else []
+    return (out, taken) if found or slot is None else ([], 0)
 
 
-def main_text(page: str, slot: str | None) -> str:
+def main_text(page: str, slot: str | None, runs: frozenset[int] = NONE, menus: frozenset[int] = NONE) -> str:
     """The article's text: blocks in page order joined by one space.
 
     Where the page lacks the host's slot, or the host has none: the page's article or main
-    element with most text, else all of the page that isn't marked as something else, or marked by names alone.
+    element with most text, else all of the page that isn't marked as something else, or marked
+    by names alone. A page of which the template's text would be more than half is itself
+    what the host's pages copy, and keeps it.
     """
-    found = blocks(page, slot) if slot else []
+    def read(where: str | None) -> list[str]:
+        found, taken = blocks(page, where, True, runs, menus)
+        return blocks(page, where)[0] if taken > sum(map(len, found)) else found
+
+    found = read(slot) if slot else []
     if not found:
-        _, _, chars, names = page_tokens(page)
-        own = [path for path, name in names.items() if name in ("article", "main") and chars[path]]
-        found = blocks(page, max(own, key=lambda p: (chars[p], p)) if own else None)
+        own = [(x[5], path) for path, x in page_tokens(page).items() if x[1] in ("article", "main") and x[5]]
+        found = read(max(own)[1] if own else None)
     if not found:
         # Names alone never empty a page.
-        found = blocks(page, None, marks=False)
+        found = blocks(page, None, marks=False)[0]
     return " ".join(found)
 
 
@@ -309,14 +420,17 @@ def extract_main_text(pages: DataFrame, support: float = SUPPORT, slot_share: fl
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     marked = rows.select("host", F.xxhash64("page_id", "url").alias("mark"), "html")
-    # One short row for each host; a join, as hosts may be many. A hot host's rows need no common task.
-    slots = stored(templates(marked, support, slot_share), "templates")
-    joined = rows.join(slots, "host", "left")
+    # One row for each host, of no more tokens than a page has; a join, as hosts may be many. A hot host's rows need no common task.
+    known = stored(templates(marked, support, slot_share), "templates")
+    joined = rows.join(known, "host", "left")
 
     def extract(batches):
         for pdf in batches:
-            text = [main_text(page, slot if isinstance(slot, str) else None) for page, slot in zip(pdf["html"], pdf["slot"], strict=True)]
+            text = []
+            for page, slot, runs, menus in zip(pdf["html"], pdf["slot"], pdf["runs"], pdf["menus"], strict=True):
+                sets = (frozenset(x) if x is not None else NONE for x in (runs, menus))
+                text.append(main_text(page, slot if isinstance(slot, str) else None, *sets))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "slot").mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "slot", "runs", "menus").mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long")
