@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Commands that check a repository, by the words that must follow them (none: always).
-ALWAYS = ("pytest", "mypy", "tox", "nox")
+ALWAYS = ("pytest", "mypy", "tox", "nox", "gradle", "gradlew", "mvn", "mvnw")
 FIRST_WORD = {"ruff": ("check", "format"), "cargo": ("build", "check", "test"), "go": ("build", "test", "vet")}
 ANY_WORD = {"make": ("check", "ci", "lint", "test")}
 PACKAGE_RUNNERS = ("npm", "pnpm", "yarn", "bun")
@@ -56,3 +56,30 @@ def verification(commands: pd.Series) -> pd.Series:
     """check_name of each command; each distinct command is read once."""
     known = {c: check_name(c) for c in commands.dropna().unique()}
     return commands.map(known).astype(object).where(commands.notna(), None)
+
+
+def evidence(facts: list[dict], limit: int) -> list[str]:
+    """Ids of the facts that stand for an episode, in order of place: the opening, then by priority, each with the fact that it refers to.
+
+    facts: at (event_index, fact_ordinal), priority, opening, fact_id, and needs, the id of the
+    fact that it refers to or null. A fact that no longer fits with what it needs is passed over.
+    """
+    chosen: set[str] = set()
+    order = sorted(facts, key=lambda f: (f["priority"], f["at"]["event_index"], f["at"]["fact_ordinal"]))
+    known = {f["fact_id"] for f in facts}
+    for f in [*(f for f in order if f["opening"]), *order]:
+        if len(chosen) == limit:
+            break
+        with_it = {f["fact_id"], *([f["needs"]] if f["needs"] in known else [])} - chosen
+        if f["fact_id"] not in chosen and len(chosen) + len(with_it) <= limit:
+            chosen |= with_it
+    return [f["fact_id"] for f in sorted(facts, key=lambda f: (f["at"]["event_index"], f["at"]["fact_ordinal"])) if f["fact_id"] in chosen]
+
+
+def evidence_column(limit: int):
+    """A function of an array column of facts: evidence of each row."""
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def chosen(facts: pd.Series) -> pd.Series:
+        return facts.map(lambda rows: None if rows is None else evidence(list(rows), limit))
+
+    return chosen

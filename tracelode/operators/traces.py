@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelode.functions import columns as C
-from tracelode.functions.arrow import verification
+from tracelode.functions.arrow import evidence_column, verification
 from tracelode.functions.tables import running_sum
 
 #: At most so many facts are evidence of one experience.
@@ -207,31 +207,38 @@ def priority() -> Column:
     """Of facts for evidence: failures, verifications, actions, user messages, then the rest."""
     return (
         F.when(F.col("outcome") == "failure", 0).when(F.col("fact_kind") == "verification", 1)
-        .when(F.col("fact_kind").isin("file_change", "command"), 2).when((F.col("fact_kind") == "message") & (F.col("role") == "user"), 3).otherwise(4)
+        .when(F.col("fact_kind").isin("file_change", "command", "tool_call"), 2).when((F.col("fact_kind") == "message") & (F.col("role") == "user"), 3).otherwise(4)
     )
 
 
 def experiences(fact_rows: DataFrame, limit: int = EVIDENCE) -> DataFrame:
     """One task experience for each episode: title, goal, actions, blockers, checks and the evidence's ids.
 
-    Evidence is at most limit facts in the order of priority, then of place; a fact is taken
-    with the call that it refers to. Lists keep the order of places.
+    Evidence is at most limit facts: the opening, then in the order of priority and place, each
+    with the call or command that it refers to; one that doesn't fit with it is passed over.
+    Lists keep the order of places. They are bounded by the import's limit of a session.
     """
     place = F.struct("event_index", "fact_ordinal")
-    ranked = Window.partitionBy("session_id", "episode").orderBy(priority(), "event_index", "fact_ordinal")
-    rows = fact_rows.withColumn("_rank", F.row_number().over(ranked)).withColumn("_in", F.col("_rank") <= limit)
     ordered = lambda condition, value: F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct(place.alias("p"), value.alias("v"))))), lambda x: x["v"])
     goal = (F.col("fact_kind") == "message") & (F.col("role") == "user")
+    refers = F.when(F.col("fact_kind") == "tool_result", "tool_call").when(F.col("fact_kind").isin("command_result", "verification"), "command")
+    sides = fact_rows.where("fact_kind in ('tool_call', 'command')").select("session_id", "episode", F.col("event_index").alias("call_index"), F.col("fact_kind").alias("_refers"), F.col("fact_id").alias("needs"))
+    rows = fact_rows.withColumn("_refers", refers).join(sides, ["session_id", "episode", "call_index", "_refers"], "left")
+    one = F.struct(place.alias("at"), priority().alias("priority"), "fact_id", "needs")
     out = rows.groupBy("session_id", "episode").agg(
-        F.min(F.when(goal, F.struct(place.alias("p"), F.col("value").alias("v"))))["v"].alias("goal"),
+        F.min(F.when(goal, F.struct(place.alias("p"), F.col("value").alias("v"), F.col("fact_id").alias("id")))).alias("_goal"),
         ordered(F.col("fact_kind").isin("file_change", "command", "tool_call"), F.col("value")).alias("actions"),
         ordered(F.col("outcome") == "failure", F.col("value")).alias("blockers"),
         ordered(F.col("fact_kind") == "verification", F.col("fact_id")).alias("verification_ids"),
-        ordered(F.col("_in"), F.col("fact_id")).alias("evidence_ids"),
+        F.array_sort(F.collect_list(one)).alias("_facts"),
         F.count("*").alias("n_facts"),
     )
+    marked = F.transform("_facts", lambda f: F.struct(f["at"].alias("at"), f["priority"].alias("priority"), F.coalesce(f["fact_id"] == F.col("_goal.id"), F.lit(False)).alias("opening"), f["fact_id"].alias("fact_id"), f["needs"].alias("needs")))
+    # All facts of an episode within the limit are evidence; only longer ones are chosen from.
+    long = evidence_column(limit)(F.when(F.col("n_facts") > limit, marked))
     first_line = F.element_at(F.concat(C.lines(F.col("goal"), 1), F.array(F.lit("Untitled task"))), 1)
-    return out.withColumn("title", C.byte_cut(first_line, TITLE_BYTES))
+    out = out.withColumn("goal", F.col("_goal.v")).withColumn("evidence_ids", F.coalesce(long, F.transform("_facts", lambda f: f["fact_id"])))
+    return out.withColumn("title", C.byte_cut(first_line, TITLE_BYTES)).drop("_goal", "_facts")
 
 
 def workstream_keys(text: Column, episode_key: Column, repo_key: Column) -> Column:

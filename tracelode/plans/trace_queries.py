@@ -131,7 +131,7 @@ def trc14_facts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(FACTS_SQL + """,
     r AS (
-        SELECT *, row_number() OVER (PARTITION BY session_id, episode ORDER BY CASE WHEN outcome = 'failure' THEN 0 WHEN fact_kind = 'verification' THEN 1 WHEN fact_kind IN ('file_change', 'command') THEN 2 WHEN fact_kind = 'message' AND role = 'user' THEN 3 ELSE 4 END, event_index, fact_ordinal) AS n
+        SELECT *, row_number() OVER (PARTITION BY session_id, episode ORDER BY CASE WHEN outcome = 'failure' THEN 0 WHEN fact_kind = 'verification' THEN 1 WHEN fact_kind IN ('file_change', 'command', 'tool_call') THEN 2 WHEN fact_kind = 'message' AND role = 'user' THEN 3 ELSE 4 END, event_index, fact_ordinal) AS n
         FROM facts)
     SELECT session_id, episode, min_by(value, event_index * 100 + fact_ordinal) FILTER (WHERE fact_kind = 'message' AND role = 'user') AS goal, count(*) AS n_facts,
            coalesce(array_to_string(list(value ORDER BY event_index, fact_ordinal) FILTER (WHERE fact_kind IN ('file_change', 'command', 'tool_call')), '|'), '') AS actions,
@@ -144,6 +144,32 @@ def epi08_experience(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("session_id", "episode", "goal", "n_facts", F.array_join("actions", "|").alias("actions"), F.array_join("blockers", "|").alias("blockers"), F.size("verification_ids").cast("long").alias("verifications"), F.size("evidence_ids").cast("long").alias("evidence"), "title")
 
 
+EVIDENCE_SQL = FACTS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+    ep AS (SELECT * REPLACE (session_id % 7 AS session_id, 0 AS episode), lpad(CAST(event_index AS VARCHAR), 12, '0') || lpad(CAST(fact_ordinal AS VARCHAR), 4, '0') AS place FROM facts),
+    need AS (
+        SELECT e.*, c.fact_id AS needs, CASE WHEN e.outcome = 'failure' THEN 0 WHEN e.fact_kind = 'verification' THEN 1 WHEN e.fact_kind IN ('file_change', 'command', 'tool_call') THEN 2 WHEN e.fact_kind = 'message' AND e.role = 'user' THEN 3 ELSE 4 END AS priority,
+               e.place = min(CASE WHEN e.fact_kind = 'message' AND e.role = 'user' THEN e.place END) OVER (PARTITION BY e.session_id) AS opening
+        FROM ep e LEFT JOIN ep c ON c.session_id = e.session_id AND c.event_index = e.call_index
+             AND c.fact_kind = CASE WHEN e.fact_kind = 'tool_result' THEN 'tool_call' WHEN e.fact_kind IN ('command_result', 'verification') THEN 'command' END),
+    tried AS (SELECT session_id, fact_id, needs, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(opening, false) DESC, priority, place) AS n FROM need),
+    step AS (
+        SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS chosen FROM tried
+        UNION ALL
+        SELECT s.session_id, t.n, CASE WHEN list_contains(s.chosen, t.fact_id) THEN s.chosen
+               WHEN t.needs IS NULL OR list_contains(s.chosen, t.needs) THEN list_append(s.chosen, t.fact_id)
+               WHEN len(s.chosen) + 2 <= 128 THEN list_append(list_append(s.chosen, t.needs), t.fact_id) ELSE s.chosen END
+        FROM step s JOIN tried t ON t.session_id = s.session_id AND t.n = s.n + 1 WHERE len(s.chosen) < 128)
+    SELECT session_id, unnest(max_by(chosen, n)) AS fact_id FROM step GROUP BY session_id
+"""
+
+
+@query(EVIDENCE_SQL)
+def epi07_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Seven long episodes of all sessions' facts, so that evidence has to be chosen."""
+    facts = traces.facts(tool_events(spark, d)).withColumn("session_id", F.col("session_id") % 7).withColumn("episode", F.lit(0).cast("long"))
+    return traces.experiences(facts).select("session_id", F.explode("evidence_ids").alias("fact_id"))
+
+
 @query(f"""
     WITH {EVENTS_SQL},
     k AS (SELECT session_id, event_index, md5(call_id) AS memory_id, kind || coalesce(command, '') AS content FROM ev WHERE call_id IS NOT NULL)
@@ -238,13 +264,28 @@ def val01_violations(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(rules, ",").alias("violations"))
 
 
+PROGRAMS = ("pytest", "mypy", "tox", "nox", "ruff", "make", "npm", "pnpm", "yarn", "bun", "cargo", "go", "gradle", "gradlew", "mvn", "mvnw", "echo")
+ARGUMENTS = ("check", "test", "run test", "run build", "run start", "-q lint", "'vet' ./...", '"format" x', "build", "")
+WRAPPERS = ("", "uv run ", "./", "/usr/bin/", "uv run ./")
+
+
 @query(f"""
-    WITH c AS (SELECT event_id, {[*COMMANDS, 'npm run test', 'ruff --fix .', 'echo open']}[event_id % 6 + 1] AS command FROM events)
-    SELECT event_id, CASE command WHEN 'uv run pytest -q' THEN 'pytest' WHEN 'cargo test --all' THEN 'cargo' WHEN 'npm run test' THEN 'npm' END AS check_name FROM c
-""")
+    WITH e AS (SELECT event_id, {list(PROGRAMS)}[event_id % 17 + 1] AS p, {[a.replace("'", "''") for a in ARGUMENTS]}[event_id % 10 + 1] AS a, event_id % 83 = 0 AS open FROM events),
+    w AS (SELECT *, string_split(replace(replace(a, chr(39), ''), '"', ''), ' ') AS r FROM e)
+    SELECT event_id, CASE
+        WHEN open THEN NULL
+        WHEN p IN ('pytest', 'mypy', 'tox', 'nox', 'gradle', 'gradlew', 'mvn', 'mvnw') THEN p
+        WHEN p = 'ruff' AND r[1] IN ('check', 'format') THEN p
+        WHEN p = 'make' AND list_has_any(r, ['check', 'ci', 'lint', 'test']) THEN p
+        WHEN p IN ('npm', 'pnpm', 'yarn', 'bun') AND (r[1] = 'test' OR (r[1] = 'run' AND r[2] IN ('build', 'test'))) THEN p
+        WHEN p = 'cargo' AND r[1] IN ('build', 'check', 'test') THEN p
+        WHEN p = 'go' AND r[1] IN ('build', 'test', 'vet') THEN p END AS check_name FROM w
+""".replace(str([a.replace("'", "''") for a in ARGUMENTS]), "[" + ", ".join("'" + a.replace("'", "''") + "'" for a in ARGUMENTS) + "]"))
 def trc13_verification(spark: SparkSession, d: str) -> DataFrame:
-    commands = F.array(*map(F.lit, (*COMMANDS, "npm run test", "ruff --fix .", "echo 'open")))
-    return table(spark, d, "events").select("event_id", verification(F.element_at(commands, (F.col("event_id") % 6 + 1).cast("int"))).alias("check_name"))
+    """Programs with arguments, quotes and wrappers; each 83rd has a quote that doesn't close."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values) + 1).cast("int"))
+    command = F.concat(pick(WRAPPERS), pick(PROGRAMS), F.lit(" "), pick(ARGUMENTS), F.when(F.col("event_id") % 83 == 0, " 'open").otherwise(""))
+    return table(spark, d, "events").select("event_id", verification(command).alias("check_name"))
 
 
 @query("""
