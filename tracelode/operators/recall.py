@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracelode.functions import columns as C
@@ -19,6 +26,8 @@ DIGITS = 6
 TYPE_CAPS = {"repository_knowledge": 40, "user_preference": 4, "work_state": 4, "task_experience": 8}
 TYPE_ORDER = ("work_state", "user_preference", "repository_knowledge", "task_experience")
 QUERY_BLOCK = 256
+#: Rows of a task whose scores for a block of queries are in memory at a time.
+ROWS = 2048
 
 
 def candidate_cap(limit: int) -> int:
@@ -44,28 +53,157 @@ def project(memories: DataFrame) -> DataFrame:
     return rows.withColumn("content_sha256", F.sha2(C.canonical_json(content=F.col("content"), document_id=F.col("document_id"), schema_version=F.lit(1), status=F.col("status")), 256))
 
 
+def best_rows(scores: np.ndarray, ids: pa.Array, parts: list[pa.Array], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each column's k greatest positive scores (and of each value of the parts), ties to smaller ids."""
+    rows, columns = np.nonzero(scores > 0)
+    group = np.zeros(len(scores), np.int64)
+    for part in parts:
+        codes = part.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        group = group * (codes.max(initial=0) + 1) + codes
+    place = np.empty(len(scores), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(scores))
+    order = np.lexsort((place[rows], -scores[rows, columns], group[rows], columns))
+    rows, columns = rows[order], columns[order]
+    key = columns * (group.max(initial=0) + 1) + group[rows]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1)) if len(key) else np.zeros(0, np.int64)
+    nth = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+    return rows[nth < k], columns[nth < k]
+
+
+def scored_in_place(rows: DataFrame, part: list[str], query_ids: list, queries: DataFrame, score, k: int) -> DataFrame:
+    """Each query's first k rows (and in each value of the part columns): query_id, document_id, the parts, score, rank.
+
+    rows: document_id, the parts, then what score needs. score gives a matrix of rows times the
+    queries, in the order of query_ids, for each batch of at most ROWS rows. A row's scores stay
+    in its task, which hands on k rows of a query for each batch, so only those are shuffled.
+    """
+    schema = rows.select("document_id", *part).schema.add("score", T.DoubleType()).add("query", T.IntegerType())
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                found = np.floor(score(batch) * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+                row, column = best_rows(found, batch.column(0), [batch.column(1 + i) for i in range(len(part))], k)
+                kept = batch.select(["document_id", *part]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found[row, column]), pa.array(column.astype(np.int32))], names=schema.names)
+
+    numbers = queries.sparkSession.createDataFrame(list(enumerate(query_ids)), queries.select(F.lit(0).alias("query"), "query_id").schema) if query_ids else queries.select(F.lit(0).alias("query"), "query_id")
+    found = rows.mapInArrow(best, schema).join(F.broadcast(numbers), "query").drop("query")
+    return top_per_group(found, ["query_id", *part], [F.desc("score"), F.col("document_id")], k)
+
+
+def query_terms(queries: DataFrame, terms) -> tuple[list, list[list[str]]]:
+    """Ids and distinct terms of a block of queries: a request's texts, which don't grow with the documents."""
+    rows = queries.select("query_id", F.array_distinct(terms(F.col("query"))).alias("t")).orderBy("query_id").collect()
+    return [x.query_id for x in rows], [x.t for x in rows]
+
+
+def in_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> list[DataFrame]:
+    """Queries dealt into blocks of about so many."""
+    n = max(1, -(-queries.count() // block))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def postings(documents: DataFrame, part: list[str], vocabulary: list[str]) -> DataFrame:
+    """(document_id, the parts, length, terms, counts): the places in the vocabulary of the document's terms, stored, so that texts are split once."""
+    words = documents.select("document_id", *part, C.words(F.col("content")).alias("w"))
+    schema = words.select("document_id", *part).schema.add("length", T.IntegerType()).add("terms", T.ArrayType(T.IntegerType())).add("counts", T.ArrayType(T.IntegerType()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = pa.array(vocabulary, pa.string()), max(1, len(vocabulary))
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            term = pc.index_in(lists.flatten().cast(pa.string()), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            pair, times = np.unique((row * n + term)[term >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * n).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % n, times)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.list_value_length(lists).cast(pa.int32()), *arrays], names=schema.names)
+
+    return stored(words.mapInArrow(count, schema), "postings")
+
+
 def lexical(documents: DataFrame, queries: DataFrame, k: int, partition: list[str] | None = None) -> DataFrame:
     """BM25's first k documents for each query (and each value of the partition columns): query_id, document_id, score, rank.
 
     documents: document_id, content; queries: query_id, query. A query's distinct terms count
-    once. Only terms that some query has leave the tokenizer, so the shuffle carries a
-    document's share of the queries' vocabulary. Scores are rounded, so ties go to the smaller id everywhere.
+    once. A document keeps its postings of the queries' terms and is scored where it lies, for
+    a block of queries at a time. Scores are rounded, so ties go to the smaller id everywhere.
+    """
+    part = partition or []
+    out = None
+    for block in in_blocks(queries):
+        ids, asked = query_terms(block, C.words)
+        vocabulary = sorted(set().union(*asked)) if asked else []
+        held = postings(documents, part, vocabulary)
+        total = held.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+        # As many rows as the queries have terms.
+        df = dict(map(tuple, held.select(F.explode("terms").alias("t")).groupBy("t").count().collect()))
+        place = {t: i for i, t in enumerate(vocabulary)}
+        users: list[list[int]] = [[] for _ in vocabulary]
+        for q, own in enumerate(asked):
+            for t in own:
+                users[place[t]].append(q)
+        starts = np.concatenate(([0], np.cumsum([len(u) for u in users]))).astype(np.int64)
+        columns = np.array([q for u in users for q in u], np.int64)
+        idf = np.array([np.log(1 + (total.n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i in range(len(vocabulary))])
+        out_of = len(ids)
+
+        def score(batch: pa.RecordBatch, starts=starts, columns=columns, idf=idf, n=out_of, mean=total.mean or 1.0) -> np.ndarray:
+            lists, counts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            term = lists.flatten().to_numpy().astype(np.int64)
+            tf = counts.flatten().to_numpy().astype(float)
+            row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            length = batch.column(batch.num_columns - 3).to_numpy().astype(float)[row]
+            weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+            times = starts[term + 1] - starts[term]
+            first = np.repeat(starts[term] - np.concatenate(([0], np.cumsum(times)[:-1])) if len(term) else starts[:0], times)
+            own = columns[first + np.arange(int(times.sum()))]
+            return np.bincount(np.repeat(row, times) * n + own, np.repeat(weight, times), batch.num_rows * n).reshape(batch.num_rows, n)
+
+        found = scored_in_place(held, part, ids, block, score, k)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def hashed_near(documents: DataFrame, queries: DataFrame, k: int, partition: list[str] | None = None, dimension: int = DIMENSION) -> DataFrame:
+    """The first k documents of each query by the cosine of their hashing embeddings (see hashed): query_id, document_id, score, rank.
+
+    documents: document_id, content; queries: query_id, query. A distinct term is hashed once
+    in each batch; a batch's counts are one matrix, whose product with the queries' is the
+    scores. A pair without a common bucket is no candidate.
     """
     part = partition or []
-    asked = queries.select("query_id", F.explode(F.array_distinct(C.words(F.col("query")))).alias("term"))
-    vocabulary = small(asked.select("term").distinct())
-    # A word array is split once in each row; words that no query has are dropped before any shuffle.
-    tokens = documents.select("document_id", *part, C.words(F.col("content")).alias("w")).select("document_id", *part, F.size("w").alias("length"), F.explode("w").alias("term"))
-    tf = tokens.join(vocabulary, "term", "left_semi").groupBy("document_id", *part, "length", "term").agg(F.count("*").alias("tf"))
-    # Read for the document frequencies and again for the scores: texts are split once.
-    tf = stored(tf, "postings")
-    totals = documents.agg(F.count("*").alias("n"), F.avg(F.size(C.words(F.col("content")))).alias("mean"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = small(asked.join(df, "term").join(F.broadcast(totals)).select("query_id", "term", idf.alias("idf"), "mean"))
-    one = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = tf.join(weighted, "term").groupBy("query_id", "document_id", *part).agg(F.round(F.sum(one), DIGITS).alias("score"))
-    return top_per_group(scored, ["query_id", *part], [F.desc("score"), F.col("document_id")], k)
+    rows = documents.select("document_id", *part, C.terms(F.col("content")).alias("t"))
+    out = None
+
+    def counted(term: np.ndarray, row: np.ndarray, n: int, bucket: np.ndarray) -> np.ndarray:
+        # Distinct terms of each row count once each in their bucket.
+        pair = np.unique(row * (int(term.max(initial=0)) + 1) + term) if len(term) else np.zeros(0, np.int64)
+        wide = int(term.max(initial=0)) + 1
+        return np.bincount(pair // wide * dimension + bucket[pair % wide], minlength=n * dimension).reshape(n, dimension).astype(float)
+
+    def bucket_of(terms: list[str]) -> np.ndarray:
+        return np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:2], "big") % dimension for t in terms], np.int64)
+
+    for block in in_blocks(queries):
+        ids, asked = query_terms(block, C.terms)
+        every = sorted(set().union(*asked)) if asked else []
+        place = {t: i for i, t in enumerate(every)}
+        q = counted(np.array([place[t] for own in asked for t in own], np.int64), np.repeat(np.arange(len(asked)), [len(own) for own in asked]).astype(np.int64), len(asked), bucket_of(every))
+        q_norm = np.sqrt((q * q).sum(axis=1))
+
+        def score(batch: pa.RecordBatch, q=q, q_norm=q_norm) -> np.ndarray:
+            lists = batch.column(batch.num_columns - 1)
+            coded = lists.flatten().dictionary_encode()
+            d = counted(coded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy().astype(np.int64), batch.num_rows, bucket_of(coded.dictionary.to_pylist()))
+            norm = np.sqrt((d * d).sum(axis=1))[:, None] * q_norm[None, :]
+            return np.divide(d @ q.T, norm, out=np.zeros_like(norm), where=norm > 0)
+
+        found = scored_in_place(rows, part, ids, block, score, k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def hashed(df: DataFrame, text: Column, name: str = "vector", dimension: int = DIMENSION) -> DataFrame:
@@ -235,20 +373,50 @@ def context(found: DataFrame, queries: DataFrame, token_limit: int, most: int =
     return packed.select("query_id", "markdown", C.tokens_estimate(F.col("markdown")).alias("token_count"), F.coalesce(ids, F.array()).alias("rendered_ids"), (F.size(F.coalesce("s", F.array())) - F.size("f.taken")).cast("long").alias("omitted_snippets"))
 
 
-def hybrid(memories: DataFrame, queries: DataFrame, limit: int, threshold: float, dimension: int = DIMENSION) -> DataFrame:
-    """Recall from end to end: for each query its admitted and omitted memories.
+def hybrid(memories: DataFrame, queries: DataFrame, limit: int, threshold: float, dimension: int = DIMENSION, pins: DataFrame | None = None, rerank=None, by_repository: bool = False) -> DataFrame:
+    """Recall from end to end: for each query its admitted and omitted memories, with the search's snippets of each.
 
-    memories: memory_id, memory_type, status, created_at_ms, title, content; queries: query_id,
-    query. Both sources search active memories only.
+    memories: as project takes them, with created_at_ms; queries: query_id, query, and by_repository
+    repo_keys, the repositories that a query asks. Both sources search the documents of active
+    memories: the memory, and each of its facts or lines. A memory counts once in each source, at
+    the best rank of its documents; by_repository each repository's documents are ranked
+    for themselves. found holds the facts and lines that search returned, scored by the sum of
+    1 / (60 + rank). pins: (query_id, memory_id), see pinned. rerank takes and returns rows
+    with query, content and score.
     """
     k = candidate_cap(limit)
     active = memories.where("status = 'active'")
-    documents = active.select(F.col("memory_id").alias("document_id"), F.concat_ws("\n", "title", "content").alias("content"))
-    words = lexical(documents, queries, k).withColumn("source", F.lit("lexical"))
-    vectors = unit(hashed(documents, F.col("content"), "vector", dimension), "vector").select("document_id", "vector")
-    asked = unit(hashed(queries, F.col("query"), "vector", dimension), "vector").select("query_id", "vector")
-    near = hashed_top(vectors, asked, k).withColumn("source", F.lit("vector"))
-    both = words.unionByName(near).withColumnRenamed("document_id", "memory_id")
-    fused = fuse(both)
-    rows = fused.join(active.select("memory_id", "memory_type", "created_at_ms"), "memory_id").withColumn("is_pinned", F.lit(False))
+    documents = stored(project(active).select("repo_key", "memory_id", "document_id", "kind", "title", F.col("content").alias("text")), "projected")
+    part = ["repo_key"] if by_repository else []
+    words = lexical(documents.select("document_id", *part, F.col("text").alias("content")), queries, k, part).withColumn("source", F.lit("lexical"))
+    near = hashed_near(documents.select("document_id", *part, F.concat_ws("\n", "title", "text").alias("content")), queries, k, part, dimension).withColumn("source", F.lit("vector"))
+    both = words.unionByName(near)
+    if by_repository:
+        both = both.join(queries.select("query_id", F.explode(F.array_distinct("repo_keys")).alias("repo_key")), ["query_id", "repo_key"], "left_semi").drop("repo_key")
+    # At most k rows of each source, query and repository.
+    both = stored(both, "candidates")
+    known = documents.join(small(both.select("document_id").distinct()), "document_id", "left_semi").select("document_id", "memory_id", "kind", "text")
+    both = stored(both.join(known, "document_id"), "found")
+    found = both.where("kind <> 'memory'").groupBy("query_id", "memory_id", "document_id", "text").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 9).alias("score"))
+    found = found.groupBy("query_id", "memory_id").agg(F.array_sort(F.collect_list(F.struct("document_id", "text", "score"))).alias("found"))
+    # A memory's rank in a source is that of its first document there; with several repositories each has its own ranks.
+    fused = fuse(both).join(found, ["query_id", "memory_id"], "left").withColumn("is_pinned", F.lit(False))
+    if pins is not None:
+        fused = fused.drop("is_pinned").join(pins.select("query_id", "memory_id", F.lit(True).alias("is_pinned")), ["query_id", "memory_id"], "full")
+        fused = fused.withColumn("is_pinned", F.coalesce("is_pinned", F.lit(False))).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    fused = stored(fused, "fused")
+    of = small(fused.select("memory_id").distinct())
+    rows = fused.join(active.join(of, "memory_id", "left_semi").select("memory_id", "memory_type", "created_at_ms", *(["content"] if rerank else [])), "memory_id")
+    if rerank:
+        rows = rerank(rows.join(queries.select("query_id", "query"), "query_id")).drop("query", "content")
     return admit(rows, limit, threshold)
+
+
+def preflight(expected: DataFrame, indexed: DataFrame, keys: list[str]) -> DataFrame:
+    """(the keys, ready): whether each key's index has exactly the documents, by id and content hash, that its memories project to.
+
+    Sums of hashes are compared, so nothing is collected. A key without documents on both sides isn't listed.
+    """
+    mark = lambda df, side: df.groupBy(*keys).agg(F.count("*").alias(f"{side}_n"), F.sum(F.xxhash64("document_id", "content_sha256").cast("decimal(38,0)")).alias(f"{side}_h"))
+    both = mark(expected, "e").join(mark(indexed, "i"), keys, "full")
+    return both.select(*keys, F.coalesce((F.col("e_n") == F.col("i_n")) & (F.col("e_h") == F.col("i_h")), F.lit(False)).alias("ready"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import columns as C
 from tracelode.operators import recall
-from tracelode.plans.adapters import MEMORIES_SQL, memories, none, table
+from tracelode.plans.adapters import MEMORIES_SQL, memories, table
 from tracelode.plans.registry import query
 
 LIMIT, THRESHOLD = 5, 0.45
@@ -91,17 +91,27 @@ def rec04_hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("c").cast("long").alias("buckets"), total(lambda e: e["bucket"] * e["n"]).alias("weighted"), F.round(recall.norm(F.col("c")), 6).alias("norm"))
 
 
+#: Documents of active memories, both sources' candidates among them, and their fusion; {part} is a repository's ranks of its own.
 HYBRID_SQL = f"""
     {MEMORIES_SQL},
-    act AS (SELECT *, title || chr(10) || content AS body FROM mem WHERE status = 'active'),
-    {BM25_SQL.format(id="memory_id", text="body", table="act")},
-    {EMBED_SQL.format(name="d", id="memory_id", text="body", table="act")},
+    act AS (SELECT * FROM mem WHERE status = 'active'),
+    doc AS (
+        SELECT memory_id, memory_id || ':memory' AS document_id, 'memory' AS kind, repo_key, title, title || chr(10) || content || chr(10) || category || chr(10) || lang AS text FROM act
+        UNION ALL
+        SELECT memory_id, memory_id || ':snippet:' || lpad(CAST(i AS VARCHAR), 4, '0'), 'snippet', repo_key, title, line
+        FROM (SELECT *, unnest(lines[1:128]) AS line, unnest(range(least(len(lines), 128))) AS i FROM act WHERE len(lines) > 1)),
+    emb AS (SELECT *, title || chr(10) || text AS body FROM doc),
+    {BM25_SQL.format(id="document_id", text="text", table="doc")},
+    {EMBED_SQL.format(name="d", id="document_id", text="body", table="emb")},
     {EMBED_SQL.format(name="q", id="item_id", text="text", table="benchmark")},
     cos AS (
         SELECT q.id AS query_id, d.id AS document_id, sum(d.n * q.n) / (any_value(nd.norm) * any_value(nq.norm)) AS score
         FROM bucket_q q JOIN bucket_d d USING (bucket) JOIN norm_d nd ON nd.id = d.id JOIN norm_q nq ON nq.id = q.id GROUP BY q.id, d.id),
-    vec AS (SELECT query_id, document_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, document_id) AS rank FROM cos),
-    cand AS (SELECT query_id, document_id AS memory_id, 'lexical' AS source, rank, score FROM lex WHERE rank <= 20 UNION ALL SELECT query_id, document_id, 'vector', rank, score FROM vec WHERE rank <= 20),
+    every AS (SELECT query_id, document_id, 'lexical' AS source, score FROM bm UNION ALL SELECT query_id, document_id, 'vector', round(score, 6) FROM cos),
+    ranks AS (SELECT e.*, d.memory_id, d.kind, d.text, row_number() OVER (PARTITION BY query_id, source{{part}} ORDER BY score DESC, document_id) AS rank FROM every e JOIN doc d USING (document_id){{where}}),
+    hit AS (SELECT * FROM ranks WHERE rank <= 20),
+    cand AS (SELECT query_id, memory_id, source, min(rank) AS rank, max(score) AS score FROM hit GROUP BY ALL),
+    snip AS (SELECT query_id, memory_id, document_id, text, round(sum(1 / (60 + rank)), 9) AS score FROM hit WHERE kind <> 'memory' GROUP BY ALL),
     fused AS (
         SELECT query_id, memory_id, round(sum(1 / (60 + rank)), 9) AS score, array_to_string(list_sort(list(source)), '+') AS sources, max(CASE WHEN source = 'vector' THEN score END) AS vector_score, bool_or(source = 'lexical') AS has_lexical
         FROM cand GROUP BY ALL),
@@ -117,17 +127,46 @@ HYBRID_SQL = f"""
 """
 
 
+ALL_SQL = HYBRID_SQL.replace("{part}", "").replace("{where}", "")
+#: A query asks the repositories of two of the four languages.
+SCOPE = (("en", "de"), ("en", "fr"), ("de", "es"), ("fr", "es"))
+SCOPED_SQL = HYBRID_SQL.replace("{part}", ", d.repo_key").replace("{where}", f" WHERE list_contains([{', '.join(str(list(x)) for x in SCOPE)}][query_id % 4 + 1], d.repo_key)")
+
+
 def recalled(spark: SparkSession, d: str) -> DataFrame:
     return recall.hybrid(memories(spark, d), asked(spark, d), LIMIT, THRESHOLD)
 
 
-@query(f"WITH {HYBRID_SQL} SELECT query_id, memory_id, score, sources, vector_score, rank, omission FROM final")
+@query(f"WITH {ALL_SQL} SELECT query_id, memory_id, score, sources, vector_score, rank, omission FROM final")
 def rec06_hybrid_recall(spark: SparkSession, d: str) -> DataFrame:
     return recalled(spark, d).select("query_id", "memory_id", "score", F.array_join("sources", "+").alias("sources"), "vector_score", "rank", "omission")
 
 
+@query(f"WITH {SCOPED_SQL} SELECT query_id, memory_id, score, sources, vector_score, rank, omission FROM final")
+def rec16_repositories(spark: SparkSession, d: str) -> DataFrame:
+    """Each query asks two repositories, whose documents are ranked for themselves."""
+    scopes = F.array(*(F.array(*map(F.lit, x)) for x in SCOPE))
+    queries = asked(spark, d).withColumn("repo_keys", F.element_at(scopes, (F.col("query_id") % 4 + 1).cast("int")))
+    return recall.hybrid(memories(spark, d), queries, LIMIT, THRESHOLD, by_repository=True).select("query_id", "memory_id", "score", F.array_join("sources", "+").alias("sources"), "vector_score", "rank", "omission")
+
+
+@query(f"""
+    WITH {MEMORIES_SQL},
+    doc AS (
+        SELECT repo_key, memory_id || ':memory' AS document_id, memory_id, doc_id FROM mem
+        UNION ALL SELECT repo_key, memory_id || ':snippet:' || lpad(CAST(i AS VARCHAR), 4, '0'), memory_id, doc_id FROM (SELECT *, unnest(range(least(len(lines), 128))) AS i FROM mem WHERE len(lines) > 1))
+    SELECT repo_key, bool_and(repo_key <> 'de' OR doc_id % 11 <> 0) AS ready FROM doc GROUP BY repo_key
+""")
+def rec21_preflight(spark: SparkSession, d: str) -> DataFrame:
+    """An index that lacks some German memories' documents isn't ready there."""
+    rows = memories(spark, d)
+    parts = recall.project(rows).select("repo_key", "document_id", "content_sha256", "memory_id")
+    lacking = rows.where("repo_key = 'de' and doc_id % 11 = 0").select("memory_id")
+    return recall.preflight(parts, parts.join(lacking, "memory_id", "left_anti"), ["repo_key"])
+
+
 @query(f"""
-    WITH {HYBRID_SQL}
+    WITH {ALL_SQL}
     SELECT item_id AS query_id, count(*) FILTER (WHERE admitted) AS n_admitted, CASE WHEN count(*) FILTER (WHERE admitted) > 0 THEN 'admitted' ELSE 'abstained' END AS outcome,
            CASE WHEN count(*) FILTER (WHERE admitted) > 0 THEN 'relevant_candidate' WHEN count(memory_id) > 0 THEN 'below_threshold' ELSE 'no_candidates' END AS reason, max(vector_score) AS max_vector_score
     FROM benchmark LEFT JOIN final ON query_id = item_id GROUP BY item_id
@@ -168,10 +207,13 @@ def rec10_pinned(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {HYBRID_SQL},
+    WITH {ALL_SQL},
     ad AS (SELECT f.query_id, b.text AS query, f.memory_id, m.lines, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS terms FROM final f JOIN act m USING (memory_id) JOIN benchmark b ON b.item_id = f.query_id WHERE f.admitted),
     li AS (SELECT query_id, memory_id, unnest(lines[1:128]) AS text, unnest(range(least(len(lines), 128))) AS i, terms FROM ad),
-    sc AS (SELECT query_id, memory_id, memory_id || ':snippet:' || lpad(CAST(i AS VARCHAR), 4, '0') AS document_id, text, round(len(list_intersect(terms, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) / greatest(1, len(terms)), 9) AS snippet_score FROM li)
+    own AS (SELECT query_id, memory_id, memory_id || ':snippet:' || lpad(CAST(i AS VARCHAR), 4, '0') AS document_id, text, terms FROM li),
+    sc AS (
+        SELECT o.query_id, o.memory_id, o.document_id, o.text, coalesce(round(1.5 + atan(s.score) / 3.141592653589793, 9), round(len(list_intersect(terms, list_distinct(regexp_extract_all(lower(o.text), '[a-z0-9]+')))) / greatest(1, len(terms)), 9)) AS snippet_score
+        FROM own o LEFT JOIN snip s ON s.query_id = o.query_id AND s.document_id = o.document_id)
     SELECT query_id, memory_id, document_id, text, snippet_score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, memory_id ORDER BY snippet_score DESC, document_id) <= 12
 """)
 def rec12_snippets(spark: SparkSession, d: str) -> DataFrame:
@@ -179,8 +221,8 @@ def rec12_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _snippets(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
-    admitted = found.where("admitted").select("query_id", "memory_id").join(memories(spark, d).select("memory_id", "content"), "memory_id").join(asked(spark, d), "query_id")
-    return recall.snippets(admitted.withColumn("found", none("array<struct<document_id:string,text:string,score:double>>")))
+    admitted = found.where("admitted").select("query_id", "memory_id", "found").join(memories(spark, d).select("memory_id", "content"), "memory_id").join(asked(spark, d), "query_id")
+    return recall.snippets(admitted)
 
 
 @query()
@@ -210,15 +252,17 @@ def agg06_retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return retrieval_metrics(rows.withColumn("relevant", F.array(F.col("ranked")[1], F.col("ranked")[6], F.lit(-1).cast("long"))))
 
 
-@query(f"""
-    WITH {MEMORIES_SQL},
-    r AS (SELECT b.item_id AS query_id, m.memory_id, 1 / (60 + row_number() OVER (PARTITION BY b.item_id ORDER BY m.memory_id)) AS score, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(m.title), '[a-z0-9]+')) AS c
-          FROM benchmark b JOIN mem m ON m.doc_id % 40 = b.item_id % 40)
-    SELECT query_id, memory_id, round(score + 2 * len(list_intersect(q, c)) / greatest(1, len(q)), 9) AS score FROM r
-""")
-def rec07_rerank(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
+def _reranked_sql() -> str:
+    """Recall's SQL with the reranker between fusion and admission."""
+    plain = "ranked AS (SELECT f.*, m.memory_type"
+    assert plain in ALL_SQL
+    words = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+'))"
+    score = f"round(f.score + 2 * len(list_intersect({words('b.text')}, {words('m.content')})) / greatest(1, len({words('b.text')})), 9)"
+    sql = ALL_SQL.replace(plain, f"ranked AS (SELECT f.* REPLACE ({score} AS score), m.memory_type")
+    return sql.replace("FROM fused f JOIN act m USING (memory_id)),", "FROM fused f JOIN act m USING (memory_id) JOIN benchmark b ON b.item_id = f.query_id),")
 
-    rows = memories(spark, d).withColumn("slot", F.col("doc_id") % 40).join(asked(spark, d).withColumn("slot", F.col("query_id") % 40), "slot")
-    ranked = rows.withColumn("score", 1 / (60 + F.row_number().over(Window.partitionBy("query_id").orderBy("memory_id"))))
-    return recall.rerank_overlap(ranked, "query", "title").select("query_id", "memory_id", "score")
+
+@query(f"WITH {_reranked_sql()} SELECT query_id, memory_id, score, rank, omission FROM final")
+def rec07_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Recall's fused candidates, reranked by their memories' content before admission."""
+    return recall.hybrid(memories(spark, d), asked(spark, d), LIMIT, THRESHOLD, rerank=recall.rerank_overlap).select("query_id", "memory_id", "score", "rank", "omission")
