@@ -15,9 +15,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see; one of this machine's only where none is configured."""
+    """The folder that all executors see; where none is configured, one of this machine's in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelode-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

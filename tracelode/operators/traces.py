@@ -161,7 +161,7 @@ def fact_specifications() -> Column:
     called = (F.col("kind") == "tool_call") & has("tool_name") & has("call_id")
     came = (F.col("kind") == "tool_result") & has("call_id")
     run = came & F.coalesce("is_command_result", F.lit(False)) & F.col("_run").isNotNull()
-    result, check = event_outcome(), F.when(F.col("command").isNotNull(), verification(F.col("command")))
+    result, check = event_outcome(), verification(F.when(F.coalesce("is_command_result", F.lit(False)), F.col("command")))
     spoken = (F.col("kind") == "message") & has("text") & F.col("role").isin("user", "assistant", "tool", "system")
     one = F.array(
         F.when(spoken, spec("message", F.col("text"), F.col("role"))),
