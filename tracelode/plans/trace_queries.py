@@ -321,4 +321,5 @@ def src01_lines(spark: SparkSession, d: str) -> DataFrame:
     from tracelode.sources.transcripts import raw_lines
 
     sessions = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_path"), F.octet_length("text").alias("length"), F.encode("text", "UTF-8").alias("content"))
-    return raw_lines(sessions).select(F.col("source_path").cast("long").alias("doc_id"), "event_index", "event_sha256", F.octet_length("line").cast("long").alias("bytes"))
+    # Documents aren't sessions, so no limit of sessions holds for them.
+    return raw_lines(sessions, (1 << 63) - 1, (1 << 31) - 1).select(F.col("source_path").cast("long").alias("doc_id"), "event_index", "event_sha256", F.octet_length("line").cast("long").alias("bytes"))

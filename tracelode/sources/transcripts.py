@@ -34,12 +34,14 @@ def raw_lines(sessions: DataFrame, most_bytes: int = SESSION_BYTES, most_events:
 
     Bytes are decoded as Latin-1 to split and to hash exactly what stands there, then each line
     as UTF-8, where bytes that aren't become the replacement character. A trailing carriage return is no part of a line. A file beyond the limits gives one
-    row with a violation; so does each line that is no JSON object.
+    row with a violation; so does each line that is no JSON object. The content of too large files isn't loaded:
+    the condition on the length reaches the scan.
     """
     latin = F.decode("content", "ISO-8859-1")
     every = F.filter(F.transform(F.split(latin, "\n"), lambda x: F.regexp_replace(x, "\r$", "")), lambda x: F.trim(F.regexp_replace(x, r"[\t\x0b\x0c]", " ")) != "")
     large = F.col("length") > most_bytes
-    rows = sessions.select("source_path", F.when(large, F.array(F.lit(""))).otherwise(every).alias("lines"), large.alias("large"))
+    rows = sessions.where(~large).select("source_path", every.alias("lines"), F.lit(False).alias("large"))
+    rows = rows.unionByName(sessions.where(large).select("source_path", F.array(F.lit("")).alias("lines"), F.lit(True).alias("large")))
     rows = rows.select("source_path", "large", (F.size("lines") > most_events).alias("many"), F.posexplode("lines").alias("event_index", "latin"))
     raw = F.encode("latin", "ISO-8859-1")
     rows = rows.where("not many or event_index = 0").select(
