@@ -129,3 +129,29 @@ def test_hmac(spark):
     for secret in (b"k", b"x" * 100):
         found = spark.createDataFrame([("päth",)], "m string").select(C.hmac_id(secret, F.col("m")).alias("h")).first().h
         assert found == hmac.new(secret, "päth".encode(), hashlib.sha256).hexdigest()
+
+
+def test_pins_are_admitted_first(spark):
+    """A pinned memory goes first, also where no source found it; what search found of the others stays."""
+    schema = "repo_key string, memory_id string, memory_type string, status string, created_at_ms long, title string, content string, category string, tags array<string>, facts array<struct<fact_id:string,fact_kind:string,value:string>>"
+    rows = [("r", f"m{i}", "repository_knowledge", "active", i, f"Title {i}", text, "c", [], []) for i, text in enumerate(("alpha beta\ngamma", "alpha", "zeta eta"))]
+    memories, queries = spark.createDataFrame(rows, schema), spark.createDataFrame([(1, "alpha beta"), (2, "alpha")], "query_id long, query string")
+    pins = spark.createDataFrame([(1, "m2")], "query_id long, memory_id string")
+    found = {(x.query_id, x.memory_id): x for x in recall.hybrid(memories, queries, 5, 0.9, pins=pins).collect()}
+    assert found[1, "m2"].rank == 1 and found[1, "m2"].is_pinned and (2, "m2") not in found
+    assert found[1, "m0"].rank == 2 and found[1, "m1"].rank == 3 and found[2, "m1"].rank is not None
+    assert [f.document_id for f in found[1, "m0"].found] == ["m0:snippet:0000"]
+
+
+def test_best_rows_against_a_sort():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        n, k = int(r.integers(0, 60)), int(r.integers(1, 6))
+        scores = r.integers(0, 5, (n, 3)).astype(float)
+        ids, part = [f"d{i}" for i in r.permutation(n)], [f"p{i}" for i in r.integers(0, 3, n)]
+        rows, columns = recall.best_rows(scores, pa.array(ids, pa.string()), [pa.array(part, pa.string())], k)
+        expected = {(q, x[1]) for q in range(3) for p in set(part) for x in sorted((-scores[i, q], ids[i]) for i in range(n) if part[i] == p and scores[i, q] > 0)[:k]}
+        assert {(int(q), ids[i]) for i, q in zip(rows, columns, strict=True)} == expected and len(rows) == len(expected)
