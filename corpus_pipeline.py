@@ -25,19 +25,25 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, percent:
     texts are documents of their own. With percent = 80, keys = 13 miss a pair
     at the threshold as rarely as the defaults do at 85: 2 * (1 - 0.8**3)**13, 0.018 %.
     """
-    number, mark, digest, first = (fresh(docs, x) for x in ("number", "mark", "digest", "first"))
+    number, mark, digest, first, times = (fresh(docs, x) for x in ("number", "mark", "digest", "first", "times"))
     rows = docs.withColumn(mark, F.xxhash64(*docs.columns)).withColumn(digest, F.xxhash64("text"))
     texts = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias(first), F.max(digest).alias("last")).where(F.col(first) != F.col("last"))
-    several = texts.select(F.col("doc_id").alias(number), first)
+    # Stored, so that its size is known before whole texts would be shuffled to meet it.
+    several = stored(texts.select(F.col("doc_id").alias(number), first), "several")
     unnamed = F.col("doc_id").isNull() | F.coalesce(F.col(digest) != F.col(first), F.lit(False))
     # Structs are ordered by their first field, so a row with an id goes before any without.
     own = F.struct(unnamed.alias("made"), F.when(~unnamed, F.col("doc_id")).alias("id"), F.when(unnamed, F.col(mark)).alias("mark"))
     rows = rows.join(several, F.col("doc_id") == F.col(number), "left").withColumn(number, own)
     groups = neardup.near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), percent=percent, keys=keys)
-    kept = stored(groups.where("kept").select(F.col("doc_id").alias(number)).distinct(), "kept")
+    kept = groups.where("kept").select(F.col("doc_id").alias(number)).distinct()
     # Rows of one number have one text; of those that differ elsewhere the one of the least hash stays, in each run the same.
-    one = rows.join(kept, number, "left_semi").groupBy(number).agg(F.min_by(F.struct(*docs.columns), mark).alias(first))
-    return one.select(f"{first}.*")
+    # That is decided without the texts, which are grouped only where the row that stays is repeated.
+    marks = rows.select(number, mark).join(kept, number, "left_semi").groupBy(number, mark).agg(F.count("*").alias(times))
+    least = marks.groupBy(number).agg(F.min(F.struct(mark, times)).alias(first))
+    chosen = stored(least.select(number, f"{first}.{mark}", f"{first}.{times}"), "kept")
+    once = rows.join(chosen.where(F.col(times) == 1), [number, mark])
+    again = rows.join(chosen.where(F.col(times) > 1), [number, mark]).dropDuplicates([number, mark])
+    return once.union(again).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
