@@ -61,3 +61,31 @@ def test_changed_prefix(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2")], "session_id string, prefix_sha256 string")
     before = spark.createDataFrame([("a", "1"), ("b", "3")], "session_id string, prefix_sha256 string")
     assert [tuple(r) for r in streaming.changed_prefix(now, before).collect()] == [("b", "3", "2")]
+
+
+def test_gaps_wait_and_repeats_change_nothing(spark, tmp_path):
+    """Files in any order, each twice, give what one file in order gives; a boundary stands before its index's event."""
+    rows = [event("s", 0, role="user"), event("s", 1), event("s", 2), event("s", 3, role="user"), event("s", 4), event("s", 5), event("s", 6, role="user")]
+    rows.insert(2, ("s", 2, streaming.CONTROL, "turn_end", "", ""))
+    whole = [("s", 0, 2, "turn_end", None, 2), ("s", 2, 3, "next_user", 0, 1), ("s", 3, 6, "next_user", None, 3)]
+    assert run(spark, f"file://{tmp_path}/a", [rows]) == whole
+    assert run(spark, f"file://{tmp_path}/b", [rows[5:], rows[2:5], rows[:2], rows[1:6]]) == whole
+    found = {p: [r.prefix_sha256 for r in spark.read.parquet(f"file://{tmp_path}/{p}/out").orderBy("start_index").collect()] for p in "ab"}
+    assert found["a"] == found["b"] and len(set(found["a"])) == 3
+
+
+def test_pending_calls_and_what_opens_a_continuation(spark, tmp_path):
+    schema = SCHEMA + ", block int, tool_name string, call_id string"
+    call = lambda i, k, block=0: (*event("s", i, "tool_call", None, None), block, "shell", k)
+    answer = lambda i, k: (*event("s", i, "tool_result", None, "ok"), 0, None, k)
+    plain = lambda *a, **k: (*event(*a, **k), 0, None, None)
+    end = lambda i: ("s", i, streaming.CONTROL, "turn_end", "", "", None, None, None)
+    one = [plain("s", 0, role="user"), call(1, "a"), call(1, "b", 1), answer(2, "a"), end(3)]
+    two = [plain("s", 3, kind="metadata", role=None), call(4, "c"), answer(5, "b"), end(6)]
+    folder = f"file://{tmp_path}"
+    for rows in (one, two):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = streaming.close_episodes(spark.readStream.schema(streaming.EVENT_SCHEMA).parquet(f"{folder}/in"))
+        stream.writeStream.foreachBatch(streaming.append_once(f"{folder}/out", ["session_id", "start_index"])).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    found = sorted((r.start_index, r.end_index, r.continues_from, r.n_events, r.pending_calls) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert found == [(0, 3, None, 4, ["b"]), (4, 6, 0, 2, ["c"])]

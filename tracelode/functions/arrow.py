@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import shlex
 import unicodedata
 from pathlib import PurePath
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelode.functions.columns import PREFIX_SEED
+
 # Commands that check a repository, by the words that must follow them (none: always).
 ALWAYS = ("pytest", "mypy", "tox", "nox", "gradle", "gradlew", "mvn", "mvnw")
 FIRST_WORD = {"ruff": ("check", "format"), "cargo": ("build", "check", "test"), "go": ("build", "test", "vet")}
@@ -83,3 +88,38 @@ def evidence_column(limit: int):
         return facts.map(lambda rows: None if rows is None else evidence(list(rows), limit))
 
     return chosen
+
+
+def next_prefix(prefix: bytes, digest: str) -> bytes:
+    """The prefix hash after one more record."""
+    return hashlib.sha256(prefix + bytes.fromhex(digest)).digest()
+
+
+def prefixes_at(records: DataFrame, ends: DataFrame) -> DataFrame:
+    """The prefix hash of each key's records before each of its ends: (key, place, prefix_sha256), a row for each end.
+
+    records: (key, place, digest); a place that occurs several times, as blocks of one record do, is
+    folded once, with its least digest. ends: (key, place). A key is read once, in order, whatever the
+    number of its ends; rows are sorted on disk, so a task holds one batch and one hash.
+    """
+    rows = records.select("key", "place", F.lit(True).alias("record"), "digest").unionByName(ends.select("key", "place", F.lit(False).alias("record"), F.lit("").alias("digest")))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def fold(batches):
+        key, last, prefix = None, None, b""
+        for batch in batches:
+            out = []
+            for i, (own, place, record, digest) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if last is None or own != key:
+                    key, last, prefix = own, -1, hashlib.sha256(PREFIX_SEED.encode()).digest()
+                if not record:
+                    out.append((i, prefix.hex()))
+                elif place != last:
+                    prefix, last = next_prefix(prefix, digest), place
+            at = pa.array([i for i, _ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([h for _, h in out], pa.string())], names=["key", "place", "prefix_sha256"])
+
+    # An end stands before the record of its place.
+    rows = rows.where("place is not null and digest is not null").withColumn("place", F.col("place").cast("long"))
+    ordered = rows.repartition("key").sortWithinPartitions("key", "place", "record", "digest")
+    return ordered.mapInArrow(fold, f"key {kind}, place long, prefix_sha256 string")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelode.functions import columns as C
-from tracelode.functions.arrow import evidence_column, verification
+from tracelode.functions.arrow import evidence_column, prefixes_at, verification
 from tracelode.functions.tables import running_sum
 
 #: At most so many facts are evidence of one experience.
@@ -196,11 +196,10 @@ def resume_checkpoint(events: DataFrame, closed: DataFrame) -> DataFrame:
 
 
 def prefix_at_ends(events: DataFrame, closed: DataFrame) -> DataFrame:
-    """The prefix hash of each session up to each closed end; a session's digests are bounded by the event limit."""
-    digests = events.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("event_index", "event_sha256"))).alias("d"))
-    ends = closed.select("session_id", "end_index")
-    return ends.join(digests, "session_id").select(
-        "session_id", "end_index", C.prefix_chain(F.transform(F.filter("d", lambda x: x["event_index"] < F.col("end_index")), lambda x: x["event_sha256"])).alias("prefix_sha256"))
+    """The prefix hash of each session up to each closed end; a session is folded once for all its ends."""
+    records = events.select(F.col("session_id").alias("key"), F.col("event_index").alias("place"), F.col("event_sha256").alias("digest"))
+    ends = closed.select(F.col("session_id").alias("key"), F.col("end_index").alias("place"))
+    return prefixes_at(records, ends).select(F.col("key").alias("session_id"), F.col("place").alias("end_index"), "prefix_sha256")
 
 
 def priority() -> Column:

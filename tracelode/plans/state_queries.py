@@ -328,7 +328,7 @@ def src09_discovery(spark: SparkSession, d: str) -> DataFrame:
 """)
 def str01_incremental(spark: SparkSession, d: str) -> DataFrame:
     """Replays conversations as a stream of files, one micro-batch after another, and then closes every session."""
-    from tracelode.streaming.episodes import CONTROL, EVENT_SCHEMA, append_once, close_episodes
+    from tracelode.streaming.episodes import CLOSED, CONTROL, EVENT_SCHEMA, append_once, close_episodes
 
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = messages(spark, d).select(F.col("session_id").cast("string").alias("session_id"), "event_index", "kind", "role", "text", "event_sha256")
@@ -338,4 +338,4 @@ def str01_incremental(spark: SparkSession, d: str) -> DataFrame:
         events = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/in")
         sink = append_once(f"{folder}/out", ["session_id", "start_index", "end_index"])
         close_episodes(events).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("session_id", "start_index", "end_index", "boundary_kind", "n_events")
+    return spark.read.schema(CLOSED).parquet(f"{folder}/out").select("session_id", "start_index", "end_index", "boundary_kind", "n_events")

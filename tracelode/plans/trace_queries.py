@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions import columns as C
-from tracelode.functions.arrow import verification
+from tracelode.functions.arrow import prefixes_at, verification
 from tracelode.functions.tables import running_sum
 from tracelode.operators import traces
 from tracelode.plans.adapters import COMMANDS, EVENTS_SQL, messages, none, table, tool_events
@@ -211,8 +211,9 @@ def fn01_typed_id(spark: SparkSession, d: str) -> DataFrame:
     SELECT conv_id, list_reduce(list_prepend(sha256('tracelode:raw-prefix:v1'), digests), lambda h, x: sha256(unhex(h) || unhex(x))) AS prefix FROM c
 """)
 def fn02_prefix_chain(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.sha2("text", 256).alias("h")))).alias("d"))
-    return rows.select("conv_id", C.prefix_chain(F.transform("d", lambda x: x["h"])).alias("prefix"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("place"), F.sha2("text", 256).alias("digest"))
+    ends = rows.groupBy("key").agg((F.max("place") + 1).alias("place"))
+    return prefixes_at(rows, ends).select(F.col("key").alias("conv_id"), F.col("prefix_sha256").alias("prefix"))
 
 
 @query("""SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM conversations""")

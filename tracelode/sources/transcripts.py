@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelode.functions import columns as C
+from tracelode.functions.arrow import prefixes_at
 from tracelode.operators.traces import patch_changes
 
 SESSION_BYTES = 64 << 20
@@ -58,14 +59,18 @@ def resume_suffix(lines: DataFrame, cursors: DataFrame) -> DataFrame:
     Gives source_path, cursor, events, state: truncated, source_rewritten, already_imported or
     incremental; sources without a cursor are new.
     """
-    whole = lines.groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("event_index", "event_sha256"))).alias("d"))
-    joined = whole.join(cursors, "source_path", "left")
-    prefix = C.prefix_chain(F.transform(F.slice("d", 1, F.coalesce(F.col("cursor"), F.lit(0)).cast("int")), lambda x: x["event_sha256"]))
+    whole = lines.groupBy("source_path").agg(F.count("*").alias("events"))
+    at = prefixes_at(
+        lines.select(F.col("source_path").alias("key"), F.col("event_index").alias("place"), F.col("event_sha256").alias("digest")),
+        cursors.select(F.col("source_path").alias("key"), F.col("cursor").alias("place")))
+    known = cursors.select("source_path", F.col("cursor").cast("long").alias("cursor"), F.col("prefix_sha256").alias("_committed"))
+    found = at.select(F.col("key").alias("source_path"), F.col("place").alias("cursor"), F.col("prefix_sha256").alias("_found")).distinct()
+    joined = whole.join(known.join(found, ["source_path", "cursor"]), "source_path", "left")
     state = (
-        F.when(F.col("cursor").isNull(), "new").when(F.size("d") < F.col("cursor"), "truncated").when(prefix != F.col("prefix_sha256"), "source_rewritten")
-        .when(F.size("d") == F.col("cursor"), "already_imported").otherwise("incremental")
+        F.when(F.col("cursor").isNull(), "new").when(F.col("events") < F.col("cursor"), "truncated").when(~F.col("_found").eqNullSafe(F.col("_committed")), "source_rewritten")
+        .when(F.col("events") == F.col("cursor"), "already_imported").otherwise("incremental")
     )
-    return joined.select("source_path", "cursor", F.size("d").cast("long").alias("events"), state.alias("state"))
+    return joined.select("source_path", "cursor", "events", state.alias("state"))
 
 
 def text_of(record: Column, path: str) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,55 +12,96 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracelode.functions.arrow import next_prefix
 from tracelode.functions.columns import PREFIX_SEED
 from tracelode.functions.tables import stored
+from tracelode.operators.traces import is_signal
 from tracelode.sources.lake import exists
 
 #: Control rows have this kind; their role is the boundary that closes the open episode.
 CONTROL = "control"
-CLOSED = "session_id string, start_index long, end_index long, boundary_kind string, continues_from long, n_events long, prefix_sha256 string"
-#: Open start (-1: none), end of the last closed episode (-1: none), events since the start, next index, prefix, link of the open episode.
-STATE = "open long, closed long, n long, next long, prefix string, link long"
+CLOSED = "session_id string, start_index long, end_index long, boundary_kind string, continues_from long, n_events long, prefix_sha256 string, pending_calls array<string>"
+#: Open start (-1: none), end of the last closed episode (-1: none), events since the start, next index, prefix, link of the open episode,
+#: ids of calls without a result (JSON list), rows that wait for an index before theirs (JSON list).
+STATE = "open long, closed long, n long, next long, prefix string, link long, pending string, waiting string"
+#: Fields that only some sources have; what is missing counts as null.
+OPTIONAL = {"block": "int", "tool_name": "string", "call_id": "string", "tool_status": "string", "exit_code": "int"}
+#: Parts by which a sink's output is divided, so a batch reads only those that it touches.
+PARTS = 64
 
 
 def close_episodes(events: DataFrame) -> DataFrame:
-    """Closed episodes of a stream of events (session_id, event_index, kind, role, text, event_sha256).
-
-    A user message closes the open episode; a control row closes it by its boundary. What
-    comes after a close without a user message opens a continuation of the closed one, so
-    late events never rewrite what was emitted. An event whose index was seen already is
-    dropped, so delivery may repeat. State of a session is six values, however long it is.
+    """Closed episodes of a stream of events (session_id, event_index, kind, role, text, event_sha256; see OPTIONAL for more).
+
+    A user message closes the open episode; a control row closes it by its boundary, before the
+    event of its index. What comes after a close without a user message opens a continuation of
+    the closed one at the first signal (see ``is_signal``), so late events never rewrite what was emitted.
+
+    Indexes of a session are dense from 0, over all its records; those that are no events come as
+    metadata. A row whose index is ahead of the next one waits in the state until the gap is
+    filled, in whatever batch, so a file that comes late loses nothing. An event whose index was
+    folded already is dropped, and a control row that lies at or before the open episode's start closes
+    nothing, so delivery may repeat. A control row that comes first when later events are folded
+    closes the episode at the session's present end. Blocks of one record come in one batch. pending_calls are the calls
+    that had no result when the episode closed; a result after that still settles them.
     """
     def step(key, batches, state: GroupState):
-        start, closed, n, following, prefix, link = state.get if state.exists else (-1, -1, 0, 0, hashlib.sha256(PREFIX_SEED.encode()).hexdigest(), -1)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["event_index", "is_control"], kind="stable")
-        out = []
-        for r in rows.itertuples():
-            if r.kind == CONTROL:
-                if start >= 0:
-                    out.append((key[0], start, following, r.role, None if link < 0 else link, n, prefix))
+        start, closed, n, following, prefix, link, pending, waiting = state.get if state.exists else (-1, -1, 0, 0, hashlib.sha256(PREFIX_SEED.encode()).hexdigest(), -1, "[]", "[]")
+        # A dict keeps the calls in order.
+        digest, calls, out = bytes.fromhex(prefix), dict.fromkeys(json.loads(pending)), []
+        rows = {tuple(r) for r in json.loads(waiting)}
+        for batch in batches:
+            batch = batch[batch["is_event"].eq(0) | batch["event_index"].ge(following)]
+            rows.update(zip(*(batch[c].tolist() for c in FIELDS), strict=True))
+
+        def close(end, boundary):
+            out.append((key[0], start, end, boundary, None if link < 0 else link, n, digest.hex(), list(calls)))
+
+        left = []
+        for (index, is_event), group in groupby(sorted(rows), lambda r: r[:2]):
+            if index > following:
+                left += group
+                continue
+            if not is_event:
+                if 0 <= start < index:
+                    close(following, next(group)[4])
                     closed, start, n, link = start, -1, 0, -1
                 continue
-            if r.event_index < following:
+            if index < following:
                 continue
-            if r.kind == "message" and r.role == "user":
-                if start >= 0:
-                    out.append((key[0], start, r.event_index, "next_user", None if link < 0 else link, n, prefix))
-                    closed = start
-                start, n, link = r.event_index, 0, -1
-            elif start < 0 <= closed and r.text:
-                start, n, link = r.event_index, 0, closed
-            if start >= 0:
-                n += 1
-            following = r.event_index + 1
-            prefix = hashlib.sha256(bytes.fromhex(prefix) + bytes.fromhex(r.event_sha256)).hexdigest()
-        state.update((start, closed, n, following, prefix, link))
+            for r in group:
+                _, _, _, role_of, _, sha, called, answered = r
+                if role_of == "user":
+                    if start >= 0:
+                        close(index, "next_user")
+                        closed = start
+                    start, n, link = index, 0, -1
+                elif role_of == "signal" and start < 0 <= closed:
+                    start, n, link = index, 0, closed
+                n += start >= 0
+                if called:
+                    calls.setdefault(called)
+                calls.pop(answered, None)
+            digest, following = next_prefix(digest, sha), index + 1
+        state.update((start, closed, n, following, digest.hex(), link, json.dumps(list(calls)), json.dumps(left)))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in CLOSED.split(", ")]).astype({"continues_from": "Int64"})
 
-    rows = events.select("session_id", "event_index", "kind", "role", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("event_sha256", F.lit("")).alias("event_sha256"), (F.col("kind") == CONTROL).alias("is_control"))
+    for name, kind in OPTIONAL.items():
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast(kind))
+    user = (F.col("kind") == "message") & (F.col("role") == "user")
+    known = F.coalesce("call_id", F.lit(""))
+    rows = events.where("session_id is not null and event_index is not null").select(
+        "session_id", F.col("event_index").cast("long").alias("event_index"), F.when(F.col("kind") == CONTROL, 0).otherwise(1).alias("is_event"), F.coalesce("block", F.lit(0)).alias("block"),
+        F.when(F.coalesce(user, F.lit(False)), "user").when(is_signal(), "signal").otherwise("other").alias("what"), F.coalesce("role", F.lit("")).alias("boundary"), F.coalesce("event_sha256", F.lit("")).alias("sha"),
+        F.when(F.col("kind") == "tool_call", known).otherwise("").alias("called"), F.when(F.col("kind") == "tool_result", known).otherwise("").alias("answered"))
     return rows.groupBy("session_id").applyInPandasWithState(step, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: A row of a session as the state holds it, in the order by which rows are folded.
+FIELDS = ("event_index", "is_event", "block", "what", "boundary", "sha", "called", "answered")
+
+
 def changed_prefix(current: DataFrame, committed: DataFrame) -> DataFrame:
     """Sessions whose committed prefix isn't what the source holds now, to set aside: session_id, expected, found."""
     rows = committed.select("session_id", F.col("prefix_sha256").alias("expected")).join(current.select("session_id", F.col("prefix_sha256").alias("found")), "session_id")
@@ -66,12 +109,18 @@ def changed_prefix(current: DataFrame, committed: DataFrame) -> DataFrame:
 
 
 def append_once(path: str, key: list[str]):
-    """A foreachBatch sink: rows whose key isn't in the table yet are added, so a batch may be delivered again."""
+    """A foreachBatch sink: rows whose key isn't in the table yet are added, so a batch may be delivered again.
+
+    The table is divided by a hash of the key's first column, and only the parts of a batch are read.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(key)
-        if exists(batch.sparkSession, path):
-            rows = rows.join(batch.sparkSession.read.parquet(path).select(*key), key, "left_anti")
-        rows.write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        rows = stored(batch.dropDuplicates(key).withColumn("part", F.pmod(F.xxhash64(key[0]), F.lit(PARTS)).cast("int")), "batch")
+        # At most PARTS numbers.
+        touched = [r.part for r in rows.select("part").distinct().collect()]
+        if touched and exists(spark, path):
+            rows = rows.join(spark.read.schema(rows.schema).parquet(path).where(F.col("part").isin(touched)).select(*key), key, "left_anti")
+        rows.write.mode("append").partitionBy("part").parquet(path)
 
     return write
 
@@ -93,4 +142,6 @@ def index_batches(path: str, project):
     return write
 
 
-EVENT_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("session_id", T.StringType()), ("event_index", T.LongType()), ("kind", T.StringType()), ("role", T.StringType()), ("text", T.StringType()), ("event_sha256", T.StringType()))])
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType()}
+_NEEDED = {"session_id": "string", "event_index": "long", "kind": "string", "role": "string", "text": "string", "event_sha256": "string"}
+EVENT_SCHEMA = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in {**_NEEDED, **OPTIONAL}.items()])
