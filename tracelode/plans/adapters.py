@@ -5,7 +5,7 @@ Each adapter has its SQL beside it, a list of common table expressions that quer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -189,3 +189,60 @@ RUNS_SQL = """
         SELECT CAST(doc_id // 2 AS BIGINT) AS task_id, CASE WHEN doc_id % 2 = 0 THEN 'off' ELSE 'on' END AS arm, CASE WHEN toxic = 1 THEN 'infrastructure' WHEN quality = 1 THEN 'passed' ELSE 'failed' END AS outcome,
                CASE WHEN doc_id % 9 <> 0 THEN doc_id % 1000 END AS input_tokens, doc_id % 77 AS output_tokens, CASE WHEN doc_id % 4 <> 0 THEN doc_id % 13 END AS steps, doc_id AS run_id FROM labels)
 """
+
+
+def session_files(lines: DataFrame) -> DataFrame:
+    """Lines (source_path, n, line) as transcripts (source_path, length, content), as ``read_sessions`` gives them of files."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    rows = lines.groupBy("source_path").agg(F.encode(whole, "UTF-8").alias("content"))
+    return rows.select("source_path", F.octet_length("content").cast("long").alias("length"), "content")
+
+
+def _record(**fields) -> Column:
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+
+
+def transcripts_of(spark: SparkSession, d: str, provider: str) -> DataFrame:
+    """Events as transcripts in a provider's format, a session for each user; see ``tool_events`` for what they say.
+
+    Clicks with even numbers run commands; other clicks are lookups (provider B: every fourth edits a file).
+    """
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = table(spark, d, "events").withColumn("k", k).withColumn("call", F.concat(F.lit("c"), k)).withColumn("code", F.when(F.col("event_type") == "purchase", 0).otherwise(1))
+    kind, text = F.col("event_type"), F.col("props")
+    command = F.element_at(F.array(*map(F.lit, COMMANDS)), ((k / 2).cast("int") % 3) + 1)
+    user = F.concat(F.lit(f"s{provider}-"), F.col("user_id"))
+    path = F.concat(F.lit("/work/"), user, F.lit(".jsonl"))
+    lit = F.lit
+    if provider == "A":
+        said = _record(type=lit("message"), role=lit("user"), content=F.array(F.struct(lit("input_text").alias("type"), text.alias("text")), F.struct(lit("input_text").alias("type"), lit("end").alias("text"))))
+        call = _record(type=lit("function_call"), name=F.when(k % 2 == 0, "exec_command").otherwise("lookup"), call_id=F.col("call"), arguments=_record(cmd=command))
+        output = _record(type=lit("function_call_output"), call_id=F.col("call"), output=F.concat(lit("Process exited with code "), "code", lit("\nFinal output:\n"), text))
+        payload = F.when(kind == "signup", said).when(kind == "click", call).when(kind.isin("purchase", "error"), output).otherwise(text)
+        line = F.concat(lit('{"type":"'), F.when(kind == "view", "event_msg").otherwise("response_item"), lit('","payload":'), payload, lit("}"))
+        head = F.concat(lit('{"type":"session_meta","payload":{"id":"'), user, lit('"}}'))
+    elif provider == "B":
+        uses = F.when(k % 2 == 0, _record(command=command)).otherwise(_record(file_path=F.concat(lit("src/m"), k, lit(".py"))))
+        call = F.concat(lit('[{"type":"text","text":"next"},{"type":"tool_use","id":"'), "call", lit('","name":"'), F.when(k % 2 == 0, "Bash").when(k % 4 == 1, "Edit").otherwise("Lookup"), lit('","input":'), uses, lit("}]"))
+        output = F.concat(lit('[{"type":"tool_result","tool_use_id":"'), "call", lit('","content":"done","is_error":'), (kind == "error").cast("string"), lit("}]"))
+        content = F.when(kind == "signup", F.to_json(F.array(F.struct(lit("text").alias("type"), text.alias("text"))))).when(kind == "click", call).when(kind.isin("purchase", "error"), output)
+        line = F.concat(lit('{"sessionId":"'), user, lit('","type":"x"'), F.when(kind == "view", "").otherwise(F.concat(lit(',"message":{"role":"'), F.when(kind == "click", "assistant").otherwise("user"), lit('","content":'), content, lit("}"))), lit("}"))
+        head = F.concat(lit('{"sessionId":"'), user, lit('","type":"summary"}'))
+    else:
+        said = F.concat(lit('{"kind":"message","role":"user","text":"'), kind, lit('"}'))
+        call = F.concat(lit(',{"kind":"tool_call","call_id":"'), "call", lit('","tool_name":"shell","command":"'), command, lit('"}'))
+        seen = F.when(k % 2 == 0, F.concat(lit(',"terminal_observation":{"exit_code":'), "code", lit(',"file_changes":[{"operation":"update","path":"src/m'), k, lit('.py"}]}'))).otherwise("")
+        output = F.concat(lit(',{"kind":"tool_result","call_id":"'), "call", lit('","text":"done","status":"'), F.when(F.col("code") == 0, "completed").otherwise("error"), lit('"'), seen, lit("}"))
+        line = F.concat(lit('{"record_type":"batch","events":['), said, F.when(kind.isin("purchase", "error"), F.concat(call, output)).otherwise(""), lit("]}"))
+        head = F.concat(lit('{"record_type":"header","session_id":"'), user, lit('"}'))
+    body = rows.select(path.alias("source_path"), F.col("event_id").alias("n"), line.alias("line"))
+    return session_files(body.unionByName(rows.select(path.alias("source_path"), F.lit(-1).cast("long").alias("n"), head.alias("line")).distinct()))
+
+
+TRANSCRIPTS_SQL = f"""
+    tr AS (
+        SELECT user_id, event_id, event_type, props, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS event_index,
+               'c' || CAST(json_extract_string(props, '$.k') AS INTEGER) AS call, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS code, event_type IN ('purchase', 'error') AS result,
+               {list(COMMANDS)}[(CAST(json_extract_string(props, '$.k') AS INTEGER) // 2) % 3 + 1] AS command FROM events),
+    ca AS (SELECT *, coalesce(bool_or(event_type = 'click') OVER (PARTITION BY user_id, call ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS called FROM tr)
+"""
