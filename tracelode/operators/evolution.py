@@ -5,8 +5,11 @@ Edges (repo_key, predecessor_id, successor_id, ...) are the authority; status is
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelode.functions import columns as C
 from tracelode.functions.tables import jumps, top_per_group
@@ -91,7 +94,6 @@ def lineages(edges: DataFrame) -> DataFrame:
 
 def histories(memories: DataFrame, edges: DataFrame) -> DataFrame:
     """(memory_id, tip, depth, status, position): every memory with its place from the lineage's oldest, roots first."""
-    from pyspark.sql.window import Window
 
     placed = lineages(edges).select("memory_id", "tip", "depth")
     rows = with_status(memories, edges).join(placed, "memory_id", "left").withColumns({"tip": F.coalesce("tip", "memory_id"), "depth": F.coalesce("depth", F.lit(0))})
@@ -181,6 +183,21 @@ def library(repository: DataFrame, global_: DataFrame) -> DataFrame:
     return top_per_group(rows, ["memory_id"], [F.col("scope")], 1).drop("rank")
 
 
+def library_page(rows: DataFrame, size: int, after: Any = None) -> DataFrame:
+    """A page of the library in the order of memory_id, after a memory that must be among the rows, else ValueError.
+
+    rows: the library as it is filtered for the request. next_cursor is the page's last id in its last row, if more follow.
+    """
+    if after is not None:
+        if rows.where(F.col("memory_id") == after).isEmpty():
+            raise ValueError("cursor_invalid")
+        rows = rows.where(F.col("memory_id") > after)
+    # The page and one row more, so the windows hold size + 1 rows.
+    some = rows.orderBy("memory_id").limit(size + 1)
+    some = some.withColumn("_n", F.row_number().over(Window.orderBy("memory_id"))).withColumn("_following", F.lead("memory_id").over(Window.orderBy("memory_id")))
+    return some.withColumn("next_cursor", F.when((F.col("_n") == size) & F.col("_following").isNotNull(), F.col("memory_id"))).where(F.col("_n") <= size).drop("_n", "_following")
+
+
 def proposal_violations(proposals: DataFrame) -> DataFrame:
     """Rules that extracted memory proposals break, one row for each proposal.
 

@@ -159,6 +159,14 @@ def evo14_library(spark: SparkSession, d: str) -> DataFrame:
     return evolution.library(table(spark, d, "customer").select(F.col("c_custkey").alias("memory_id"), F.col("c_name").alias("name")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("memory_id"), F.col("s_name").alias("name")))
 
 
+@query("""
+    WITH g AS (SELECT s_suppkey AS memory_id, 'global' AS scope, s_name AS name FROM supplier), p AS (SELECT *, row_number() OVER (ORDER BY memory_id) AS n, count(*) OVER () AS left_over FROM g WHERE memory_id > 3)
+    SELECT memory_id, scope, name, CASE WHEN n = 5 AND left_over > 5 THEN memory_id END AS next_cursor FROM p WHERE n <= 5
+""")
+def top05_library_page(spark: SparkSession, d: str) -> DataFrame:
+    return evolution.library_page(evo14_library(spark, d).where("scope = 'global'"), 5, 3)
+
+
 @query(f"WITH {PREFERENCES_SQL} SELECT promotion_id, subject_key, replaces FROM force")
 def jn05_effective_promotions(spark: SparkSession, d: str) -> DataFrame:
     return evolution.effective_promotions(promotions(spark, d)).select("promotion_id", "subject_key", "replaces")
