@@ -138,3 +138,36 @@ def test_texts_of_one_id_join_their_groups(spark):
     rows = [(5, a), (5, b), (9, a), (3, b + " more"), (None, a), (7, None), (7, "")]
     found = sorted((x.doc_id is None, x.doc_id or 0, x.component_id, x.kept) for x in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert found == [(False, 3, 3, True), (False, 5, 3, False), (False, 5, 3, False), (False, 7, 7, True), (False, 7, 7, True), (False, 9, 3, False), (True, 0, 3, False)]
+
+
+def test_stored_results_of_two_threads(spark, tmp_path):
+    """What a call stored on the way goes with its end; another thread's tables stay."""
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tracelode.llm.common import stored, stored_result
+
+    inner, outer = threading.Event(), threading.Event()
+    left = []
+
+    @stored_result("long")
+    def long():
+        step = stored(spark.range(5).toDF("x"), "step")
+        left.extend(step.inputFiles())
+        inner.set()
+        assert outer.wait(60)
+        return step.where("x > 1")
+
+    @stored_result("short")
+    def short():
+        assert inner.wait(60)
+        return stored(spark.range(3).toDF("x"), "other")
+
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.submit(long), pool.submit(short)
+        assert b.result().count() == 3
+        outer.set()
+        assert a.result().count() == 3
+    import os
+
+    assert left and not any(os.path.exists(f.removeprefix("file://")) for f in left)

@@ -23,7 +23,7 @@ def test_each_stage_against_a_plain_version(spark, sf):
     assert kept == {x.doc_id for x in scored.where("predicted = 1").collect()}
 
     one = near(spark, good, sf)
-    groups = {x.doc_id: x.component_id for x in neardup.near_duplicates(good).collect()}
+    groups = {x.doc_id: x.component_id for x in neardup.near_duplicates(good, percent=80, keys=13).collect()}
     assert one.columns == columns
     assert sorted(x.doc_id for x in one.collect()) == sorted(set(groups.values()))
 
@@ -47,14 +47,14 @@ def test_run(spark, sf):
 
 def test_edges(spark, sf):
     docs = edge_documents(spark)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         rows = out.collect()
         assert rows, name
         if name != "packing":
             assert out.columns == docs.columns
             docs = out
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty_documents(spark), sf).collect() == [], name
 
 
@@ -78,7 +78,7 @@ def test_near_stage_against_brute_force_at_80(spark, sf):
         keep |= {i} if near else {i, j}
     assert between > 3
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {x.doc_id for x in corpus_pipeline.keep_one_of_each(spark, docs, sf, percent=80, keys=13).collect()} == keep
+    assert {x.doc_id for x in corpus_pipeline.keep_one_of_each(spark, docs, sf).collect()} == keep
 
 
 def test_rows_with_null_or_repeated_ids(spark, sf):

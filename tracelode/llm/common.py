@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Paths of the tables that were stored and not deleted, in order.
-_kept: list[str] = []
+#: Of each call of an operator that is under way: paths of the tables it stored. Threads have a value each.
+_steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,22 +44,50 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _kept.append(path)
+    steps = _steps.get()
+    if steps is not None:
+        steps.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored_last(df: DataFrame, name: str, since: int) -> DataFrame:
-    """Stores df and deletes the tables that were stored from the place ``since`` on to compute it (see ``stored_so_far``)."""
-    spark, result = df.sparkSession, stored(df, name)
-    for path in _kept[since:-1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del _kept[since:-1]
-    return result
-
-
-def stored_so_far() -> int:
-    return len(_kept)
+def stored_result(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Of a function that returns a DataFrame: its result is stored under the name, and what this call stored on the way is deleted, nobody else's."""
+    def around(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(make)
+        def call(*args, **options) -> DataFrame:
+            paths: list[str] = []
+            mine = _steps.set(paths)
+            try:
+                result = make(*args, **options)
+                _steps.reset(mine)
+                result = stored(result, name)
+            finally:
+                if _steps.get() is paths:
+                    _steps.reset(mine)
+                spark = SparkSession.active()
+                for path in paths:
+                    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            return result
+
+        return call
+
+    return around
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner", many: int = 50_000) -> DataFrame:
+    """left joined with right, which has one row for each key and in ``rows`` how many rows of left have it (dropped from the result).
+
+    Keys of more than ``many`` rows of left are broadcast, so none of them is one task's: there
+    are at most the rows of left over ``many`` of them. The others meet by a shuffle.
+    how: inner, or left, where rows of left without a key in right stay.
+    """
+    heavy = right.where(F.col(rows) > many).drop(rows)
+    light = right.where(F.col(rows) <= many).drop(rows)
+    if heavy.isEmpty():
+        return left.join(light, on, how)
+    apart = left.join(F.broadcast(heavy), on, "inner")
+    return apart.unionByName(left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how))
 
 
 def spread(df: DataFrame, *columns: str | Column) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm import encode, texthash
-from tracelode.llm.common import stored, stored_last, stored_so_far
+from tracelode.llm.common import stored, stored_result
 
 WORDS = 5
 KEYS = 10
@@ -180,6 +180,7 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return 100 * most >= percent * (F.col(f"{a}_n") + F.col(f"{b}_n") - most)
 
 
+@stored_result("groups")
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
     """For each document: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
@@ -201,7 +202,6 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, r
        known to be in one component, or known not to link as their own shingles are too many.
     A pair at the threshold shares no table with a chance of 2 * (1 - 0.85**rows)**keys, 0.015 %.
     """
-    since = stored_so_far()
     known = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
     signed = stored(signatures(known, keys, rows, words), "signatures")
     # Of a class: the least id, and where one of its texts is found.
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, r
     found = signed.select("doc_id", "n", "d1", "d2").join(reps, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") > 0), "left")
     found = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
     found = found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
-    return stored_last(found, "groups", since)
+    return found
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
