@@ -8,22 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import gam, mixing, neardup, packing
-from tracelode.llm.common import fresh, stored, stored_last, stored_so_far
+from tracelode.llm.common import fresh, stored, stored_result
+
+#: Of the near-duplicate stage: the similarity from which documents are copies, and the keys of each of its two collections.
+PERCENT = 80
+KEYS = 13
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject, with all their columns."""
+    """Documents that the classifier doesn't reject, with all their columns.
+
+    The model learns from the labelled rows of this stage's own input. Null, empty and blank texts
+    get the score of a text without words, very long ones are scored whole; rows that repeat, or
+    have no id, are scored each by their text. An empty table stays empty; columns beside doc_id
+    and text are carried, whatever their names.
+    """
     model = gam.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(gam.score_column(model)(F.col("text")) >= gam.THRESHOLD)
 
 
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = neardup.PERCENT, keys: int = neardup.KEYS) -> DataFrame:
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = PERCENT, keys: int = KEYS) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id. Rows without id stay only where no row of their group has one and none was kept before; repeats of a row don't.
 
     Decisions are joined on a number of each row: its id, or, after all ids, a hash of all its columns
     where it has no id or where its id has several texts and this isn't the first by hash. So those
-    texts are documents of their own. With percent = 80, keys = 13 miss a pair
-    at the threshold as rarely as the defaults do at 85: 2 * (1 - 0.8**3)**13, 0.018 %.
+    texts are documents of their own. Texts without words stay, all of them; an empty table stays
+    empty; columns of any name are carried. At 80 %, 13 keys a collection miss a pair at the
+    threshold with a chance of 2 * (1 - 0.8**3)**13, 0.018 %.
     """
     number, mark, digest, first, times = (fresh(docs, x) for x in ("number", "mark", "digest", "first", "times"))
     rows = docs.withColumn(mark, F.xxhash64(*docs.columns)).withColumn(digest, F.xxhash64("text"))
@@ -51,7 +62,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Whole documents only: a source's last one is in if more than half of it fits the budget.
     Rows are told apart by a hash of all their columns; equal ones are taken as often as the mix
-    takes all of them. Rows without id are drawn by that hash, others by their id.
+    takes all of them. Rows without id are drawn by that hash, others by their id. A null source
+    is a source of its own, the last; texts without words have size 0 and are taken as often as
+    their place in the order asks. An empty table stays empty; columns of any name are carried.
     """
     mark, own, copies = (fresh(docs, x) for x in ("mark", "own", "copies"))
     rows = docs.withColumn(mark, F.xxhash64(*docs.columns))
@@ -64,7 +77,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences of at most 2048 tokens, with their ids."""
+    """The pieces of all documents, in sequences of at most 2048 tokens, with their ids.
+
+    A null or empty text is one end id; a text longer than a sequence is cut into pieces, none
+    lost; repeated rows are packed each. An empty table gives no pieces. Columns beside doc_id
+    and text are not read.
+    """
     return packing.pack_documents(docs, with_ids=True)
 
 
@@ -83,6 +101,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents; each result is written to the shared folder and read again, and what a stage stored beside it is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        since = stored_so_far()
-        docs = stored_last(stage(spark, docs, sf_dir), name, since)
+        docs = stored_result(name)(stage)(spark, docs, sf_dir)
     return STAGES[-1][1](spark, docs, sf_dir)
