@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them.
 
-Queries without SQL (1, 5, 7, 8, 9, 10) are tested against brute force, an exact round
+Queries without SQL (1, 5, 7, 8, 9, 10, 11) are tested against brute force, an exact round
 trip or held-out labels in tests/llm.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import gam, html_text, licenses, media, mixing, neardup, packing, sharding, token_files, topk
+from tracelode.llm import gam, html_text, licenses, media, mixing, neardup, packing, sharding, simhash, token_files, topk
 from tracelode.llm.common import shared_folder
 
 
@@ -62,11 +62,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_media_columns, op2_license_scans, op3_exact_top_k, op4_mixing, op5_sharding,
         op6_minhash_neardup, op7_quality_classifier, op8_html_extraction, op9_token_output, op10_packing,
+        op11_simhash_neardup,
     )
 }
 
