@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import gam, html_text, licenses, media, mixing, neardup, packing, sharding, simhash, token_files, topk
+from tracelode.llm import codes, gam, html_text, licenses, media, mixing, neardup, packing, prefix_trie, sharding, simhash, token_files, topk
 from tracelode.llm.common import shared_folder
 
 
@@ -66,12 +66,20 @@ def op11_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("position", "end")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_media_columns, op2_license_scans, op3_exact_top_k, op4_mixing, op5_sharding,
         op6_minhash_neardup, op7_quality_classifier, op8_html_extraction, op9_token_output, op10_packing,
-        op11_simhash_neardup,
+        op11_simhash_neardup, op12_conversation_prefix_trie, op13_vector_codes,
     )
 }
 
@@ -113,7 +121,61 @@ def _license_sql() -> str:
     """
 
 
+def _codes_sql() -> str:
+    """The rounds one after another, each part compared with each entry."""
+    near = "SELECT p.vec_id, p.part, p.x, p.label, p.n, min((list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))), b.entry)) AS best FROM p JOIN {book} b USING (part) GROUP BY ALL"
+    rounds = ""
+    for i in range(codes.ROUNDS):
+        rounds += f"""
+        near{i} AS MATERIALIZED ({near.format(book=f"book{i}")}),
+        spot{i} AS (SELECT part, best[2] AS entry, unnest(x) AS x, unnest(range(len(x))) AS place FROM near{i}),
+        mean{i} AS (SELECT part, entry, place, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM spot{i} GROUP BY ALL),
+        fresh{i} AS (SELECT part, entry, list(x ORDER BY place) AS x FROM mean{i} GROUP BY ALL),
+        book{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(f.x, b.x) AS x FROM book{i} b LEFT JOIN fresh{i} f USING (part, entry)),"""
+    last = codes.ROUNDS
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        k AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS n FROM v),
+        p AS MATERIALIZED (SELECT vec_id, label, n, part, e[part * len(e) // {codes.PARTS} + 1:(part + 1) * len(e) // {codes.PARTS}] AS x FROM k, (SELECT unnest(range({codes.PARTS})) AS part)),
+        book0 AS MATERIALIZED (SELECT part, n - 1 AS entry, x FROM p WHERE n <= {codes.ENTRIES}),{rounds}
+        final AS MATERIALIZED ({near.format(book=f"book{last}")}),
+        digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{last}),
+        coded AS (SELECT vec_id, label, n, string_agg(format('{{:02x}}', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM final GROUP BY ALL)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(),
+    "op12_conversation_prefix_trie": """
+        WITH raw AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        keyed AS (SELECT c, turn, md5(length(role) || ':' || role || text) AS item, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM raw),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, item) - 1 AS place FROM keyed),
+        sizes AS (
+            SELECT c, count(*) AS own, c - c % 20 AS base,
+                   xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+                       lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 4 AS h
+            FROM placed GROUP BY c),
+        plan AS (SELECT s.c, s.base, s.h, least(s.h, coalesce(b.own, 0)) AS lent, least(s.h, coalesce(b.own, 0)) + greatest(s.own - s.h, 0) AS length FROM sizes s LEFT JOIN sizes b ON b.c = s.base),
+        built AS (
+            SELECT c, place - h + lent + 1 AS depth, item, words, length FROM placed JOIN plan USING (c) WHERE place >= h
+            UNION ALL SELECT plan.c, place + 1, item, words, length FROM plan JOIN placed ON placed.c = plan.base WHERE place < lent),
+        paths AS (
+            SELECT c, list(item) OVER (PARTITION BY c ORDER BY depth) AS path, words, depth = length AS last FROM built
+            UNION ALL SELECT c, [], 0, length = 0 FROM plan),
+        nodes AS (
+            SELECT path, len(path) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256
+            FROM paths GROUP BY path),
+        children AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (path)),
+        above AS (SELECT *, unnest(range(depth + 1)) AS d FROM whole),
+        spans AS (SELECT path[1:d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM above GROUP BY ALL)
+        SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+        FROM whole w JOIN spans USING (path) LEFT JOIN nodes p ON w.depth > 0 AND p.path = w.path[1:w.depth - 1]
+    """,
     "op2_license_scans": _license_sql(),
     "op4_mixing": """
         WITH d AS (SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
