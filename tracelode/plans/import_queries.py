@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions.arrow import prefixes_at
+from tracelode.functions.tables import shared_folder, stored
 from tracelode.plans.adapters import TRANSCRIPTS_SQL, transcripts_of
 from tracelode.plans.registry import query
-from tracelode.sources import transcripts
+from tracelode.sources import line_source, transcripts
 
 
 def imported(spark: SparkSession, d: str, provider: str) -> DataFrame:
@@ -102,3 +105,64 @@ def src03_resume(spark: SparkSession, d: str) -> DataFrame:
     ends = records.groupBy("key").agg(n.alias("n")).where(turn > 0).select("key", F.when(turn == 1, F.col("n")).when(turn == 2, F.col("n") + 3).otherwise(F.floor(F.col("n") / 2)).alias("place"))
     at = prefixes_at(records, ends).select(F.col("key").alias("source_path"), F.col("place").alias("cursor"), F.when(turn == 3, F.sha2("prefix_sha256", 256)).otherwise(F.col("prefix_sha256")).alias("prefix_sha256"))
     return transcripts.resume_suffix(lines, at)
+
+
+def _folder_of_files(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A new folder, and provider A's transcripts as (source_path in it, turn: the user's number modulo 5, lines)."""
+    folder = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder else f"file://{folder}"
+    name = F.regexp_extract("source_path", r"([^/]+)$", 1)
+    turn = F.regexp_extract("source_path", r"(\d+)\.jsonl$", 1).cast("int") % 5
+    lines = F.split(F.decode("content", "UTF-8"), "\n")
+    return folder, transcripts_of(spark, d, "A").select(F.concat(F.lit(folder + "/"), name).alias("source_path"), turn.alias("turn"), lines.alias("lines"))
+
+
+def _first(n: Column) -> Column:
+    """The first n lines of each file, each with its end, as bytes."""
+    return F.encode(F.concat(F.array_join(F.slice("lines", F.lit(1), n), "\n"), F.lit("\n")), "UTF-8").alias("content")
+
+
+@query("""
+    WITH s AS (SELECT user_id, count(*) + 1 AS n, user_id % 5 AS turn FROM events GROUP BY user_id),
+    c AS (SELECT *, CASE turn WHEN 0 THEN 0 WHEN 1 THEN n WHEN 2 THEN n ELSE n // 2 END AS cursor, CASE turn WHEN 2 THEN n - 1 ELSE n END AS now FROM s)
+    SELECT 'sA-' || user_id || '.jsonl' AS source, turn AS turn, cursor, CASE WHEN turn = 2 THEN 'truncated' END AS violation, CASE WHEN turn = 2 THEN 0 ELSE now - cursor END AS read,
+           CASE WHEN turn <> 2 AND now > cursor THEN cursor END AS first_read, turn <> 2 AS all_but_prefix
+    FROM c
+""")
+def src03_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts as files that grow: cursors after a first import, then what follows them alone is read. By the user's number a source is new, unchanged, shorter or twice as long.
+
+    all_but_prefix: the bytes read and those before the cursor are the whole file.
+    """
+    folder, files = _folder_of_files(spark, d)
+    files = stored(files.withColumn("n", F.size("lines")), "files")
+    half = F.when(F.col("turn") >= 3, F.floor(F.col("n") / 2).cast("int")).otherwise(F.col("n"))
+    line_source.write_files(files.where("turn > 0").select("source_path", _first(half)))
+    zero = F.lit(0).cast("long")
+    start = files.select("source_path", zero.alias("byte"), zero.alias("event_index"), F.lit(None).cast("string").alias("prefix_sha256"))
+    known = stored(line_source.next_cursors(line_source.read_suffixes(start.join(files.where("turn > 0"), "source_path", "left_semi"))), "cursors")
+    line_source.write_files(files.where("turn <> 1").select("source_path", _first(F.when(F.col("turn") == 2, F.col("n") - 1).otherwise(F.col("n")))))
+    cursors = stored(known.unionByName(start.join(known, "source_path", "left_anti")), "cursors")
+    found = stored(line_source.read_suffixes(cursors), "suffixes").groupBy("source_path").agg(
+        F.max("violation").alias("violation"), F.count("line").alias("read"), F.min(F.when(F.col("line").isNotNull(), F.col("event_index"))).alias("first_read"), F.sum(F.col("stop") - F.col("start")).alias("bytes"))
+    whole = line_source.scan(spark, folder).groupBy("source_path").agg(F.max("stop").alias("size"))
+    rows = cursors.join(files.select("source_path", "turn"), "source_path").join(whole, "source_path").join(found, "source_path", "left")
+    return rows.select(
+        F.regexp_extract("source_path", r"([^/]+)$", 1).alias("source"), F.col("turn").cast("long").alias("turn"), F.col("event_index").alias("cursor"), "violation", F.coalesce("read", zero).alias("read"), "first_read",
+        (F.col("byte") + F.coalesce("bytes", zero) == F.col("size")).alias("all_but_prefix"))
+
+
+@query("""
+    WITH s AS (SELECT user_id, count(*) + 1 AS n FROM events GROUP BY user_id)
+    SELECT 'sA-' || user_id || '.jsonl' AS source, n AS lines, n AS distinct_starts FROM s
+""")
+def src03_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same files followed by a stream while they grow in two steps: each line comes once, in whatever batch."""
+    folder, files = _folder_of_files(spark, d)
+    files = stored(files.withColumn("n", F.size("lines")), "files")
+    for part in (2, 1):
+        line_source.write_files(files.select("source_path", _first(F.ceil(F.col("n") / part).cast("int"))))
+        lines = line_source.appended(spark, folder).writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-checkpoint")
+        lines.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}-out").groupBy("source_path").agg(F.count("*").alias("lines"), F.countDistinct("start").alias("distinct_starts"))
+    return found.select(F.regexp_extract("source_path", r"([^/]+)$", 1).alias("source"), "lines", "distinct_starts")
