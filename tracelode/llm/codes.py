@@ -24,7 +24,7 @@ ENTRIES = 256
 ROUNDS = 4
 SCALE = 1024
 #: Blocks of a part at each level of the filter.
-LEVELS = (1, 4)
+LEVELS = (1, 4, 8)
 ROWS = 1024
 #: Bounds are lowered by so much of both squared norms, far more than rounding can raise them.
 SLACK = 1e-9
