@@ -16,8 +16,7 @@ def run(spark, folder, batches):
     for rows in batches:
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = streaming.close_episodes(spark.readStream.schema(streaming.EVENT_SCHEMA).parquet(f"{folder}/in"))
-        sink = streaming.append_once(f"{folder}/out", ["session_id", "start_index", "end_index"])
-        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+        streaming.start_table(stream, f"{folder}/out", f"{folder}/c").awaitTermination()
     return sorted((r.session_id, r.start_index, r.end_index, r.boundary_kind, r.continues_from, r.n_events) for r in spark.read.parquet(f"{folder}/out").collect())
 
 
@@ -86,6 +85,6 @@ def test_pending_calls_and_what_opens_a_continuation(spark, tmp_path):
     for rows in (one, two):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = streaming.close_episodes(spark.readStream.schema(streaming.EVENT_SCHEMA).parquet(f"{folder}/in"))
-        stream.writeStream.foreachBatch(streaming.append_once(f"{folder}/out", ["session_id", "start_index"])).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+        streaming.start_table(stream, f"{folder}/out", f"{folder}/c").awaitTermination()
     found = sorted((r.start_index, r.end_index, r.continues_from, r.n_events, r.pending_calls) for r in spark.read.parquet(f"{folder}/out").collect())
     assert found == [(0, 3, None, 4, ["b"]), (4, 6, 0, 2, ["c"])]

@@ -1,16 +1,14 @@
-"""Incremental import with Structured Streaming: open episodes and pending calls as state of a session."""
+"""Incremental import with Structured Streaming: open episodes, pending calls and waiting rows as state of a session."""
 
 from __future__ import annotations
 
 import hashlib
-import json
-from itertools import groupby
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tracelode.functions.arrow import next_prefix
 from tracelode.functions.columns import PREFIX_SEED
@@ -21,13 +19,81 @@ from tracelode.sources.lake import exists
 #: Control rows have this kind; their role is the boundary that closes the open episode.
 CONTROL = "control"
 CLOSED = "session_id string, start_index long, end_index long, boundary_kind string, continues_from long, n_events long, prefix_sha256 string, pending_calls array<string>"
-#: Open start (-1: none), end of the last closed episode (-1: none), events since the start, next index, prefix, link of the open episode,
-#: ids of calls without a result (JSON list), rows that wait for an index before theirs (JSON list).
-STATE = "open long, closed long, n long, next long, prefix string, link long, pending string, waiting string"
+#: Value state: start of the open episode (-1: none), start of the last closed one (-1: none), events since the start, next index, prefix, link of the open episode, calls so far.
+STATE = "open long, closed long, n long, next long, prefix string, link long, calls long"
+#: A row of a session as it is folded, in order.
+WAITING = "is_event int, block int, what string, boundary string, sha string, called string, answered string"
 #: Fields that only some sources have; what is missing counts as null.
 OPTIONAL = {"block": "int", "tool_name": "string", "call_id": "string", "tool_status": "string", "exit_code": "int"}
-#: Parts by which a sink's output is divided, so a batch reads only those that it touches.
-PARTS = 64
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class EpisodeProcessor(StatefulProcessor):
+    """Folds a session's rows in the order of their indexes.
+
+    One value holds the open episode. Calls without a result are a map by call id, rows that are
+    ahead of the next index a map by index, so a batch reads and writes only the entries that
+    it meets, however many wait.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._session = handle.getValueState("session", STATE)
+        self._pending = handle.getMapState("pending", "call_id string", "place long")
+        self._waiting = handle.getMapState("waiting", "event_index long", f"rows array<struct<{WAITING.replace(' ', ':').replace(',:', ',')}>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        state = self._session.get() if self._session.exists() else (-1, -1, 0, 0, hashlib.sha256(PREFIX_SEED.encode()).hexdigest(), -1, 0)
+        start, closed, n, following, prefix, link, calls = state
+        digest, first, out = bytes.fromhex(prefix), following, []
+        # By index, each row once, however often it was delivered.
+        came: dict[int, set[tuple]] = {}
+        for r in rows:
+            if not r.is_event or r.event_index >= following:
+                came.setdefault(r.event_index, set()).add(tuple(r)[2:])
+
+        def close(end, boundary):
+            left = [c for _, c in sorted((place, call) for (call,), (place,) in self._pending.iterator())]
+            out.append(Row(session_id=key[0], start_index=start, end_index=end, boundary_kind=boundary, continues_from=None if link < 0 else link, n_events=n, prefix_sha256=digest.hex(), pending_calls=left))
+
+        late = iter(sorted(i for i in came if i < first))
+        while True:
+            # Controls of indexes that were folded before come first, then one index after another.
+            index = next(late, following)
+            group = came.pop(index, set())
+            if index >= first and self._waiting.containsKey((index,)):
+                group |= {tuple(r) for r in self._waiting.getValue((index,))[0]}
+                self._waiting.removeKey((index,))
+            folded = False
+            for is_event, _, what, boundary, sha, called, answered in sorted(group):
+                if not is_event:
+                    if 0 <= start < index:
+                        close(following, boundary)
+                        closed, start, n, link = start, -1, 0, -1
+                    continue
+                if what == "user":
+                    if start >= 0:
+                        close(index, "next_user")
+                        closed = start
+                    start, n, link = index, 0, -1
+                elif what == "signal" and start < 0 <= closed:
+                    start, n, link = index, 0, closed
+                n += start >= 0
+                if called and not self._pending.containsKey((called,)):
+                    self._pending.updateValue((called,), (calls,))
+                    calls += 1
+                if answered and self._pending.containsKey((answered,)):
+                    self._pending.removeKey((answered,))
+                folded, last = True, sha
+            if folded:
+                digest, following = next_prefix(digest, last), index + 1
+            elif index == following:
+                break
+        for index, group in came.items():
+            if self._waiting.containsKey((index,)):
+                group |= {tuple(r) for r in self._waiting.getValue((index,))[0]}
+            self._waiting.updateValue((index,), (sorted(group),))
+        self._session.update((start, closed, n, following, digest.hex(), link, calls))
+        yield from out
 
 
 def close_episodes(events: DataFrame) -> DataFrame:
@@ -44,48 +110,10 @@ def close_episodes(events: DataFrame) -> DataFrame:
     nothing, so delivery may repeat. A control row that comes first when later events are folded
     closes the episode at the session's present end. Blocks of one record come in one batch. pending_calls are the calls
     that had no result when the episode closed; a result after that still settles them.
-    """
-    def step(key, batches, state: GroupState):
-        start, closed, n, following, prefix, link, pending, waiting = state.get if state.exists else (-1, -1, 0, 0, hashlib.sha256(PREFIX_SEED.encode()).hexdigest(), -1, "[]", "[]")
-        # A dict keeps the calls in order.
-        digest, calls, out = bytes.fromhex(prefix), dict.fromkeys(json.loads(pending)), []
-        rows = {tuple(r) for r in json.loads(waiting)}
-        for batch in batches:
-            batch = batch[batch["is_event"].eq(0) | batch["event_index"].ge(following)]
-            rows.update(zip(*(batch[c].tolist() for c in FIELDS), strict=True))
-
-        def close(end, boundary):
-            out.append((key[0], start, end, boundary, None if link < 0 else link, n, digest.hex(), list(calls)))
-
-        left = []
-        for (index, is_event), group in groupby(sorted(rows), lambda r: r[:2]):
-            if index > following:
-                left += group
-                continue
-            if not is_event:
-                if 0 <= start < index:
-                    close(following, next(group)[4])
-                    closed, start, n, link = start, -1, 0, -1
-                continue
-            if index < following:
-                continue
-            for r in group:
-                _, _, _, role_of, _, sha, called, answered = r
-                if role_of == "user":
-                    if start >= 0:
-                        close(index, "next_user")
-                        closed = start
-                    start, n, link = index, 0, -1
-                elif role_of == "signal" and start < 0 <= closed:
-                    start, n, link = index, 0, closed
-                n += start >= 0
-                if called:
-                    calls.setdefault(called)
-                calls.pop(answered, None)
-            digest, following = next_prefix(digest, sha), index + 1
-        state.update((start, closed, n, following, digest.hex(), link, json.dumps(list(calls)), json.dumps(left)))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in CLOSED.split(", ")]).astype({"continues_from": "Int64"})
 
+    Map states need RocksDB as the state store, which is set on the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     for name, kind in OPTIONAL.items():
         if name not in events.columns:
             events = events.withColumn(name, F.lit(None).cast(kind))
@@ -95,11 +123,12 @@ def close_episodes(events: DataFrame) -> DataFrame:
         "session_id", F.col("event_index").cast("long").alias("event_index"), F.when(F.col("kind") == CONTROL, 0).otherwise(1).alias("is_event"), F.coalesce("block", F.lit(0)).alias("block"),
         F.when(F.coalesce(user, F.lit(False)), "user").when(is_signal(), "signal").otherwise("other").alias("what"), F.coalesce("role", F.lit("")).alias("boundary"), F.coalesce("event_sha256", F.lit("")).alias("sha"),
         F.when(F.col("kind") == "tool_call", known).otherwise("").alias("called"), F.when(F.col("kind") == "tool_result", known).otherwise("").alias("answered"))
-    return rows.groupBy("session_id").applyInPandasWithState(step, CLOSED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("session_id").transformWithState(EpisodeProcessor(), CLOSED, "append", "None")
 
 
-#: A row of a session as the state holds it, in the order by which rows are folded.
-FIELDS = ("event_index", "is_event", "block", "what", "boundary", "sha", "called", "answered")
+def start_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Runs a stream into a Parquet table until its input is read. A batch's files enter the table's log once, by the batch's number, so a batch that is delivered again changes nothing and reads nothing of the table."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def changed_prefix(current: DataFrame, committed: DataFrame) -> DataFrame:
@@ -108,23 +137,6 @@ def changed_prefix(current: DataFrame, committed: DataFrame) -> DataFrame:
     return rows.where("expected <> found")
 
 
-def append_once(path: str, key: list[str]):
-    """A foreachBatch sink: rows whose key isn't in the table yet are added, so a batch may be delivered again.
-
-    The table is divided by a hash of the key's first column, and only the parts of a batch are read.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = stored(batch.dropDuplicates(key).withColumn("part", F.pmod(F.xxhash64(key[0]), F.lit(PARTS)).cast("int")), "batch")
-        # At most PARTS numbers.
-        touched = [r.part for r in rows.select("part").distinct().collect()]
-        if touched and exists(spark, path):
-            rows = rows.join(spark.read.schema(rows.schema).parquet(path).where(F.col("part").isin(touched)).select(*key), key, "left_anti")
-        rows.write.mode("append").partitionBy("part").parquet(path)
-
-    return write
-
-
 def index_batches(path: str, project):
     """A foreachBatch sink that keeps an index of projected documents: a batch's memories replace theirs in the touched partitions."""
     from tracelode.sources.lake import replace_partitions, upserted
