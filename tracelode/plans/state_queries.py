@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-
-from tracelode.functions.tables import shared_folder, top_per_group
+from tracelode.functions.tables import shared_folder, stored, top_per_group
 from tracelode.operators import state
-from tracelode.plans.adapters import JOBS_SQL, MEMORIES_SQL, NOW_MS, ORDERS_SQL, PREFERENCES_SQL, TYPES, jobs, memories, messages, order_edges, order_memories, preferences, promotions, table
+from tracelode.plans.adapters import EVENTS_SQL, JOBS_SQL, MEMORIES_SQL, NOW_MS, ORDERS_SQL, PREFERENCES_SQL, TYPES, jobs, memories, messages, order_edges, order_memories, preferences, promotions, table, tool_events
 from tracelode.plans.registry import query
 from tracelode.sources import lake
+from tracelode.streaming.episodes import CLOSED, CONTROL, EVENT_SCHEMA, close_episodes, start_table
 
 
 @query(f"WITH {ORDERS_SQL} SELECT memory_id, memory_type, status FROM ost WHERE status = 'active'")
@@ -328,14 +329,86 @@ def src09_discovery(spark: SparkSession, d: str) -> DataFrame:
 """)
 def str01_incremental(spark: SparkSession, d: str) -> DataFrame:
     """Replays conversations as a stream of files, one micro-batch after another, and then closes every session."""
-    from tracelode.streaming.episodes import CLOSED, CONTROL, EVENT_SCHEMA, append_once, close_episodes
+    rows = stored(stream_messages(spark, d), "messages")
+    last = closing(rows.groupBy("session_id").agg((F.max("event_index") + 1).alias("event_index")), "manual_finalize")
+    found = streamed(spark, [rows.where("event_index < 3"), rows.where("event_index >= 2").unionByName(last)])  # turn 2 comes twice
+    return found.select("session_id", "start_index", "end_index", "boundary_kind", "n_events")
+
+
+def stream_messages(spark: SparkSession, d: str) -> DataFrame:
+    return messages(spark, d).select(F.col("session_id").cast("string").alias("session_id"), "event_index", "kind", "role", "text", "event_sha256")
+
+
+def closing(at: DataFrame, boundary: str) -> DataFrame:
+    """Control rows that close sessions before an index, from (session_id, event_index)."""
+    empty = F.lit("")
+    return at.select("session_id", "event_index", F.lit(CONTROL).alias("kind"), F.lit(boundary).alias("role"), empty.alias("text"), empty.alias("event_sha256"))
 
+
+def streamed(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """Episodes of a stream to which the parts are added one after another, each read by a run of its own."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rows = messages(spark, d).select(F.col("session_id").cast("string").alias("session_id"), "event_index", "kind", "role", "text", "event_sha256")
-    last = rows.groupBy("session_id").agg((F.max("event_index") + 1).alias("event_index")).select("session_id", "event_index", F.lit(CONTROL).alias("kind"), F.lit("manual_finalize").alias("role"), F.lit("").alias("text"), F.lit("").alias("event_sha256"))
-    for part in (rows.where("event_index < 3"), rows.where("event_index >= 2"), last):  # turn 2 comes twice
+    for part in parts:
         part.write.mode("append").parquet(f"{folder}/in")
         events = spark.readStream.schema(EVENT_SCHEMA).parquet(f"{folder}/in")
-        sink = append_once(f"{folder}/out", ["session_id", "start_index", "end_index"])
-        close_episodes(events).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(CLOSED).parquet(f"{folder}/out").select("session_id", "start_index", "end_index", "boundary_kind", "n_events")
+        start_table(close_episodes(events), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(CLOSED).parquet(f"{folder}/out")
+
+
+@query(f"""
+    WITH {EVENTS_SQL},
+    p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_index) - 1 AS place FROM ev),
+    u AS (SELECT session_id, place AS start_index, lead(place) OVER (PARTITION BY session_id ORDER BY place) AS following FROM p WHERE kind = 'message' AND role = 'user'),
+    n AS (SELECT session_id, max(place) + 1 AS n FROM p GROUP BY ALL),
+    e AS (SELECT session_id, start_index, coalesce(following, n) AS end_index, CASE WHEN following IS NULL THEN 'session_end' ELSE 'next_user' END AS boundary_kind FROM u JOIN n USING (session_id)),
+    c AS (SELECT e.session_id, e.end_index, p.call_id, max_by(p.kind, p.place) AS last FROM e JOIN p ON p.session_id = e.session_id AND p.place < e.end_index AND p.call_id IS NOT NULL AND p.kind IN ('tool_call', 'tool_result') GROUP BY ALL),
+    w AS (SELECT session_id, end_index, string_agg(call_id, ',' ORDER BY call_id) AS pending FROM c WHERE last = 'tool_call' GROUP BY ALL)
+    SELECT CAST(e.session_id AS VARCHAR) AS session_id, e.start_index, e.end_index, boundary_kind, e.end_index - e.start_index AS n_events, coalesce(pending, '') AS pending FROM e LEFT JOIN w ON e.session_id = w.session_id AND e.end_index = w.end_index
+""")
+def str02_pending_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Tool sessions in two parts, the later one first: its rows wait in the state until the gap before them is filled."""
+    rows = tool_events(spark, d)
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("event_index")) - 1
+    rows = rows.select(F.col("session_id").cast("string").alias("session_id"), place.cast("long").alias("event_index"), "kind", "role", "text", "event_sha256", "tool_name", "call_id", "tool_status", "exit_code")
+    rows = stored(rows, "events")
+    ends = rows.groupBy("session_id").agg((F.max("event_index") + 1).alias("event_index"))
+    half = rows.join(ends.select("session_id", F.floor(F.col("event_index") / 2).alias("half")), "session_id")
+    later, first = (half.where(c).drop("half") for c in ("event_index >= half", "event_index < half"))
+    found = streamed(spark, [later.unionByName(closing(ends, "session_end"), allowMissingColumns=True), first])
+    return found.select("session_id", "start_index", "end_index", "boundary_kind", "n_events", F.array_join(F.array_sort("pending_calls"), ",").alias("pending"))
+
+
+@query("""
+    WITH m AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, coalesce(text, '') <> '' AS says, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+    h AS (SELECT *, (n + 1) // 2 AS half FROM m),
+    u AS (SELECT session_id, turn AS start_index, FALSE AS late FROM h WHERE role = 'user'),
+    b AS (SELECT session_id, min(turn) FILTER (WHERE turn >= half AND (role = 'user' OR says)) AS first_signal, min(half) AS half, min(n) AS n, min(turn) FILTER (WHERE role = 'user') AS opened FROM h GROUP BY ALL),
+    s AS (SELECT * FROM u UNION ALL SELECT session_id, first_signal, TRUE FROM b WHERE opened < half AND first_signal IS NOT NULL AND NOT EXISTS (SELECT 1 FROM u WHERE u.session_id = b.session_id AND u.start_index = b.first_signal)),
+    o AS (SELECT *, lead(start_index) OVER w AS following, lag(start_index) OVER w AS before FROM s WINDOW w AS (PARTITION BY session_id ORDER BY start_index))
+    SELECT session_id, start_index, CASE WHEN start_index < half THEN least(half, coalesce(following, n)) ELSE coalesce(following, n) END AS end_index,
+           CASE WHEN start_index < half AND half <= coalesce(following, n) THEN 'turn_end' WHEN following IS NULL THEN 'session_end' ELSE 'next_user' END AS boundary_kind, CASE WHEN late THEN before END AS continues_from
+    FROM o JOIN b USING (session_id)
+""")
+def str04_late_events(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions closed after their first half; what comes later continues the closed episode and never rewrites it."""
+    rows = stored(stream_messages(spark, d), "messages")
+    ends = rows.groupBy("session_id").agg(F.count("*").alias("n"))
+    half = F.floor((F.col("n") + 1) / 2)
+    cut = stored(rows.join(ends, "session_id").withColumn("half", half), "halves")
+    first, later = (cut.where(c).drop("n", "half") for c in ("event_index < half", "event_index >= half"))
+    parts = [first.unionByName(closing(ends.select("session_id", half.alias("event_index")), "turn_end")), later.unionByName(closing(ends.select("session_id", F.col("n").alias("event_index")), "session_end"))]
+    return streamed(spark, parts).select("session_id", "start_index", "end_index", "boundary_kind", "continues_from")
+
+
+@query("""
+    WITH m AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS episode FROM conversations),
+    s AS (SELECT conv_id, episode, min(turn) AS start_index, max(turn) + 1 AS last, count(*) AS n_events FROM m WHERE episode > 0 GROUP BY ALL)
+    SELECT CAST(conv_id AS VARCHAR) AS session_id, start_index, coalesce(lead(start_index) OVER (PARTITION BY conv_id ORDER BY episode), last) AS end_index, n_events, CAST(1 AS BIGINT) AS times FROM s
+""")
+def str05_delivered_often(spark: SparkSession, d: str) -> DataFrame:
+    """Every row a hundred times in one delivery, and the whole delivery twice: each episode is closed once."""
+    rows = stream_messages(spark, d)
+    last = closing(rows.groupBy("session_id").agg((F.max("event_index") + 1).alias("event_index")), "manual_finalize")
+    many = stored(rows.unionByName(last).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("copy"), "many")
+    found = streamed(spark, [many, many])
+    return found.groupBy("session_id", "start_index", "end_index", "n_events").agg(F.count("*").alias("times"))
