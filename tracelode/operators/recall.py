@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracelode.functions import columns as C
+from tracelode.functions.embedding import Embedder
 from tracelode.functions.tables import small, stored, top_per_group
 
 RRF_K = 60
@@ -26,8 +28,12 @@ DIGITS = 6
 TYPE_CAPS = {"repository_knowledge": 40, "user_preference": 4, "work_state": 4, "task_experience": 8}
 TYPE_ORDER = ("work_state", "user_preference", "repository_knowledge", "task_experience")
 QUERY_BLOCK = 256
+#: Queries of one pass over the documents.
+QUERY_PASS = 16_384
 #: Rows of a task whose scores for a block of queries are in memory at a time.
 ROWS = 2048
+#: Rows that a task holds before it keeps k of a query.
+KEPT_ROWS = 1 << 17
 
 
 def candidate_cap(limit: int) -> int:
@@ -53,40 +59,57 @@ def project(memories: DataFrame) -> DataFrame:
     return rows.withColumn("content_sha256", F.sha2(C.canonical_json(content=F.col("content"), document_id=F.col("document_id"), schema_version=F.lit(1), status=F.col("status")), 256))
 
 
-def best_rows(scores: np.ndarray, ids: pa.Array, parts: list[pa.Array], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each column's k greatest positive scores (and of each value of the parts), ties to smaller ids."""
-    rows, columns = np.nonzero(scores > 0)
+def first_rows(scores: np.ndarray, columns: np.ndarray, ids: pa.Array, parts: list[pa.Array], k: int) -> np.ndarray:
+    """Places of each column's k greatest scores (and of each value of the parts), ties to smaller ids."""
     group = np.zeros(len(scores), np.int64)
     for part in parts:
         codes = part.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         group = group * (codes.max(initial=0) + 1) + codes
     place = np.empty(len(scores), np.int64)
     place[pc.sort_indices(ids).to_numpy()] = np.arange(len(scores))
-    order = np.lexsort((place[rows], -scores[rows, columns], group[rows], columns))
-    rows, columns = rows[order], columns[order]
-    key = columns * (group.max(initial=0) + 1) + group[rows]
+    order = np.lexsort((place, -scores, group, columns))
+    key = (columns * (group.max(initial=0) + 1) + group)[order]
     first = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1)) if len(key) else np.zeros(0, np.int64)
     nth = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
-    return rows[nth < k], columns[nth < k]
+    return order[nth < k]
 
 
-def scored_in_place(rows: DataFrame, part: list[str], query_ids: list, queries: DataFrame, score, k: int) -> DataFrame:
-    """Each query's first k rows (and in each value of the part columns): query_id, document_id, the parts, score, rank.
+def scored_in_place(rows: DataFrame, part: list[str], query_ids: list, queries: DataFrame, scores: list, k: int, least: float = 0.0) -> DataFrame:
+    """Each query's first k rows (and in each value of the part columns) of a score above least: query_id, document_id, the parts, score, rank.
 
-    rows: document_id, the parts, then what score needs. score gives a matrix of rows times the
-    queries, in the order of query_ids, for each batch of at most ROWS rows. A row's scores stay
-    in its task, which hands on k rows of a query for each batch, so only those are shuffled.
+    rows: document_id, the parts, then what scores need. Each of scores gives a matrix of a
+    batch's rows times the next QUERY_BLOCK queries, in the order of query_ids; scores that are
+    not numbers are no candidates. All blocks meet a batch of at most ROWS rows while it is in
+    memory, so rows are read once. A task hands on k rows of a query, so only those are shuffled.
     """
     schema = rows.select("document_id", *part).schema.add("score", T.DoubleType()).add("query", T.IntegerType())
 
+    def pruned(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        at = first_rows(whole.column("score").to_numpy(), whole.column("query").to_numpy().astype(np.int64), whole.column(0), [whole.column(1 + i) for i in range(len(part))], k)
+        return whole.take(pa.array(at))
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, kept = [], 0, 0
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                found = np.floor(score(batch) * 10.0**DIGITS + 0.5) / 10.0**DIGITS
-                row, column = best_rows(found, batch.column(0), [batch.column(1 + i) for i in range(len(part))], k)
-                kept = batch.select(["document_id", *part]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found[row, column]), pa.array(column.astype(np.int32))], names=schema.names)
+                for n, score in enumerate(scores):
+                    found = np.floor(score(batch) * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+                    row, column = np.nonzero(found > least)
+                    if not len(row):
+                        continue
+                    own = batch.select(["document_id", *part]).take(pa.array(row))
+                    first = first_rows(found[row, column], column, own.column(0), own.columns[1:], k)
+                    own, row, column = own.take(pa.array(first)), row[first], column[first]
+                    held.append(pa.RecordBatch.from_arrays([*own.columns, pa.array(found[row, column]), pa.array((column + n * QUERY_BLOCK).astype(np.int32))], names=schema.names))
+                    size += len(row)
+                # What is held is at most twice what it was cut to, or a few batches.
+                if size > 2 * kept + KEPT_ROWS:
+                    held = [pruned(held)]
+                    size = kept = held[0].num_rows
+        if held:
+            yield pruned(held)
 
     numbers = queries.sparkSession.createDataFrame(list(enumerate(query_ids)), queries.select(F.lit(0).alias("query"), "query_id").schema) if query_ids else queries.select(F.lit(0).alias("query"), "query_id")
     found = rows.mapInArrow(best, schema).join(F.broadcast(numbers), "query").drop("query")
@@ -99,12 +122,16 @@ def query_terms(queries: DataFrame, terms) -> tuple[list, list[list[str]]]:
     return [x.query_id for x in rows], [x.t for x in rows]
 
 
-def in_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> list[DataFrame]:
-    """Queries dealt into blocks of about so many."""
-    n = max(1, -(-queries.count() // block))
+def in_passes(queries: DataFrame, size: int = QUERY_PASS) -> list[DataFrame]:
+    """Queries dealt into passes over the documents, of about so many each."""
+    n = max(1, -(-queries.count() // size))
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
 
 
+def blocks_of(n: int) -> list[slice]:
+    return [slice(i, min(i + QUERY_BLOCK, n)) for i in range(0, n, QUERY_BLOCK)]
+
+
 def postings(documents: DataFrame, part: list[str], vocabulary: list[str]) -> DataFrame:
     """(document_id, the parts, length, terms, counts): the places in the vocabulary of the document's terms, stored, so that texts are split once."""
     words = documents.select("document_id", *part, C.words(F.col("content")).alias("w"))
@@ -128,45 +155,51 @@ def lexical(documents: DataFrame, queries: DataFrame, k: int, partition: list[st
     """BM25's first k documents for each query (and each value of the partition columns): query_id, document_id, score, rank.
 
     documents: document_id, content; queries: query_id, query. A query's distinct terms count
-    once. A document keeps its postings of the queries' terms and is scored where it lies, for
-    a block of queries at a time. Scores are rounded, so ties go to the smaller id everywhere.
+    once. A document keeps its postings of the queries' terms and is scored where it lies. Scores are rounded, so ties go to the smaller id everywhere.
     """
     part = partition or []
     out = None
-    for block in in_blocks(queries):
-        ids, asked = query_terms(block, C.words)
+    for some in in_passes(queries):
+        ids, asked = query_terms(some, C.words)
         vocabulary = sorted(set().union(*asked)) if asked else []
         held = postings(documents, part, vocabulary)
         total = held.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
         # As many rows as the queries have terms.
         df = dict(map(tuple, held.select(F.explode("terms").alias("t")).groupBy("t").count().collect()))
         place = {t: i for i, t in enumerate(vocabulary)}
-        users: list[list[int]] = [[] for _ in vocabulary]
-        for q, own in enumerate(asked):
-            for t in own:
-                users[place[t]].append(q)
-        starts = np.concatenate(([0], np.cumsum([len(u) for u in users]))).astype(np.int64)
-        columns = np.array([q for u in users for q in u], np.int64)
         idf = np.array([np.log(1 + (total.n - df.get(i, 0) + 0.5) / (df.get(i, 0) + 0.5)) for i in range(len(vocabulary))])
-        out_of = len(ids)
-
-        def score(batch: pa.RecordBatch, starts=starts, columns=columns, idf=idf, n=out_of, mean=total.mean or 1.0) -> np.ndarray:
-            lists, counts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            term = lists.flatten().to_numpy().astype(np.int64)
-            tf = counts.flatten().to_numpy().astype(float)
-            row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
-            length = batch.column(batch.num_columns - 3).to_numpy().astype(float)[row]
-            weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-            times = starts[term + 1] - starts[term]
-            first = np.repeat(starts[term] - np.concatenate(([0], np.cumsum(times)[:-1])) if len(term) else starts[:0], times)
-            own = columns[first + np.arange(int(times.sum()))]
-            return np.bincount(np.repeat(row, times) * n + own, np.repeat(weight, times), batch.num_rows * n).reshape(batch.num_rows, n)
-
-        found = scored_in_place(held, part, ids, block, score, k)
+        scores = [_bm25([[place[t] for t in own] for own in asked[block]], idf, total.mean or 1.0) for block in blocks_of(len(ids))]
+        found = scored_in_place(held, part, ids, some, scores, k)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _bm25(asked: list[list[int]], idf: np.ndarray, mean: float):
+    """Scores of postings for queries, each a list of places in the vocabulary."""
+    users: list[list[int]] = [[] for _ in idf]
+    for q, own in enumerate(asked):
+        for t in own:
+            users[t].append(q)
+    starts = np.concatenate(([0], np.cumsum([len(u) for u in users]))).astype(np.int64)
+    columns, n = np.array([q for u in users for q in u], np.int64), len(asked)
+
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        lists, counts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+        term = lists.flatten().to_numpy().astype(np.int64)
+        tf = counts.flatten().to_numpy().astype(float)
+        row = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        times = starts[term + 1] - starts[term]
+        used = times > 0
+        term, tf, row, times = term[used], tf[used], row[used], times[used]
+        length = batch.column(batch.num_columns - 3).to_numpy().astype(float)[row]
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        first = np.repeat(starts[term] - np.concatenate(([0], np.cumsum(times)[:-1])) if len(term) else starts[:0], times)
+        own = columns[first + np.arange(int(times.sum()))]
+        return np.bincount(np.repeat(row, times) * n + own, np.repeat(weight, times), batch.num_rows * n).reshape(batch.num_rows, n)
+
+    return score
+
+
 def hashed_near(documents: DataFrame, queries: DataFrame, k: int, partition: list[str] | None = None, dimension: int = DIMENSION) -> DataFrame:
     """The first k documents of each query by the cosine of their hashing embeddings (see hashed): query_id, document_id, score, rank.
 
@@ -187,21 +220,61 @@ def hashed_near(documents: DataFrame, queries: DataFrame, k: int, partition: lis
     def bucket_of(terms: list[str]) -> np.ndarray:
         return np.array([int.from_bytes(hashlib.sha256(t.encode()).digest()[:2], "big") % dimension for t in terms], np.int64)
 
-    for block in in_blocks(queries):
-        ids, asked = query_terms(block, C.terms)
+    for some in in_passes(queries):
+        ids, asked = query_terms(some, C.terms)
         every = sorted(set().union(*asked)) if asked else []
         place = {t: i for i, t in enumerate(every)}
         q = counted(np.array([place[t] for own in asked for t in own], np.int64), np.repeat(np.arange(len(asked)), [len(own) for own in asked]).astype(np.int64), len(asked), bucket_of(every))
         q_norm = np.sqrt((q * q).sum(axis=1))
 
-        def score(batch: pa.RecordBatch, q=q, q_norm=q_norm) -> np.ndarray:
+        def score(batch: pa.RecordBatch, q, q_norm) -> np.ndarray:
             lists = batch.column(batch.num_columns - 1)
             coded = lists.flatten().dictionary_encode()
             d = counted(coded.indices.to_numpy().astype(np.int64), pc.list_parent_indices(lists).to_numpy().astype(np.int64), batch.num_rows, bucket_of(coded.dictionary.to_pylist()))
             norm = np.sqrt((d * d).sum(axis=1))[:, None] * q_norm[None, :]
             return np.divide(d @ q.T, norm, out=np.zeros_like(norm), where=norm > 0)
 
-        found = scored_in_place(rows, part, ids, block, score, k)
+        scores = [partial(score, q=q[block], q_norm=q_norm[block]) for block in blocks_of(len(ids))]
+        found = scored_in_place(rows, part, ids, some, scores, k)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def vector_near(documents: DataFrame, queries: DataFrame, k: int, partition: list[str] | None = None, least: float = -np.inf) -> DataFrame:
+    """The first k documents of each query by the cosine of their vectors: query_id, document_id, score, rank.
+
+    documents: document_id, vector; queries: query_id, vector, all of one dimension. A batch of
+    documents is one matrix, multiplied with the queries'. Vectors that are null or zero, or hold
+    a null or no number, are no candidates, nor are pairs of a cosine up to least.
+    """
+    part = partition or []
+    rows = documents.select("document_id", *part, F.col("vector").cast("array<double>").alias("vector"))
+    out = None
+
+    def matrix(vectors: list, width: int) -> np.ndarray:
+        """Unit rows, of NaN where there is no direction."""
+        m = np.array([x if x is not None and len(x) else [np.nan] * width for x in vectors], float).reshape(len(vectors), width)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+
+    for some in in_passes(queries):
+        asked = some.select("query_id", F.col("vector").cast("array<double>").alias("v")).orderBy("query_id").collect()
+        width = max((len(x.v) for x in asked if x.v), default=0)
+        q = matrix([x.v for x in asked], width)
+
+        def score(batch: pa.RecordBatch, q, width=width) -> np.ndarray:
+            lists = batch.column(batch.num_columns - 1)
+            sizes = pc.fill_null(pc.list_value_length(lists), width)
+            if pc.any(pc.and_(pc.not_equal(sizes, width), pc.not_equal(sizes, 0))).as_py():
+                raise ValueError(f"dimension_mismatch: queries have {width} components")
+            if lists.null_count or pc.any(pc.equal(sizes, 0)).as_py():
+                d = matrix(lists.to_pylist(), width)
+            else:
+                d = matrix(lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width), width)
+            return d @ q.T
+
+        scores = [partial(score, q=q[block]) for block in blocks_of(len(asked))]
+        found = scored_in_place(rows, part, [x.query_id for x in asked], some, scores, k, least)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -223,47 +296,6 @@ def norm(counts: Column) -> Column:
     return F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, e: s + e["n"] * e["n"]))
 
 
-def unit(df: DataFrame, counts: str) -> DataFrame:
-    """Brings the counts of an embedding to unit length; one without terms stays empty."""
-    return df.withColumn("_norm", norm(F.col(counts))).withColumn(counts, F.transform(counts, lambda e: F.struct(e["bucket"].alias("bucket"), F.try_divide(e["n"], F.col("_norm")).alias("n")))).drop("_norm")
-
-
-def query_blocks(queries: DataFrame, id_: str, vector: str, block: int = QUERY_BLOCK) -> tuple[DataFrame, int]:
-    """Queries packed as rows (block, queries), and the number of blocks."""
-    n = max(1, -(-queries.count() // block))
-    rows = queries.withColumn("block", F.pmod(F.xxhash64(id_), F.lit(n)))
-    return rows.groupBy("block").agg(F.collect_list(F.struct(F.col(id_).alias("id"), F.col(vector).alias("v"))).alias("q")), n
-
-
-def vector_top(documents: DataFrame, queries: DataFrame, k: int, score, partition: list[str] | None = None) -> DataFrame:
-    """The first k documents of each query by a score of (document vector, query vector): query_id, document_id, score, rank.
-
-    documents: document_id, vector; queries: query_id, vector. Each document meets each block of
-    queries once; each task keeps k rows of a query before the shuffle. A score that is null or
-    not a number is no candidate; a document whose id is the query's own isn't either.
-    """
-    part = partition or []
-    packed, n = query_blocks(queries, "query_id", "vector")
-    rows = documents.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(small(packed, 64), "block")
-    each = F.transform("q", lambda q: F.struct(q["id"].alias("query_id"), F.round(score(F.col("vector"), q["v"]), DIGITS).alias("score")))
-    found = rows.select("document_id", *part, F.inline(F.filter(each, lambda s: s["score"].isNotNull() & ~F.isnan(s["score"]))))
-    return top_per_group(found, ["query_id", *part], [F.desc("score"), F.col("document_id")], k)
-
-
-def hashed_top(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The first k documents of each query by the cosine of their hashing embeddings: query_id, document_id, score, rank.
-
-    documents: document_id, vector; queries: query_id, vector; both at unit length. Only the few
-    buckets that a query has are multiplied, by a join on the bucket; a task sums up its
-    documents' scores before the shuffle. A pair without a common bucket is no candidate.
-    """
-    # Stored, as filters on an array that is taken apart would compute it once more in each of its steps.
-    entries = stored(documents.select("document_id", "vector"), "vectors").select("document_id", F.inline("vector"))
-    asked = small(stored(queries.select("query_id", "vector"), "asked").select("query_id", F.inline("vector").alias("bucket", "m")))
-    scored = entries.join(asked, "bucket").groupBy("query_id", "document_id").agg(F.round(F.sum(F.col("n") * F.col("m")), DIGITS).alias("score"))
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.col("document_id")], k)
-
-
 def fuse(candidates: DataFrame) -> DataFrame:
     """Reciprocal rank fusion: query_id, memory_id, score, sources, best vector score.
 
@@ -373,7 +405,7 @@ def context(found: DataFrame, queries: DataFrame, token_limit: int, most: int =
     return packed.select("query_id", "markdown", C.tokens_estimate(F.col("markdown")).alias("token_count"), F.coalesce(ids, F.array()).alias("rendered_ids"), (F.size(F.coalesce("s", F.array())) - F.size("f.taken")).cast("long").alias("omitted_snippets"))
 
 
-def hybrid(memories: DataFrame, queries: DataFrame, limit: int, threshold: float, dimension: int = DIMENSION, pins: DataFrame | None = None, rerank=None, by_repository: bool = False) -> DataFrame:
+def hybrid(memories: DataFrame, queries: DataFrame, limit: int, threshold: float, dimension: int = DIMENSION, pins: DataFrame | None = None, rerank=None, by_repository: bool = False, embedder: Embedder | None = None, index=None) -> DataFrame:
     """Recall from end to end: for each query its admitted and omitted memories, with the search's snippets of each.
 
     memories: as project takes them, with created_at_ms; queries: query_id, query, and by_repository
@@ -382,21 +414,35 @@ def hybrid(memories: DataFrame, queries: DataFrame, limit: int, threshold: float
     the best rank of its documents; by_repository each repository's documents are ranked
     for themselves. found holds the facts and lines that search returned, scored by the sum of
     1 / (60 + rank). pins: (query_id, memory_id), see pinned. rerank takes and returns rows
-    with query, content and score.
+    with query, content and score. embedder: a provider's embeddings instead of the hashed ones.
+    index: an IndexStore, whose documents are searched if they are what the memories project to;
+    else it raises IndexNotReady. By repository, a memory id in several of a query's repositories
+    is an error.
     """
     k = candidate_cap(limit)
     active = memories.where("status = 'active'")
-    documents = stored(project(active).select("repo_key", "memory_id", "document_id", "kind", "title", F.col("content").alias("text")), "projected")
+    if index is not None:
+        index.require(memories, queries.select(F.explode("repo_keys").alias("repo_key")) if by_repository else None)
+    projected = index.documents().where("status = 'active'") if index is not None else project(active)
+    documents = stored(projected.select("repo_key", "memory_id", "document_id", "kind", "title", F.col("content").alias("text")), "projected")
     part = ["repo_key"] if by_repository else []
     words = lexical(documents.select("document_id", *part, F.col("text").alias("content")), queries, k, part).withColumn("source", F.lit("lexical"))
-    near = hashed_near(documents.select("document_id", *part, F.concat_ws("\n", "title", "text").alias("content")), queries, k, part, dimension).withColumn("source", F.lit("vector"))
+    bodies = documents.select("document_id", *part, F.concat_ws("\n", "title", "text").alias("content"))
+    if embedder is None:
+        near = hashed_near(bodies, queries, k, part, dimension)
+    else:
+        near = vector_near(embedder.add(bodies, "content"), embedder.add(queries, "query"), k, part, least=0.0)
+    near = near.withColumn("source", F.lit("vector"))
     both = words.unionByName(near)
     if by_repository:
-        both = both.join(queries.select("query_id", F.explode(F.array_distinct("repo_keys")).alias("repo_key")), ["query_id", "repo_key"], "left_semi").drop("repo_key")
+        both = both.join(queries.select("query_id", F.explode(F.array_distinct("repo_keys")).alias("repo_key")), ["query_id", "repo_key"], "left_semi")
+    both = both.drop("repo_key")
     # At most k rows of each source, query and repository.
     both = stored(both, "candidates")
-    known = documents.join(small(both.select("document_id").distinct()), "document_id", "left_semi").select("document_id", "memory_id", "kind", "text")
+    known = documents.join(small(both.select("document_id").distinct()), "document_id", "left_semi").select("document_id", "memory_id", "kind", "text", "repo_key")
     both = stored(both.join(known, "document_id"), "found")
+    if by_repository and not both.groupBy("query_id", "memory_id").agg(F.min("repo_key").alias("a"), F.max("repo_key").alias("b")).where("a <> b").isEmpty():
+        raise ValueError("memory_in_several_repositories")
     found = both.where("kind <> 'memory'").groupBy("query_id", "memory_id", "document_id", "text").agg(F.round(F.sum(1 / (RRF_K + F.col("rank"))), 9).alias("score"))
     found = found.groupBy("query_id", "memory_id").agg(F.array_sort(F.collect_list(F.struct("document_id", "text", "score"))).alias("found"))
     # A memory's rank in a source is that of its first document there; with several repositories each has its own ranks.

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.functions import columns as C
-from tracelode.operators import recall
+from tracelode.functions.embedding import HASHING
+from tracelode.functions.tables import shared_folder
+from tracelode.operators import recall, scoped
+from tracelode.operators.index_store import IndexNotReady, IndexStore, read_unchanged
 from tracelode.plans.adapters import MEMORIES_SQL, memories, table
 from tracelode.plans.registry import query
 
@@ -56,8 +60,7 @@ def rec02_bm25(spark: SparkSession, d: str) -> DataFrame:
 def neighbours(spark: SparkSession, d: str, k: int) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
     queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = recall.vector_top(rows.select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector")), queries, k + 1, C.cosine)
-    return found
+    return recall.vector_near(rows.select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector")), queries, k + 1)
 
 
 NEAR_SQL = """
@@ -266,3 +269,70 @@ def _reranked_sql() -> str:
 def rec07_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Recall's fused candidates, reranked by their memories' content before admission."""
     return recall.hybrid(memories(spark, d), asked(spark, d), LIMIT, THRESHOLD, rerank=recall.rerank_overlap).select("query_id", "memory_id", "score", "rank", "omission")
+
+
+@query(f"WITH {ALL_SQL} SELECT query_id, memory_id, score, sources, vector_score, rank, omission FROM final")
+def udf01_embedder(spark: SparkSession, d: str) -> DataFrame:
+    """Recall with a provider of embeddings plugged in: that which computes the hashed ones, so the result is rec06's."""
+    return recall.hybrid(memories(spark, d), asked(spark, d), LIMIT, THRESHOLD, embedder=HASHING).select("query_id", "memory_id", "score", F.array_join("sources", "+").alias("sources"), "vector_score", "rank", "omission")
+
+
+#: Asking repositories by the query's number, and preferences of a subject; the first active one of every second subject is promoted.
+ASKING = ("en", "de", "fr", "es")
+SCOPED_RECALL_SQL = SCOPED_SQL[SCOPED_SQL.index("act AS"):].replace("act AS (SELECT * FROM mem WHERE status = 'active'),", """
+    act0 AS (SELECT *, doc_id % 400 AS subject_key FROM mem WHERE status = 'active'),
+    prm AS (SELECT subject_key, min(doc_id) AS doc_id FROM act0 WHERE memory_type = 'user_preference' AND subject_key % 8 = 1 GROUP BY ALL),
+    src AS (SELECT act0.* FROM act0 JOIN prm USING (doc_id)),
+    ask AS (SELECT DISTINCT {asking}[item_id % 4 + 1] AS view FROM benchmark),
+    vis AS (
+        SELECT view, src.* FROM src, ask
+        WHERE NOT EXISTS (SELECT 1 FROM act0 l WHERE l.memory_type = 'user_preference' AND l.subject_key = src.subject_key AND l.repo_key = view AND l.memory_id <> src.memory_id)),
+    act AS (
+        SELECT * REPLACE (view || chr(31) || memory_id AS memory_id, view || chr(31) || repo_key AS repo_key) FROM (
+            SELECT repo_key AS view, * FROM act0 WHERE repo_key IN (SELECT view FROM ask) UNION ALL SELECT * FROM vis WHERE view <> repo_key)),
+""".replace("{asking}", str(list(ASKING))))
+SCOPED_RECALL_SQL = SCOPED_RECALL_SQL.replace(SCOPED_SQL[SCOPED_SQL.index(" WHERE list_contains("):SCOPED_SQL.index("),\n    hit AS")], f" WHERE split_part(d.repo_key, chr(31), 1) = {list(ASKING)}[query_id % 4 + 1]")
+
+
+def scoped_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Memories with subjects, promotions, and queries with the repository that asks."""
+    rows = memories(spark, d).withColumn("subject_key", F.col("doc_id") % 400)
+    first = rows.where("status = 'active' and memory_type = 'user_preference' and subject_key % 8 = 1").groupBy("subject_key").agg(F.min(F.struct("doc_id", "memory_id", "repo_key")).alias("m"))
+    promoted = first.select(F.col("m.doc_id").alias("promotion_id"), "m.memory_id", "m.repo_key", "subject_key", F.lit(None).cast("long").alias("replaces"))
+    queries = asked(spark, d).withColumn("repo_key", F.element_at(F.array(*map(F.lit, ASKING)), (F.col("query_id") % 4 + 1).cast("int")))
+    return rows, promoted, queries
+
+
+@query(f"""
+    WITH {MEMORIES_SQL}, {SCOPED_RECALL_SQL}
+    SELECT query_id, split_part(f.memory_id, chr(31), 1) AS repo_key, split_part(f.memory_id, chr(31), 2) AS memory_id, f.score, sources, vector_score, rank, omission, CASE WHEN v.doc_id IS NULL THEN 'repository' ELSE 'global' END AS scope, v.doc_id AS promotion_id
+    FROM final f LEFT JOIN vis v ON v.view || chr(31) || v.memory_id = f.memory_id
+""")
+def rec19_scoped_recall(spark: SparkSession, d: str) -> DataFrame:
+    """A repository's memories and promoted preferences of others, unless a local one of the subject shadows them; void if a table changes meanwhile."""
+    found = read_unchanged(lambda: scoped_tables(spark, d), lambda rows, promoted, queries: scoped.scoped_recall(rows, promoted, queries, LIMIT, THRESHOLD))
+    return found.select("query_id", "repo_key", "memory_id", "score", F.array_join("sources", "+").alias("sources"), "vector_score", "rank", "omission", "scope", "promotion_id")
+
+
+@query(f"""
+    WITH {MEMORIES_SQL},
+    doc AS (SELECT memory_id, repo_key, doc_id, status, 1 + CASE WHEN len(lines) > 1 THEN least(len(lines), 128) ELSE 0 END AS n FROM mem),
+    a AS (SELECT count(*) AS m, CAST(sum(n) AS BIGINT) AS k FROM doc), b AS (SELECT count(*) AS m, CAST(sum(n) AS BIGINT) AS k FROM doc WHERE repo_key <> 'de' OR doc_id % 11 <> 0)
+    SELECT CAST(1 AS BIGINT) AS version, b.m AS truth_count, b.m AS index_count, b.k AS truth_document_count, b.k AS index_document_count, TRUE AS parity, 'index_not_ready: de' AS recall_of_all FROM b
+    UNION ALL SELECT 2, a.m, a.m, a.k, a.k, TRUE, 'ready' FROM a
+""")
+def job05_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """An index built without some German memories stops recall over all of them; rebuilt beside it and swapped in, it doesn't."""
+    rows = memories(spark, d)
+    store = IndexStore(spark, f"{shared_folder(spark)}/search-{uuid.uuid4().hex}")
+
+    def gate() -> str:
+        try:
+            store.require(rows)
+        except IndexNotReady as stop:
+            return str(stop)
+        return "ready"
+
+    first = store.rebuild(rows.where("repo_key <> 'de' or doc_id % 11 <> 0")).withColumn("recall_of_all", F.lit(gate()))
+    second = store.rebuild(rows).withColumn("recall_of_all", F.lit(gate()))
+    return first.unionByName(second).drop("current")
