@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,21 +51,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to a Python worker. Text columns of both sides of a pair are in it, on the JVM's side in buffers of up to twice the size.
+BATCH_BYTES = "8m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, what runs sends batches of ``BATCH_BYTES`` to Python workers; then the session's limit holds again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored_result(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
     """Of a function that returns a DataFrame: its result is stored under the name, and what this call stored on the way is deleted, nobody else's."""
     def around(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         @functools.wraps(make)
         def call(*args, **options) -> DataFrame:
             paths: list[str] = []
-            mine = _steps.set(paths)
+            spark, mine = SparkSession.active(), _steps.set(paths)
             try:
-                result = make(*args, **options)
-                _steps.reset(mine)
-                result = stored(result, name)
+                with small_batches(spark):
+                    result = make(*args, **options)
+                    _steps.reset(mine)
+                    result = stored(result, name)
             finally:
                 if _steps.get() is paths:
                     _steps.reset(mine)
-                spark = SparkSession.active()
                 for path in paths:
                     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
                     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
