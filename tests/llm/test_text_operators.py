@@ -307,7 +307,7 @@ def test_classes_brute_force(spark, sf):
     for x in pages:
         hosts.setdefault(x.host, []).append(x)
     name, own = max(hosts.items(), key=lambda x: len(x[1]))
-    assert len(own) >= html_text.RUN_PAGES
+    assert len(own) >= 4
     marked = spark.createDataFrame([(name, x.page_id, x.html) for x in own], "host string, mark long, html string")
     found = {}
     for x in html_text.classes(marked).collect():
@@ -357,3 +357,54 @@ def test_main_text(html, text):
 ])
 def test_noise_by_names_and_raw_elements(html, text):
     assert html_text.main_text(html, None) == text
+
+
+@pytest.mark.parametrize("n", [3, 6])
+def test_shared_headings_of_articles_stay(spark, n):
+    """What stands among an article's own texts stays, on hosts of few pages and of many; a notice goes."""
+    page = '<html><body><div class="x7">We use cookies</div><article><h1>Soup {0}</h1><h2>Ingredients</h2><p>Carrot {0} and salt.</p><p>Serves two.</p><h2>Method</h2><p>Boil for {0} minutes.</p><p>All rights reserved.</p></article></body></html>'
+    body = '<html><body><div class="x7">We use cookies</div><div class="body"><h1>Soup {0}</h1><div class="y"><b>Try</b><p>our app.</p></div><p class="notice">Important {0}: hot.</p><h2>Method</h2><p class="share-price">It costs {0}.</p></div></body></html>'
+    rows = [(i, f"http://{host}.example/{i}", form.format(i)) for host, form in (("a", page), ("b", body)) for i in range(n)]
+    found = {(x.url[7], x.page_id): x.text for x in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(n):
+        assert found["a", i] == f"Soup {i} Ingredients Carrot {i} and salt. Serves two. Method Boil for {i} minutes."
+        assert found["b", i] == f"Soup {i} Important {i}: hot. Method It costs {i}."
+
+
+def plain_left_out(texts):
+    """Of (words, whether the template's, heading, chain of elements around): the places that go, by looking at all texts for each."""
+    mine = [i for i, t in enumerate(texts) if not t[1]]
+    gone = set()
+    for i, (_, template, _, around) in enumerate(texts):
+        if not template:
+            continue
+        free = lambda e: any(not t[1] for t in texts if e in t[3])
+        bare = next((e for e in around if not free(e)), None)
+        only_headings = bare is not None and all(t[2] for t in texts if bare in t[3])
+        if not mine or i < mine[0] or i > mine[-1] or (bare is not None and not only_headings):
+            gone.add(i)
+    return gone
+
+
+def test_template_texts_against_a_plain_version():
+    import random
+
+    for seed in range(200):
+        r = random.Random(seed)
+        html, texts, chain = ["<body>"], [], []
+        for n in range(r.randrange(1, 25)):
+            act = r.random()
+            if act < 0.3:
+                html.append("<div>")
+                chain.append(n)
+            elif act < 0.5 and chain:
+                html.append("</div>")
+                chain.pop()
+            else:
+                name, template = r.choice(["p", "h2", "p"]), r.random() < 0.5
+                html.append(f"<{name}>text {n}</{name}>")
+                texts.append((f"text {n}", template, name == "h2", ("body", *chain)))
+        parsed = list(html_text.events("".join(html)))
+        at = [i for i, e in enumerate(parsed) if e[0] == "text"]
+        runs = frozenset(html_text.number(html_text.run_token(parsed[i][1], parsed[i][4])) for i, t in zip(at, texts, strict=True) if t[1])
+        assert {at.index(i) for i in html_text.template_texts(parsed, None, runs, frozenset())} == plain_left_out(texts)

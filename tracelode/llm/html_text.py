@@ -6,9 +6,10 @@ tokens with the same occurrence vector (how often each page has them) form a cla
 that most pages have is valid if its tags open and close, and its runs stand, in one order and
 nesting on every page that has it. The valid class that all pages have is the template's root;
 a class that some pages lack is nested into it where its tokens always lie in the same gaps of
-the root. The template's tokens are taken out of each page: its text runs, and its elements that
-hold links for the most part; what remains in the article's element, or on the page where no
-element of the template is one, is the main text.
+the root. The template's tokens are taken out of each page: its elements that hold links for
+the most part, and its text runs, unless they stand among the article's own texts (see
+``template_texts``); what remains in the article's element, or on the page where no element of
+the template is one, is the main text.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from tracelode.llm.common import stored
 #: A class's tokens stand in at least this share of a host's pages; an article or main element is the slot if it holds this share of free text.
 SUPPORT = 0.5
 SLOT_SHARE = 0.6
-#: Text runs are the template's on hosts of so many pages at least; on fewer, they may be copies of one article.
-RUN_PAGES = 4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea template noscript svg annotation annotation-xml iframe object canvas select title".split())
@@ -38,6 +37,8 @@ ENDLESS = frozenset("script style textarea noscript iframe title".split())
 MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements of running text: a template's run in one of them is judged by what is around it.
+PROSE = frozenset("p li ul ol dl dt dd blockquote pre figcaption caption table thead tbody tfoot tr td th".split()) | HEADINGS
 DROPPED = frozenset("nav header footer aside form button head menu dialog".split()) | RAW
 #: Parts of class and id names of what is no article.
 NOISE = frozenset(
@@ -45,7 +46,7 @@ NOISE = frozenset(
     "header masthead footer sidebar aside cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended widget toolbar pagination pager".split()
 )
-#: Those that also name parts of articles: inside an article or main element they mark noise only where half of the text is links.
+#: Those that also name parts of articles: inside an article or main element, and of elements of running text anywhere, they mark noise only where half of the text is links.
 WEAK = frozenset("header share related discussion notice alert overlay reply replies respond promo promotion menu ad ads".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog menu menubar alert".split())
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|<[!?/][^>]*>", re.S)
@@ -86,7 +87,7 @@ def wrappers(parsed: list[tuple]) -> frozenset[int]:
         if kind in ("open", "named"):
             if words:
                 enclosing[own[-1]] = own[0]
-                if inside and words <= WEAK:
+                if words <= WEAK and (inside or name in PROSE):
                     weak.add(own[-1])
             if name in ("article", "main") and not noise:
                 semantic = True
@@ -269,8 +270,6 @@ def classes(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     counted = pages.where("host is not null").groupBy("host").agg(F.count("*").alias("all_pages"))
     grouped = grouped.where("pages > 1 or name <> ''").join(counted, "host")
     grouped = grouped.where((F.col("pages") >= support * F.col("all_pages")) & (F.col("times") == F.col("pages")))
-    # Runs are template text only on hosts of several pages.
-    grouped = grouped.where((F.col("name") != "") | (F.col("all_pages") >= RUN_PAGES))
     grouped = grouped.withColumn("class", F.xxhash64("vector", "pages")).withColumn("root", F.col("pages") == F.col("all_pages"))
     # A class of one token says nothing about the template.
     return grouped.withColumn("members", F.count("*").over(Window.partitionBy("host", "class"))).where("members > 1").drop("vector", "members", "times")
@@ -338,6 +337,53 @@ def templates(pages: DataFrame, support: float = SUPPORT, slot_share: float = SL
 NONE: frozenset[int] = frozenset()
 
 
+def template_texts(parsed: list[tuple], slot: str | None, runs: frozenset[int], menus: frozenset[int]) -> set[int]:
+    """Places of the texts to leave out: template runs before the slot's first own text or after its last, and those of elements without any own text.
+
+    An own text is one that isn't the template's. Between own texts a heading or a paragraph
+    stays, as articles of one kind share headings; an element around them (none of PROSE)
+    goes if all its text is the template's and not all of it is headings.
+    """
+    stack: list[list] = []  # of open elements: number among the containers or -1, whether it is the slot, a menu, a heading
+    own: list[bool] = []  # of containers: whether they hold an own text
+    prose: list[bool] = []  # and a template run that is no heading
+    texts: list[tuple[int, bool, tuple[int, ...]]] = []
+    inside = skipped = headings = 0
+    for i, (kind, path, name, noise, text, _) in enumerate(parsed):
+        if kind == "text":
+            if noise or skipped or text.isspace() or not (inside or slot is None):
+                continue
+            around = tuple(x[0] for x in stack if x[0] >= 0)
+            template = number(run_token(path, text)) in runs
+            for c in around:
+                if not template:
+                    own[c] = True
+                elif not headings:
+                    prose[c] = True
+            texts.append((i, template, around))
+        elif path and is_element(name):
+            if kind == "open":
+                container = -1
+                if name not in PROSE and path != slot:
+                    container = len(own)
+                    own.append(False)
+                    prose.append(False)
+                at_slot, menu, heading = path == slot and not noise, path != slot and number(path) in menus, name in HEADINGS
+                stack.append([container, at_slot, menu, heading])
+                inside, skipped, headings = inside + at_slot, skipped + menu, headings + heading
+            else:
+                _, at_slot, menu, heading = stack.pop()
+                inside, skipped, headings = inside - at_slot, skipped - menu, headings - heading
+    mine = [i for i, template, _ in texts if not template]
+    first, last = (mine[0], mine[-1]) if mine else (len(parsed), -1)
+
+    def goes(i: int, around: tuple[int, ...]) -> bool:
+        whole = next((c for c in around if not own[c]), None)
+        return not first < i < last or (whole is not None and prose[whole])
+
+    return {i for i, template, around in texts if template and goes(i, around)}
+
+
 def blocks(page: str, slot: str | None, marks: bool = True, runs: frozenset[int] = NONE, menus: frozenset[int] = NONE) -> tuple[list[str], int]:
     """The text blocks inside the slot's element, or of the whole page without one, and how much text of them the template's runs and menus took."""
     out: list[str] = []
@@ -357,7 +403,9 @@ def blocks(page: str, slot: str | None, marks: bool = True, runs: frozenset[int]
             out.append(words)
         run.clear()
 
-    for kind, path, name, noise, text, _ in events(page, marks):
+    parsed = list(events(page, marks))
+    leave_out = template_texts(parsed, slot, runs, menus) if runs else ()
+    for i, (kind, path, name, noise, text, _) in enumerate(parsed):
         element = kind != "text" and bool(path) and is_element(name)
         if element and menus and is_menu(path):
             skipped += 1 if kind == "open" else -1
@@ -370,7 +418,7 @@ def blocks(page: str, slot: str | None, marks: bool = True, runs: frozenset[int]
         elif inside or slot is None:
             if kind == "text":
                 if not noise:
-                    if skipped or (runs and not text.isspace() and number(run_token(path, text)) in runs):
+                    if skipped or i in leave_out:
                         taken += len(text)
                     else:
                         run.append(text)
