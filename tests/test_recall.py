@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracelode.functions import columns as C
-from tracelode.operators import recall
+from tracelode.functions import embedding
+from tracelode.operators import index_store, recall, scoped
 
 
 def tokens(text):
@@ -102,12 +105,102 @@ def test_searched_snippets_come_first(spark):
 
 def test_query_sees_itself_in_hashed_space(spark):
     rows = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "")], "query_id long, query string")
-    documents = recall.unit(recall.hashed(rows.select(F.col("query_id").alias("document_id"), "query"), F.col("query")), "vector")
-    queries = recall.unit(recall.hashed(rows, F.col("query")), "vector")
-    found = {(x.query_id, x.document_id): x.score for x in recall.hashed_top(documents, queries, 5).collect()}
+    documents = rows.selectExpr("query_id as document_id", "query as content")
+    found = {(x.query_id, x.document_id): x.score for x in recall.hashed_near(documents, rows, 5).collect()}
     assert found[1, 1] == found[2, 2] == 1.0 and not any(3 in pair for pair in found)
 
 
+def test_nearest_vectors_of_more_queries_than_a_block(spark, monkeypatch):
+    """Against a product of whole matrices, by a part column, with vectors that have no direction; a task's rows are cut on the way."""
+    r = np.random.default_rng(3)
+    documents, queries = np.round(r.normal(size=(900, 6)), 2), np.round(r.normal(size=(recall.QUERY_BLOCK + 40, 6)), 2)
+    rows = [(i, "ab"[i % 2], v.tolist()) for i, v in enumerate(documents)] + [(1000, "a", None), (1001, "a", [0.0] * 6), (1002, "b", [])]
+    monkeypatch.setattr(recall, "KEPT_ROWS", 500)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vector array<double>")
+    found = recall.vector_near(spark.createDataFrame(rows, "document_id long, part string, vector array<double>").repartition(2), asked, 4, ["part"]).collect()
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.floor(unit(queries) @ unit(documents).T * 1e6 + 0.5) / 1e6
+    expected = set()
+    for q in range(len(queries)):
+        for part in (0, 1):
+            best = sorted(range(part, 900, 2), key=lambda i: (-scores[q, i], i))[:4]
+            expected |= {(q, "ab"[part], i, n + 1) for n, i in enumerate(best)}
+    assert {(x.query_id, x.part, x.document_id, x.rank) for x in found} == expected
+
+
+class Wrong(embedding.HashingProvider):
+    def embed(self, texts):
+        return super().embed(texts)[:, :5]
+
+
+@pytest.mark.parametrize("embedder, error", [
+    (embedding.Embedder(embedding.HashingProvider, "another", 256), "embedding_profile_mismatch"), (embedding.Embedder(lambda: embedding.HashingProvider(8), "hashing-8", 9), "embedding_profile_mismatch"),
+    (embedding.Embedder(lambda: Wrong(16), "hashing-16", 16), "embedding_invalid"),
+])
+def test_providers_must_be_what_was_agreed(spark, embedder, error):
+    with pytest.raises(Exception, match=error):
+        embedder.add(spark.createDataFrame([("a",), (None,)], "t string"), "t").collect()
+
+
+def test_provider_gives_each_text_its_vector(spark):
+    rows = spark.createDataFrame([("b a",), (None,), ("A b",), ("",)], "t string")
+    found = [x.vector for x in embedding.HASHING.add(rows, "t").collect()]
+    assert found[1] is None and found[0] == found[2] and sum(found[0]) == 2 and sum(found[3]) == 0
+
+
+MEMORY = "repo_key string, memory_id string, memory_type string, status string, title string, content string, category string, tags array<string>, facts array<struct<fact_id:string,fact_kind:string,value:string>>, created_at_ms long, subject_key long"
+
+
+def memory(repo, i, content, subject=0, kind="user_preference", status="active"):
+    return (repo, f"m{i}", kind, status, f"title {i}", content, "c", ["t"], [], i, subject)
+
+
+def test_scoped_recall_shadows_and_validates(spark):
+    rows = [memory("a", 1, "tabs please", 1), memory("b", 2, "spaces please", 1), memory("b", 3, "short lines please", 2), memory("c", 4, "please not mine", 3), memory("b", 5, "please local", 9, "work_state")]
+    memories = spark.createDataFrame(rows, MEMORY)
+    promote = lambda *ids: spark.createDataFrame([(i, f"m{i}", repo, subject, None) for i, repo, subject in ids], "promotion_id long, memory_id string, repo_key string, subject_key long, replaces long")
+    queries = spark.createDataFrame([(1, "please", "a"), (2, "please", "b")], "query_id long, query string, repo_key string")
+    found = scoped.scoped_recall(memories, promote((2, "b", 1), (3, "b", 2)), queries, 5, 0.0)
+    # In a, its own preference of subject 1 shadows the global one; c's memory is nobody's.
+    assert sorted((x.query_id, x.memory_id, x.scope) for x in found.collect()) == [(1, "m1", "repository"), (1, "m3", "global"), (2, "m2", "global"), (2, "m3", "global"), (2, "m5", "repository")]
+    with pytest.raises(ValueError, match="global_preference_invalid"):
+        scoped.scoped_recall(memories, promote((5, "b", 9)), queries, 5, 0.0)
+
+
+def test_memory_of_two_repositories_is_refused(spark):
+    memories = spark.createDataFrame([memory("a", 1, "one"), memory("b", 1, "one two")], MEMORY)
+    queries = spark.createDataFrame([(1, "one two", ["a", "b"])], "query_id long, query string, repo_keys array<string>")
+    with pytest.raises(ValueError, match="memory_in_several_repositories"):
+        recall.hybrid(memories, queries, 5, 0.0, by_repository=True)
+
+
+def test_recall_stops_over_a_stale_index_and_a_write_voids_it(spark, tmp_path):
+    store = index_store.IndexStore(spark, f"file://{tmp_path}/index")
+    queries = spark.createDataFrame([(1, "one")], "query_id long, query string")
+    memories = lambda *texts: spark.createDataFrame([memory("a", i, t) for i, t in enumerate(texts)], MEMORY)
+    with pytest.raises(index_store.IndexNotReady):
+        recall.hybrid(memories("one"), queries, 5, 0.0, index=store)
+    assert store.rebuild(memories("one", "two")).first().current
+    assert [x.memory_id for x in recall.hybrid(memories("one", "two"), queries, 5, 0.0, index=store).where("admitted").collect()] == ["m0"]
+    with pytest.raises(index_store.IndexNotReady, match="a"):
+        recall.hybrid(memories("one", "three"), queries, 5, 0.0, index=store)
+    assert store.rebuild(memories("one", "three")).first().version == 2 and store.current()["version"] == 2
+    with pytest.raises(RuntimeError, match="version_taken"):
+        store._commit(2, "elsewhere")
+
+    path = f"file://{tmp_path}/table"
+    spark.range(3).write.parquet(path)
+    opened = lambda: (spark.read.parquet(path),)
+    assert index_store.read_unchanged(opened, lambda t: t.where("id > 0")).count() == 2
+
+    def written_between(t):
+        spark.range(9, 10).write.mode("append").parquet(path)
+        return t
+
+    with pytest.raises(RuntimeError, match="snapshot_changed"):
+        index_store.read_unchanged(opened, written_between)
+
+
 def test_candidate_cap():
     assert [recall.candidate_cap(n) for n in (1, 5, 20, 100)] == [20, 20, 80, 100]
 
@@ -143,8 +236,7 @@ def test_pins_are_admitted_first(spark):
     assert [f.document_id for f in found[1, "m0"].found] == ["m0:snippet:0000"]
 
 
-def test_best_rows_against_a_sort():
-    import numpy as np
+def test_first_rows_against_a_sort():
     import pyarrow as pa
 
     r = np.random.default_rng(5)
@@ -152,6 +244,8 @@ def test_best_rows_against_a_sort():
         n, k = int(r.integers(0, 60)), int(r.integers(1, 6))
         scores = r.integers(0, 5, (n, 3)).astype(float)
         ids, part = [f"d{i}" for i in r.permutation(n)], [f"p{i}" for i in r.integers(0, 3, n)]
-        rows, columns = recall.best_rows(scores, pa.array(ids, pa.string()), [pa.array(part, pa.string())], k)
+        rows, columns = np.nonzero(scores > 0)
+        first = recall.first_rows(scores[rows, columns], columns, pa.array(ids, pa.string()).take(pa.array(rows)), [pa.array(part, pa.string()).take(pa.array(rows))], k)
+        rows, columns = rows[first], columns[first]
         expected = {(q, x[1]) for q in range(3) for p in set(part) for x in sorted((-scores[i, q], ids[i]) for i in range(n) if part[i] == p and scores[i, q] > 0)[:k]}
         assert {(int(q), ids[i]) for i, q in zip(rows, columns, strict=True)} == expected and len(rows) == len(expected)

@@ -56,6 +56,77 @@ def check_name(command: str | None) -> str | None:
     return name if set(rest) & set(ANY_WORD.get(name, ())) else None
 
 
+#: Programs that read the files they name, and shells that run a script. Of each program the options that take a value.
+READERS = {"cat": (), "head": ("-n", "-c", "--lines", "--bytes"), "tail": ("-n", "-c", "--lines", "--bytes"), "sed": ("-e", "-f", "--expression", "--file")}
+SHELLS = ("bash", "sh", "zsh")
+_ENDS = frozenset(";\n|&()")
+
+
+def _simple_commands(script: str) -> list[tuple[list[str], list[str]]]:
+    """The simple commands of a script, each with the files that are redirected into it; empty where quotes don't close."""
+    lexer = shlex.shlex(script, posix=True, punctuation_chars=";\n|&()<>")
+    lexer.whitespace, lexer.whitespace_split, lexer.commenters = " \t\r", True, ""
+    try:
+        found = list(lexer)
+    except ValueError:
+        return []
+    out: list[tuple[list[str], list[str]]] = [([], [])]
+    redirect = ""
+    for token in found:
+        if token and set(token) <= _ENDS | set("<>"):
+            redirect = token if set(token) & set("<>") else ""
+            if redirect and out[-1][0] and out[-1][0][-1].isdigit():
+                out[-1][0].pop()  # the number of a redirected stream
+            if not redirect:
+                out.append(([], []))
+        elif redirect:
+            if redirect == "<":
+                out[-1][1].append(token)
+            redirect = ""
+        else:
+            out[-1][0].append(token)
+    return out
+
+
+def read_paths(command: str | None) -> list[str] | None:
+    """The files that a command line reads by cat, head, tail or sed, in order: in pipes, lists and scripts given to a shell, and by redirection. Null of null."""
+    if command is None:
+        return None
+    paths: list[str] = []
+    for words, redirected in _simple_commands(command):
+        while words and "=" in words[0] and words[0].split("=")[0].isidentifier():
+            words = words[1:]
+        if not words:
+            continue
+        name, rest = PurePath(words[0]).name, words[1:]
+        if name in SHELLS and "-lc" in rest or name in SHELLS and "-c" in rest:
+            at = rest.index("-lc" if "-lc" in rest else "-c") + 1
+            paths += read_paths(rest[at]) if at < len(rest) else []
+        elif name in READERS:
+            named, script, i = [], name == "sed", 0
+            while i < len(rest):
+                word = rest[i]
+                if word == "--":
+                    named += rest[i + 1 :]
+                    break
+                if word in READERS[name]:
+                    script, i = False, i + 1
+                elif word.startswith("--expression=") or word.startswith("--file="):
+                    script = False
+                elif word != "-" and not word.startswith("-"):
+                    named.append(word)
+                i += 1
+            paths += (named[1:] if script else named) + redirected
+    return paths
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def shell_reads(commands: pd.Series) -> pd.Series:
+    """read_paths of each command; each distinct command is read once."""
+    known = {c: read_paths(c) for c in commands.dropna().unique()}
+    return commands.map(lambda c: known.get(c))
+
+
 @F.pandas_udf(T.StringType())
 def verification(commands: pd.Series) -> pd.Series:
     """check_name of each command; each distinct command is read once."""

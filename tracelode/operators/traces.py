@@ -47,6 +47,27 @@ def paired_calls(events: DataFrame) -> DataFrame:
     return out.select("session_id", "call_id", F.col("call.event_index").alias("call_index"), "duplicates", F.col("r.at.event_index").alias("result_index"), F.col("r.o").alias("result_outcome"))
 
 
+def typed_pairs(events: DataFrame) -> DataFrame:
+    """paired_calls where a result answers only a call that expects its type.
+
+    events have output_type besides: of a call what it expects, of a result what it is. A result
+    of another type leaves the call open for the next. Adds mismatched, the number of those before
+    the call was answered (all, if it never was), and violation, duplicate_call_id where the id occurs again.
+    """
+    keyed = placed(events).where("call_id is not null")
+    at = F.struct("event_index", "block")
+    calls = keyed.where("kind = 'tool_call'").groupBy("session_id", "call_id").agg(F.min(F.struct(at.alias("at"), "output_type")).alias("c"), (F.count("*") - 1).alias("duplicates"))
+    results = keyed.where("kind = 'tool_result'").select("session_id", "call_id", at.alias("at"), F.col("output_type").alias("is"), event_outcome().alias("o"))
+    after = results.join(calls, ["session_id", "call_id"]).where("at > c.at").withColumn("fits", F.col("is").eqNullSafe(F.col("c.output_type")))
+    # Few values of a call go on: its first fitting result, and the places of the others, counted before it.
+    first = after.where("fits").groupBy("session_id", "call_id").agg(F.min(F.struct("at", "o")).alias("r"))
+    others = after.where("not fits").join(first, ["session_id", "call_id"], "left").where("r is null or at < r.at").groupBy("session_id", "call_id").agg(F.count("*").alias("mismatched"))
+    out = calls.join(first, ["session_id", "call_id"], "left").join(others, ["session_id", "call_id"], "left")
+    return out.select(
+        "session_id", "call_id", F.col("c.at.event_index").alias("call_index"), F.col("r.at.event_index").alias("result_index"), F.col("r.o").alias("result_outcome"),
+        F.coalesce("mismatched", F.lit(0)).cast("long").alias("mismatched"), F.when(F.col("duplicates") > 0, "duplicate_call_id").alias("violation"))
+
+
 def event_outcome() -> Column:
     """Of a result: what was observed, else by exit code, else by status, else unknown."""
     by_code = F.when(F.col("exit_code") == 0, "success").when(F.col("exit_code").isNotNull(), "failure")

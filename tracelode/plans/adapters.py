@@ -244,5 +244,7 @@ TRANSCRIPTS_SQL = f"""
         SELECT user_id, event_id, event_type, props, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS event_index,
                'c' || CAST(json_extract_string(props, '$.k') AS INTEGER) AS call, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS code, event_type IN ('purchase', 'error') AS result,
                {list(COMMANDS)}[(CAST(json_extract_string(props, '$.k') AS INTEGER) // 2) % 3 + 1] AS command FROM events),
+    ky AS (SELECT event_id AS key_id, coalesce(lag(event_type) OVER (PARTITION BY user_id, call ORDER BY event_id) = 'click', FALSE) AS called_now FROM tr WHERE event_type IN ('click', 'purchase', 'error')),
+    cb AS (SELECT tr.* , coalesce(called_now, FALSE) AS called FROM tr LEFT JOIN ky ON key_id = event_id),
     ca AS (SELECT *, coalesce(bool_or(event_type = 'click') OVER (PARTITION BY user_id, call ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS called FROM tr)
 """

@@ -29,7 +29,7 @@ def imported(spark: SparkSession, d: str, provider: str) -> DataFrame:
            CASE WHEN event_type = 'click' THEN CASE WHEN k % 2 = 0 THEN 'exec_command' ELSE 'lookup' END END AS tool_name, CASE WHEN event_type = 'click' OR result THEN call END AS call_id,
            CASE WHEN k % 2 = 0 AND (event_type = 'click' OR result AND called) THEN command END AS command, CASE WHEN k % 2 = 0 AND result AND called THEN code END AS exit_code,
            CAST(NULL AS VARCHAR) AS tool_status, result AND called AND k % 2 = 0 AS is_command_result, CAST(NULL AS VARCHAR) AS observed_outcome, CAST(NULL AS VARCHAR) AS operation, CAST(NULL AS VARCHAR) AS path
-    FROM ca
+    FROM cb
     UNION ALL SELECT DISTINCT 'sA-' || user_id, 0, 0, 'metadata', NULL, NULL, NULL, NULL, NULL, CAST(NULL AS INTEGER), NULL, FALSE, NULL, NULL, NULL FROM events
 """)
 def src06_provider_a(spark: SparkSession, d: str) -> DataFrame:

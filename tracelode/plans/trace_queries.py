@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.functions import columns as C
-from tracelode.functions.arrow import prefixes_at, verification
+from tracelode.functions.arrow import prefixes_at, shell_reads, verification
 from tracelode.functions.tables import running_sum
 from tracelode.operators import traces
 from tracelode.plans.adapters import COMMANDS, EVENTS_SQL, messages, none, table, tool_events
@@ -102,6 +102,35 @@ def trc05_call_pairing(spark: SparkSession, d: str) -> DataFrame:
     return traces.paired_calls(tool_events(spark, d))
 
 
+@query(f"""
+    WITH {EVENTS_SQL},
+    y AS (SELECT session_id, event_index, call_id, kind, outcome, CASE WHEN (CAST(split_part(call_id, ':', 2) AS INTEGER) % 3 = 0) AND tool_status IS DISTINCT FROM 'failed' THEN 'custom' ELSE 'function' END AS output_type FROM ev_out WHERE call_id IS NOT NULL),
+    c AS (SELECT session_id, call_id, min(event_index) AS call_index, min_by(output_type, event_index) AS expects, count(*) AS n FROM y WHERE kind = 'tool_call' GROUP BY ALL),
+    a AS (SELECT c.*, y.event_index, y.outcome, y.output_type = expects AS fits FROM c JOIN y USING (session_id, call_id) WHERE y.kind = 'tool_result' AND y.event_index > call_index),
+    f AS (SELECT session_id, call_id, min(event_index) AS result_index, min_by(outcome, event_index) AS result_outcome FROM a WHERE fits GROUP BY ALL)
+    SELECT c.session_id, c.call_id, c.call_index, f.result_index, f.result_outcome,
+           (SELECT count(*) FROM a WHERE a.session_id = c.session_id AND a.call_id = c.call_id AND NOT fits AND (f.result_index IS NULL OR a.event_index < f.result_index)) AS mismatched,
+           CASE WHEN c.n > 1 THEN 'duplicate_call_id' END AS violation
+    FROM c LEFT JOIN f USING (session_id, call_id)
+""")
+def trc05_typed_pairing(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of two kinds; of every third call id a failed result is of the other kind and leaves the call open."""
+    custom = (F.split("call_id", ":")[1].cast("int") % 3 == 0) & ~F.coalesce(F.col("tool_status") == "failed", F.lit(False))
+    return traces.typed_pairs(tool_events(spark, d).withColumn("output_type", F.when(custom, "custom").otherwise("function")))
+
+
+@query("""
+    WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+    SELECT event_id, array_to_string(CASE k % 6 WHEN 0 THEN ['src/a' || k || '.py', 'src/b.py'] WHEN 1 THEN ['src/a' || k || '.py'] WHEN 2 THEN ['docs/' || k || '.md', 'notes'] WHEN 3 THEN ['log/' || k || '.txt'] ELSE [] END, ',') AS paths FROM e
+""")
+def src20_shell_reads(spark: SparkSession, d: str) -> DataFrame:
+    """The files that each event's command reads: several, through a pipe, in a shell's script, by redirection, none, and a line that can't be read."""
+    k = F.get_json_object("props", "$.k")
+    forms = ("cat src/a{}.py src/b.py", "sed -n '1,20p' src/a{}.py | head -n 5", "bash -lc \"head -5 docs/{}.md; grep x y > out.txt && cat notes\"", "tail -n 3 < log/{}.txt", "make build", "cat 'src/{}")
+    command = F.element_at(F.array(*(F.replace(F.lit(x), F.lit("{}"), k) for x in forms)), k.cast("int") % len(forms) + 1)
+    return table(spark, d, "events").select("event_id", F.array_join(shell_reads(command), ",").alias("paths"))
+
+
 FACTS_SQL = f"""
     WITH {EVENTS_SQL},
     l AS (

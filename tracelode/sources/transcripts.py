@@ -125,20 +125,25 @@ def _finish(rows: DataFrame, provider: str) -> DataFrame:
     return rows.select(*(F.col(n).cast(kinds[n]).alias(n) for n in names))
 
 
-def _outputs_know_their_calls(rows: DataFrame, fields: list[str], per: list[str] | None = None) -> DataFrame:
-    """Gives each result the fields of the latest call before it with its call id in the session, as columns call_<field>."""
+def _outputs_know_their_calls(rows: DataFrame, fields: list[str], per: list[str] | None = None, once: bool = False) -> DataFrame:
+    """Gives each result the fields of the latest call before it with its call id in the session, as columns call_<field>.
+
+    per: what call and result must share besides. once: a call that was answered has no more results.
+    """
     w = Window.partitionBy("source_path", *(per or []), "call_id").orderBy("event_index", "block").rowsBetween(Window.unboundedPreceding, -1)
     keyed = rows.where("call_id is not null")
+    open_call = F.coalesce(F.last(F.when(F.col("kind").isin("tool_call", "tool_result"), F.col("kind")), True).over(w) == "tool_call", F.lit(False)) if once else F.lit(True)
+    keyed = keyed.withColumn("_open", open_call)
     for f in fields:
-        keyed = keyed.withColumn(f"call_{f}", F.last(F.when(F.col("kind") == "tool_call", F.col(f)), True).over(w))
+        keyed = keyed.withColumn(f"call_{f}", F.when(F.col("_open"), F.last(F.when(F.col("kind") == "tool_call", F.struct(f)), True).over(w)[f]))
     rest = rows.where("call_id is null")
     for f in fields:
         rest = rest.withColumn(f"call_{f}", F.lit(None).cast(rows.schema[f].dataType))
-    return keyed.unionByName(rest)
+    return keyed.drop("_open").unionByName(rest)
 
 
 def provider_a(lines: DataFrame) -> DataFrame:
-    """Flat envelopes: one event for each record."""
+    """Flat envelopes: one event for each record. A result answers a call of its own kind, and a call is answered once."""
     r, g = F.col("record"), lambda p: F.try_variant_get(F.col("record"), p, "string")
     kind, inner = g("$.type"), g("$.payload.type")
     call, output = inner.isin("function_call", "custom_tool_call"), inner.isin("function_call_output", "custom_tool_call_output")
@@ -150,13 +155,14 @@ def provider_a(lines: DataFrame) -> DataFrame:
         F.when(item & (inner == "message"), text_of(r, "$.payload.content")).when(item & output, F.coalesce(g("$.payload.output.output"), text_of(r, "$.payload.output"))).alias("text"),
         F.when(item & call, g("$.payload.name")).alias("tool_name"),
         F.when(item & (call | output), g("$.payload.call_id")).alias("call_id"),
+        F.regexp_replace(inner, "_output$", "").alias("family"),
         F.when(item & call, F.coalesce(g("$.payload.arguments"), g("$.payload.input"))).alias("arguments"),
         F.when(item, g("$.payload.status")).alias("tool_status"),
         F.try_variant_get(r, "$.payload.output.exit_code", "int").alias("code"),
     )
     rows = rows.withColumn("command", F.when(F.col("tool_name").isin(*EXEC_TOOLS), command_of(F.col("arguments"))))
     rows = rows.withColumn("patch", F.when(F.col("tool_name").isin(*PATCH_TOOLS), patch_changes(F.coalesce(F.get_json_object("arguments", "$.input"), F.col("arguments")))))
-    rows = _outputs_know_their_calls(rows, ["tool_name", "command", "patch"])
+    rows = _outputs_know_their_calls(rows, ["tool_name", "command", "patch"], ["family"], once=True)
     result = F.col("kind") == "tool_result"
     rows = rows.withColumn("is_command_result", result & F.coalesce(F.col("call_tool_name").isin(*EXEC_TOOLS), F.lit(False)))
     rows = rows.withColumn("exit_code", F.when(F.col("is_command_result"), F.coalesce("code", exit_code_text(F.col("text")))))
