@@ -147,6 +147,30 @@ def open_heads(memories: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.groupBy("repo_key", "workstream_key").agg(F.min("memory_id").alias("head_id"), F.count("*").alias("heads"))
 
 
+def advances(memories: DataFrame, edges: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Edges that the system adds: a new work state that no proposal names as a successor supersedes its workstream's one open head.
+
+    memories: as open_heads takes them, and is_new (from the batch being captured), created_at_ms, facts
+    (ids); edges: what holds; proposed: successor_id. The head is sought among memories that were
+    there before the batch. Of several new states of a workstream each supersedes the one before
+    it, the first the head, so a predecessor has one successor. Edges are content-addressed, and
+    where a new state has an edge already none is made, so a second run adds nothing.
+    Gives evolution_id, repo_key, predecessor_id, successor_id, relation, proposer, supporting_fact_ids, created_at_ms.
+    """
+    stream = ["repo_key", "workstream_key"]
+    new = memories.where("is_new and memory_type = 'work_state' and workstream_key is not null").join(proposed.select(F.col("successor_id").alias("memory_id")), "memory_id", "left_anti")
+    heads = open_heads(memories.where("not is_new"), edges).where("heads = 1").select(*stream, "head_id")
+    # A workstream's new states of one batch, which a session's limits bound.
+    order = Window.partitionBy(*stream).orderBy("created_at_ms", "memory_id")
+    rows = new.join(heads, stream).withColumn("predecessor_id", F.coalesce(F.lag("memory_id").over(order), "head_id"))
+    rows = rows.join(edges.select("repo_key", F.col("successor_id").alias("memory_id")).distinct(), ["repo_key", "memory_id"], "left_anti")
+    relation = F.lit("work_state_update")
+    identity = evolution_id(F.col("repo_key"), relation, F.col("predecessor_id"), F.col("memory_id"))
+    return rows.select(
+        identity.alias("evolution_id"), "repo_key", "predecessor_id", F.col("memory_id").alias("successor_id"), relation.alias("relation"), F.lit("system").alias("proposer"),
+        F.array_sort(F.array_distinct("facts")).alias("supporting_fact_ids"), "created_at_ms")
+
+
 def effective_promotions(promotions: DataFrame) -> DataFrame:
     """Promotions that no other one replaces."""
     return promotions.join(promotions.where("replaces is not null").select(F.col("replaces").alias("promotion_id")), "promotion_id", "left_anti")

@@ -136,3 +136,45 @@ def library_issues(promotions: DataFrame, people: DataFrame, memories: DataFrame
     issue = F.when(F.col("_status").isNull(), "missing_memory").when(F.col("_status") != "active", "superseded_memory").when(~F.col("_subject").eqNullSafe(F.col("subject_key")), "subject_mismatch")
     memory = seen.select("promotion_id", issue.alias("issue")).where("issue is not null")
     return owner.unionByName(broken).unionByName(double).unionByName(memory)
+
+
+def onboarding_preview(requests: DataFrame, sources: DataFrame, ttl_ms: int) -> DataFrame:
+    """What each request would import, and a snapshot of it: request_id, repo_key, chosen (source ids, in order), state, snapshot_id, expires_ms.
+
+    requests: request_id, repo_key, selected (source ids, or null for all that aren't imported
+    yet), at_ms; sources: repo_key, source_id, fingerprint, import_state. A selection that names a source
+    twice or one of another repository is invalid_selection; one of nothing is nothing_selected. The
+    snapshot is over the chosen sources as they are now, so any change of one of them shows.
+    A request chooses sources of one repository, whose number discovery limits.
+    """
+    every = requests.where("selected is null").join(sources.where("import_state <> 'already_imported'"), "repo_key").select("request_id", "source_id", "fingerprint", "import_state")
+    named = requests.where("selected is not null").select("request_id", "repo_key", F.explode(F.array_distinct("selected")).alias("source_id"))
+    found = every.unionByName(named.join(sources, ["repo_key", "source_id"]).select("request_id", "source_id", "fingerprint", "import_state"))
+    marks = found.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "fingerprint", "import_state"))).alias("m"))
+    rows = requests.join(marks, "request_id", "left").withColumn("m", F.coalesce("m", F.array().cast(marks.schema["m"].dataType)))
+    wrong = F.coalesce(F.size("selected") != F.size("m"), F.lit(False))
+    state = F.when(wrong, "invalid_selection").when(F.size("m") == 0, "nothing_selected").otherwise("ready")
+    expires = F.col("at_ms") + ttl_ms
+    snapshot = F.concat(F.lit("onb_"), F.sha2(C.canonical_json(expires_ms=expires, repo_key=F.col("repo_key"), sources=F.col("m")), 256))
+    rows = rows.select("request_id", "repo_key", F.transform("m", lambda x: x["source_id"]).alias("chosen"), state.alias("state"), snapshot.alias("snapshot_id"), expires.alias("expires_ms"))
+    return rows.withColumn("snapshot_id", F.when(F.col("state") == "ready", F.col("snapshot_id")))
+
+
+def onboarding_apply(consents: DataFrame, previews: DataFrame, sources: DataFrame) -> DataFrame:
+    """What becomes of consents (request_id, snapshot_id, at_ms) to previews: request_id, outcome, and to_import, the sources still to be read.
+
+    Outcomes: unknown_consent (no preview of that snapshot), consent_expired, snapshot_stale (a chosen source
+    changed, came under another state or is gone), else noop where all are imported, or applied.
+    A snapshot that was applied gives the same again, as sources imported meanwhile make it stale.
+    """
+    known = previews.where("state = 'ready'").select("request_id", "repo_key", "chosen", "snapshot_id", "expires_ms")
+    rows = consents.join(known, ["request_id", "snapshot_id"], "left")
+    now = onboarding_preview(rows.where("chosen is not null").select("request_id", "repo_key", F.col("chosen").alias("selected"), F.col("expires_ms").alias("at_ms")).distinct(), sources, 0)
+    rows = rows.join(now.select("request_id", F.col("snapshot_id").alias("_now")), "request_id", "left")
+    left = sources.where("import_state <> 'already_imported'").select("repo_key", "source_id")
+    todo = rows.select("request_id", "repo_key", F.explode("chosen").alias("source_id")).join(left, ["repo_key", "source_id"], "left_semi").groupBy("request_id").agg(F.array_sort(F.collect_set("source_id")).alias("todo"))
+    rows = rows.join(todo, "request_id", "left").withColumn("todo", F.coalesce("todo", F.array().cast(previews.schema["chosen"].dataType)))
+    outcome = (
+        F.when(F.col("chosen").isNull(), "unknown_consent").when(F.col("at_ms") > F.col("expires_ms"), "consent_expired").when(~F.col("_now").eqNullSafe(F.col("snapshot_id")), "snapshot_stale")
+        .when(F.size("todo") == 0, "noop").otherwise("applied"))
+    return rows.select("request_id", outcome.alias("outcome"), F.when(outcome == "applied", F.col("todo")).otherwise(F.slice("todo", 1, 0)).alias("to_import"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelode.functions import columns as C
+from tracelode.functions.tables import stored
 from tracelode.operators import evolution
 from tracelode.plans.adapters import ORDERS_SQL, PREFERENCES_SQL, none, order_edges, order_memories, preferences, promotions, table
 from tracelode.plans.registry import query
@@ -175,3 +176,31 @@ def jn05_effective_promotions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {PREFERENCES_SQL} SELECT f.subject_key, f.memory_id, (SELECT count(*) FROM pre p WHERE p.subject_key = f.subject_key AND p.memory_id <> f.memory_id) AS shadowed_by FROM force f""")
 def jn06_shadow(spark: SparkSession, d: str) -> DataFrame:
     return evolution.shadowed(evolution.effective_promotions(promotions(spark, d)), preferences(spark, d))
+
+
+ADVANCE_SQL = """
+    w AS (SELECT o_orderkey AS memory_id, 'repo' || (o_custkey % 10) AS repo_key, CAST(o_custkey AS VARCHAR) AS stream, o_orderkey % 7 <> 0 AND lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) IS NOT NULL AS superseded, o_orderstatus, o_orderpriority LIKE '3%' AS is_state FROM orders),
+    h AS (SELECT repo_key, stream, min(memory_id) AS head_id FROM w WHERE NOT superseded AND is_state AND o_orderstatus <> 'F' GROUP BY ALL HAVING count(*) = 1),
+    n AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber + 100000000 AS memory_id, l_orderkey * 10 + l_linenumber AS made, l_linenumber, o_custkey, 'repo' || (o_custkey % 10) AS repo_key, CAST(o_custkey AS VARCHAR) AS stream FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 2),
+    a AS (SELECT n.repo_key, coalesce(lag(n.memory_id) OVER (PARTITION BY n.repo_key, n.stream ORDER BY made, n.memory_id), head_id) AS predecessor_id, n.memory_id AS successor_id FROM n JOIN h USING (repo_key, stream) WHERE n.memory_id % 5 <> 0)
+"""
+
+
+@query(f"WITH {ADVANCE_SQL} SELECT repo_key, predecessor_id, successor_id, 'superseded' AS head_status, CAST(0 AS BIGINT) AS added_again FROM a")
+def evo10_advance(spark: SparkSession, d: str) -> DataFrame:
+    """New work states (lines of orders) advance their customers' open heads unless a proposal names them; a second run over the edges adds nothing."""
+    state = table(spark, d, "orders").select(F.col("o_orderkey").alias("memory_id"), F.when(F.col("o_orderstatus") == "F", "closed").otherwise("open").alias("state"))
+    columns = ("memory_id", "repo_key", "memory_type", "workstream_key", "state", "created_at_ms", "facts", "is_new")
+    facts = F.array(F.col("memory_id").cast("string"))
+    known = order_memories(spark, d).join(state, "memory_id").withColumns({"workstream_key": F.col("subject_key"), "facts": facts, "is_new": F.lit(False)}).select(*columns)
+    lines = table(spark, d, "lineitem").where("l_linenumber <= 2").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    new = lines.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber") + 100_000_000).alias("memory_id"), F.concat(F.lit("repo"), F.col("o_custkey") % 10).alias("repo_key"), F.lit("work_state").alias("memory_type"),
+        F.col("o_custkey").cast("string").alias("workstream_key"), F.lit("open").alias("state"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("created_at_ms"), F.array(F.lit("f")).alias("facts"), F.lit(True).alias("is_new")).distinct()
+    both, edges = stored(known.unionByName(new), "memories"), order_edges(spark, d)
+    proposed = new.where("memory_id % 5 = 0").select(F.col("memory_id").alias("successor_id"))
+    made = stored(evolution.advances(both, edges, proposed), "advances")
+    whole = edges.unionByName(made.select(*edges.columns))
+    again = evolution.advances(both, whole, proposed).count()
+    heads = evolution.with_status(both, whole).select("repo_key", F.col("memory_id").alias("predecessor_id"), F.col("status").alias("head_status"))
+    return made.select("repo_key", "predecessor_id", "successor_id").join(heads, ["repo_key", "predecessor_id"]).withColumn("added_again", F.lit(again).cast("long"))

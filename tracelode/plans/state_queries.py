@@ -412,3 +412,29 @@ def str05_delivered_often(spark: SparkSession, d: str) -> DataFrame:
     many = stored(rows.unionByName(last).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("copy"), "many")
     found = streamed(spark, [many, many])
     return found.groupBy("session_id", "start_index", "end_index", "n_events").agg(F.count("*").alias("times"))
+
+
+@query("""
+    WITH s AS (SELECT s_nationkey AS repo, s_suppkey AS source, s_suppkey % 3 = 0 AS done, s_suppkey % 6 = 1 AS changes FROM supplier),
+    r AS (SELECT c_custkey AS request, c_nationkey AS repo, c_custkey % 10 AS kind, c_custkey % 4 = 0 AS takes_all FROM customer),
+    ch AS (SELECT request, source, changes, done FROM r JOIN s USING (repo) WHERE takes_all AND NOT done UNION ALL SELECT request, source, changes, done FROM r JOIN s USING (repo) WHERE NOT takes_all AND source % 5 = request % 5),
+    g AS (SELECT request, count(*) AS n, bool_or(changes) AS changes, count(*) FILTER (WHERE NOT done) AS todo FROM ch GROUP BY ALL),
+    p AS (SELECT r.*, coalesce(n, 0) AS n, coalesce(g.changes, FALSE) AS changes, coalesce(todo, 0) AS todo, NOT takes_all AND (kind = 3 OR kind = 7 AND coalesce(n, 0) > 0) AS wrong FROM r LEFT JOIN g USING (request)),
+    q AS (SELECT *, CASE WHEN wrong THEN 'invalid_selection' WHEN n = 0 THEN 'nothing_selected' ELSE 'ready' END AS state FROM p)
+    SELECT request AS request_id, state, CASE WHEN state <> 'ready' OR kind = 9 THEN 'unknown_consent' WHEN kind = 1 THEN 'consent_expired' WHEN changes THEN 'snapshot_stale' WHEN todo = 0 THEN 'noop' ELSE 'applied' END AS outcome,
+           CASE WHEN state = 'ready' AND kind NOT IN (1, 9) AND NOT changes THEN todo ELSE 0 END AS to_import FROM q
+""")
+def job06_onboarding(spark: SparkSession, d: str) -> DataFrame:
+    """Customers ask to import suppliers of their nation: selections, consents that expire or name another snapshot, and sources that change before they are given."""
+    sources = table(spark, d, "supplier").select(F.col("s_nationkey").alias("repo_key"), F.col("s_suppkey").alias("source_id"), F.md5(F.encode("s_name", "UTF-8")).alias("fingerprint"), F.when(F.col("s_suppkey") % 3 == 0, "already_imported").otherwise("new").alias("import_state"))
+    asks = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("repo_key"))
+    five = sources.withColumn("five", F.col("source_id") % 5).groupBy("repo_key", "five").agg(F.collect_list("source_id").alias("some"))
+    kind = F.col("request_id") % 10
+    asks = asks.withColumn("five", F.col("request_id") % 5).join(five, ["repo_key", "five"], "left").withColumn("some", F.coalesce("some", F.array().cast("array<bigint>")))
+    named = F.when(kind == 3, F.array_append("some", F.lit(-1).cast("long"))).when((kind == 7) & (F.size("some") > 0), F.concat("some", F.slice("some", 1, 1))).otherwise(F.col("some"))
+    requests = stored(asks.select("request_id", "repo_key", F.when(F.col("request_id") % 4 != 0, named).alias("selected"), (F.col("request_id") * 1000).alias("at_ms")), "requests")
+    previews = stored(state.onboarding_preview(requests, sources, 500), "previews")
+    consents = previews.select("request_id", F.when(kind == 9, "another").otherwise(F.coalesce("snapshot_id", F.lit("none"))).alias("snapshot_id"), (F.col("expires_ms") + F.when(kind == 1, 1).otherwise(0)).alias("at_ms"))
+    later = sources.withColumn("fingerprint", F.when(F.col("source_id") % 6 == 1, F.md5(F.encode("fingerprint", "UTF-8"))).otherwise(F.col("fingerprint")))
+    found = state.onboarding_apply(consents, previews, later)
+    return previews.select("request_id", "state").join(found, "request_id").select("request_id", "state", "outcome", F.size("to_import").cast("long").alias("to_import"))
