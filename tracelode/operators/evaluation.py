@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelode.functions import columns as C
 from tracelode.functions.tables import top_per_group
@@ -142,3 +143,69 @@ def tree_digest(files: DataFrame, root: str) -> DataFrame:
 def percentiles(rows: DataFrame, column: str, ps: tuple[float, ...], by: list[str]) -> DataFrame:
     """Nearest-rank percentiles p50, p95, ... of a column."""
     return rows.groupBy(*by).agg(*(C.nearest_rank(column, p).alias(f"p{round(100 * p)}") for p in ps))
+
+
+def folder_digests(files: DataFrame) -> DataFrame:
+    """(folder, files, digest) of each folder of (path, digest): over all that lies below it, at any depth, in any order."""
+    steps = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+    mark = F.xxhash64("path", "digest").cast("decimal(38,0)")
+    return files.select(F.explode(folders).alias("folder"), mark.alias("mark")).groupBy("folder").agg(F.count("*").alias("files"), F.sum("mark").alias("digest"))
+
+
+def tree_faults(actual: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(path, fault) where files (path, digest) aren't what an inventory says: missing, unexpected, changed, or listed_twice.
+
+    Folders' digests are compared first, from the whole down: files are compared only where all
+    folders above them differ, so what is the same is read no further than its digests.
+    """
+    one, other = folder_digests(actual), folder_digests(inventory)
+    differ = one.withColumnRenamed("digest", "a").withColumnRenamed("files", "m").join(other, "folder", "full").where("not (a <=> digest) or not (m <=> files)").select("folder")
+    # A path's own folder differs exactly if all above it do, as each digest is over all below.
+    parent = F.regexp_replace("path", "(^|/)[^/]*$", "")
+    near = lambda rows: rows.withColumn("folder", parent).join(differ, "folder", "left_semi").drop("folder")
+    twice = inventory.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("listed_twice").alias("fault"))
+    a = near(actual).select("path", F.col("digest").alias("a"), F.lit(True).alias("is"))
+    b = near(inventory).groupBy("path").agg(F.min("digest").alias("b")).withColumn("listed", F.lit(True))
+    fault = F.when(F.col("is").isNull(), "missing").when(F.col("listed").isNull(), "unexpected").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+    return a.join(b, "path", "full").select("path", fault.alias("fault")).where("fault is not null").unionByName(twice)
+
+
+def metric_faults(claimed: DataFrame, recomputed: DataFrame, digits: int = 6) -> DataFrame:
+    """(metric, fault, claimed, recomputed) of metrics (metric, value) that don't hold: mismatch, unclaimed or unsupported."""
+    rows = claimed.select("metric", F.col("value").alias("claimed"), F.lit(True).alias("_c")).join(recomputed.select("metric", F.col("value").alias("recomputed"), F.lit(True).alias("_r")), "metric", "full")
+    same = F.round("claimed", digits).eqNullSafe(F.round("recomputed", digits))
+    fault = F.when(F.col("_c").isNull(), "unclaimed").when(F.col("_r").isNull(), "unsupported").when(~same, "mismatch")
+    return rows.select("metric", fault.alias("fault"), "claimed", "recomputed").where("fault is not null")
+
+
+def amended(base: DataFrame, key: str, amendments: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The base with its amendable fields as later records leave them, how many held, and the rule that the first bad one breaks.
+
+    amendments: amendment (their order), the key, field, before, after (strings). One holds if it
+    names an amendable field, changes it, has a number of its own for it, and before is what the field
+    held: the base's value, or what the amendment before it left. Of a field whose chain breaks
+    anywhere nothing is replaced. Gives the base's columns, applied and violation: not_amendable,
+    no_change, same_order or not_what_it_was. Records of amendments that the base lacks: see unknown_records.
+    """
+    known = F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f).cast("string"))))
+    rows = amendments.join(base.select(key, known.alias("_now")), key)
+    # Amendments of one field of one record, which are few.
+    order = Window.partitionBy(key, "field").orderBy("amendment", "before", "after")
+    held = F.coalesce(F.lag("after").over(order), F.element_at("_now", F.col("field")))
+    bad = (
+        F.when(~F.col("field").isin(*fields), "not_amendable").when(F.col("before").eqNullSafe(F.col("after")), "no_change").when(F.lag("amendment").over(order) == F.col("amendment"), "same_order")
+        .when(~held.eqNullSafe(F.col("before")), "not_what_it_was"))
+    rows = rows.select(key, "field", "amendment", "after", bad.alias("bad"))
+    chains = rows.groupBy(key, "field").agg(F.max_by("after", "amendment").alias("after"), F.count("*").alias("n"), F.min_by("bad", F.when(F.col("bad").isNotNull(), F.col("amendment"))).alias("bad"))
+    each = chains.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("bad").isNull(), F.struct("field", "after")))).alias("_new"), F.sum(F.when(F.col("bad").isNull(), F.col("n")).otherwise(0)).alias("applied"),
+        F.min(F.struct(F.col("bad").isNull(), "field", "bad"))["bad"].alias("violation"))
+    out = base.join(each, key, "left")
+    value = lambda f: F.when(F.map_contains_key("_new", f), F.element_at("_new", f).cast(base.schema[f].dataType)).otherwise(F.col(f)).alias(f)
+    return out.select(*(value(c) if c in fields else c for c in base.columns), F.coalesce("applied", F.lit(0)).cast("long").alias("applied"), "violation")
+
+
+def unknown_records(base: DataFrame, key: str, amendments: DataFrame) -> DataFrame:
+    """Amendments of records that the base doesn't have."""
+    return amendments.join(base.select(key), key, "left_anti")

@@ -149,16 +149,58 @@ def evl05_repair_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT range AS session, range % 2 = 0 AS a FROM range(1000)), e AS (SELECT session, a, unnest(range(100)) AS i FROM r)
-    SELECT CASE WHEN a THEN 'A' ELSE 'B' END AS provider, count(*) AS events, count(DISTINCT session) AS sessions, count(*) FILTER (WHERE i = 0) AS episodes FROM e GROUP BY a
+    WITH e AS (SELECT user_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS episode FROM events),
+    s AS (SELECT user_id, episode, count(*) AS n FROM e WHERE episode > 0 GROUP BY ALL)
+    SELECT CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS provider, CAST(sum(n) AS BIGINT) AS events, count(DISTINCT user_id) AS sessions, count(*) AS episodes FROM s GROUP BY 1
 """)
 def evl03_scale_generator(spark: SparkSession, d: str) -> DataFrame:
-    """A thousand synthetic sessions of a hundred events: episodes found by sessionization, counted by provider."""
+    """The given events as sessions of two providers: episodes found by sessionization, counted by provider."""
     from tracelode.operators.traces import episodes
-    from tracelode.plans.adapters import CHANGES, none
+    from tracelode.plans.adapters import tool_events
 
-    events = spark.range(100_000).select(
-        F.floor(F.col("id") / 100).alias("session_id"), (F.col("id") % 100).alias("event_index"), F.lit("message").alias("kind"), F.when(F.col("id") % 100 == 0, "user").otherwise("assistant").alias("role"),
-        F.concat(F.lit("step "), F.col("id") % 100).alias("text"), none("string").alias("observed_outcome"), F.lit(False).alias("is_command_result"), none("int").alias("exit_code"), none(CHANGES).alias("file_changes"))
-    found = episodes(events).groupBy(F.when(F.col("session_id") % 2 == 0, "A").otherwise("B").alias("provider"))
+    found = episodes(tool_events(spark, d)).groupBy(F.when(F.col("session_id") % 2 == 0, "A").otherwise("B").alias("provider"))
     return found.agg(F.sum("n_events").alias("events"), F.countDistinct("session_id").alias("sessions"), F.count("*").alias("episodes"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, lang || '/' || source || '/' || doc_id AS path, n_chars, lang FROM documents),
+    m AS (SELECT lang, CAST(sum(n_chars) AS DOUBLE) AS value FROM f WHERE doc_id % 97 <> 5 GROUP BY lang)
+    SELECT path AS subject, CASE WHEN doc_id % 97 = 5 THEN 'missing' WHEN doc_id % 89 = 7 THEN 'unexpected' ELSE 'changed' END AS fault FROM f WHERE doc_id % 97 = 5 AND doc_id % 89 <> 7 OR doc_id % 97 <> 5 AND (doc_id % 89 = 7 OR doc_id % 83 = 11)
+    UNION ALL SELECT path, 'listed_twice' FROM f WHERE doc_id % 101 = 3 AND doc_id % 89 <> 7
+    UNION ALL SELECT 'chars_' || lang, CASE WHEN lang = 'fr' THEN 'unclaimed' ELSE 'mismatch' END FROM m WHERE lang IN ('de', 'fr')
+    UNION ALL SELECT 'chars_none', 'unsupported'
+""")
+def evl07_verifier(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a release's files, with faults planted in files, inventory and claimed metrics; every fault is found and nothing else."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.concat_ws("/", "lang", "source", "doc_id").alias("path"), F.sha2("text", 256).alias("digest"), F.col("n_chars").cast("double").alias("n_chars"))
+    n = F.col("doc_id")
+    actual = docs.where(n % 97 != 5)
+    files = actual.select("path", F.when(n % 83 == 11, F.sha2("digest", 256)).otherwise(F.col("digest")).alias("digest"))
+    inventory = docs.where(n % 89 != 7).select("path", "digest").unionByName(docs.where((n % 89 != 7) & (n % 101 == 3)).select("path", "digest"))
+    found = actual.groupBy("lang").agg(F.sum("n_chars").alias("value")).select(F.concat(F.lit("chars_"), "lang").alias("metric"), "value")
+    claimed = found.where("metric <> 'chars_fr'").withColumn("value", F.when(F.col("metric") == "chars_de", F.col("value") + 1).otherwise(F.col("value")))
+    # One more claim, once.
+    claimed = claimed.unionByName(found.limit(1).select(F.lit("chars_none").alias("metric"), F.lit(1.0).alias("value")))
+    faults = evaluation.tree_faults(files, inventory).withColumnRenamed("path", "subject")
+    return faults.unionByName(evaluation.metric_faults(claimed, found).select(F.col("metric").alias("subject"), "fault"))
+
+
+@query(f"""
+    WITH {OUTCOMES_SQL}
+    SELECT question_id, CASE WHEN question_id % 11 = 0 OR question_id % 10 = 4 THEN category WHEN question_id % 7 = 0 THEN 'final' ELSE category END AS category, CASE WHEN question_id % 5 = 0 AND outcome <> 'wrong' THEN 'wrong' ELSE outcome END AS outcome, latency_ms,
+           CAST(CASE WHEN question_id % 7 = 0 AND question_id % 11 <> 0 AND question_id % 10 <> 4 THEN 2 ELSE 0 END + CASE WHEN question_id % 5 = 0 AND outcome <> 'wrong' THEN 1 ELSE 0 END AS BIGINT) AS applied,
+           CASE WHEN question_id % 7 = 0 AND question_id % 11 = 0 THEN 'not_what_it_was' WHEN question_id % 7 = 0 AND question_id % 10 = 4 THEN 'same_order' WHEN question_id % 13 = 0 THEN 'not_amendable' WHEN question_id % 5 = 0 AND outcome = 'wrong' THEN 'no_change' END AS violation
+    FROM outc
+""")
+def evl08_amendments(spark: SparkSession, d: str) -> DataFrame:
+    """Judged questions with amendments: chains of two that hold, that start from what wasn't there, or share a number; corrections of outcomes, and of a measure that may not be changed."""
+    base = outcomes(spark, d)
+    n, text = F.col("question_id"), lambda x: F.lit(x)
+    one = lambda rows, order, field, before, after: rows.select("question_id", F.lit(order).alias("amendment") if isinstance(order, int) else order.alias("amendment"), F.lit(field).alias("field"), before.alias("before"), after.alias("after"))
+    sevens = base.where(n % 7 == 0)
+    parts = [
+        one(sevens, 1, "category", F.when(n % 11 == 0, "other").otherwise(F.col("category")), text("middle")), one(sevens, F.when((n % 10 == 4) & (n % 11 != 0), 1).otherwise(2), "category", text("middle"), text("final")),
+        one(base.where(n % 5 == 0), 3, "outcome", F.col("outcome"), text("wrong")), one(base.where(n % 13 == 0), 4, "latency_ms", F.col("latency_ms").cast("string"), text("0")),
+    ]
+    amendments = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return evaluation.amended(base, "question_id", amendments, ("category", "outcome"))
