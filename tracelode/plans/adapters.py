@@ -220,14 +220,14 @@ def transcripts_of(spark: SparkSession, d: str, provider: str) -> DataFrame:
         output = _record(type=lit("function_call_output"), call_id=F.col("call"), output=F.concat(lit("Process exited with code "), "code", lit("\nFinal output:\n"), text))
         payload = F.when(kind == "signup", said).when(kind == "click", call).when(kind.isin("purchase", "error"), output).otherwise(text)
         line = F.concat(lit('{"type":"'), F.when(kind == "view", "event_msg").otherwise("response_item"), lit('","payload":'), payload, lit("}"))
-        head = F.concat(lit('{"type":"session_meta","payload":{"id":"'), user, lit('"}}'))
+        head = F.concat(lit('{"type":"session_meta","payload":{"id":"'), user, lit('","cwd":"/repo'), F.col("user_id") % 3, lit('/src"}}'))
     elif provider == "B":
         uses = F.when(k % 2 == 0, _record(command=command)).otherwise(_record(file_path=F.concat(lit("src/m"), k, lit(".py"))))
         call = F.concat(lit('[{"type":"text","text":"next"},{"type":"tool_use","id":"'), "call", lit('","name":"'), F.when(k % 2 == 0, "Bash").when(k % 4 == 1, "Edit").otherwise("Lookup"), lit('","input":'), uses, lit("}]"))
         output = F.concat(lit('[{"type":"tool_result","tool_use_id":"'), "call", lit('","content":"done","is_error":'), (kind == "error").cast("string"), lit("}]"))
         content = F.when(kind == "signup", F.to_json(F.array(F.struct(lit("text").alias("type"), text.alias("text"))))).when(kind == "click", call).when(kind.isin("purchase", "error"), output)
         line = F.concat(lit('{"sessionId":"'), user, lit('","type":"x"'), F.when(kind == "view", "").otherwise(F.concat(lit(',"message":{"role":"'), F.when(kind == "click", "assistant").otherwise("user"), lit('","content":'), content, lit("}"))), lit("}"))
-        head = F.concat(lit('{"sessionId":"'), user, lit('","type":"summary"}'))
+        head = F.concat(lit('{"sessionId":"'), user, lit('","type":"summary","cwd":"/repo'), F.col("user_id") % 3, lit('"}'))
     else:
         said = F.concat(lit('{"kind":"message","role":"user","text":"'), kind, lit('"}'))
         call = F.concat(lit(',{"kind":"tool_call","call_id":"'), "call", lit('","tool_name":"shell","command":"'), command, lit('"}'))

@@ -166,3 +166,24 @@ def src03_stream(spark: SparkSession, d: str) -> DataFrame:
         lines.trigger(availableNow=True).start().awaitTermination()
     found = spark.read.parquet(f"{folder}-out").groupBy("source_path").agg(F.count("*").alias("lines"), F.countDistinct("start").alias("distinct_starts"))
     return found.select(F.regexp_extract("source_path", r"([^/]+)$", 1).alias("source"), "lines", "distinct_starts")
+
+
+@query("""
+    SELECT '/work/s' || p || '-' || user_id || '.jsonl' AS source_path, user_id % 3 = user_id % 2 AS matches
+    FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(['A', 'B']) AS p)
+""")
+def src10_repository(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each transcript's working folders lie in the repository that its user's number asks for."""
+    lines = transcripts.raw_lines(transcripts_of(spark, d, "A").union(transcripts_of(spark, d, "B")))
+    user = F.regexp_extract("source_path", r"(\d+)\.jsonl$", 1).cast("int")
+    roots = lines.select("source_path").distinct().select("source_path", F.concat(F.lit("/repo"), user % 2).alias("root"))
+    return transcripts.one_repository(transcripts.working_folders(lines), roots)
+
+
+@query(f"""
+    WITH {TRANSCRIPTS_SQL}, c AS (SELECT user_id, count(*) AS changes FROM ca WHERE result AND called AND k % 4 = 1 AND code = 0 GROUP BY user_id)
+    SELECT '/work/sB-' || user_id || '.jsonl' AS source_path, changes, 'too_many_file_changes' AS violation FROM c WHERE changes > 2
+""")
+def trc09_change_limit(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that change more than two files."""
+    return transcripts.change_violations(transcripts.provider_b(transcripts.raw_lines(transcripts_of(spark, d, "B"))), 2)

@@ -180,7 +180,7 @@ def rec08_admission(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
     WITH {MEMORIES_SQL},
-    r AS (SELECT source AS query_id, memory_type, doc_id, n_chars % 50 AS score, doc_id % 3 = 0 AS has_lexical, CAST(doc_id % 10 AS DOUBLE) / 10 AS vector_score, memory_id, created_at_ms FROM mem JOIN documents USING (doc_id)),
+    r AS (SELECT source || ':' || (doc_id // 1000) AS query_id, memory_type, doc_id, n_chars % 50 AS score, doc_id % 3 = 0 AS has_lexical, CAST(doc_id % 10 AS DOUBLE) / 10 AS vector_score, memory_id, created_at_ms FROM mem JOIN documents USING (doc_id)),
     p AS (SELECT *, has_lexical OR vector_score >= 0.5 AS relevant, list_position({list(recall.TYPE_ORDER)}, memory_type) AS priority, CASE memory_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in recall.TYPE_CAPS.items())} END AS cap FROM r),
     c AS (SELECT *, relevant AND row_number() OVER (PARTITION BY query_id, relevant, memory_type ORDER BY -score, priority, -created_at_ms, memory_id) <= cap AS pass FROM p),
     n AS (SELECT *, row_number() OVER (PARTITION BY query_id, pass ORDER BY -score, priority, -created_at_ms, memory_id) AS rn FROM c),
@@ -189,8 +189,9 @@ def rec08_admission(spark: SparkSession, d: str) -> DataFrame:
            CASE WHEN NOT relevant THEN 'relevance' WHEN admitted THEN NULL WHEN count(*) FILTER (WHERE admitted) OVER (PARTITION BY query_id, memory_type) >= cap THEN 'type_cap' ELSE 'limit' END AS omission FROM a
 """)
 def rec09_caps(spark: SparkSession, d: str) -> DataFrame:
+    """A source's documents, a thousand ids at a time, as candidates of a request, as a recall's candidates are bounded."""
     rows = memories(spark, d).join(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id")
-    rows = rows.select(F.col("source").alias("query_id"), "memory_id", "memory_type", "created_at_ms", (F.col("n_chars") % 50).alias("score"), ((F.col("doc_id") % 10).cast("double") / 10).alias("vector_score"), (F.col("doc_id") % 3 == 0).alias("has_lexical"), F.lit(False).alias("is_pinned"))
+    rows = rows.select(F.concat_ws(":", "source", F.floor(F.col("doc_id") / 1000)).alias("query_id"), "memory_id", "memory_type", "created_at_ms", (F.col("n_chars") % 50).alias("score"), ((F.col("doc_id") % 10).cast("double") / 10).alias("vector_score"), (F.col("doc_id") % 3 == 0).alias("has_lexical"), F.lit(False).alias("is_pinned"))
     return recall.admit(rows, 12, 0.5).select("query_id", "memory_id", "rank", "omission")
 
 

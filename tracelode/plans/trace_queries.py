@@ -174,7 +174,7 @@ def epi08_experience(spark: SparkSession, d: str) -> DataFrame:
 
 
 EVIDENCE_SQL = FACTS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
-    ep AS (SELECT * REPLACE (session_id % 7 AS session_id, 0 AS episode), lpad(CAST(event_index AS VARCHAR), 12, '0') || lpad(CAST(fact_ordinal AS VARCHAR), 4, '0') AS place FROM facts),
+    ep AS (SELECT * REPLACE (session_id // 3 AS session_id, 0 AS episode), lpad(CAST(event_index AS VARCHAR), 12, '0') || lpad(CAST(fact_ordinal AS VARCHAR), 4, '0') AS place FROM facts),
     need AS (
         SELECT e.*, c.fact_id AS needs, CASE WHEN e.outcome = 'failure' THEN 0 WHEN e.fact_kind = 'verification' THEN 1 WHEN e.fact_kind IN ('file_change', 'command', 'tool_call') THEN 2 WHEN e.fact_kind = 'message' AND e.role = 'user' THEN 3 ELSE 4 END AS priority,
                e.place = min(CASE WHEN e.fact_kind = 'message' AND e.role = 'user' THEN e.place END) OVER (PARTITION BY e.session_id) AS opening
@@ -194,8 +194,8 @@ EVIDENCE_SQL = FACTS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 
 @query(EVIDENCE_SQL)
 def epi07_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Seven long episodes of all sessions' facts, so that evidence has to be chosen."""
-    facts = traces.facts(tool_events(spark, d)).withColumn("session_id", F.col("session_id") % 7).withColumn("episode", F.lit(0).cast("long"))
+    """Long episodes of three sessions' facts each, so that evidence has to be chosen."""
+    facts = traces.facts(tool_events(spark, d)).withColumn("session_id", F.floor(F.col("session_id") / 3)).withColumn("episode", F.lit(0).cast("long"))
     return traces.experiences(facts).select("session_id", F.explode("evidence_ids").alias("fact_id"))
 
 

@@ -16,6 +16,7 @@ from tracelode.operators.traces import patch_changes
 
 SESSION_BYTES = 64 << 20
 SESSION_EVENTS = 100_000
+SESSION_CHANGES = 10_000
 #: Tools of provider A that run a command, and of provider B that change files.
 EXEC_TOOLS = ("exec_command", "shell", "local_shell", "container.exec")
 PATCH_TOOLS = ("apply_patch",)
@@ -73,12 +74,17 @@ def resume_suffix(lines: DataFrame, cursors: DataFrame) -> DataFrame:
     return joined.select("source_path", "cursor", "events", state.alias("state"))
 
 
-def text_of(record: Column, path: str) -> Column:
-    """Text at a path: a string as it is, or the text members of a list of blocks, joined by line ends."""
+def text_of(record: Column, path: str, otherwise_json: bool = False) -> Column:
+    """Text at a path: a string as it is, or the text members of a list of blocks, joined by line ends; of a list or object without text its JSON (compact, keys in order), if asked for."""
     plain = F.try_variant_get(record, path, "string")
     blocks = F.try_variant_get(record, path, "array<struct<type:string,text:string>>")
     texts = F.transform(F.filter(blocks, lambda b: b["text"].isNotNull()), lambda b: b["text"])
-    return F.coalesce(F.when(blocks.isNull(), plain), F.when(F.size(texts) > 0, F.array_join(texts, "\n")))
+    found = F.coalesce(F.when(blocks.isNull(), plain), F.when(F.size(texts) > 0, F.array_join(texts, "\n")))
+    if not otherwise_json:
+        return found
+    whole = F.try_variant_get(record, path, "variant")
+    structured = F.coalesce(F.schema_of_variant(whole).rlike("^(ARRAY|OBJECT)"), F.lit(False))
+    return F.coalesce(found, F.when(structured, F.to_json(whole)))
 
 
 def detect_provider(lines: DataFrame) -> DataFrame:
@@ -152,7 +158,7 @@ def provider_a(lines: DataFrame) -> DataFrame:
         "source_path", "session_id", "event_index", F.lit(0).alias("block"), "event_sha256",
         F.when(item & (inner == "message"), "message").when(item & call, "tool_call").when(item & output, "tool_result").otherwise("metadata").alias("kind"),
         F.when(item & (inner == "message"), g("$.payload.role")).alias("role"),
-        F.when(item & (inner == "message"), text_of(r, "$.payload.content")).when(item & output, F.coalesce(g("$.payload.output.output"), text_of(r, "$.payload.output"))).alias("text"),
+        F.when(item & (inner == "message"), text_of(r, "$.payload.content")).when(item & output, F.coalesce(g("$.payload.output.output"), text_of(r, "$.payload.output", True))).alias("text"),
         F.when(item & call, g("$.payload.name")).alias("tool_name"),
         F.when(item & (call | output), g("$.payload.call_id")).alias("call_id"),
         F.regexp_replace(inner, "_output$", "").alias("family"),
@@ -184,7 +190,7 @@ def provider_b(lines: DataFrame) -> DataFrame:
         "source_path", "session_id", "event_index", F.coalesce("block", F.lit(0)).alias("block"), "event_sha256", "whole",
         F.when((kind == "text") & F.col("role").isNotNull(), "message").when(kind == "tool_use", "tool_call").when(kind == "tool_result", "tool_result").otherwise("metadata").alias("kind"),
         F.when(kind == "text", F.col("role")).alias("role"),
-        F.when(kind == "text", F.col("b.text")).when(kind == "tool_result", text_of(F.col("b.content"), "$")).alias("text"),
+        F.when(kind == "text", F.col("b.text")).when(kind == "tool_result", text_of(F.col("b.content"), "$", True)).alias("text"),
         F.when(kind == "tool_use", F.col("b.name")).alias("tool_name"),
         F.when(kind == "tool_use", F.col("b.id")).when(kind == "tool_result", F.col("b.tool_use_id")).alias("call_id"),
         F.when((kind == "tool_use") & (F.col("b.name") == EXEC_TOOL_B), F.try_variant_get(F.col("b.input"), "$.command", "string")).alias("command"),
@@ -226,13 +232,37 @@ def provider_c(lines: DataFrame) -> DataFrame:
     return _finish(rows, "C")
 
 
+def result_violations(lines: DataFrame) -> DataFrame:
+    """Provider A results that break a rule: source_path, event_index, violations: ambiguous_exit_code where several lines of the envelope name one, exit_code_range where it isn't of 32 bits."""
+    g = lambda p: F.try_variant_get(F.col("record"), p, "string")
+    rows = lines.where("violation is null").where((g("$.type") == "response_item") & (g("$.payload.type") == "function_call_output"))
+    text = F.coalesce(g("$.payload.output.output"), text_of(F.col("record"), "$.payload.output"), F.lit(""))
+    named = F.regexp_extract_all(F.substring_index(text, "\nFinal output:", 1), F.lit(r"(?m)^Process exited with code (-?\d+)[ \t]*$"), F.lit(1))
+    given = F.try_variant_get("record", "$.payload.output.exit_code", "decimal(38,0)")
+    code = F.coalesce(given, F.when(F.size(named) == 1, named[0].try_cast("decimal(38,0)")))
+    wide = F.coalesce((code < -(2**31)) | (code >= 2**31), F.size(named) == 1)
+    rows = rows.select("source_path", "event_index", C.violations(ambiguous_exit_code=given.isNull() & (F.size(named) > 1), exit_code_range=F.when(code.isNull() & (F.size(named) != 1), F.lit(False)).otherwise(wide)).alias("violations"))
+    return rows.where("size(violations) > 0")
+
+
+def change_violations(events: DataFrame, most: int = SESSION_CHANGES) -> DataFrame:
+    """Sources whose events change more files than a session may: source_path, changes, violation."""
+    counts = events.groupBy("source_path").agg(F.sum(F.greatest(F.size(F.coalesce("file_changes", F.array().cast(events.schema["file_changes"].dataType))), F.lit(0))).alias("changes"))
+    return counts.where(F.col("changes") > most).withColumn("violation", F.lit("too_many_file_changes"))
+
+
 def batch_violations(lines: DataFrame) -> DataFrame:
     """Provider C batches that break a rule: source_path, event_index, violations."""
-    kinds = F.try_variant_get("record", "$.events", "array<struct<kind:string,role:string,file_changes:array<struct<operation:string,destination_path:string>>>>")
+    kinds = F.try_variant_get("record", "$.events", "array<struct<kind:string,role:string,terminal_observation:struct<file_changes:array<struct<operation:string,destination_path:string>>>>>")
     rows = lines.where("violation is null").where(F.try_variant_get("record", "$.record_type", "string") == "batch").withColumn("e", kinds)
     users = F.size(F.filter("e", lambda x: (x["kind"] == "message") & (x["role"] == "user")))
     first = F.try_element_at("e", F.lit(1))
+    changes = F.flatten(F.transform(F.col("e"), lambda x: F.coalesce(x["terminal_observation"]["file_changes"], F.array().cast("array<struct<operation:string,destination_path:string>>"))))
+    moved = lambda c: F.coalesce(c["operation"] == "move", F.lit(False))
     rows = rows.select("source_path", "event_index", C.violations(
+        move_without_destination=F.coalesce(F.exists(changes, lambda c: moved(c) & c["destination_path"].isNull()), F.lit(False)),
+        destination_without_move=F.coalesce(F.exists(changes, lambda c: ~moved(c) & c["destination_path"].isNotNull()), F.lit(False)),
+        unknown_operation=F.coalesce(F.exists(changes, lambda c: ~F.coalesce(c["operation"].isin("add", "update", "delete", "move"), F.lit(False))), F.lit(False)),
         no_events=F.col("e").isNull() | (F.size("e") == 0), too_many_events=F.size("e") > 2048, batch_too_large=F.octet_length("line") > 4 << 20,
         not_one_user=users != 1, not_opened_by_user=~F.coalesce((first["kind"] == "message") & (first["role"] == "user"), F.lit(False))).alias("violations"))
     return rows.where("size(violations) > 0")
@@ -266,7 +296,16 @@ def discover(files: DataFrame, most: int = 256, per_folder: int = 16, folders: i
     return out.join(F.broadcast(counted)).select("path", "folder", "turn", "modified", "all_files")
 
 
-def one_repository(events: DataFrame, folders: int = 64) -> DataFrame:
-    """(source_path, matches): whether all working folders that a session names are absolute, few and below one root."""
-    rows = events.groupBy("source_path").agg(F.collect_set("cwd").alias("c"), F.first("root").alias("root"))
-    return rows.select("source_path", ((F.size("c") > 0) & (F.size("c") <= folders) & F.forall("c", lambda x: x.startswith("/") & ((x == F.col("root")) | x.startswith(F.concat(F.col("root"), F.lit("/")))))).alias("matches"))
+def working_folders(lines: DataFrame) -> DataFrame:
+    """(source_path, cwd) of each record that names a working folder, in provider A's or B's form; a name that is no text is empty."""
+    kind, own = F.try_variant_get("record", "$.type", "string"), lambda p: F.try_variant_get("record", p, "variant")
+    said = F.coalesce(own("$.cwd"), F.when(kind.isin("session_meta", "turn_context"), F.coalesce(own("$.payload.cwd"), F.parse_json(F.lit("false")))))
+    rows = lines.where("violation is null").withColumn("said", said).where("said is not null")
+    return rows.select("source_path", F.coalesce(F.when(F.schema_of_variant("said") == "STRING", F.try_variant_get("said", "$", "string")), F.lit("")).alias("cwd"))
+
+
+def one_repository(folders: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+    """(source_path, matches): whether all working folders that a session names (source_path, cwd) are absolute, few, and at or below its root (source_path, root)."""
+    rows = folders.join(roots.select("source_path", "root"), "source_path")
+    inside = F.col("cwd").startswith("/") & ((F.col("cwd") == F.col("root")) | F.col("cwd").startswith(F.concat(F.col("root"), F.lit("/"))))
+    return rows.groupBy("source_path").agg((F.every(inside) & (F.count_distinct("cwd") <= most)).alias("matches"))
