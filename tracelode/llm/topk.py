@@ -85,25 +85,27 @@ def scores(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     return np.clip(exact, -LONG - 1, LONG).astype(np.int64)
 
 
+def best_of(query: np.ndarray, ids: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list of (query, id, score) each query's k best, ties to the smaller id."""
+    # ~ turns the order of integers without overflow.
+    order = np.lexsort((ids, ~values, query))
+    query, ids, values = query[order], ids[order], values[order]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(query)) + 1)) if len(query) else np.zeros(0, np.int64)
+    keep = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+    return query[keep], ids[keep], values[keep]
+
+
 def tile_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's k best of one shard: (query, id, score). Ties to the smaller id; a query's own id takes no part."""
     width = max(queries.shape[1], shard.shape[1])
     queries, shard = (np.pad(x.astype(np.int64), ((0, 0), (0, width - x.shape[1]))) for x in (queries, shard))
-    order = np.argsort(ids, kind="stable")
-    ids, product = ids[order], scores(queries, shard[order])
-    out = []
-    for q, row in zip(query_ids, product, strict=True):
-        others = np.flatnonzero(ids != q)
-        values = row[others]
-        if len(values) > k:
-            least = np.partition(values, len(values) - k)[len(values) - k]
-            keep = np.flatnonzero(values >= least)
-        else:
-            keep = np.arange(len(values))
-        # Ids ascend, so a stable sort by score leaves ties in their order; ~ turns the order of integers without overflow.
-        best = keep[np.argsort(~values[keep], kind="stable")[:k]]
-        out.append((np.full(len(best), q), ids[others[best]], values[best]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    product, own = scores(queries, shard), query_ids[:, None] == ids
+    product[own] = -LONG - 1
+    few = len(ids) - k
+    # What reaches a row's k-th greatest value; all, where there are fewer.
+    least = np.partition(product, few, axis=1)[:, few] if few > 0 else np.full(len(product), -LONG - 1)
+    row, column = np.nonzero((product >= least[:, None]) & ~own)
+    return best_of(query_ids[row], ids[column], product[row, column], k)
 
 
 def _merged(lists: DataFrame, k: int, *group: str) -> DataFrame:
@@ -124,8 +126,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile: int = T
 
     A block holds as many queries as fit into BLOCK_BYTES (or query_block), so shards are copied
     once for each so many queries; blocks are copied once for each task of at most TASK_SHARDS
-    shards. Lists of FAN_IN shards merge at a time, on as many levels as there are shards for, so
-    no task gets more than about FAN_IN * k rows of a query.
+    shards, which merges their lists. Lists of FAN_IN tasks merge at a time, on as many levels as there are
+    tasks for, so none gets more than about FAN_IN * k rows of a query.
     """
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = "id is not null and vector is not null"
@@ -146,27 +148,31 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile: int = T
     asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInPandas(pack, f"block long, {PACKED}")
     asked = stored(asked, "blocks").withColumn("salt", salt())
     dealt = shards.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(salts))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("query_id", "shard", "vec_id", "score")])
+    schema = T.StructType([T.StructField(x, T.LongType()) for x in ("query_id", "g", "vec_id", "score")])
 
     def matrix(r) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(r.ids, "<i8")
         return ids, unpacked(r.vectors, r.size, r.width, len(ids))
 
-    def products(own: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def products(key, own: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
+        none = (np.zeros(0, np.int64),) * 3
+        out = [none]
         for q in own.itertuples():
             q_ids, q_vectors = matrix(q)
-            for r in tiles.itertuples():
-                ids, shard = matrix(r)
-                for at in range(0, len(q_ids), QUERY_TILE):
+            for at in range(0, len(q_ids), QUERY_TILE):
+                # Lists of this task's shards merge here: k rows of a query go on, whatever the number of shards.
+                best = none
+                for r in tiles.itertuples():
+                    ids, shard = matrix(r)
                     found = tile_best(q_ids[at : at + QUERY_TILE], q_vectors[at : at + QUERY_TILE], ids, shard, k)
-                    out.append((found[0], np.full(len(found[0]), r.shard), *found[1:]))
-        return pd.DataFrame(dict(zip(schema.names, map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else {x: np.zeros(0, np.int64) for x in schema.names})
+                    best = best_of(*map(np.concatenate, zip(best, found, strict=True)), k)
+                out.append(best)
+        query, vec, score = map(np.concatenate, zip(*out, strict=True))
+        return pd.DataFrame({"query_id": query, "g": np.full(len(query), key[1]), "vec_id": vec, "score": score})
 
     lists = asked.groupBy("block", "salt").cogroup(dealt.groupBy("block", "salt")).applyInPandas(products, schema)
-    # A number for each shard, its digits to the base fan_in being its way through the tree.
-    levels = max(1, math.ceil(math.log(max(2, n_shards), fan_in)))
-    lists = lists.withColumn("g", F.pmod(F.xxhash64("shard"), F.lit(fan_in**levels))).drop("shard")
+    # Each task's number, its digits to the base fan_in being its way through the tree.
+    levels = max(1, math.ceil(math.log(max(2, salts), fan_in)))
     for level in range(levels - 1, 0, -1):
         lists = _merged(lists.withColumn("g", F.pmod("g", F.lit(fan_in**level))), k, "g").drop("rank")
     return _merged(lists.drop("g"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
