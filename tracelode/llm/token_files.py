@@ -140,7 +140,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         if names:
             yield flush()
 
-    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    # Rows of one id, or without one, spread by their texts, so they are no single task's.
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", F.xxhash64("text"))
     rows.mapInArrow(write, FILE).write.parquet(folder)
 
 
