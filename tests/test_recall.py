@@ -249,3 +249,18 @@ def test_first_rows_against_a_sort():
         rows, columns = rows[first], columns[first]
         expected = {(q, x[1]) for q in range(3) for p in set(part) for x in sorted((-scores[i, q], ids[i]) for i in range(n) if part[i] == p and scores[i, q] > 0)[:k]}
         assert {(int(q), ids[i]) for i, q in zip(rows, columns, strict=True)} == expected and len(rows) == len(expected)
+
+
+def test_sidecar_lists_what_the_budget_left_out(spark):
+    memories = spark.createDataFrame([memory("a", i, f"alpha word{i} " + "long " * 30) for i in range(4)], MEMORY)
+    queries = spark.createDataFrame([(1, "alpha"), (2, "nothing like it")], "query_id long, query string")
+    found = recall.hybrid(memories, queries, 4, 2.0)
+    lines = recall.snippets(found.where("admitted").select("query_id", "memory_id", "found").join(memories.select("memory_id", "content"), "memory_id").join(queries, "query_id"))
+    heads = found.where("admitted").select("query_id", "memory_id", "rank").join(memories.select("memory_id", "title"), "memory_id").withColumn("footer", F.lit("x\n"))
+    contexts = recall.context(lines.join(heads, ["query_id", "memory_id"]), queries, 220)
+    rows = {x.query_id: x for x in recall.sidecar(queries, found, "p", 4, contexts, 220).collect()}
+    one = rows[1]
+    assert len(one.ranked) == one.n_admitted == 4 and 0 < len(one.context.rendered_ids) < 4 and one.context.token_count <= 220
+    left = {x.memory_id for x in one.ranked} - set(one.context.rendered_ids)
+    assert {(x.memory_id, x.reason) for x in one.omissions} == {(m, "token_budget") for m in left} and one.freshness is None
+    assert rows[2].outcome == "abstained" and rows[2].ranked == [] and rows[2].context.rendered_ids == []

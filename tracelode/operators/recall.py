@@ -351,6 +351,37 @@ def admission_trace(admitted: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.select("query_id", F.coalesce("n_admitted", F.lit(0)).alias("n_admitted"), F.when(F.coalesce("n_admitted", F.lit(0)) > 0, "admitted").otherwise("abstained").alias("outcome"), reason.alias("reason"), "max_vector_score")
 
 
+def sidecar(queries: DataFrame, found: DataFrame, profile: str, limit: int, contexts: DataFrame | None = None, token_limit: int | None = None, cursors: DataFrame | None = None) -> DataFrame:
+    """One record of each recall beside its context: query_id, query, profile, limit, ranked, omissions, lexical_candidates, vector_candidates, n_admitted, outcome, reason, max_vector_score, context, freshness.
+
+    queries: query_id, query, and repo_key where cursors are given; found: what hybrid gives; contexts:
+    what context gives; cursors: repo_key, source_cursor, index_cursor, semantic_state. ranked holds the
+    admitted in order; omissions the others with their reason, and those that the token budget
+    left out of the context. All lists are bounded by the candidate cap. freshness is
+    semantic_pending while extraction of the repository isn't complete, null without cursors.
+    """
+    entry = F.struct(F.col("rank"), "memory_id", "memory_type", "score", "sources", F.when(F.size("sources") > 0, "relevant_candidate").otherwise("pinned_work_state").alias("admission"))
+    lists = found.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("admitted"), entry))).alias("ranked"), F.array_sort(F.collect_list(F.when(~F.col("admitted"), F.struct("memory_id", F.col("omission").alias("reason"))))).alias("omitted"),
+        F.count_if(F.array_contains("sources", "lexical")).alias("lexical_candidates"), F.count_if(F.array_contains("sources", "vector")).alias("vector_candidates"))
+    rows = queries.join(lists, "query_id", "left").join(admission_trace(found, queries), "query_id")
+    empty = lambda c: F.coalesce(c, F.array().cast(lists.schema[c].dataType))
+    rows = rows.withColumns({c: empty(c) for c in ("ranked", "omitted")})
+    own = F.struct(F.lit(None).cast("array<string>").alias("rendered_ids"), F.lit(None).cast("long").alias("omitted_snippets"), F.lit(None).cast("long").alias("token_count"), F.lit(None).cast("int").alias("token_limit"))
+    omissions = F.col("omitted")
+    if contexts is not None:
+        rows = rows.join(contexts, "query_id", "left")
+        own = F.struct("rendered_ids", "omitted_snippets", F.col("token_count").cast("long").alias("token_count"), F.lit(token_limit).cast("int").alias("token_limit"))
+        omissions = F.concat("omitted", F.transform(F.coalesce("omitted_ids", F.array().cast("array<string>")), lambda x: F.struct(x.alias("memory_id"), F.lit("token_budget").alias("reason"))))
+    fresh = F.lit(None).cast("string")
+    if cursors is not None:
+        rows = rows.join(cursors.select("repo_key", "source_cursor", "index_cursor", "semantic_state"), "repo_key", "left")
+        fresh = F.when(F.col("semantic_state") == "complete", "fresh").otherwise("semantic_pending")
+    return rows.select(
+        "query_id", "query", F.lit(profile).alias("profile"), F.lit(limit).alias("limit"), "ranked", omissions.alias("omissions"), F.coalesce("lexical_candidates", F.lit(0)).alias("lexical_candidates"),
+        F.coalesce("vector_candidates", F.lit(0)).alias("vector_candidates"), "n_admitted", "outcome", "reason", "max_vector_score", own.alias("context"), *(["source_cursor", "index_cursor"] if cursors is not None else []), fresh.alias("freshness"))
+
+
 def snippets(admitted: DataFrame, most: int = SNIPPETS) -> DataFrame:
     """The best lines of each admitted memory: query_id, memory_id, document_id, text, snippet_score.
 
@@ -376,7 +407,7 @@ def context(found: DataFrame, queries: DataFrame, token_limit: int, most: int =
     found: query_id, rank, memory_id, title, footer (the memory's closing lines), document_id,
     text, snippet_score. The most best snippets are tried in order; one that doesn't fit is
     left out and the next is tried. A memory's heading and footer count with its first snippet.
-    Gives query_id, markdown, token_count, rendered_ids, omitted_snippets.
+    Gives query_id, markdown, token_count, rendered_ids, omitted_snippets, and omitted_ids: memories of which no snippet fits.
     """
     header = F.concat(F.lit("# Recall Context\n\nTask: "), F.col("query"))
     asked = queries.select("query_id", F.when(C.tokens_estimate(header) + 1 > token_limit, C.byte_cut(header, 2 * token_limit - 2)).otherwise(header).alias("header")).withColumn("header", F.concat("header", F.lit("\n")))
@@ -402,7 +433,8 @@ def context(found: DataFrame, queries: DataFrame, token_limit: int, most: int =
     text = F.concat("header", F.coalesce(F.array_join(body, ""), F.lit("")))
     packed = packed.withColumn("markdown", F.when((F.size("f.ranks") == 0) & (C.tokens_estimate(F.concat(text, empty)) <= token_limit), F.concat(text, empty)).otherwise(text))
     ids = F.transform(ranks, lambda r: first(F.filter(F.col("c"), lambda s: s["rank"] == r))["memory_id"])
-    return packed.select("query_id", "markdown", C.tokens_estimate(F.col("markdown")).alias("token_count"), F.coalesce(ids, F.array()).alias("rendered_ids"), (F.size(F.coalesce("s", F.array())) - F.size("f.taken")).cast("long").alias("omitted_snippets"))
+    return packed.select("query_id", "markdown", C.tokens_estimate(F.col("markdown")).alias("token_count"), F.coalesce(ids, F.array()).alias("rendered_ids"), (F.size(F.coalesce("s", F.array())) - F.size("f.taken")).cast("long").alias("omitted_snippets"),
+        F.coalesce(F.array_sort(F.array_except(F.transform("s", lambda s: s["memory_id"]), F.coalesce(ids, F.array()))), F.array()).alias("omitted_ids"))
 
 
 def hybrid(memories: DataFrame, queries: DataFrame, limit: int, threshold: float, dimension: int = DIMENSION, pins: DataFrame | None = None, rerank=None, by_repository: bool = False, embedder: Embedder | None = None, index=None) -> DataFrame:

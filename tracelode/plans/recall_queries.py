@@ -337,3 +337,19 @@ def job05_rebuild(spark: SparkSession, d: str) -> DataFrame:
     first = store.rebuild(rows.where("repo_key <> 'de' or doc_id % 11 <> 0")).withColumn("recall_of_all", F.lit(gate()))
     second = store.rebuild(rows).withColumn("recall_of_all", F.lit(gate()))
     return first.unionByName(second).drop("current")
+
+
+@query(f"""
+    WITH {ALL_SQL}
+    SELECT item_id AS query_id, coalesce(string_agg(memory_id || ':' || memory_type, ',' ORDER BY rank) FILTER (WHERE admitted), '') AS ranked, coalesce(string_agg(memory_id || ':' || omission, ',' ORDER BY memory_id) FILTER (WHERE memory_id IS NOT NULL AND NOT admitted), '') AS omissions,
+           count(*) FILTER (WHERE contains(sources, 'lexical')) AS lexical_candidates, count(*) FILTER (WHERE contains(sources, 'vector')) AS vector_candidates,
+           CASE WHEN count(*) FILTER (WHERE admitted) > 0 THEN 'admitted' ELSE 'abstained' END AS outcome, CASE item_id % 3 WHEN 0 THEN 'fresh' ELSE 'semantic_pending' END AS freshness
+    FROM benchmark LEFT JOIN final ON query_id = item_id GROUP BY item_id
+""")
+def rec17_sidecar(spark: SparkSession, d: str) -> DataFrame:
+    """The record beside each recall, of repositories of which one in three is up to date."""
+    queries = asked(spark, d).withColumn("repo_key", (F.col("query_id") % 3).cast("string"))
+    cursors = spark.createDataFrame([("0", 7, 7, "complete"), ("1", 7, 5, "pending")], "repo_key string, source_cursor long, index_cursor long, semantic_state string")
+    rows = recall.sidecar(queries, recalled(spark, d), "hashing-256", LIMIT, cursors=cursors)
+    text = lambda name, a, b: F.array_join(F.transform(name, lambda x: F.concat_ws(":", x[a], x[b])), ",").alias(name)
+    return rows.select("query_id", text("ranked", "memory_id", "memory_type"), text("omissions", "memory_id", "reason"), "lexical_candidates", "vector_candidates", "outcome", "freshness")
