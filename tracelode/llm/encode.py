@@ -171,11 +171,19 @@ def encoder(path: str, words: bool) -> Encoder:
 
 
 def release() -> None:
-    """Gives up what this worker's encoders keep: for steps that need the memory and no ids."""
+    """Gives up what this worker's encoders keep, and returns memory that earlier tasks freed to the system: for steps that need the memory and no ids."""
+    import ctypes
+
+    import pyarrow as pa
+
     for e in _encoders.values():
         for known in (e.inner, e.first):
             known.clear()
             known.old = {}
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def tokenizer_path(name: str, path: str | None = None) -> str:

@@ -20,6 +20,8 @@ WORDS = 5
 KEYS = 10
 ROWS = 3
 PERCENT = 85
+#: Bits by which members of one bucket are told apart before their texts meet.
+BITS = 2048
 #: Classes up to this many are broadcast to fetch their texts (about 40 MB); beyond, they are fetched by a shuffled join.
 BROADCAST_ROWS = 500_000
 
@@ -92,6 +94,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, words:
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
 
     def compare(batches):
+        encode.release()
         last, last_set = None, None
         for batch in batches:
             (a, a_at), (b, b_at) = texthash.raw(batch.column(2)), texthash.raw(batch.column(3))
@@ -154,6 +157,7 @@ def _same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
 def private_counts(texts: DataFrame, words: int = WORDS) -> DataFrame:
     """(uid, own): how many of a text's shingles no other of the texts has."""
     def each(batches):
+        encode.release()
         for batch in batches:
             data, at = texthash.raw(batch.column(1))
             ids = batch.column(0).to_numpy()
@@ -171,6 +175,28 @@ def private_counts(texts: DataFrame, words: int = WORDS) -> DataFrame:
     return texts.select("uid").join(own, "uid", "left").select("uid", F.coalesce("own", F.lit(0)).alias("own"))
 
 
+def set_bits(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(uid, bits): BITS bits of a text, of which its shingles' hashes set one each."""
+    def each(batches):
+        for batch in batches:
+            data, at = texthash.raw(batch.column(1))
+            found = np.zeros((batch.num_rows, BITS), bool)
+            for i in range(batch.num_rows):
+                found[i, (shingle_set(data[at[i] : at[i + 1]], words) % np.uint64(BITS)).astype(np.int64)] = True
+            longs = np.packbits(found, axis=1).view(np.int64)
+            ends = pa.array(np.arange(0, longs.size + 1, longs.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(longs.reshape(-1)))], names=["uid", "bits"])
+
+    return texts.select("uid", "text").mapInArrow(each, "uid long, bits array<long>")
+
+
+def bits_may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sets of sizes n with bits can reach the threshold: a bit that only one of them has is an element that the other lacks."""
+    lost = lambda x, y: F.aggregate(F.zip_with(f"{x}_bits", f"{y}_bits", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, n: s + n)
+    most = F.least(F.col(f"{a}_n") - lost(a, b), F.col(f"{b}_n") - lost(b, a))
+    return 100 * most >= percent * (F.col(f"{a}_n") + F.col(f"{b}_n") - most)
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
     """Whether sets of sizes n with own elements that no other set has can reach the threshold.
 
@@ -225,7 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keys: int = KEYS, r
     more = _compare(second.join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, percent, words)
     checked = checked.union(more)
     component = components(checked.where("linked").select("a", "b").union(same))
-    late = stored(_late(buckets, component, percent).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "late")
+    late = stored(_late(buckets, component, texts, percent, words).join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "late")
     if not late.isEmpty():
         checked = checked.union(_compare(late, texts, percent, words))
         component = components(checked.where("linked").select("a", "b").union(same))
@@ -258,8 +284,12 @@ def _between(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
 
 
-def _late(buckets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a smaller, of bucket members in different components that may link, one of them outside the leader's component."""
+def _late(buckets: DataFrame, component: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Pairs (a, b), a smaller, of bucket members in different components that may link, one of them outside the leader's component.
+
+    Members of a large group of texts that differ too much to link share buckets by their common
+    part. They are told apart by bits of their sets, so that of such a group hardly a pair is made.
+    """
     of = lambda name, column: component.select(F.col("node").alias(name), F.col("component").alias(column))
     rows = buckets.select("key", "rep", "n", "own", F.col("lead.id").alias("lead")).join(of("rep", "in"), "rep", "left").join(of("lead", "lead_in"), "lead", "left")
     rows = stored(rows.select("key", "rep", "n", "own", F.coalesce("in", "rep").alias("component"), F.coalesce("lead_in", "lead").alias("lead")), "members")
@@ -267,11 +297,15 @@ def _late(buckets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     # The size that a partner may have at most, given a's own shingles, is checked against the bucket's smallest first.
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
     free = F.col("n") - F.col("own")
-    outside = outside.join(least, "key").where(100 * free >= percent * (F.col("n") + F.col("least") - free))
+    outside = stored(outside.join(least, "key").where(100 * free >= percent * (F.col("n") + F.col("least") - free)), "outside")
+    met = stored(rows.join(outside.select("key").distinct(), "key", "left_semi"), "met")
+    bits = stored(set_bits(texts.join(met.select(F.col("rep").alias("uid")).distinct(), "uid", "left_semi"), words), "bits")
     # A pair that shares several tables is made in the first of them alone; a class has keys squared tables at most.
-    every = rows.groupBy("rep").agg(F.collect_set("key").alias("tables"))
-    a = outside.join(every, "rep").select("key", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("own").alias("a_own"), F.col("component").alias("a_component"), F.col("tables").alias("a_tables"))
-    b = rows.join(every, "rep").select("key", F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("own").alias("b_own"), F.col("component").alias("b_component"), F.col("tables").alias("b_tables"))
+    every = rows.groupBy("rep").agg(F.collect_set("key").alias("tables")).join(bits.withColumnRenamed("uid", "rep"), "rep")
+    side = lambda df, x, *more: df.join(every, "rep").select("key", F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("own").alias(f"{x}_own"), F.col("component").alias(f"{x}_component"), F.col("tables").alias(f"{x}_tables"), F.col("bits").alias(f"{x}_bits"), *more)
     once = F.array_min(F.array_intersect("a_tables", "b_tables")) == F.col("key")
-    pairs = a.join(b, "key").where((F.col("a_component") != F.col("b_component")) & may_link("a", "b", percent) & once)
+    # Two that are both outside meet once: the one that can't link with any was left out of a's side already.
+    ordered = (F.col("a") < F.col("b")) | ~F.col("b_outside")
+    pairs = side(outside, "a").join(side(met, "b", (F.col("component") != F.col("lead")).alias("b_outside")), "key")
+    pairs = pairs.where((F.col("a_component") != F.col("b_component")) & ordered & may_link("a", "b", percent) & bits_may_link("a", "b", percent) & once)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
