@@ -170,20 +170,25 @@ def encoder(path: str, words: bool) -> Encoder:
     return _encoders[path, words]
 
 
-def release() -> None:
-    """Gives up what this worker's encoders keep, and returns memory that earlier tasks freed to the system: for steps that need the memory and no ids."""
+def trim() -> None:
+    """Returns memory that earlier steps of this worker freed to the system."""
     import ctypes
 
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
+def release() -> None:
+    """Gives up what this worker's encoders keep: for steps that need the memory and no ids."""
     for e in _encoders.values():
         for known in (e.inner, e.first):
             known.clear()
             known.old = {}
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    trim()
 
 
 def tokenizer_path(name: str, path: str | None = None) -> str:

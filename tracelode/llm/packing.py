@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.llm.encode import encoder, tokenizer_path
+from tracelode.llm.encode import encoder, tokenizer_path, trim
 from tracelode.llm.texthash import raw
 
 TOKENS = 2048
@@ -136,6 +136,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end: int = END
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        trim()
         sequence = TaskContext.get().partitionId() << 32
         encode = encoder(path, words=True)
         tail = np.array([end], "<u4").tobytes()
