@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import gam, mixing, neardup, packing
-from tracelode.llm.common import fresh, stored, stored_result
+from tracelode.llm.common import BATCH_BYTES, fresh, stored, stored_result
 
 #: Of the near-duplicate stage: the similarity from which documents are copies, and the keys of each of its two collections.
 PERCENT = 80
 KEYS = 13
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """From here on this session sends batches of a few MB to Python workers, as a batch of texts is held several times over on its way."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject, with all their columns.
 
@@ -23,6 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     have no id, are scored each by their text. An empty table stays empty; columns beside doc_id
     and text are carried, whatever their names.
     """
+    _small_batches(spark)
     model = gam.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(gam.score_column(model)(F.col("text")) >= gam.THRESHOLD)
 
@@ -83,6 +89,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lost; repeated rows are packed each. An empty table gives no pieces. Columns beside doc_id
     and text are not read.
     """
+    _small_batches(spark)
     return packing.pack_documents(docs, with_ids=True)
 
 
