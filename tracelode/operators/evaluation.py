@@ -52,6 +52,41 @@ def retrieval_gate(metrics: DataFrame, p95_ms: Column) -> DataFrame:
     return rows.withColumn("passed", F.col("recall_ok") & F.col("latency_ok"))
 
 
+def gate_outcomes(queries: DataFrame, relevant: DataFrame, found: DataFrame, sources: DataFrame) -> DataFrame:
+    """What recall gave each query of a gate run, those with no result too.
+
+    queries: query_id, query_kind (positive or hard_negative); relevant: query_id, memory_id; found:
+    recall's rows; sources: memory_id, status, source_uri, content_sha256 of what is stored. Gives
+    query_id, query_kind, injected (admitted memories), hits, recalled, precision (hits over
+    injected, 0 without any), provenance_covered (every injected one has an address and a digest) and
+    stale (injected ones that aren't active; one that isn't stored is neither active nor covered).
+    """
+    given = found.where("admitted").select("query_id", "memory_id")
+    right = relevant.select("query_id", "memory_id").distinct().withColumn("_hit", F.lit(True))
+    rows = given.join(right, ["query_id", "memory_id"], "left").join(sources.select("memory_id", F.struct("status", "source_uri", "content_sha256").alias("_s")), "memory_id", "left")
+    covered = (F.coalesce(F.col("_s.source_uri"), F.lit("")) != "") & (F.coalesce(F.col("_s.content_sha256"), F.lit("")) != "")
+    each = rows.groupBy("query_id").agg(
+        F.count("*").alias("injected"), F.count_if(F.coalesce("_hit", F.lit(False))).alias("hits"), F.every(covered).alias("provenance_covered"), F.count_if(~F.col("_s.status").eqNullSafe("active")).alias("stale"))
+    rows = queries.select("query_id", "query_kind").join(each, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("injected", "hits", "stale")})
+    return rows.select(
+        "query_id", "query_kind", "injected", "hits", (F.col("hits") > 0).alias("recalled"), F.round(F.coalesce(F.try_divide("hits", "injected"), F.lit(0.0)), DIGITS).alias("precision"),
+        F.coalesce("provenance_covered", F.lit(True)).alias("provenance_covered"), "stale")
+
+
+def gate_report(outcomes: DataFrame) -> DataFrame:
+    """One row over a gate run's outcomes: counts, means, and each rule as a boolean; a mean over no query is null and its rule false."""
+    positive, negative = F.col("query_kind") == "positive", F.col("query_kind") == "hard_negative"
+    mean = lambda kind, value: F.round(F.avg(F.when(kind, value.cast("double"))), DIGITS)
+    rows = outcomes.agg(
+        F.count("*").alias("queries"), F.count_if(positive).alias("positives"), F.count_if(negative).alias("hard_negatives"), mean(positive, F.col("recalled")).alias("recall_at_limit"), mean(positive, F.col("precision")).alias("precision_at_limit"),
+        mean(positive, F.col("provenance_covered")).alias("provenance_coverage"), F.coalesce(F.sum(F.when(positive, F.col("stale"))), F.lit(0)).alias("stale_leakage"),
+        mean(negative, F.col("injected") > 0).alias("any_injection_rate"), mean(negative, F.col("injected")).alias("mean_irrelevant"))
+    rules = {
+        "recall_ok": F.col("recall_at_limit") >= 0.9, "provenance_ok": F.col("provenance_coverage") == 1, "stale_ok": F.col("stale_leakage") == 0, "injection_ok": F.col("any_injection_rate") <= 0.05, "irrelevant_ok": F.col("mean_irrelevant") <= 0.05}
+    rows = rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in rules.items()})
+    return rows.withColumn("passed", F.forall(F.array(*rules), lambda x: x))
+
+
 def arms(runs: DataFrame) -> DataFrame:
     """Per arm: planned, passed, failed and infrastructure failures, pass rate, means and sums of tokens where both are known."""
     done = F.col("outcome").isin("passed", "failed")

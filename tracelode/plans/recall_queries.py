@@ -353,3 +353,52 @@ def rec17_sidecar(spark: SparkSession, d: str) -> DataFrame:
     rows = recall.sidecar(queries, recalled(spark, d), "hashing-256", LIMIT, cursors=cursors)
     text = lambda name, a, b: F.array_join(F.transform(name, lambda x: F.concat_ws(":", x[a], x[b])), ",").alias(name)
     return rows.select("query_id", text("ranked", "memory_id", "memory_type"), text("omissions", "memory_id", "reason"), "lexical_candidates", "vector_candidates", "outcome", "freshness")
+
+
+#: Titles of every 25th memory ask for the memories of that title; the next one's title as digits and letters that no memory has asks for nothing.
+GATE_SQL = ALL_SQL.replace("FROM benchmark", "FROM gate_q").replace("act AS (SELECT * FROM mem", """gate_q AS (
+        SELECT doc_id AS item_id, CASE WHEN doc_id % 25 = 0 THEN title ELSE 'zq' || md5(title) END AS text, CASE WHEN doc_id % 25 = 0 THEN 'positive' ELSE 'hard_negative' END AS query_kind, title FROM mem WHERE status = 'active' AND doc_id % 25 IN (0, 1)),
+    act AS (SELECT * FROM mem""") + """,
+    inj AS (SELECT f.query_id, m.title, m.doc_id % 37 <> 5 AS covered FROM final f JOIN act m USING (memory_id) WHERE admitted),
+    gate AS (
+        SELECT q.item_id AS query_id, any_value(query_kind) AS query_kind, count(i.query_id) AS injected, count(*) FILTER (WHERE query_kind = 'positive' AND i.title = q.title) AS hits, coalesce(bool_and(covered), TRUE) AS provenance_covered
+        FROM gate_q q LEFT JOIN inj i ON i.query_id = q.item_id GROUP BY q.item_id),
+    gates AS (SELECT *, hits > 0 AS recalled, round(CASE WHEN injected > 0 THEN hits / injected ELSE 0 END, 6) AS "precision" FROM gate)
+"""
+
+
+def gate_run(spark: SparkSession, d: str) -> DataFrame:
+    from tracelode.operators.evaluation import gate_outcomes
+    from tracelode.sources import truth
+
+    rows = memories(spark, d)
+    active = rows.where("status = 'active'")
+    n = F.col("doc_id") % 25
+    asks = active.where(n <= 1).select(F.col("doc_id").alias("query_id"), F.when(n == 0, F.col("title")).otherwise(F.concat(F.lit("zq"), F.md5(F.encode("title", "UTF-8")))).alias("query"), F.when(n == 0, "positive").otherwise("hard_negative").alias("query_kind"), "title")
+    relevant = asks.where("query_kind = 'positive'").select("query_id", "title").join(active.select("memory_id", "title"), "title")
+    at = truth.MEMORY.path(F.col("repo_key"), F.col("memory_id"), F.col("memory_type"))
+    sources = rows.select("memory_id", "status", F.when(F.col("doc_id") % 37 != 5, at).alias("source_uri"), F.sha2("content", 256).alias("content_sha256"))
+    return gate_outcomes(asks, relevant, recall.hybrid(rows, asks.select("query_id", "query"), LIMIT, THRESHOLD), sources)
+
+
+@query(f"""WITH {GATE_SQL} SELECT query_id, query_kind, injected, hits, recalled, "precision", provenance_covered, CAST(0 AS BIGINT) AS stale FROM gates""")
+def evl01_gate_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Each query of a retrieval gate run: titles that memories have, and hard negatives that should inject nothing; some memories' files are missing."""
+    return gate_run(spark, d).withColumn("stale", F.col("stale").cast("long"))
+
+
+@query(f"""
+    WITH {GATE_SQL},
+    a AS (
+        SELECT count(*) AS queries, count(*) FILTER (WHERE query_kind = 'positive') AS positives, count(*) FILTER (WHERE query_kind <> 'positive') AS hard_negatives, round(avg(CAST(recalled AS INTEGER)) FILTER (WHERE query_kind = 'positive'), 6) AS recall_at_limit,
+               round(avg("precision") FILTER (WHERE query_kind = 'positive'), 6) AS precision_at_limit, round(avg(CAST(provenance_covered AS INTEGER)) FILTER (WHERE query_kind = 'positive'), 6) AS provenance_coverage, CAST(0 AS BIGINT) AS stale_leakage,
+               round(avg(CAST(injected > 0 AS INTEGER)) FILTER (WHERE query_kind <> 'positive'), 6) AS any_injection_rate, round(avg(injected) FILTER (WHERE query_kind <> 'positive'), 6) AS mean_irrelevant FROM gates),
+    r AS (
+        SELECT *, coalesce(recall_at_limit >= 0.9, FALSE) AS recall_ok, coalesce(provenance_coverage = 1, FALSE) AS provenance_ok, stale_leakage = 0 AS stale_ok, coalesce(any_injection_rate <= 0.05, FALSE) AS injection_ok, coalesce(mean_irrelevant <= 0.05, FALSE) AS irrelevant_ok FROM a)
+    SELECT *, recall_ok AND provenance_ok AND stale_ok AND injection_ok AND irrelevant_ok AS passed FROM r
+""")
+def evl01_gate_report(spark: SparkSession, d: str) -> DataFrame:
+    """The gate run's rules over all its queries."""
+    from tracelode.operators.evaluation import gate_report
+
+    return gate_report(gate_run(spark, d))
