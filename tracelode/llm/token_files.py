@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracelode.llm.common import spread
-from tracelode.llm.encode import encoder, tokenizer_path
+from tracelode.llm.encode import SLICE, encoder, tokenizer_path
 from tracelode.llm.texthash import raw
 
 MAGIC = b"DAC1"
@@ -128,8 +128,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
         for batch in batches:
             data, at = raw(batch.column(1))
-            for i in range(0, batch.num_rows, 64):
-                until = min(i + 64, batch.num_rows)
+            i = 0
+            while i < batch.num_rows:
+                # Texts of about a slice together, so that the chunks that they share are looked up once.
+                until = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, side="right")) - 1)
                 texts = [data[at[j] : at[j + 1]].tobytes() for j in range(i, until)]
                 for name, ids in zip(batch.column(0)[i:until].to_pylist(), encode.ids(texts), strict=True):
                     names.append(name)
@@ -137,6 +139,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                     size += len(held[-1])
                     if size >= segment_ids:
                         yield flush()
+                i = until
         if names:
             yield flush()
 
