@@ -190,7 +190,8 @@ def prefixes_at(records: DataFrame, ends: DataFrame) -> DataFrame:
             at = pa.array([i for i, _ in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([h for _, h in out], pa.string())], names=["key", "place", "prefix_sha256"])
 
-    # An end stands before the record of its place.
+    # An end stands before the record of its place. Keys are dealt out by their hash: where both sides are grouped by key already, Spark 4.1
+    # leaves out a repartition by the key itself, and then coalesces the sides' partitions each in its own way.
     rows = rows.where("place is not null and digest is not null").withColumn("place", F.col("place").cast("long"))
-    ordered = rows.repartition("key").sortWithinPartitions("key", "place", "record", "digest")
+    ordered = rows.repartition(F.xxhash64("key")).sortWithinPartitions("key", "place", "record", "digest")
     return ordered.mapInArrow(fold, f"key {kind}, place long, prefix_sha256 string")
