@@ -93,3 +93,19 @@ def test_stream_reads_what_was_appended(spark, tmp_path):
     write(tmp_path / "in/a.jsonl", b"short\n")
     with pytest.raises(Exception, match="source_truncated"):
         run()
+
+
+def test_tasks_grow_with_bytes_and_not_with_files(spark, tmp_path):
+    for i in range(300):
+        write(tmp_path / f"f{i}.jsonl", b'{"n": 1}\n{"n": 2}\n')
+    folder = f"file://{tmp_path}"
+    tasks = source.LineReader(folder, ".jsonl", source.RANGE_BYTES).partitions()
+    assert len(tasks) == 1 and sum(len(t.ranges) for t in tasks) == 300
+    stream = source.AppendReader(folder, ".jsonl", source.RANGE_BYTES)
+    assert len(stream.partitions({}, stream.latestOffset())) == 1
+    # A file of one range is read once.
+    assert [t.ranges for t in source.LineReader(folder, ".jsonl", source.RANGE_BYTES, True).partitions()] == [[]]
+    rows = source.scan(spark, folder)
+    assert rows.rdd.getNumPartitions() == 1 and rows.count() == 600 and rows.groupBy("source_path").count().where("count = 2").count() == 300
+    large = [source.LineRange("a", n, n + source.TASK_BYTES, True) for n in range(3)]
+    assert [len(t.ranges) for t in source._tasks(large)] == [1, 1, 1]

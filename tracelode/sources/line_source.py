@@ -2,7 +2,8 @@
 
 In a batch, files are cut into byte ranges, and a line belongs to the range that holds its
 first byte. In a stream, an offset holds for each file the end of its last whole line, so a
-batch reads what was appended since and nothing before. ``read_suffixes`` does the same for a
+batch reads what was appended since and nothing before. A task reads many small ranges, so
+tasks grow with bytes and not with files. ``read_suffixes`` does the same for a
 table of cursors, which Spark deals out, and goes on with each source's index and prefix hash.
 """
 
@@ -11,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +29,32 @@ from tracelode.sources.transcripts import SESSION_BYTES, SESSION_EVENTS
 FORMAT = "transcript_lines"
 SCHEMA = "source_path string, range_start long, place long, start long, stop long, line string, event_sha256 string"
 RANGE_BYTES = 128 << 20
+#: Bytes of the ranges of one task, where a file's opening counts as so many too.
+TASK_BYTES, OPEN_BYTES = 32 << 20, 64 << 10
+#: What a batch of rows holds at most before it is handed on.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
+#: Files whose last line end the driver looks for at a time.
+OPEN_FILES = 32
 CHUNK = 1 << 20
 BLANK = b" \t\r\x0b\x0c"
 SEED = hashlib.sha256(PREFIX_SEED.encode()).hexdigest()
 SUFFIX = "source_path string, event_index long, start long, stop long, line string, event_sha256 string, prefix_sha256 string, violation string"
 
 
+@cache
+def _root(address: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(address)
+
+
 def filesystem(path: str):
     """(file system, its path) of a path or an address that pyarrow can open."""
     from pyarrow import fs
 
+    local = re.match(r"^file:/+", path)
+    if local and "%" not in path:
+        return _root("file:///")[0], "/" + path[local.end():]
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
@@ -87,24 +106,37 @@ class LineRange(InputPartition):
     aligned: bool
 
 
-def _read(part: LineRange) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), pa.string()]
-    rows, held = [], 0
+@dataclass
+class LineRanges(InputPartition):
+    ranges: list[LineRange]
+
+
+def _batches(rows: Iterator[tuple], line: int, kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches, each of at most so many rows or so many bytes of lines and one line more."""
+    held, size = [], 0
 
     def batch():
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    for place, (start, stop, line) in enumerate(lines_between(part.path, part.start, part.stop, part.aligned)):
-        rows.append((part.path, part.start, place, start, stop, _text(line), hashlib.sha256(line).hexdigest()))
-        held += len(line)
-        if held > 4 << 20 or len(rows) >= 10_000:
+    for row in rows:
+        held.append(row)
+        size += len(row[line] or "")
+        if size > BATCH_BYTES or len(held) >= BATCH_ROWS:
             yield batch()
-            rows, held = [], 0
-    if rows:
+            held, size = [], 0
+    if held:
         yield batch()
 
 
+def _read(task: LineRanges) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), pa.string()]
+    rows = (
+        (part.path, part.start, place, start, stop, _text(line), hashlib.sha256(line).hexdigest())
+        for part in task.ranges for place, (start, stop, line) in enumerate(lines_between(part.path, part.start, part.stop, part.aligned)))
+    return _batches(rows, names.index("line"), kinds, names)
+
+
 def _files(folder: str, suffix: str) -> dict[str, int]:
     """Address and size of each file under a folder whose name ends so."""
     from pyarrow import fs
@@ -120,18 +152,31 @@ def _cut(path: str, start: int, stop: int, size: int, aligned: bool) -> list[Lin
     return [LineRange(path, a, min(a + size, stop), aligned and a == start) for a in range(start, stop, size)]
 
 
+def _tasks(ranges: list[LineRange]) -> list[LineRanges]:
+    """Ranges dealt out to tasks in their order, each of at most TASK_BYTES or one range."""
+    out, held = [LineRanges([])], 0
+    for r in ranges:
+        weight = r.stop - r.start + OPEN_BYTES
+        if out[-1].ranges and held + weight > TASK_BYTES:
+            out.append(LineRanges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += weight
+    return out
+
+
 class LineReader(DataSourceReader):
-    """All lines under a folder, by byte ranges."""
+    """All lines under a folder, by byte ranges; with ``cut`` only those of files of several ranges."""
 
-    def __init__(self, folder: str, suffix: str, size: int):
-        self.folder, self.suffix, self.size = folder, suffix, size
+    def __init__(self, folder: str, suffix: str, size: int, cut: bool = False):
+        self.folder, self.suffix, self.size, self.cut = folder, suffix, size, cut
 
     def partitions(self):
         files = _files(self.folder, self.suffix)
-        return [r for path, n in sorted(files.items()) for r in _cut(path, 0, n, self.size, True)] or [LineRange("", 0, 0, True)]
+        return _tasks([r for path, n in sorted(files.items()) if n > self.size or not self.cut for r in _cut(path, 0, n, self.size, True)])
 
     def read(self, partition):
-        return _read(partition) if partition.path else iter(())
+        return _read(partition)
 
 
 class AppendReader(DataSourceStreamReader):
@@ -148,14 +193,12 @@ class AppendReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        out = {}
-        for path, n in _files(self.folder, self.suffix).items():
-            size, end = self.seen.get(path, (0, 0))
-            if n != size:
-                end = self._last_end(path, end, n) if n > end else n
-                self.seen[path] = (n, end)
-            out[path] = end
-        return out
+        files = _files(self.folder, self.suffix)
+        changed = [(path, self.seen.get(path, (0, 0))[1], n) for path, n in files.items() if n != self.seen.get(path, (0, 0))[0]]
+        with ThreadPoolExecutor(OPEN_FILES) as pool:
+            ends = pool.map(lambda x: self._last_end(*x) if x[2] > x[1] else x[2], changed)
+            self.seen.update({path: (n, end) for (path, _, n), end in zip(changed, ends, strict=True)})
+        return {path: self.seen.get(path, (0, 0))[1] for path in files}
 
     def _last_end(self, path: str, low: int, high: int) -> int:
         """The byte after the last line end in a range, read backwards; low where there is none."""
@@ -177,14 +220,14 @@ class AppendReader(DataSourceStreamReader):
             if b < a:
                 raise ValueError(f"source_truncated: {path} has {b} bytes of lines, {a} were read")
             out += _cut(path, a, b, self.size, True)
-        return out or [LineRange("", 0, 0, True)]
+        return _tasks(out)
 
     def read(self, partition):
-        return _read(partition) if partition.path else iter(())
+        return _read(partition)
 
 
 class TranscriptLines(DataSource):
-    """Options: path (a folder), suffix (of file names, .jsonl), rangeBytes."""
+    """Options: path (a folder), suffix (of file names, .jsonl), rangeBytes, cut (in a batch: only files of several ranges)."""
 
     @classmethod
     def name(cls) -> str:
@@ -197,7 +240,7 @@ class TranscriptLines(DataSource):
         return self.options["path"], self.options.get("suffix", ".jsonl"), int(self.options.get("rangeBytes", RANGE_BYTES))
 
     def reader(self, schema):
-        return LineReader(*self._arguments())
+        return LineReader(*self._arguments(), self.options.get("cut", "false") == "true")
 
     def streamReader(self, schema):
         return AppendReader(*self._arguments())
@@ -206,15 +249,17 @@ class TranscriptLines(DataSource):
 def scan(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Lines of all transcripts under a folder: source_path, event_index, start, stop, line, event_sha256.
 
-    A line's index is its place in its range and the lines of the file's ranges before.
+    A line's index is its place in its range and the lines of the file's ranges before. Only
+    files of several ranges are read twice, to count these.
     """
     spark.dataSource.register(TranscriptLines)
-    rows = spark.read.format(FORMAT).option("rangeBytes", range_bytes).load(folder)
-    counts = rows.groupBy("source_path", "range_start").agg(F.count("*").alias("n"))
+    source = spark.read.format(FORMAT).option("rangeBytes", range_bytes)
+    rows, cut = source.load(folder), source.option("cut", "true").load(folder)
+    counts = cut.groupBy("source_path", "range_start").agg(F.count("*").alias("n"))
     # A file has a range for each so many bytes.
     before = Window.partitionBy("source_path").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("source_path", "range_start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    return rows.join(firsts, ["source_path", "range_start"]).select("source_path", (F.col("first") + F.col("place")).alias("event_index"), "start", "stop", "line", "event_sha256")
+    firsts = counts.select("source_path", "range_start", F.sum("n").over(before).alias("first")).where("first is not null")
+    return rows.join(firsts, ["source_path", "range_start"], "left").select("source_path", (F.coalesce("first", F.lit(0)) + F.col("place")).alias("event_index"), "start", "stop", "line", "event_sha256")
 
 
 def appended(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,12 +297,9 @@ def read_suffixes(cursors: DataFrame, most_bytes: int = SESSION_BYTES, most_even
         return [(path, index, byte, byte, None, None, prefix, fault)] if fault else found
 
     def read(batches):
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # One source at a time, which the limits bound.
-                rows = rows_of(*row)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        # One source at a time, which the limits bound.
+        rows = (found for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for found in rows_of(*row))
+        return _batches(rows, names.index("line"), kinds, names)
 
     known = cursors.select("source_path", F.col("byte").cast("long"), F.col("event_index").cast("long"), "prefix_sha256")
     return known.mapInArrow(read, SUFFIX)
@@ -273,10 +315,13 @@ def write_files(sessions: DataFrame) -> int:
     """Writes (source_path, content) as files of those addresses, each by the task that has it, over what is there; gives their number."""
     def write(batches):
         for batch in batches:
-            done = 0
+            done, made = 0, set()
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, name = filesystem(path)
-                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                folder = name.rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(name) as f:
                     f.write(content)
                 done += 1
