@@ -109,3 +109,12 @@ def test_tasks_grow_with_bytes_and_not_with_files(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 1 and rows.count() == 600 and rows.groupBy("source_path").count().where("count = 2").count() == 300
     large = [source.LineRange("a", n, n + source.TASK_BYTES, True) for n in range(3)]
     assert [len(t.ranges) for t in source._tasks(large)] == [1, 1, 1]
+
+
+def test_sources_are_dealt_out_however_small_their_cursors(spark, tmp_path):
+    for i in range(40):
+        write(tmp_path / f"f{i}.jsonl", b"{}\n" * 3)
+    one = cursor_rows(spark, [(f"file://{tmp_path}/f{i}.jsonl", 0, 0, None) for i in range(40)]).coalesce(1)
+    found = source.read_suffixes(one)
+    assert found.rdd.getNumPartitions() > 1
+    assert found.count() == 120

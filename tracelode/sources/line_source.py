@@ -302,7 +302,8 @@ def read_suffixes(cursors: DataFrame, most_bytes: int = SESSION_BYTES, most_even
         return _batches(rows, names.index("line"), kinds, names)
 
     known = cursors.select("source_path", F.col("byte").cast("long"), F.col("event_index").cast("long"), "prefix_sha256")
-    return known.mapInArrow(read, SUFFIX)
+    # A cursor is few bytes, what is read for it many: cursors are dealt out by their number.
+    return known.repartition(4 * cursors.sparkSession.sparkContext.defaultParallelism).mapInArrow(read, SUFFIX)
 
 
 def next_cursors(suffixes: DataFrame) -> DataFrame:
