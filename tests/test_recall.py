@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,38 @@ def test_sidecar_lists_what_the_budget_left_out(spark):
     left = {x.memory_id for x in one.ranked} - set(one.context.rendered_ids)
     assert {(x.memory_id, x.reason) for x in one.omissions} == {(m, "token_budget") for m in left} and one.freshness is None
     assert rows[2].outcome == "abstained" and rows[2].ranked == [] and rows[2].context.rendered_ids == []
+
+
+def test_scores_that_k_others_exceed_are_no_candidates():
+    bounds = recall.Bounds(3, 0.0)
+    high, low = np.linspace(1, 2, 100).reshape(50, 2), np.full((50, 2), 0.5)
+    high[7] = -np.inf
+    everything = [((), np.arange(50))]
+    row, column = bounds.candidates(0, everything, high)
+    assert sorted(zip(row.tolist(), column.tolist())) == [(r, c) for r in (47, 48, 49) for c in (0, 1)]
+    assert not len(bounds.candidates(0, everything, low)[0])
+    # Ties with the third stay, another block and another value of the parts have bounds of their own.
+    low[4] = high[47]
+    assert bounds.candidates(0, everything, low)[0].tolist() == [4, 4]
+    assert len(bounds.candidates(1, everything, low)[0]) == 100
+    halves = [(("a",), np.arange(25)), (("b",), np.arange(25, 50))]
+    assert sorted(set(bounds.candidates(0, halves, high)[0].tolist())) == [22, 23, 24, 47, 48, 49]
+    groups = recall.groups_of([pa.array(["b", "a", None, "b"]), pa.array([1, 1, 1, 1])], 4)
+    assert {key: rows.tolist() for key, rows in groups} == {("b", 1): [0, 3], ("a", 1): [1], (None, 1): [2]}
+
+
+def test_tokens_of_columns_are_those_of_texts(spark):
+    from tracelode.functions import columns, tokens
+
+    texts = ["", "One two-2", "ends here", "starts", None, "É Straße ÇA²", "日本 語x", "𝒜b 🎉 İstanbul", "\n\n", "naïve K", "a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i")
+    rows = df.select(tokens.lowered(F.col("t")).alias("low"), columns.words(F.col("t")).alias("w"), columns.terms(F.col("t")).alias("a")).collect()
+    column = pa.array(["left out", *(x.low for x in rows)]).slice(1)
+    for kept, name in ((tokens.letters(), "w"), (tokens.ASCII, "a")):
+        found, row = tokens.tokens(column, kept)
+        got = [[] for _ in rows]
+        for token, at in zip(found.to_pylist(), row, strict=True):
+            got[at].append(token)
+        assert got == [x[name] for x in rows]
+    batch = pa.RecordBatch.from_pydict({"i": range(5), "t": ["x", "y" * tokens.SLICE_BYTES, "z", "w", "v"]})
+    assert [x.num_rows for x in tokens.slices(batch, 2)] == [1, 1, 2, 1]
