@@ -119,3 +119,30 @@ def test_check_names(command, name):
 
 def test_nfc(spark):
     assert [x.t for x in spark.createDataFrame([("é",), ("plain",), (None,)], "t string").select(nfc(F.col("t")).alias("t")).collect()] == ["é", "plain", None]
+
+
+def test_requests_of_one_selection_meet_its_sources_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracelode.operators import state
+
+    met = []
+    whole = state._choices
+    monkeypatch.setattr(state, "_choices", lambda distinct, sources: (met.append(distinct.count()), whole(distinct, sources))[1])
+    sources = spark.createDataFrame([("r", i, f"f{i}", "already_imported" if i == 2 else "new") for i in range(4)], "repo_key string, source_id long, fingerprint string, import_state string")
+    chosen = {0: None, 1: [0, 2], 2: [2], 3: [0, 0], 4: [9], 5: []}
+    asks = spark.createDataFrame([(i, "r" if i % 7 else None, chosen[i % 6], i) for i in range(60)], "request_id long, repo_key string, selected array<long>, at_ms long")
+    previews = state.onboarding_preview(asks, sources, 500)
+    rows = {x.request_id: x for x in previews.collect()}
+    assert met == [12] and len(rows) == 60
+    kept = {0: ([0, 1, 3], "ready"), 1: ([0, 2], "ready"), 2: ([2], "ready"), 3: ([0], "invalid_selection"), 4: ([], "invalid_selection"), 5: ([], "nothing_selected")}
+    assert all((x.chosen, x.state) == kept[i % 6] for i, x in rows.items() if x.repo_key)
+    assert {x.state for i, x in rows.items() if not x.repo_key and i % 6 in (0, 5)} == {"nothing_selected"}
+    ready = [x.snapshot_id for x in rows.values() if x.state == "ready"]
+    assert len(set(ready)) == len(ready) == sum(i % 7 > 0 and i % 6 < 3 for i in rows)
+    consents = previews.select("request_id", F.coalesce("snapshot_id", F.lit("none")).alias("snapshot_id"), F.col("expires_ms").alias("at_ms"))
+    later = sources.withColumn("fingerprint", F.when(F.col("source_id") == 3, "other").otherwise(F.col("fingerprint")))
+    found = {x.request_id: (x.outcome, x.to_import) for x in state.onboarding_apply(consents, previews, later).collect()}
+    assert len(found) == 60 and met == [12, 3]
+    wanted = {0: ("snapshot_stale", []), 1: ("applied", [0]), 2: ("noop", []), 3: ("unknown_consent", []), 4: ("unknown_consent", []), 5: ("unknown_consent", [])}
+    assert all(found[i] == wanted[i % 6] for i, x in rows.items() if x.repo_key)

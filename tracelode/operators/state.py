@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions import columns as C
+from tracelode.functions.tables import small, stored
 
 #: The states of both queues.
 SEMANTIC_STATES = ("pending", "leased", "completed", "failed")
@@ -145,21 +146,39 @@ def onboarding_preview(requests: DataFrame, sources: DataFrame, ttl_ms: int) ->
     yet), at_ms; sources: repo_key, source_id, fingerprint, import_state. A selection that names a source
     twice or one of another repository is invalid_selection; one of nothing is nothing_selected. The
     snapshot is over the chosen sources as they are now, so any change of one of them shows.
-    A request chooses sources of one repository, whose number discovery limits.
+    Sources are met by each distinct selection of a repository, so requests that choose the same cost
+    no more than one; a selection has sources of one repository, whose number discovery limits.
     """
-    every = requests.where("selected is null").join(sources.where("import_state <> 'already_imported'"), "repo_key").select("request_id", "source_id", "fingerprint", "import_state")
-    named = requests.where("selected is not null").select("request_id", "repo_key", F.explode(F.array_distinct("selected")).alias("source_id"))
-    found = every.unionByName(named.join(sources, ["repo_key", "source_id"]).select("request_id", "source_id", "fingerprint", "import_state"))
-    marks = found.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "fingerprint", "import_state"))).alias("m"))
-    rows = requests.join(marks, "request_id", "left").withColumn("m", F.coalesce("m", F.array().cast(marks.schema["m"].dataType)))
-    wrong = F.coalesce(F.size("selected") != F.size("m"), F.lit(False))
-    state = F.when(wrong, "invalid_selection").when(F.size("m") == 0, "nothing_selected").otherwise("ready")
+    asked = requests.withColumn("_choice", _choice("repo_key", "selected"))
+    found = small(_choices(asked.select("repo_key", "_choice", "selected").distinct(), sources))
+    rows = asked.join(found, "_choice")
     expires = F.col("at_ms") + ttl_ms
-    snapshot = F.concat(F.lit("onb_"), F.sha2(C.canonical_json(expires_ms=expires, repo_key=F.col("repo_key"), sources=F.col("m")), 256))
-    rows = rows.select("request_id", "repo_key", F.transform("m", lambda x: x["source_id"]).alias("chosen"), state.alias("state"), snapshot.alias("snapshot_id"), expires.alias("expires_ms"))
+    rows = rows.select("request_id", "repo_key", "chosen", "state", _snapshot(expires, F.col("repo_key"), F.col("_sources")).alias("snapshot_id"), expires.alias("expires_ms"))
     return rows.withColumn("snapshot_id", F.when(F.col("state") == "ready", F.col("snapshot_id")))
 
 
+def _choice(repo: str, selected: str) -> Column:
+    """One text for a repository and a selection."""
+    return F.sha2(C.canonical_json(repo_key=F.col(repo), selected=F.col(selected)), 256)
+
+
+def _snapshot(expires: Column, repo: Column, sources: Column) -> Column:
+    return F.concat(F.lit("onb_"), F.sha2(C.canonical_json(expires_ms=expires, repo_key=repo, sources=sources), 256))
+
+
+def _choices(distinct: DataFrame, sources: DataFrame) -> DataFrame:
+    """(_choice, chosen, state, _sources) of distinct selections (repo_key, _choice, selected): _sources is a digest of the chosen sources as they are."""
+    every = distinct.where("selected is null").select("repo_key", "_choice").join(sources.where("import_state <> 'already_imported'"), "repo_key").select("_choice", "source_id", "fingerprint", "import_state")
+    named = distinct.where("selected is not null").select("repo_key", "_choice", F.explode(F.array_distinct("selected")).alias("source_id"))
+    found = every.unionByName(named.join(sources, ["repo_key", "source_id"]).select("_choice", "source_id", "fingerprint", "import_state"))
+    marks = found.groupBy("_choice").agg(F.array_sort(F.collect_list(F.struct("source_id", "fingerprint", "import_state"))).alias("m"))
+    rows = distinct.join(marks, "_choice", "left").withColumn("m", F.coalesce("m", F.array().cast(marks.schema["m"].dataType)))
+    wrong = F.coalesce(F.size("selected") != F.size("m"), F.lit(False))
+    state = F.when(wrong, "invalid_selection").when(F.size("m") == 0, "nothing_selected").otherwise("ready")
+    rows = rows.select("_choice", F.transform("m", lambda x: x["source_id"]).alias("chosen"), state.alias("state"), F.sha2(C.canonical_json(sources=F.col("m")), 256).alias("_sources"))
+    return stored(rows, "choices")
+
+
 def onboarding_apply(consents: DataFrame, previews: DataFrame, sources: DataFrame) -> DataFrame:
     """What becomes of consents (request_id, snapshot_id, at_ms) to previews: request_id, outcome, and to_import, the sources still to be read.
 
@@ -167,14 +186,17 @@ def onboarding_apply(consents: DataFrame, previews: DataFrame, sources: DataFram
     changed, came under another state or is gone), else noop where all are imported, or applied.
     A snapshot that was applied gives the same again, as sources imported meanwhile make it stale.
     """
-    known = previews.where("state = 'ready'").select("request_id", "repo_key", "chosen", "snapshot_id", "expires_ms")
-    rows = consents.join(known, ["request_id", "snapshot_id"], "left")
-    now = onboarding_preview(rows.where("chosen is not null").select("request_id", "repo_key", F.col("chosen").alias("selected"), F.col("expires_ms").alias("at_ms")).distinct(), sources, 0)
-    rows = rows.join(now.select("request_id", F.col("snapshot_id").alias("_now")), "request_id", "left")
+    ready = previews.where("state = 'ready'").withColumn("_choice", _choice("repo_key", "chosen"))
+    # What became of sources is told by each distinct choice.
+    distinct = stored(ready.select("repo_key", "_choice", F.col("chosen").alias("selected")).distinct(), "chosen")
+    choices = _choices(distinct, sources).select("_choice", F.when(F.col("state") == "ready", F.col("_sources")).alias("_sources"))
     left = sources.where("import_state <> 'already_imported'").select("repo_key", "source_id")
-    todo = rows.select("request_id", "repo_key", F.explode("chosen").alias("source_id")).join(left, ["repo_key", "source_id"], "left_semi").groupBy("request_id").agg(F.array_sort(F.collect_set("source_id")).alias("todo"))
-    rows = rows.join(todo, "request_id", "left").withColumn("todo", F.coalesce("todo", F.array().cast(previews.schema["chosen"].dataType)))
+    todo = distinct.select("repo_key", "_choice", F.explode("selected").alias("source_id")).join(left, ["repo_key", "source_id"], "left_semi").groupBy("_choice").agg(F.array_sort(F.collect_set("source_id")).alias("todo"))
+    now = choices.join(todo, "_choice", "left")
+    known = ready.select("request_id", "repo_key", "_choice", "snapshot_id", "expires_ms")
+    rows = consents.join(known, ["request_id", "snapshot_id"], "left").join(small(stored(now, "now")), "_choice", "left").withColumn("todo", F.coalesce("todo", F.array().cast(previews.schema["chosen"].dataType)))
+    rows = rows.withColumn("_now", F.when(F.col("_sources").isNotNull(), _snapshot(F.col("expires_ms"), F.col("repo_key"), F.col("_sources"))))
     outcome = (
-        F.when(F.col("chosen").isNull(), "unknown_consent").when(F.col("at_ms") > F.col("expires_ms"), "consent_expired").when(~F.col("_now").eqNullSafe(F.col("snapshot_id")), "snapshot_stale")
+        F.when(F.col("_choice").isNull(), "unknown_consent").when(F.col("at_ms") > F.col("expires_ms"), "consent_expired").when(~F.col("_now").eqNullSafe(F.col("snapshot_id")), "snapshot_stale")
         .when(F.size("todo") == 0, "noop").otherwise("applied"))
     return rows.select("request_id", outcome.alias("outcome"), F.when(outcome == "applied", F.col("todo")).otherwise(F.slice("todo", 1, 0)).alias("to_import"))

@@ -428,12 +428,13 @@ def job06_onboarding(spark: SparkSession, d: str) -> DataFrame:
     """Customers ask to import suppliers of their nation: selections, consents that expire or name another snapshot, and sources that change before they are given."""
     sources = table(spark, d, "supplier").select(F.col("s_nationkey").alias("repo_key"), F.col("s_suppkey").alias("source_id"), F.md5(F.encode("s_name", "UTF-8")).alias("fingerprint"), F.when(F.col("s_suppkey") % 3 == 0, "already_imported").otherwise("new").alias("import_state"))
     asks = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_nationkey").alias("repo_key"))
-    five = sources.withColumn("five", F.col("source_id") % 5).groupBy("repo_key", "five").agg(F.collect_list("source_id").alias("some"))
+    five = stored(sources.withColumn("five", F.col("source_id") % 5).groupBy("repo_key", "five").agg(F.array_sort(F.collect_list("source_id")).alias("some")), "fifths")
     kind = F.col("request_id") % 10
     asks = asks.withColumn("five", F.col("request_id") % 5).join(five, ["repo_key", "five"], "left").withColumn("some", F.coalesce("some", F.array().cast("array<bigint>")))
     named = F.when(kind == 3, F.array_append("some", F.lit(-1).cast("long"))).when((kind == 7) & (F.size("some") > 0), F.concat("some", F.slice("some", 1, 1))).otherwise(F.col("some"))
-    requests = stored(asks.select("request_id", "repo_key", F.when(F.col("request_id") % 4 != 0, named).alias("selected"), (F.col("request_id") * 1000).alias("at_ms")), "requests")
-    previews = stored(state.onboarding_preview(requests, sources, 500), "previews")
+    # Lists of each request are made where they are read, not written.
+    requests = asks.select("request_id", "repo_key", F.when(F.col("request_id") % 4 != 0, named).alias("selected"), (F.col("request_id") * 1000).alias("at_ms"))
+    previews = state.onboarding_preview(requests, sources, 500)
     consents = previews.select("request_id", F.when(kind == 9, "another").otherwise(F.coalesce("snapshot_id", F.lit("none"))).alias("snapshot_id"), (F.col("expires_ms") + F.when(kind == 1, 1).otherwise(0)).alias("at_ms"))
     later = sources.withColumn("fingerprint", F.when(F.col("source_id") % 6 == 1, F.md5(F.encode("fingerprint", "UTF-8"))).otherwise(F.col("fingerprint")))
     found = state.onboarding_apply(consents, previews, later)
