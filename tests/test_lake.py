@@ -146,3 +146,19 @@ def test_requests_of_one_selection_meet_its_sources_once(spark, monkeypatch):
     assert len(found) == 60 and met == [12, 3]
     wanted = {0: ("snapshot_stale", []), 1: ("applied", [0]), 2: ("noop", []), 3: ("unknown_consent", []), 4: ("unknown_consent", []), 5: ("unknown_consent", [])}
     assert all(found[i] == wanted[i % 6] for i, x in rows.items() if x.repo_key)
+
+
+def test_cycles_do_not_cost_a_step_for_each_doubling_of_all_nodes(spark, monkeypatch):
+    from tracelode.functions import tables
+
+    written = []
+    whole = tables.stored
+    monkeypatch.setattr(tables, "stored", lambda df, name: (written.append(name), whole(df, name))[1])
+    # Cycles of three with tails of two, and chains of three, of 4000 nodes.
+    edges = [(5 * i + j, 5 * i + (2 if j == 4 else j + 1)) for i in range(500) for j in range(5)]
+    edges += [(10_000 + 3 * i + j, 10_000 + 3 * i + j + 1) for i in range(500) for j in range(2)]
+    found = {x.node: (x.tip, x.depth, x.cyclic) for x in jumps(spark.createDataFrame(edges, "node long, next long")).collect()}
+    assert len(found) == 4000
+    assert all(found[n] == (None, None, True) for n in range(2500))
+    assert all(found[10_000 + 3 * i + j] == (10_000 + 3 * i + 2, 2 - j, False) for i in range(500) for j in range(3))
+    assert len(written) <= 4
