@@ -88,3 +88,14 @@ def test_pending_calls_and_what_opens_a_continuation(spark, tmp_path):
         streaming.start_table(stream, f"{folder}/out", f"{folder}/c").awaitTermination()
     found = sorted((r.start_index, r.end_index, r.continues_from, r.n_events, r.pending_calls) for r in spark.read.parquet(f"{folder}/out").collect())
     assert found == [(0, 3, None, 4, ["b"]), (4, 6, 0, 2, ["c"])]
+
+
+def test_copies_of_one_batch_are_thinned_out():
+    import pyarrow as pa
+
+    from tracelode.streaming.episodes import distinct_in_batches
+
+    batch = pa.RecordBatch.from_pydict({"session_id": ["a", "a", "b", "a"] * 100, "event_index": [0, 0, 0, 1] * 100, "what": ["user", "user", None, "other"] * 100})
+    out = list(distinct_in_batches([batch, batch.slice(0, 0), batch.slice(0, 2)]))
+    assert [x.num_rows for x in out if x.num_rows] == [3, 1] and all(x.schema == batch.schema for x in out)
+    assert sorted(out[0].to_pylist(), key=str) == sorted([{"session_id": "a", "event_index": 0, "what": "user"}, {"session_id": "b", "event_index": 0, "what": None}, {"session_id": "a", "event_index": 1, "what": "other"}], key=str)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,13 @@ class EpisodeProcessor(StatefulProcessor):
         yield from out
 
 
+def distinct_in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row of a batch once: what is delivered often is mostly delivered together, and is thinned out before it is shuffled."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        yield from table.group_by(table.column_names).aggregate([]).select(table.column_names).combine_chunks().to_batches()
+
+
 def close_episodes(events: DataFrame) -> DataFrame:
     """Closed episodes of a stream of events (session_id, event_index, kind, role, text, event_sha256; see OPTIONAL for more).
 
@@ -123,6 +131,7 @@ def close_episodes(events: DataFrame) -> DataFrame:
         "session_id", F.col("event_index").cast("long").alias("event_index"), F.when(F.col("kind") == CONTROL, 0).otherwise(1).alias("is_event"), F.coalesce("block", F.lit(0)).alias("block"),
         F.when(F.coalesce(user, F.lit(False)), "user").when(is_signal(), "signal").otherwise("other").alias("what"), F.coalesce("role", F.lit("")).alias("boundary"), F.coalesce("event_sha256", F.lit("")).alias("sha"),
         F.when(F.col("kind") == "tool_call", known).otherwise("").alias("called"), F.when(F.col("kind") == "tool_result", known).otherwise("").alias("answered"))
+    rows = rows.mapInArrow(distinct_in_batches, rows.schema)
     return rows.groupBy("session_id").transformWithState(EpisodeProcessor(), CLOSED, "append", "None")
 
 
