@@ -99,3 +99,72 @@ def test_copies_of_one_batch_are_thinned_out():
     out = list(distinct_in_batches([batch, batch.slice(0, 0), batch.slice(0, 2)]))
     assert [x.num_rows for x in out if x.num_rows] == [3, 1] and all(x.schema == batch.schema for x in out)
     assert sorted(out[0].to_pylist(), key=str) == sorted([{"session_id": "a", "event_index": 0, "what": "user"}, {"session_id": "b", "event_index": 0, "what": None}, {"session_id": "a", "event_index": 1, "what": "other"}], key=str)
+
+
+class CountedMap:
+    """A map state that counts the requests made to it."""
+
+    def __init__(self):
+        self.entries, self.requests = {}, 0
+
+    def __getattr__(self, name):
+        self.requests += 1
+        e = self.entries
+        return {"containsKey": e.__contains__, "getValue": e.get, "updateValue": e.__setitem__, "removeKey": lambda k: e.pop(k, None), "iterator": lambda: iter(sorted(e.items())), "exists": lambda: bool(e)}[name]
+
+
+class CountedValue:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_requests_to_the_state_grow_with_its_entries_not_with_rows():
+    """A later half that waits, then the first one: rows of 64 indexes are one entry, calls that are answered in their batch none."""
+    from types import SimpleNamespace
+
+    maps, value = {}, CountedValue()
+    folded = streaming.EpisodeProcessor()
+    folded.init(SimpleNamespace(getValueState=lambda *a: value, getMapState=lambda name, *a: maps.setdefault(name, CountedMap())))
+    fields = ("session_id", "event_index", "is_event", "block", "what", "boundary", "sha", "called", "answered")
+    row = lambda i, what="other", called="", answered="": streaming.Row(*fields)("s", i, 1, 0, what, "", f"{i:064x}", called, answered)
+    rows = [row(0, "user")] + [row(i, called=f"c{i}") if i % 2 else row(i, answered=f"c{i - 1}") for i in range(1, 640)]
+    rows += [streaming.Row(*fields)("s", 640, 0, 0, "other", "session_end", "", "", "")]
+    assert list(folded.handleInputRows(("s",), iter(rows[320:]), None)) == []
+    out = list(folded.handleInputRows(("s",), iter(rows[:320]), None))
+    again = list(folded.handleInputRows(("s",), iter(rows[:3]), None))
+    assert [(r.start_index, r.end_index, r.boundary_kind, r.n_events, r.pending_calls) for r in out] == [(0, 640, "session_end", 640, ["c639"])] and again == []
+    assert not maps["waiting"].entries and list(maps["pending"].entries) == [("c639",)]
+    assert sum(m.requests for m in maps.values()) < 40
+
+
+def test_entries_many_and_few_are_what_a_plain_map_holds():
+    import random
+
+    from tracelode.streaming.episodes import Entries
+
+    chance = random.Random(3)
+    for at_once in (0, 256):
+        state, plain, size = CountedMap(), {}, 0
+        for _ in range(50):
+            held = Entries(state, size, at_once)
+            for _ in range(20):
+                key, what = chance.randrange(12), chance.random()
+                if what < 0.4:
+                    held.put(key, plain.setdefault(key, chance.randrange(3)) if key in plain else plain.setdefault(key, 0))
+                elif what < 0.8:
+                    assert held.take(key) == plain.pop(key, None)
+                elif what < 0.9:
+                    assert held.get(key) == plain.get(key)
+                else:
+                    assert dict(held.all()) == plain
+            held.write()
+            size = held.size
+            assert size == len(plain) and {k: v for (k,), (v,) in state.entries.items()} == plain

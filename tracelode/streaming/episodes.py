@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,50 +21,107 @@ from tracelode.sources.lake import exists
 #: Control rows have this kind; their role is the boundary that closes the open episode.
 CONTROL = "control"
 CLOSED = "session_id string, start_index long, end_index long, boundary_kind string, continues_from long, n_events long, prefix_sha256 string, pending_calls array<string>"
-#: Value state: start of the open episode (-1: none), start of the last closed one (-1: none), events since the start, next index, prefix, link of the open episode, calls so far.
-STATE = "open long, closed long, n long, next long, prefix string, link long, calls long"
-#: A row of a session as it is folded, in order.
-WAITING = "is_event int, block int, what string, boundary string, sha string, called string, answered string"
+#: Value state: start of the open episode (-1: none), start of the last closed one (-1: none), events since the start, next index, prefix, link of the open episode, calls so far, entries of the two maps.
+STATE = "open long, closed long, n long, next long, prefix string, link long, calls long, pending long, waiting long"
+#: The waiting rows of so many indexes are one entry of the state, as JSON: (event_index, is_event, block, what, boundary, sha, called, answered) of each, in order.
+AHEAD = 64
+#: Pending calls are read in one request while they are at most so many.
+AT_ONCE = 256
 #: Fields that only some sources have; what is missing counts as null.
 OPTIONAL = {"block": "int", "tool_name": "string", "call_id": "string", "tool_status": "string", "exit_code": "int"}
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class Entries:
+    """A map of a session's state as a batch meets it: an entry is read once, when it is asked for, and written once, at the end, if it changed.
+
+    size is the number of entries, from the last batch on, so an empty map is never read.
+    """
+
+    def __init__(self, state, size: int, at_once: int = 0):
+        self._state, self.size, self._at_once = state, size, at_once
+        self._stored: dict = {}
+        self._now: dict = {}
+        self._known: set = set()
+        self._whole = size == 0
+
+    def get(self, key):
+        if not self._whole and key not in self._known:
+            if len(self._known) == 0 and self.size <= self._at_once:
+                self.all()
+            else:
+                self._known.add(key)
+                found = self._state.getValue((key,))
+                if found is not None:
+                    self._stored[key] = self._now[key] = found[0]
+        return self._now.get(key)
+
+    def put(self, key, value) -> None:
+        self.size += self.get(key) is None
+        self._now[key] = value
+
+    def take(self, key):
+        """The entry, which is there no more."""
+        found = self.get(key)
+        if found is not None:
+            del self._now[key]
+            self.size -= 1
+        return found
+
+    def all(self) -> dict:
+        """All entries; for reading only."""
+        if not self._whole:
+            for (key,), (value,) in self._state.iterator():
+                if key not in self._known:
+                    self._stored[key] = self._now[key] = value
+            self._whole = True
+        return self._now
+
+    def write(self) -> None:
+        for key, value in self._now.items():
+            if self._stored.get(key) != value:
+                self._state.updateValue((key,), (value,))
+        for key in self._stored.keys() - self._now.keys():
+            self._state.removeKey((key,))
+
+
 class EpisodeProcessor(StatefulProcessor):
     """Folds a session's rows in the order of their indexes.
 
     One value holds the open episode. Calls without a result are a map by call id, rows that are
-    ahead of the next index a map by index, so a batch reads and writes only the entries that
-    it meets, however many wait.
+    ahead of the next index a map by ranges of indexes, so a batch reads and writes only the entries
+    that it meets, however many wait, and each in one request.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._session = handle.getValueState("session", STATE)
         self._pending = handle.getMapState("pending", "call_id string", "place long")
-        self._waiting = handle.getMapState("waiting", "event_index long", f"rows array<struct<{WAITING.replace(' ', ':').replace(',:', ',')}>>")
+        self._waiting = handle.getMapState("waiting", "range long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        state = self._session.get() if self._session.exists() else (-1, -1, 0, 0, hashlib.sha256(PREFIX_SEED.encode()).hexdigest(), -1, 0)
-        start, closed, n, following, prefix, link, calls = state
-        digest, first, out = bytes.fromhex(prefix), following, []
+        state = self._session.get() or (-1, -1, 0, 0, hashlib.sha256(PREFIX_SEED.encode()).hexdigest(), -1, 0, 0, 0)
+        start, closed, n, following, prefix, link, calls, n_pending, n_waiting = state
+        pending, waiting = Entries(self._pending, n_pending, AT_ONCE), Entries(self._waiting, n_waiting)
+        digest, first, reached, out = bytes.fromhex(prefix), following, -1, []
         # By index, each row once, however often it was delivered.
         came: dict[int, set[tuple]] = {}
-        for r in rows:
-            if not r.is_event or r.event_index >= following:
-                came.setdefault(r.event_index, set()).add(tuple(r)[2:])
+        for _, index, *row in rows:
+            if not row[0] or index >= following:
+                came.setdefault(index, set()).add(tuple(row))
 
         def close(end, boundary):
-            left = [c for _, c in sorted((place, call) for (call,), (place,) in self._pending.iterator())]
+            left = [c for _, c in sorted((place, call) for call, place in pending.all().items())]
             out.append(Row(session_id=key[0], start_index=start, end_index=end, boundary_kind=boundary, continues_from=None if link < 0 else link, n_events=n, prefix_sha256=digest.hex(), pending_calls=left))
 
         late = iter(sorted(i for i in came if i < first))
         while True:
             # Controls of indexes that were folded before come first, then one index after another.
             index = next(late, following)
+            if index >= first and index // AHEAD != reached:
+                reached = index // AHEAD
+                for i, *row in json.loads(waiting.take(reached) or "[]"):
+                    came.setdefault(i, set()).add(tuple(row))
             group = came.pop(index, set())
-            if index >= first and self._waiting.containsKey((index,)):
-                group |= {tuple(r) for r in self._waiting.getValue((index,))[0]}
-                self._waiting.removeKey((index,))
             folded = False
             for is_event, _, what, boundary, sha, called, answered in sorted(group):
                 if not is_event:
@@ -79,21 +137,24 @@ class EpisodeProcessor(StatefulProcessor):
                 elif what == "signal" and start < 0 <= closed:
                     start, n, link = index, 0, closed
                 n += start >= 0
-                if called and not self._pending.containsKey((called,)):
-                    self._pending.updateValue((called,), (calls,))
+                if called and pending.get(called) is None:
+                    pending.put(called, calls)
                     calls += 1
-                if answered and self._pending.containsKey((answered,)):
-                    self._pending.removeKey((answered,))
+                if answered:
+                    pending.take(answered)
                 folded, last = True, sha
             if folded:
                 digest, following = next_prefix(digest, last), index + 1
             elif index == following:
                 break
+        ahead: dict[int, set[tuple]] = {}
         for index, group in came.items():
-            if self._waiting.containsKey((index,)):
-                group |= {tuple(r) for r in self._waiting.getValue((index,))[0]}
-            self._waiting.updateValue((index,), (sorted(group),))
-        self._session.update((start, closed, n, following, digest.hex(), link, calls))
+            ahead.setdefault(index // AHEAD, set()).update((index, *row) for row in group)
+        for at, some in ahead.items():
+            waiting.put(at, json.dumps(sorted(some.union(map(tuple, json.loads(waiting.get(at) or "[]"))))))
+        pending.write()
+        waiting.write()
+        self._session.update((start, closed, n, following, digest.hex(), link, calls, pending.size, waiting.size))
         yield from out
 
 
