@@ -300,3 +300,34 @@ def test_tokens_of_columns_are_those_of_texts(spark):
         assert got == [x[name] for x in rows]
     batch = pa.RecordBatch.from_pydict({"i": range(5), "t": ["x", "y" * tokens.SLICE_BYTES, "z", "w", "v"]})
     assert [x.num_rows for x in tokens.slices(batch, 2)] == [1, 1, 2, 1]
+
+
+def test_lines_are_cut_as_by_regular_expressions(spark):
+    """Every kind of white space and line end, in random texts, against the rule's plain form."""
+    import re
+
+    chance = random.Random(5)
+    ends = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+    signs = "ab" + C.WHITE + ends + "\x1f᠎​﻿\xe9\U0001d11e"
+    texts = ["".join(chance.choice(signs) for _ in range(chance.randrange(14))) for _ in range(2000)] + ["", None]
+
+    def plain(text):
+        return [x for x in (y.strip(C.WHITE) for y in re.split(f"[{ends}]", text or "")) if x]
+
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", C.lines(F.col("text")).alias("every"), C.first_line(F.col("text")).alias("first")).collect()
+    assert {len(r.every) for r in rows} > {0, 1, 2, 3}
+    assert [(r.every, r.first) for r in rows] == [(plain(r.text), (plain(r.text) or [None])[0]) for r in rows]
+
+
+def test_versions_are_checked_against_memories_projected_once(spark, tmp_path, monkeypatch):
+    """Two rebuilds and two gates over one state: a projection for each version and one for the truth, in which a text is cut once."""
+    rows = spark.createDataFrame([memory("a", 1, "one\n two \n\nthree"), memory("b", 2, "one")], MEMORY)
+    store, project, times = index_store.IndexStore(spark, f"file://{tmp_path}/once"), recall.project, []
+    monkeypatch.setattr(recall, "project", lambda m: (times.append(1), project(m))[1])
+    truth = store.truth(rows)
+    for _ in range(2):
+        report = store.rebuild(rows, truth).first()
+        assert report.parity and report.truth_count == report.index_count and report.truth_document_count == report.index_document_count == project(rows).count()
+        store.require(rows, truth=truth)
+    assert len(times) == 3
+    assert str(recall.marks(project(rows), ["repo_key"])._jdf.queryExecution().optimizedPlan()).count("split(") == 1
