@@ -76,9 +76,7 @@ def src08_provider_c(spark: SparkSession, d: str) -> DataFrame:
 def src05_providers(spark: SparkSession, d: str) -> DataFrame:
     """Each transcript's provider and session, told by its records (trc03)."""
     files = [transcripts_of(spark, d, p) for p in "ABC"]
-    lines = transcripts.raw_lines(files[0].union(files[1]).union(files[2]))
-    counts = lines.groupBy("source_path").agg(F.count("*").alias("records"))
-    return transcripts.detect_provider(lines).join(transcripts.session_ids(lines), "source_path").join(counts, "source_path")
+    return transcripts.sources(transcripts.raw_lines(files[0].union(files[1]).union(files[2])))
 
 
 @query("""

@@ -26,31 +26,35 @@ EXEC_TOOL_B = "Bash"
 EVENT = "provider string, session_id string, event_index long, block int, event_id string, kind string, role string, text string, tool_name string, call_id string, command string, exit_code int, tool_status string, is_command_result boolean, observed_outcome string, file_changes array<struct<operation:string,path:string,destination:string>>, source_path string, event_sha256 string"
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """(source_path, length, content) of the transcripts under a path."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path).select(F.col("path").alias("source_path"), "length", "content")
+def read_sessions(spark: SparkSession, path: str, most_bytes: int = SESSION_BYTES) -> DataFrame:
+    """(source_path, length, content) of the transcripts under a path; larger files have no content.
+
+    The content of larger files isn't loaded: the condition on the length reaches the scan.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path).select(F.col("path").alias("source_path"), "length", "content")
+    large = F.col("length") > most_bytes
+    return files.where(~large).unionByName(files.where(large).withColumn("content", F.lit(None).cast("binary")))
 
 
 def raw_lines(sessions: DataFrame, most_bytes: int = SESSION_BYTES, most_events: int = SESSION_EVENTS) -> DataFrame:
     """One row for each non-blank line: source_path, event_index, line, event_sha256, record (variant), violation.
 
     Bytes are decoded as Latin-1 to split and to hash exactly what stands there, then each line
-    as UTF-8, where bytes that aren't become the replacement character. A trailing carriage return is no part of a line. A file beyond the limits gives one
-    row with a violation; so does each line that is no JSON object. The content of too large files isn't loaded:
-    the condition on the length reaches the scan.
+    as UTF-8, where bytes that aren't become the replacement character. A trailing carriage return is no part of a line. A file beyond the limits, or without content, gives one
+    row with a violation; so does each line that is no JSON object. Sessions are read in one pass, whatever their size.
     """
     latin = F.decode("content", "ISO-8859-1")
-    every = F.filter(F.transform(F.split(latin, "\n"), lambda x: F.regexp_replace(x, "\r$", "")), lambda x: F.trim(F.regexp_replace(x, r"[\t\x0b\x0c]", " ")) != "")
-    large = F.col("length") > most_bytes
-    rows = sessions.where(~large).select("source_path", every.alias("lines"), F.lit(False).alias("large"))
-    rows = rows.unionByName(sessions.where(large).select("source_path", F.array(F.lit("")).alias("lines"), F.lit(True).alias("large")))
-    rows = rows.select("source_path", "large", (F.size("lines") > most_events).alias("many"), F.posexplode("lines").alias("event_index", "latin"))
-    raw = F.encode("latin", "ISO-8859-1")
-    rows = rows.where("not many or event_index = 0").select(
-        "source_path", F.col("event_index").cast("long").alias("event_index"), F.make_valid_utf8(raw.cast("string")).alias("line"), F.sha2(raw, 256).alias("event_sha256"), "large", "many")
-    record = F.try_parse_json("line")
-    rows = rows.withColumn("record", record)
-    broken = F.col("record").isNull() | ~F.coalesce(F.schema_of_variant("record"), F.lit("")).startswith("OBJECT")
+    every = F.filter(F.split(latin, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")
+    large = (F.col("length") > most_bytes) | F.col("content").isNull()
+    rows = sessions.where("length is not null").select("source_path", large.alias("large"), F.when(large, F.array(F.lit(""))).otherwise(every).alias("lines"))
+    rows = rows.select("source_path", "large", (F.size("lines") > most_events).alias("many"), "lines")
+    # The outer form, as of the plain one Spark infers a filter that splits the content once more.
+    rows = rows.select("source_path", "large", "many", F.posexplode_outer("lines").alias("event_index", "latin")).where("event_index is not null and (not many or event_index = 0)")
+    line = F.when(F.endswith("latin", F.lit("\r")), F.expr("left(latin, length(latin) - 1)")).otherwise(F.col("latin"))
+    rows = rows.withColumn("raw", F.encode(line, "ISO-8859-1"))
+    rows = rows.select("source_path", F.col("event_index").cast("long").alias("event_index"), F.make_valid_utf8(F.col("raw").cast("string")).alias("line"), F.sha2("raw", 256).alias("event_sha256"), "large", "many")
+    rows = rows.withColumn("record", F.try_parse_json("line"))
+    broken = F.col("record").isNull() | ~F.ltrim("line", F.lit(" \t\r")).startswith("{")
     return rows.withColumn("violation", F.when(F.col("large"), "session_too_large").when(F.col("many"), "too_many_events").when(broken, "not_an_object")).drop("large", "many")
 
 
@@ -87,26 +91,50 @@ def text_of(record: Column, path: str, otherwise_json: bool = False) -> Column:
     return F.coalesce(found, F.when(structured, F.to_json(whole)))
 
 
-def detect_provider(lines: DataFrame) -> DataFrame:
-    """(source_path, provider): of each source's first record that tells; null if none does."""
+def _provider() -> Column:
+    """The provider that a record tells, or null."""
     r = F.col("record")
     kind = F.try_variant_get(r, "$.type", "string")
-    found = (
+    return (
         F.when(F.try_variant_get(r, "$.record_type", "string") == "header", F.lit("C"))
         .when(F.try_variant_get(r, "$.sessionId", "string").isNotNull(), "B")
         .when(kind.isin("session_meta", "event_msg", "response_item"), "A")
     )
-    tells = lines.where("violation is null").withColumn("p", found)
-    return tells.groupBy("source_path").agg(F.min_by("p", F.when(F.col("p").isNotNull(), F.col("event_index"))).alias("provider"))
+
+
+def _named() -> Column:
+    """The session id that a record names, or null."""
+    r = F.col("record")
+    return F.coalesce(F.when(F.try_variant_get(r, "$.type", "string") == "session_meta", F.try_variant_get(r, "$.payload.id", "string")), F.try_variant_get(r, "$.sessionId", "string"), F.try_variant_get(r, "$.session_id", "string"))
+
+
+def _first(column: str) -> Column:
+    """The value of the first record that has one."""
+    return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("event_index")))
+
+
+def _or_stem(named: Column) -> Column:
+    return F.coalesce(named, F.regexp_extract("source_path", r"([^/]+?)(?:\.[^./]*)?$", 1))
+
+
+def sources(lines: DataFrame) -> DataFrame:
+    """(source_path, provider, session_id, records): each source's provider and session id as its first records tell them, and all its lines, in one pass; the stem of the file where no record names a session."""
+    valid = F.col("violation").isNull()
+    rows = lines.select("source_path", "event_index", valid.alias("valid"), F.when(valid, _provider()).alias("told"), F.when(valid, _named()).alias("named"))
+    found = rows.groupBy("source_path").agg(_first("told").alias("provider"), _first("named").alias("n"), F.count("*").alias("records"), F.bool_or("valid").alias("any_valid"))
+    return found.where("any_valid").select("source_path", "provider", _or_stem(F.col("n")).alias("session_id"), "records")
+
+
+def detect_provider(lines: DataFrame) -> DataFrame:
+    """(source_path, provider): of each source's first record that tells; null if none does."""
+    tells = lines.where("violation is null").withColumn("p", _provider())
+    return tells.groupBy("source_path").agg(_first("p").alias("provider"))
 
 
 def session_ids(lines: DataFrame) -> DataFrame:
     """(source_path, session_id): the first id in the records, else the file's stem."""
-    r = F.col("record")
-    named = F.coalesce(F.when(F.try_variant_get(r, "$.type", "string") == "session_meta", F.try_variant_get(r, "$.payload.id", "string")), F.try_variant_get(r, "$.sessionId", "string"), F.try_variant_get(r, "$.session_id", "string"))
-    stem = F.regexp_extract("source_path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    rows = lines.where("violation is null").withColumn("named", named)
-    return rows.groupBy("source_path").agg(F.min_by("named", F.when(F.col("named").isNotNull(), F.col("event_index"))).alias("n")).select("source_path", F.coalesce("n", stem).alias("session_id"))
+    rows = lines.where("violation is null").withColumn("named", _named())
+    return rows.groupBy("source_path").agg(_first("named").alias("n")).select("source_path", _or_stem(F.col("n")).alias("session_id"))
 
 
 def exit_code_text(text: Column) -> Column:
