@@ -137,6 +137,17 @@ def session_ids(lines: DataFrame) -> DataFrame:
     return rows.groupBy("source_path").agg(_first("named").alias("n")).select("source_path", _or_stem(F.col("n")).alias("session_id"))
 
 
+def _in_sessions(lines: DataFrame) -> DataFrame:
+    """The records that break no rule with their session_id, as ``session_ids`` gives it, without a second pass over the lines.
+
+    A source is one partition, which later windows over its calls keep. Broken lines are left out
+    behind the window, as a filter before it would parse each line twice.
+    """
+    valid = F.col("violation").isNull()
+    rows = lines.select("source_path", "event_index", "event_sha256", "record", valid.alias("valid"), F.when(valid, _named()).alias("named"))
+    return rows.withColumn("session_id", _or_stem(_first("named").over(Window.partitionBy("source_path")))).where("valid").drop("named", "valid")
+
+
 def exit_code_text(text: Column) -> Column:
     """The code in a provider A output: the one line before ``Final output:`` that names it; null if several do."""
     found = F.regexp_extract_all(F.substring_index(text, "Final output:", 1), F.lit(r"(?m)^Process exited with code (-?\d+)$"), F.lit(1))
@@ -165,24 +176,20 @@ def _outputs_know_their_calls(rows: DataFrame, fields: list[str], per: list[str]
     per: what call and result must share besides. once: a call that was answered has no more results.
     """
     w = Window.partitionBy("source_path", *(per or []), "call_id").orderBy("event_index", "block").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = rows.where("call_id is not null")
-    open_call = F.coalesce(F.last(F.when(F.col("kind").isin("tool_call", "tool_result"), F.col("kind")), True).over(w) == "tool_call", F.lit(False)) if once else F.lit(True)
-    keyed = keyed.withColumn("_open", open_call)
-    for f in fields:
-        keyed = keyed.withColumn(f"call_{f}", F.when(F.col("_open"), F.last(F.when(F.col("kind") == "tool_call", F.struct(f)), True).over(w)[f]))
-    rest = rows.where("call_id is null")
-    for f in fields:
-        rest = rest.withColumn(f"call_{f}", F.lit(None).cast(rows.schema[f].dataType))
-    return keyed.drop("_open").unionByName(rest)
+    seen = F.col("kind").isin(*(("tool_call", "tool_result") if once else ("tool_call",)))
+    before = F.last(F.when(seen & F.col("call_id").isNotNull(), F.struct("kind", *fields)), True).over(w)
+    rows = rows.withColumn("_before", before)
+    answers = F.col("call_id").isNotNull() & (F.col("_before.kind") == "tool_call")
+    return rows.withColumns({f"call_{f}": F.when(answers, F.col("_before")[f]) for f in fields}).drop("_before")
 
 
 def provider_a(lines: DataFrame) -> DataFrame:
     """Flat envelopes: one event for each record. A result answers a call of its own kind, and a call is answered once."""
     r, g = F.col("record"), lambda p: F.try_variant_get(F.col("record"), p, "string")
-    kind, inner = g("$.type"), g("$.payload.type")
+    kind, inner = F.col("type"), F.col("inner")
     call, output = inner.isin("function_call", "custom_tool_call"), inner.isin("function_call_output", "custom_tool_call_output")
     item = kind == "response_item"
-    rows = lines.where("violation is null").join(session_ids(lines), "source_path").select(
+    rows = _in_sessions(lines).withColumns({"type": g("$.type"), "inner": g("$.payload.type")}).select(
         "source_path", "session_id", "event_index", F.lit(0).alias("block"), "event_sha256",
         F.when(item & (inner == "message"), "message").when(item & call, "tool_call").when(item & output, "tool_result").otherwise("metadata").alias("kind"),
         F.when(item & (inner == "message"), g("$.payload.role")).alias("role"),
@@ -211,7 +218,7 @@ def provider_b(lines: DataFrame) -> DataFrame:
     block = "struct<type:string,text:string,id:string,name:string,input:variant,tool_use_id:string,content:variant,is_error:boolean>"
     many = F.try_variant_get(r, "$.message.content", f"array<{block}>")
     one = F.array(F.from_json(F.to_json(F.struct(F.lit("text").alias("type"), g("$.message.content").alias("text"))), block))
-    rows = lines.where("violation is null").join(session_ids(lines), "source_path")
+    rows = _in_sessions(lines)
     rows = rows.select("source_path", "session_id", "event_index", "event_sha256", F.col("record").alias("whole"), F.try_variant_get(r, "$.message.role", "string").alias("role"), F.posexplode_outer(F.coalesce(many, one)).alias("block", "b"))
     kind = F.col("b.type")
     rows = rows.select(
@@ -243,7 +250,7 @@ def provider_b(lines: DataFrame) -> DataFrame:
 def provider_c(lines: DataFrame) -> DataFrame:
     """A header, then batches of events that start with one user message; calls pair inside their batch."""
     event = "struct<kind:string,role:string,text:string,call_id:string,tool_name:string,command:string,status:string,terminal_observation:struct<exit_code:int,file_changes:array<struct<operation:string,path:string,destination_path:string>>>>"
-    rows = lines.where("violation is null").join(session_ids(lines), "source_path").where(F.try_variant_get("record", "$.record_type", "string") == "batch")
+    rows = _in_sessions(lines).where(F.try_variant_get("record", "$.record_type", "string") == "batch")
     rows = rows.select("source_path", "session_id", "event_index", "event_sha256", F.posexplode(F.try_variant_get("record", "$.events", f"array<{event}>")).alias("block", "e"))
     result = F.col("e.kind") == "tool_result"
     status = F.when(F.col("e.status").isin("success", "completed"), "success").when(F.col("e.status").isin("failure", "failed", "error"), "failure")
