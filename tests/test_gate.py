@@ -22,3 +22,22 @@ def test_gate_without_queries(spark):
     sources = spark.createDataFrame([], "memory_id string, status string, source_uri string, content_sha256 string")
     x = evaluation.gate_report(evaluation.gate_outcomes(empty, relevant, found, sources)).first()
     assert x.queries == 0 and x.recall_at_limit is None and x.stale_ok and not x.passed
+
+
+def test_a_common_title_is_not_met_by_all_its_memories(spark, sf, tmp_path, monkeypatch):
+    """Of 300 memories of one title each query of that title meets those that it was given; the outcomes are the SQL's."""
+    import duckdb
+
+    from tracelode.plans.flagship import ORACLE_SQL, QUERIES
+
+    from .oracle import TABLES, same
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT i AS doc_id, 'One common title\nline ' || (i % 90) || ' of ' || i AS text, CASE WHEN i % 2 = 0 THEN 'en' ELSE 'de' END AS lang, 'src' AS source, CAST(30 AS BIGINT) AS n_chars FROM range(300) t(i)")
+    for t in TABLES:
+        con.execute(f"COPY (SELECT * FROM {t if t == 'documents' else repr(f'{sf}/{t}.parquet')}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    met, whole = [], evaluation.gate_outcomes
+    monkeypatch.setattr(evaluation, "gate_outcomes", lambda queries, relevant, found, sources: (met.append(relevant.count()), whole(queries, relevant, found, sources))[1])
+    for name in ("evl01_gate_outcomes", "evl01_gate_report"):
+        assert same(QUERIES[name](spark, str(tmp_path)), ORACLE_SQL[name], str(tmp_path)) in (24, 1)
+    assert met == [60, 60]
